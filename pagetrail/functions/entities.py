@@ -12,6 +12,8 @@ from .text import let
 # Names come from Python's own table of the HTML standard.  Those met most
 # often go first, since a map literal is searched from the front.
 _FREQUENT = ("amp;", "nbsp;", "quot;", "lt;", "gt;", "apos;", "copy;", "middot;", "amp")
+# Text with no other names is decoded by plain replacement, ampersands last.
+_SIMPLE = ("nbsp;", "quot;", "lt;", "gt;", "amp;")
 _NAMES = dict.fromkeys([*_FREQUENT, *html5])
 _PREFIXES = [n for n in _NAMES if not n.endswith(";")]
 
@@ -104,4 +106,11 @@ def decode_entities(text: Column, in_attribute: bool = False) -> Column:
         )
         return F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))
 
-    return F.when(text.contains("&"), let(F.split(text, "&", -1), decoded)).otherwise(text)
+    simple = text
+    for name in _SIMPLE:
+        simple = F.replace(simple, F.lit(f"&{name}"), F.lit(html5[name]))
+    return (
+        F.when(~text.contains("&"), text)
+        .when(text.rlike(f"&(?!{'|'.join(_SIMPLE)})"), let(F.split(text, "&", -1), decoded))
+        .otherwise(simple)
+    )

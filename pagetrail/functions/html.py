@@ -65,8 +65,9 @@ _TOKEN = (
 _DROPPED_TOKEN = r"^<(?:[!?]|/[^a-zA-Z])"
 _CUT_OFF_TAG = r"</?[a-zA-Z][^>]*+\z"
 
-_P_START = rf"(?i)<p{_EDGE}{_TAG_END}"
-_P_END = rf"(?i)</?(?:{'|'.join(BLOCKS)}){_EDGE}|</(?:{'|'.join(CELLS)}){_EDGE}"
+_P_END = rf"</?(?:{'|'.join(BLOCKS)}){_EDGE}|</(?:{'|'.join(CELLS)}){_EDGE}"
+_P_INSIDE = rf"(?:[^<]++|(?!{_P_END})<)*+"
+_PARAGRAPH = rf"(?i)<p{_EDGE}{_TAG_END}({_P_INSIDE})"
 
 
 def prepare(html: Column) -> Column:
@@ -97,7 +98,13 @@ def _plain(markup: Column) -> Column:
     untagged = F.when(markup.contains("<"), F.regexp_replace(markup, _ANY_TAG, "")).otherwise(
         markup
     )
-    return F.translate(decode_entities(untagged), _MASKED_LT + _MASKED_AMP, "<&")
+    return let(
+        decode_entities(untagged),
+        lambda t: F.when(
+            t.contains(_MASKED_LT) | t.contains(_MASKED_AMP),
+            F.translate(t, _MASKED_LT + _MASKED_AMP, "<&"),
+        ).otherwise(t),
+    )
 
 
 def _unquoted(value: Column) -> Column:
@@ -135,9 +142,11 @@ def title(html: Column) -> Column:
 
 def description_of(doc: Column) -> Column:
     def last(tags: Column, attribute: str, wanted: str) -> Column:
+        # the word may only be missing where it is spelt with references
+        near = F.filter(tags, lambda t: t.contains(wanted) | t.contains("&"))
         contents = F.filter(
             F.transform(
-                F.filter(tags, lambda t: _attribute(t, attribute) == wanted),
+                F.filter(near, lambda t: _attribute(t, attribute) == wanted),
                 lambda t: _attribute(t, "content"),
             ),
             lambda v: v.isNotNull(),
@@ -148,7 +157,7 @@ def description_of(doc: Column) -> Column:
     return let(
         tags,
         lambda t: F.coalesce(
-            F.nullif(last(t, "name", "description"), F.lit("")),
+            let(last(t, "name", "description"), lambda v: F.when(v != "", v)),
             last(t, "property", "og:description"),
             F.lit(""),
         ),
@@ -165,11 +174,7 @@ def description(html: Column) -> Column:
 
 def _paragraph_texts(doc: Column) -> Column:
     """Raw text of every paragraph in order."""
-    starts = F.split(doc, _P_START, -1)
-    return F.transform(
-        F.slice(starts, F.lit(2), F.size(starts)),
-        lambda piece: _plain(F.get(F.split(piece, _P_END, 2), F.lit(0))),
-    )
+    return F.transform(F.regexp_extract_all(doc, F.lit(_PARAGRAPH), 1), _plain)
 
 
 def paragraphs_of(doc: Column) -> Column:
@@ -212,6 +217,9 @@ def _opening(selector: str) -> str:
 def _balanced(after: Column, name: Column) -> Column:
     """Inside of an element, given its name and all that follows its start tag."""
 
+    edge = F.concat(F.lit(r"/?\Q"), name, F.lit(r"\E[\s/>]"))
+    own_tag = F.concat(F.lit("(?i)^<"), edge)
+
     def cut(pieces: Column) -> Column:
         # depth 0 means closed; the length of everything before is the result
         walked = F.aggregate(
@@ -219,9 +227,9 @@ def _balanced(after: Column, name: Column) -> Column:
             F.struct(F.lit(1).alias("depth"), F.lit(0).alias("taken")),
             lambda acc, p: let(
                 F.when(acc["depth"] == 0, F.lit(0))
+                .when(~F.rlike(p, own_tag), acc["depth"])
                 .when(p.startswith("</"), acc["depth"] - 1)
-                .when(p.rlike(r"^<[a-zA-Z]"), acc["depth"] + 1)
-                .otherwise(acc["depth"]),
+                .otherwise(acc["depth"] + 1),
                 lambda depth: F.struct(
                     depth.alias("depth"),
                     (
@@ -232,17 +240,16 @@ def _balanced(after: Column, name: Column) -> Column:
         )
         return walked["taken"]
 
-    # the first piece is plain content even where it begins with another tag
-    marked = F.split(
-        F.concat(F.lit("\n"), after),
-        F.concat(F.lit(r"(?i)(?=</?\Q"), name, F.lit(r"\E[\s/>])")),
-        -1,
+    pieces = F.regexp_extract_all(
+        after,
+        F.concat(F.lit("(?i)(?:<"), edge, F.lit(")?(?:[^<]++|<(?!"), edge, F.lit("))*+")),
+        0,
     )
-    nested = F.substr(after, F.lit(1), let(marked, cut) - 1)
+    nested = F.substr(after, F.lit(1), let(pieces, cut))
     lowered = F.lower(name)
     return (
         F.when(lowered.isin(*VOID_ELEMENTS), F.lit(""))
-        .when(lowered == "p", F.get(F.split(after, _P_END, 2), F.lit(0)))
+        .when(lowered == "p", F.regexp_extract(after, f"(?i)^{_P_INSIDE}", 0))
         .otherwise(nested)
     )
 
@@ -344,12 +351,10 @@ def news_of(doc: Column) -> Column:
         )
 
     def first_article(d: Column) -> Column:
-        parts = F.split(d, _opening("article"), 2)
-        return let(
-            parts,
-            lambda p: F.when(
-                F.size(p) > 1, _plain(_balanced(F.get(p, F.lit(1)), F.lit("article")))
-            ),
+        after = F.regexp_extract(d, rf"(?s){_opening('article')}(.*+)", 2)
+        return F.when(
+            d.rlike(_opening("article")),
+            let(after, lambda a: _plain(_balanced(a, F.lit("article")))),
         )
 
     def holds(selector: str) -> Column:
@@ -359,8 +364,9 @@ def news_of(doc: Column) -> Column:
 
     body = F.when(
         doc.contains("articleBody"),
-        F.nullif(
-            F.array_join(_selected_texts(doc, "[itemprop=articleBody]"), ""), F.lit("")
+        let(
+            F.array_join(_selected_texts(doc, "[itemprop=articleBody]"), ""),
+            lambda t: F.when(t != "", t),
         ),
     )
     return F.coalesce(

@@ -50,6 +50,11 @@ _PLAIN_URL = (
     rf"^(https?://({_PLAIN_HOST})((?:/[^%?#\x00-\x1f\x7f]*+)?))"
     r"(?:\?[^#\x00-\x1f\x7f]*+)?(?:#[^%]*+)?\z"
 )
+# A page URL whose parts need no rewriting to be printed.
+_PLAIN_PAGE = (
+    rf"^((https?)://{_PLAIN_HOST})((?:/[A-Za-z0-9\-_.~$&+,/:;=@!'()*]*+)?)"
+    r"((?:\?[^#\x00-\x1f\x7f]*+)?)(?:#([A-Za-z0-9\-_.~]*+))?\z"
+)
 _DOT_SEGMENT = r"(?:^|/)\.\.?(?:/|\z)"
 
 # A reference that resolves without any rewriting of its own text.
@@ -57,6 +62,8 @@ _SAFE = r"A-Za-z0-9\-_~$&+,:;=@!'()*"
 _PLAIN_PATH = rf"/(?![/.])(?:[{_SAFE}.]++|%{_HEX}{{2}}|/(?!\.))*+"
 _PLAIN_TAIL = rf"(?:\?[^#\x00-\x1f\x7f]*+)?(?:#[{_SAFE}./?]++)?\z"
 _PLAIN_ROOTED = rf"^{_PLAIN_PATH}{_PLAIN_TAIL}"
+# A rooted path that only needs percent-encoding.
+_ODD_BYTES_ROOTED = r"^/(?![/.])(?:[^%?#/\x00-\x1f\x7f]++|/(?!\.))*+\z"
 _PLAIN_ABSOLUTE = rf"^https?://{_PLAIN_HOST}(?:{_PLAIN_PATH}|/)?{_PLAIN_TAIL}"
 
 
@@ -238,7 +245,19 @@ def _printed_site(p: Column) -> Column:
 
 def _base(base: Column) -> Column:
     """The parts of a page URL that its links need; null when unparsable."""
-    return let(
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(base, _PLAIN_PAGE, group)
+
+    plain = F.struct(
+        part(2).alias("scheme"),
+        part(1).alias("site"),
+        part(3).alias("path"),
+        part(4).startswith("?").alias("has_query"),
+        F.substr(part(4), F.lit(2)).alias("query"),
+        part(5).alias("fragment"),
+    )
+    full = let(
         _pieces(base),
         lambda p: F.when(
             p.isNotNull(),
@@ -252,6 +271,7 @@ def _base(base: Column) -> Column:
             ),
         ),
     )
+    return F.when(base.rlike(_PLAIN_PAGE), plain).otherwise(full)
 
 
 def _resolve(base: Column, href: Column) -> Column:
@@ -294,6 +314,10 @@ def _resolve(base: Column, href: Column) -> Column:
         base.isNotNull() & href.isNotNull(),
         F.when(href.rlike(_PLAIN_ROOTED), F.concat(base["site"], href))
         .when(href.rlike(_PLAIN_ABSOLUTE), href)
+        .when(
+            href.rlike(_ODD_BYTES_ROOTED),
+            F.concat(base["site"], _escaped(href, _PATH_AS_IS, _PATH_KEPT)),
+        )
         .otherwise(let(_pieces(href), lambda p: F.when(p.isNotNull(), let(p, odd)))),
     )
 

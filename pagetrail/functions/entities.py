@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from html.entities import html5
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from .text import let
+from .sqltext import S, Sql, let
 
 # Names come from Python's own table of the HTML standard.  Those met most
 # often go first, since a map literal is searched from the front.
@@ -15,7 +12,6 @@ _FREQUENT = ("amp;", "nbsp;", "quot;", "lt;", "gt;", "apos;", "copy;", "middot;"
 # Text with no other names is decoded by plain replacement, ampersands last.
 _SIMPLE = ("nbsp;", "quot;", "lt;", "gt;", "amp;")
 _NAMES = dict.fromkeys([*_FREQUENT, *html5])
-_PREFIXES = [n for n in _NAMES if not n.endswith(";")]
 
 # What numbers 128 to 159 stand for (windows-1252).
 _C1_START = 128
@@ -26,91 +22,94 @@ _C1_MEANING = (
 _LONGEST_PREFIX = 6
 
 
-def _table(names: list[str]) -> Column:
-    pairs = "\x01".join(f"{n}\x02{html5[n]}" for n in names)
-    return F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))
+def _table() -> Sql:
+    pairs = "\x01".join(f"{n}\x02{html5[n]}" for n in _NAMES)
+    return S.str_to_map(pairs, "\x01", "\x02")
 
 
-def _character(code: Column) -> Column:
+def _character(code: Sql) -> Sql:
     """The character of a code point given as a number."""
     replaced = (
-        F.when(
+        S.when(
             code.between(_C1_START, _C1_START + len(_C1_MEANING) - 1),
-            F.substr(F.lit(_C1_MEANING), (code - F.lit(_C1_START - 1)).cast("int"), F.lit(1)),
+            S.substr(_C1_MEANING, (code - (_C1_START - 1)).cast("int"), 1),
         )
         .when(
-            (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("\ufffd")
+            (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd"
         )
-        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        .otherwise(S.decode(S.unhex(S.lpad(S.hex(code), 8, "0")), "UTF-32"))
     )
     return replaced
 
 
-def _number(digits: Column, base: int) -> Column:
+def _number(digits: Sql, base: int) -> Sql:
     """Value of a digit string; more than nine significant digits saturate."""
-    digits = F.ltrim(digits, F.lit("0"))
-    value = F.conv(F.when(digits == "", F.lit("0")).otherwise(digits), base, 10).cast("bigint")
-    return F.when(F.length(digits) > 9, F.lit(0x110000).cast("bigint")).otherwise(value)
+    digits = Sql(f"trim(LEADING '0' FROM {digits})")
+    value = S.conv(S.when(digits == "", "0").otherwise(digits), base, 10).cast("bigint")
+    return S.when(S.length(digits) > 9, S.lit(0x110000).cast("bigint")).otherwise(value)
 
 
-def _decode_piece(piece: Column, in_attribute: bool) -> Column:
+def _decode_piece(piece: Sql, table: Sql, in_attribute: bool) -> Sql:
     """Decode the reference at the start of the text after an ampersand."""
 
-    def numeric(token: Column) -> Column:
-        digits = F.regexp_extract(token, "([0-9A-Fa-f]+);?\\z", 1)
-        code = F.when(token.rlike("^#[xX]"), _number(digits, 16)).otherwise(_number(digits, 10))
-        return let(code, lambda c: F.concat(_character(c), _after(piece, token)))
+    def numeric(token: Sql) -> Sql:
+        digits = S.regexp_extract(token, "([0-9A-Fa-f]+);?\\z", 1)
+        code = S.when(token.rlike("^#[xX]"), _number(digits, 16)).otherwise(_number(digits, 10))
+        return let(code, lambda c: S.concat(_character(c), _after(piece, token)))
 
-    def named(token: Column) -> Column:
-        whole = F.try_element_at(_table(list(_NAMES)), token)
+    def named(token: Sql) -> Sql:
+        whole = S.try_element_at(table, token)
         if in_attribute:
-            whole = F.when(
-                token.endswith(";") | (_after(piece, token).substr(1, 1) != "="), whole
+            whole = S.when(
+                token.endswith(";") | (S.left(_after(piece, token), 1) != "="), whole
             )
-            found = F.concat(whole, _after(piece, token))
+            found = S.concat(whole, _after(piece, token))
         else:
-            found = F.coalesce(
-                F.concat(whole, _after(piece, token)),
+            found = S.coalesce(
+                S.concat(whole, _after(piece, token)),
                 *(
-                    F.when(
-                        F.length(token) > n,
-                        F.concat(
-                            F.try_element_at(_table(_PREFIXES), F.left(token, F.lit(n))),
-                            F.substr(piece, F.lit(n + 1)),
+                    S.when(
+                        S.length(token) > n,
+                        S.concat(
+                            S.try_element_at(table, S.left(token, n)), S.substr(piece, n + 1)
                         ),
                     )
                     for n in range(_LONGEST_PREFIX, 1, -1)
                 ),
             )
-        return F.coalesce(found, F.concat(F.lit("&"), piece))
+        return S.coalesce(found, S.concat("&", piece))
 
-    token = F.regexp_extract(piece, "^(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z0-9]+;?)", 1)
+    token = S.regexp_extract(piece, "^(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z0-9]+;?)", 1)
     return let(
         token,
-        lambda t: F.when(t == "", F.concat(F.lit("&"), piece))
+        lambda t: S.when(t == "", S.concat("&", piece))
         .when(t.startswith("#"), numeric(t))
         .otherwise(named(t)),
     )
 
 
-def _after(piece: Column, token: Column) -> Column:
-    return F.substr(piece, F.length(token) + F.lit(1))
+def _after(piece: Sql, token: Sql) -> Sql:
+    return S.substr(piece, S.length(token) + 1)
 
 
-def decode_entities(text: Column, in_attribute: bool = False) -> Column:
+def decode_entities(text: Sql, in_attribute: bool = False) -> Sql:
     """Replace every character reference once, from left to right."""
 
-    def decoded(pieces: Column) -> Column:
-        tail = F.transform(
-            F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: _decode_piece(p, in_attribute)
+    def decoded(pieces: Sql) -> Sql:
+        tail = let(
+            _table(),
+            lambda table: S.transform(
+                S.slice(pieces, 2, S.size(pieces)),
+                lambda p: _decode_piece(p, table, in_attribute),
+            ),
         )
-        return F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))
+        return S.concat(S.get(pieces, 0), S.array_join(tail, ""))
 
     simple = text
     for name in _SIMPLE:
-        simple = F.replace(simple, F.lit(f"&{name}"), F.lit(html5[name]))
+        simple = S.replace(simple, f"&{name}", html5[name])
     return (
-        F.when(~text.contains("&"), text)
-        .when(text.rlike(f"&(?!{'|'.join(_SIMPLE)})"), let(F.split(text, "&", -1), decoded))
+        S.when(~text.contains("&"), text)
+        .when(text.rlike(f"&(?!{'|'.join(_SIMPLE)})"), let(S.split(text, "&", -1), decoded))
         .otherwise(simple)
     )

@@ -11,11 +11,9 @@ text, for callers that extract several fields from the same page.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .entities import decode_entities
-from .text import let, rest, trim_space
+from .sqltext import S, Sql, expression, let
+from .text import rest, trim_space
 from .urls import is_http, is_live_href, resolve_all, should_skip
 
 # Fixed values of the HTML standard.
@@ -70,46 +68,47 @@ _P_INSIDE = rf"(?:[^<]++|(?!{_P_END})<)*+"
 _PARAGRAPH = rf"(?i)<p{_EDGE}{_TAG_END}({_P_INSIDE})"
 
 
-def prepare(html: Column) -> Column:
+@expression
+def prepare(html: Sql) -> Sql:
     """Drop comments and cut-off tags, mask raw text, unify line ends."""
 
-    def token(t: Column) -> Column:
-        opening = F.regexp_extract(t, f"(?i)^{_RAW_START}", 0)
+    def token(t: Sql) -> Sql:
+        opening = S.regexp_extract(t, f"(?i)^{_RAW_START}", 0)
         with_entities = t.rlike(rf"(?i)^<(?:{'|'.join(RAW_TEXT_WITH_ENTITIES)})[\s/>]")
-        inside = rest(t, F.length(opening))
-        masked = F.when(with_entities, F.translate(inside, "<", _MASKED_LT)).otherwise(
-            F.translate(inside, "<&", _MASKED_LT + _MASKED_AMP)
+        inside = rest(t, S.length(opening))
+        masked = S.when(with_entities, S.translate(inside, "<", _MASKED_LT)).otherwise(
+            S.translate(inside, "<&", _MASKED_LT + _MASKED_AMP)
         )
         return (
-            F.when(~t.startswith("<"), t)
-            .when(t.rlike(_DROPPED_TOKEN), F.lit(""))
-            .when(t.rlike(rf"(?i)^<(?:{_RAW_NAMES})[\s/>]"), F.concat(opening, masked))
+            S.when(~t.startswith("<"), t)
+            .when(t.rlike(_DROPPED_TOKEN), "")
+            .when(t.rlike(rf"(?i)^<(?:{_RAW_NAMES})[\s/>]"), S.concat(opening, masked))
             .otherwise(t)
         )
 
-    text = F.when(html.contains("\r"), F.regexp_replace(html, "\r\n?", "\n")).otherwise(html)
-    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), 0)
-    joined = F.array_join(F.transform(tokens, token), "")
-    return F.regexp_replace(joined, _CUT_OFF_TAG, "")
+    text = S.when(html.contains("\r"), S.regexp_replace(html, "\r\n?", "\n")).otherwise(html)
+    tokens = S.regexp_extract_all(text, _TOKEN, 0)
+    joined = S.array_join(S.transform(tokens, token), "")
+    return S.regexp_replace(joined, _CUT_OFF_TAG, "")
 
 
-def _plain(markup: Column) -> Column:
+def _plain(markup: Sql) -> Sql:
     """Text of a piece of prepared markup: no tags, entities decoded."""
-    untagged = F.when(markup.contains("<"), F.regexp_replace(markup, _ANY_TAG, "")).otherwise(
+    untagged = S.when(markup.contains("<"), S.regexp_replace(markup, _ANY_TAG, "")).otherwise(
         markup
     )
     return let(
         decode_entities(untagged),
-        lambda t: F.when(
+        lambda t: S.when(
             t.contains(_MASKED_LT) | t.contains(_MASKED_AMP),
-            F.translate(t, _MASKED_LT + _MASKED_AMP, "<&"),
+            S.translate(t, _MASKED_LT + _MASKED_AMP, "<&"),
         ).otherwise(t),
     )
 
 
-def _unquoted(value: Column) -> Column:
+def _unquoted(value: Sql) -> Sql:
     quoted = value.startswith('"') | value.startswith("'")
-    return F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    return S.when(quoted, S.substr(value, 2, S.length(value) - 2)).otherwise(value)
 
 
 def _named(name: str) -> str:
@@ -118,11 +117,11 @@ def _named(name: str) -> str:
     return rf"(?:{_GAP}{not_it}{_ATTRIBUTE})*+{_GAP}{name}"
 
 
-def _attribute(tag: Column, name: str) -> Column:
+def _attribute(tag: Sql, name: str) -> Sql:
     """Decoded value of an attribute of one start tag; null when it is absent."""
     opened = rf"(?i)^<[a-z][^\s/>]*+{_named(name)}"
-    raw = F.regexp_extract(tag, rf"{opened}\s*+=\s*+{_VALUE}", 1)
-    return F.when(
+    raw = S.regexp_extract(tag, rf"{opened}\s*+=\s*+{_VALUE}", 1)
+    return S.when(
         tag.rlike(rf"{opened}[\s=/>]"), decode_entities(_unquoted(raw), in_attribute=True)
     )
 
@@ -130,41 +129,45 @@ def _attribute(tag: Column, name: str) -> Column:
 # -- title and description -------------------------------------------------
 
 
-def title_of(doc: Column) -> Column:
-    found = F.regexp_extract_all(doc, F.lit(rf"(?i)<title{_EDGE}{_TAG_END}([^<]*+)"), 1)
-    return _plain(F.array_join(found, ""))
+@expression
+def title_of(doc: Sql) -> Sql:
+    found = S.regexp_extract_all(doc, rf"(?i)<title{_EDGE}{_TAG_END}([^<]*+)", 1)
+    return _plain(S.array_join(found, ""))
 
 
-def title(html: Column) -> Column:
+@expression
+def title(html: Sql) -> Sql:
     """Text of all title elements, joined and untrimmed."""
     return let(prepare(html), title_of)
 
 
-def description_of(doc: Column) -> Column:
-    def last(tags: Column, attribute: str, wanted: str) -> Column:
+@expression
+def description_of(doc: Sql) -> Sql:
+    def last(tags: Sql, attribute: str, wanted: str) -> Sql:
         # the word may only be missing where it is spelt with references
-        near = F.filter(tags, lambda t: t.contains(wanted) | t.contains("&"))
-        contents = F.filter(
-            F.transform(
-                F.filter(near, lambda t: _attribute(t, attribute) == wanted),
+        near = S.filter(tags, lambda t: t.contains(wanted) | t.contains("&"))
+        contents = S.filter(
+            S.transform(
+                S.filter(near, lambda t: _attribute(t, attribute) == wanted),
                 lambda t: _attribute(t, "content"),
             ),
             lambda v: v.isNotNull(),
         )
-        return let(contents, lambda c: F.when(F.size(c) > 0, F.element_at(c, -1)))
+        return let(contents, lambda c: S.when(S.size(c) > 0, S.element_at(c, -1)))
 
-    tags = F.regexp_extract_all(doc, F.lit(rf"(?i)<meta{_EDGE}{_TAG_END}"), 0)
+    tags = S.regexp_extract_all(doc, rf"(?i)<meta{_EDGE}{_TAG_END}", 0)
     return let(
         tags,
-        lambda t: F.coalesce(
-            let(last(t, "name", "description"), lambda v: F.when(v != "", v)),
+        lambda t: S.coalesce(
+            let(last(t, "name", "description"), lambda v: S.when(v != "", v)),
             last(t, "property", "og:description"),
-            F.lit(""),
+            "",
         ),
     )
 
 
-def description(html: Column) -> Column:
+@expression
+def description(html: Sql) -> Sql:
     """Last meta description with content, else the last og:description."""
     return let(prepare(html), description_of)
 
@@ -172,18 +175,20 @@ def description(html: Column) -> Column:
 # -- paragraphs ------------------------------------------------------------
 
 
-def _paragraph_texts(doc: Column) -> Column:
+def _paragraph_texts(doc: Sql) -> Sql:
     """Raw text of every paragraph in order."""
-    return F.transform(F.regexp_extract_all(doc, F.lit(_PARAGRAPH), 1), _plain)
+    return S.transform(S.regexp_extract_all(doc, _PARAGRAPH, 1), _plain)
 
 
-def paragraphs_of(doc: Column) -> Column:
-    trimmed = F.transform(_paragraph_texts(doc), trim_space)
-    kept = F.filter(trimmed, lambda t: t != "")
-    return F.array_join(F.transform(kept, lambda t: F.concat(t, F.lit("\n"))), "")
+@expression
+def paragraphs_of(doc: Sql) -> Sql:
+    trimmed = S.transform(_paragraph_texts(doc), trim_space)
+    kept = S.filter(trimmed, lambda t: t != "")
+    return S.array_join(S.transform(kept, lambda t: S.concat(t, "\n")), "")
 
 
-def paragraphs(html: Column) -> Column:
+@expression
+def paragraphs(html: Sql) -> Sql:
     """Trimmed, non-empty paragraph texts, each followed by a line end."""
     return let(prepare(html), paragraphs_of)
 
@@ -214,129 +219,131 @@ def _opening(selector: str) -> str:
     return rf"<([a-zA-Z][^\s/>]*+){attribute}{_TAG_END}"
 
 
-def _balanced(after: Column, name: Column) -> Column:
+def _balanced(after: Sql, name: Sql) -> Sql:
     """Inside of an element, given its name and all that follows its start tag."""
 
-    edge = F.concat(F.lit(r"/?\Q"), name, F.lit(r"\E[\s/>]"))
-    own_tag = F.concat(F.lit("(?i)^<"), edge)
+    edge = S.concat(r"/?\Q", name, r"\E[\s/>]")
+    own_tag = S.concat("(?i)^<", edge)
 
-    def cut(pieces: Column) -> Column:
+    def cut(pieces: Sql) -> Sql:
         # depth 0 means closed; the length of everything before is the result
-        walked = F.aggregate(
+        walked = S.aggregate(
             pieces,
-            F.struct(F.lit(1).alias("depth"), F.lit(0).alias("taken")),
+            S.struct(S.lit(1).alias("depth"), S.lit(0).alias("taken")),
             lambda acc, p: let(
-                F.when(acc["depth"] == 0, F.lit(0))
-                .when(~F.rlike(p, own_tag), acc["depth"])
+                S.when(acc["depth"] == 0, 0)
+                .when(~S.rlike(p, own_tag), acc["depth"])
                 .when(p.startswith("</"), acc["depth"] - 1)
                 .otherwise(acc["depth"] + 1),
-                lambda depth: F.struct(
+                lambda depth: S.struct(
                     depth.alias("depth"),
                     (
-                        acc["taken"] + F.when(depth == 0, F.lit(0)).otherwise(F.length(p))
+                        acc["taken"] + S.when(depth == 0, 0).otherwise(S.length(p))
                     ).alias("taken"),
                 ),
             ),
         )
         return walked["taken"]
 
-    pieces = F.regexp_extract_all(
+    pieces = S.regexp_extract_all(
         after,
-        F.concat(F.lit("(?i)(?:<"), edge, F.lit(")?(?:[^<]++|<(?!"), edge, F.lit("))*+")),
+        S.concat("(?i)(?:<", edge, ")?(?:[^<]++|<(?!", edge, "))*+"),
         0,
     )
-    nested = F.substr(after, F.lit(1), let(pieces, cut))
-    lowered = F.lower(name)
+    nested = S.substr(after, 1, let(pieces, cut))
+    lowered = S.lower(name)
     return (
-        F.when(lowered.isin(*VOID_ELEMENTS), F.lit(""))
-        .when(lowered == "p", F.regexp_extract(after, f"(?i)^{_P_INSIDE}", 0))
+        S.when(lowered.isin(*VOID_ELEMENTS), "")
+        .when(lowered == "p", S.regexp_extract(after, f"(?i)^{_P_INSIDE}", 0))
         .otherwise(nested)
     )
 
 
-def _slices(doc: Column, selector: str) -> Column:
+def _slices(doc: Sql, selector: str) -> Sql:
     """Struct(start, end, inside) of every matching element, in order."""
     opening = _opening(selector)
 
-    def spans(pieces: Column, tags: Column, names: Column) -> Column:
-        starts = F.aggregate(
-            F.sequence(F.lit(0), F.size(tags) - 1),
-            F.array().cast("array<int>"),
-            lambda acc, i: F.concat(
+    def spans(pieces: Sql, tags: Sql, names: Sql) -> Sql:
+        starts = S.aggregate(
+            S.sequence(0, S.size(tags) - 1),
+            S.array().cast("array<int>"),
+            lambda acc, i: S.concat(
                 acc,
-                F.array(
-                    F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), acc), -1), F.lit(0))
-                    + F.length(F.get(pieces, i))
-                    + F.length(F.get(tags, i))
+                S.array(
+                    S.coalesce(S.element_at(S.concat(S.array(0), acc), -1), 0)
+                    + S.length(S.get(pieces, i))
+                    + S.length(S.get(tags, i))
                 ),
             ),
         )
-        return F.zip_with(
+        return S.zip_with(
             starts,
             names,
             lambda s, n: let(
                 _balanced(rest(doc, s), n),
-                lambda inside: F.struct(
-                    s.alias("start"), (s + F.length(inside)).alias("end"), inside.alias("inside")
+                lambda inside: S.struct(
+                    s.alias("start"), (s + S.length(inside)).alias("end"), inside.alias("inside")
                 ),
             ),
         )
 
-    tags = F.regexp_extract_all(doc, F.lit(opening), 0)
+    tags = S.regexp_extract_all(doc, opening, 0)
     return let(
         tags,
-        lambda t: F.when(
-            F.size(t) > 0,
-            spans(F.split(doc, opening, -1), t, F.regexp_extract_all(doc, F.lit(opening), 1)),
+        lambda t: S.when(
+            S.size(t) > 0,
+            spans(S.split(doc, opening, -1), t, S.regexp_extract_all(doc, opening, 1)),
         ),
     )
 
 
-def _outermost(slices: Column) -> Column:
+def _outermost(slices: Sql) -> Sql:
     """Slices that lie in no earlier one."""
-    walked = F.aggregate(
+    walked = S.aggregate(
         slices,
-        F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("kept")),
-        lambda acc, s: F.when(s["start"] < acc["end"], acc).otherwise(
-            F.struct(
-                s["end"].alias("end"), F.concat(acc["kept"], F.array(s["inside"])).alias("kept")
+        S.struct(S.lit(0).alias("end"), S.array().cast("array<string>").alias("kept")),
+        lambda acc, s: S.when(s["start"] < acc["end"], acc).otherwise(
+            S.struct(
+                s["end"].alias("end"), S.concat(acc["kept"], S.array(s["inside"])).alias("kept")
             )
         ),
     )
     return walked["kept"]
 
 
-def _selected_texts(doc: Column, selector: str) -> Column:
+def _selected_texts(doc: Sql, selector: str) -> Sql:
     """Texts of all matches of a selector (``x`` or ``x p``); null without any."""
     if selector.endswith(" p"):
         outer = _slices(doc, selector[: -len(" p")])
         texts = let(
             outer,
-            lambda o: F.when(
-                o.isNotNull(), F.flatten(F.transform(_outermost(o), _paragraph_texts))
+            lambda o: S.when(
+                o.isNotNull(), S.flatten(S.transform(_outermost(o), _paragraph_texts))
             ),
         )
-        return let(texts, lambda t: F.when(F.size(t) > 0, t))
+        return let(texts, lambda t: S.when(S.size(t) > 0, t))
     return let(
         _slices(doc, selector),
-        lambda found: F.when(
-            found.isNotNull(), F.transform(found, lambda s: _plain(s["inside"]))
+        lambda found: S.when(
+            found.isNotNull(), S.transform(found, lambda s: _plain(s["inside"]))
         ),
     )
 
 
-def element_text(html: Column, selector: str) -> Column:
+@expression
+def element_text(html: Sql, selector: str) -> Sql:
     """Untrimmed text of the first match; null when nothing matches.
 
     Selectors: a tag name, ``.class``, ``#id`` or ``[attribute=value]``.
     """
     return let(
         prepare(html),
-        lambda doc: F.get(_selected_texts(doc, selector), F.lit(0)),
+        lambda doc: S.get(_selected_texts(doc, selector), 0),
     )
 
 
-def strip_tags(html: Column) -> Column:
+@expression
+def strip_tags(html: Sql) -> Sql:
     """All text of a document or fragment, trimmed; script text included."""
     return trim_space(_plain(prepare(html)))
 
@@ -344,46 +351,48 @@ def strip_tags(html: Column) -> Column:
 # -- article text ----------------------------------------------------------
 
 
-def news_of(doc: Column) -> Column:
-    def joined(texts: Column) -> Column:
+@expression
+def news_of(doc: Sql) -> Sql:
+    def joined(texts: Sql) -> Sql:
         return trim_space(
-            F.array_join(F.transform(texts, lambda t: F.concat(t, F.lit("\n"))), "")
+            S.array_join(S.transform(texts, lambda t: S.concat(t, "\n")), "")
         )
 
-    def first_article(d: Column) -> Column:
-        after = F.regexp_extract(d, rf"(?s){_opening('article')}(.*+)", 2)
-        return F.when(
+    def first_article(d: Sql) -> Sql:
+        after = S.regexp_extract(d, rf"(?s){_opening('article')}(.*+)", 2)
+        return S.when(
             d.rlike(_opening("article")),
-            let(after, lambda a: _plain(_balanced(a, F.lit("article")))),
+            let(after, lambda a: _plain(_balanced(a, "article"))),
         )
 
-    def holds(selector: str) -> Column:
+    def holds(selector: str) -> Sql:
         """Cheap test that spares pages without the word the real search."""
         word = selector.split(" ")[0].strip(".#")
         return doc.contains(word)
 
-    body = F.when(
+    body = S.when(
         doc.contains("articleBody"),
         let(
-            F.array_join(_selected_texts(doc, "[itemprop=articleBody]"), ""),
-            lambda t: F.when(t != "", t),
+            S.array_join(_selected_texts(doc, "[itemprop=articleBody]"), ""),
+            lambda t: S.when(t != "", t),
         ),
     )
-    return F.coalesce(
+    return S.coalesce(
         body,
         first_article(doc),
         *(
-            F.when(
-                holds(s) if s[0] in ".#" else F.lit(True),
-                let(_selected_texts(doc, s), lambda t: F.when(t.isNotNull(), joined(t))),
+            S.when(
+                holds(s) if s[0] in ".#" else True,
+                let(_selected_texts(doc, s), lambda t: S.when(t.isNotNull(), joined(t))),
             )
             for s in ARTICLE_SELECTORS
         ),
-        F.lit(""),
+        "",
     )
 
 
-def news(html: Column) -> Column:
+@expression
+def news(html: Sql) -> Sql:
     """Article text: articleBody, else the first article, else known classes."""
     return let(prepare(html), news_of)
 
@@ -391,22 +400,25 @@ def news(html: Column) -> Column:
 # -- links -----------------------------------------------------------------
 
 
-def hrefs_of(doc: Column) -> Column:
+@expression
+def hrefs_of(doc: Sql) -> Sql:
     """Decoded href of every anchor that has one, in order."""
     pattern = rf"(?i)<a{_EDGE}{_named('href')}\s*+=\s*+{_VALUE}{_TAG_END}"
-    return F.transform(
-        F.regexp_extract_all(doc, F.lit(pattern), 1),
+    return S.transform(
+        S.regexp_extract_all(doc, pattern, 1),
         lambda v: decode_entities(_unquoted(v), in_attribute=True),
     )
 
 
-def links_of(doc: Column, base: Column) -> Column:
-    live = F.filter(hrefs_of(doc), is_live_href)
-    return F.filter(
+@expression
+def links_of(doc: Sql, base: Sql) -> Sql:
+    live = S.filter(hrefs_of(doc), is_live_href)
+    return S.filter(
         resolve_all(base, live), lambda u: u.isNotNull() & is_http(u) & ~should_skip(u)
     )
 
 
-def links(html: Column, base: Column) -> Column:
+@expression
+def links(html: Sql, base: Sql) -> Sql:
     """Absolute links of a page worth following, in order, duplicates kept."""
     return let(prepare(html), lambda doc: links_of(doc, base))

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from .text import let, rest, trim_space
+from .sqltext import S, Sql, expression, let
+from .text import rest, trim_space
 
 DEFAULT_DELAY = 1.0
 ANY_AGENT = "*"
@@ -20,72 +18,74 @@ _DURATION = rf"^\+?(?:(?:[0-9]++\.?+[0-9]*+|\.[0-9]++)(?:{_UNIT})(?=[0-9.]|\z))+
 _LARGEST = float(2**63)
 
 
-def seconds(text: Column) -> Column:
+@expression
+def seconds(text: Sql) -> Sql:
     """Value of a delay such as ``2``, ``0.5`` or ``1m30``; null if not positive.
 
     A trailing ``s`` is always added first, so ``1m`` is one millisecond and
     ``5s`` is malformed.
     """
 
-    def component(part: Column) -> Column:
-        number = F.regexp_extract(part, "^[0-9.]+", 0)
-        unit = rest(part, F.length(number))
-        scale = F.try_element_at(
-            F.create_map(*(F.lit(x) for u, n in _UNITS.items() for x in (u, float(n)))), unit
+    def component(part: Sql) -> Sql:
+        number = S.regexp_extract(part, "^[0-9.]+", 0)
+        unit = rest(part, S.length(number))
+        scale = S.try_element_at(
+            S.map(*(x for u, n in _UNITS.items() for x in (u, float(n)))), unit
         )
-        return F.floor(number.cast("double") * scale).cast("double")
+        return S.floor(number.cast("double") * scale).cast("double")
 
-    def total(given: Column) -> Column:
-        parts = F.regexp_extract_all(given, F.lit("([0-9.]+[^0-9.]+)"), 1)
-        nanos = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + component(p))
-        return let(nanos, lambda n: F.when((n > 0) & (n < _LARGEST), n / F.lit(1e9)))
+    def total(given: Sql) -> Sql:
+        parts = S.regexp_extract_all(given, "([0-9.]+[^0-9.]+)", 1)
+        nanos = S.aggregate(parts, 0.0, lambda acc, p: acc + component(p))
+        return let(nanos, lambda n: S.when((n > 0) & (n < _LARGEST), n / 1e9))
 
     return let(
-        F.concat(text, F.lit("s")), lambda t: F.when(t.rlike(_DURATION), total(t))
+        S.concat(text, "s"), lambda t: S.when(t.rlike(_DURATION), total(t))
     )
 
 
-def _entries(body: Column) -> Column:
+def _entries(body: Sql) -> Sql:
     """Struct(line_no, field, value) of the lines that mean something."""
 
-    def entry(line: Column, number: Column) -> Column:
+    def entry(line: Sql, number: Sql) -> Sql:
         return let(
             trim_space(line),
-            lambda t: F.struct(
+            lambda t: S.struct(
                 number.alias("line_no"),
-                F.when(t.startswith("#") | ~t.contains(":"), F.lit(""))
-                .otherwise(trim_space(F.lower(F.substring_index(t, ":", 1))))
+                S.when(t.startswith("#") | ~t.contains(":"), "")
+                .otherwise(trim_space(S.lower(S.substring_index(t, ":", 1))))
                 .alias("field"),
-                trim_space(rest(t, F.length(F.substring_index(t, ":", 1)) + 1)).alias("value"),
+                trim_space(rest(t, S.length(S.substring_index(t, ":", 1)) + 1)).alias("value"),
             ),
         )
 
-    return F.filter(
-        F.transform(F.split(body, "\n", -1), entry),
+    return S.filter(
+        S.transform(S.split(body, "\n", -1), entry),
         lambda e: e["field"].isin("user-agent", "allow", "disallow", "crawl-delay"),
     )
 
 
-def rules_of(body: Column) -> Column:
+@expression
+def rules_of(body: Sql) -> Sql:
     """Array of struct(line_no, agent, path, allow) in file order.
 
     A rule belongs to the nearest agent line above it; rules without agent or
     path are void.  Works section by section, so its cost is that of the file.
     """
 
-    def rules(entries: Column, starts: Column) -> Column:
-        def section(i: Column) -> Column:
-            start = F.get(starts, i)
-            end = F.coalesce(F.get(starts, i + 1), F.size(entries))
-            agent = F.get(entries, start)["value"]
+    def rules(entries: Sql, starts: Sql) -> Sql:
+        def section(i: Sql) -> Sql:
+            start = S.get(starts, i)
+            end = S.coalesce(S.get(starts, i + 1), S.size(entries))
+            agent = S.get(entries, start)["value"]
             return let(
                 agent,
-                lambda a: F.transform(
-                    F.filter(
-                        F.slice(entries, start + 2, end - start - 1),
+                lambda a: S.transform(
+                    S.filter(
+                        S.slice(entries, start + 2, end - start - 1),
                         lambda e: (e["field"] != "crawl-delay") & (e["value"] != "") & (a != ""),
                     ),
-                    lambda e: F.struct(
+                    lambda e: S.struct(
                         e["line_no"].alias("line_no"),
                         a.alias("agent"),
                         e["value"].alias("path"),
@@ -94,44 +94,46 @@ def rules_of(body: Column) -> Column:
                 ),
             )
 
-        return F.flatten(
-            F.transform(starts, lambda _, i: section(i))
+        return S.flatten(
+            S.transform(starts, lambda _, i: section(i))
         )
 
-    def starts(entries: Column) -> Column:
-        marked = F.transform(
-            entries, lambda e, i: F.when(e["field"] == "user-agent", i)
+    def starts(entries: Sql) -> Sql:
+        marked = S.transform(
+            entries, lambda e, i: S.when(e["field"] == "user-agent", i)
         )
-        return F.array_compact(marked)
+        return S.array_compact(marked)
 
     return let(_entries(body), lambda e: let(starts(e), lambda s: rules(e, s)))
 
 
-def delay_of(body: Column) -> Column:
+@expression
+def delay_of(body: Sql) -> Sql:
     """Crawl delay in seconds: the last valid one of the file, else 1."""
-    delays = F.transform(
-        F.filter(_entries(body), lambda e: e["field"] == "crawl-delay"),
+    delays = S.transform(
+        S.filter(_entries(body), lambda e: e["field"] == "crawl-delay"),
         lambda e: seconds(e["value"]),
     )
-    return F.coalesce(F.try_element_at(F.array_compact(delays), F.lit(-1)), F.lit(DEFAULT_DELAY))
+    return S.coalesce(S.try_element_at(S.array_compact(delays), -1), DEFAULT_DELAY)
 
 
-def verdict(rules: Column, path: Column, agent: Column) -> Column:
+@expression
+def verdict(rules: Sql, path: Sql, agent: Sql) -> Sql:
     """First prefix match of the agent's own rules, else of ``*``, else allowed.
 
     A null path (unparsable address) is denied; null rules allow all.
     """
 
-    def first(of: Column, p: Column) -> Column:
-        matching = F.filter(
-            rules, lambda r: (r["agent"] == of) & F.startswith(p, r["path"])
+    def first(of: Sql, p: Sql) -> Sql:
+        matching = S.filter(
+            rules, lambda r: (r["agent"] == of) & S.startswith(p, r["path"])
         )
-        return F.try_element_at(matching, F.lit(1))["allow"]
+        return S.try_element_at(matching, 1)["allow"]
 
-    shown = F.when(path == "", F.lit("/")).otherwise(path)
-    return F.when(path.isNull(), F.lit(False)).otherwise(
+    shown = S.when(path == "", "/").otherwise(path)
+    return S.when(path.isNull(), False).otherwise(
         let(
             shown,
-            lambda p: F.coalesce(first(agent, p), first(F.lit(ANY_AGENT), p), F.lit(True)),
+            lambda p: S.coalesce(first(agent, p), first(ANY_AGENT, p), True),
         )
     )

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .sqltext import S, Sql
 
 # The code points with the Unicode White_Space property.
 WHITE_SPACE = (
@@ -15,31 +12,22 @@ WHITE_SPACE = (
 )
 
 
-def trim_space(text: Column) -> Column:
+def trim_space(text: Sql) -> Sql:
     """Strip Unicode white space on both sides (``trim`` only knows blanks)."""
-    return F.btrim(text, F.lit(WHITE_SPACE))
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it several times in ``body``.
-
-    Inside lambdas Spark shares no common sub-expressions, so a chain of
-    string steps would otherwise be evaluated once per use.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return S.btrim(text, WHITE_SPACE)
 
 
-def rest(text: Column, skip: Column) -> Column:
+def rest(text: Sql, skip: Sql) -> Sql:
     """What follows the first ``skip`` characters."""
-    return F.substr(text, skip + F.lit(1))
+    return S.substr(text, skip + 1)
 
 
-def percent_decode(text: Column) -> Column:
+def percent_decode(text: Sql) -> Sql:
     """Undo ``%XX``; a plus sign stays a plus sign, unlike in form data.
 
     Bytes that are no UTF-8 would all become the same replacement character and
     make different addresses equal, so such text is left as it was written.
     """
-    decoded = F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    decoded = S.try_url_decode(S.replace(text, "+", "%2B"))
     usable = decoded.isNotNull() & ~decoded.contains("\ufffd")
-    return F.when(~text.contains("%"), text).otherwise(F.when(usable, decoded).otherwise(text))
+    return S.when(~text.contains("%"), text).otherwise(S.when(usable, decoded).otherwise(text))

@@ -1,16 +1,14 @@
 """URL expressions: parse, resolve, canonical key, host and the link filters.
 
-Everything is a ``Column -> Column`` function over built-in expressions.  Plain
+Everything is a ``Sql -> Sql`` function over built-in expressions.  Plain
 addresses (the vast majority) take a branch of one or two regular expressions;
 only odd ones enter the full rules.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from .text import let, percent_decode, rest
+from .sqltext import S, Sql, expression, let
+from .text import percent_decode, rest
 
 # Link endings and fragments that are never followed.
 SKIPPED_ENDINGS = (
@@ -47,7 +45,7 @@ _FRAGMENT_KEPT = _PATH_KEPT + "?!()*"
 _HOST_KEPT = _PATH_KEPT + "!'()*[]<>\"%"
 
 _PLAIN_URL = (
-    rf"^(https?://({_PLAIN_HOST})((?:/[^%?#\x00-\x1f\x7f]*+)?))"
+    rf"^((https?://({_PLAIN_HOST}))((?:/[^%?#\x00-\x1f\x7f]*+)?))"
     r"(?:\?[^#\x00-\x1f\x7f]*+)?(?:#[^%]*+)?\z"
 )
 # A page URL whose parts need no rewriting to be printed.
@@ -67,43 +65,43 @@ _ODD_BYTES_ROOTED = r"^/(?![/.])(?:[^%?#/\x00-\x1f\x7f]++|/(?!\.))*+\z"
 _PLAIN_ABSOLUTE = rf"^https?://{_PLAIN_HOST}(?:{_PLAIN_PATH}|/)?{_PLAIN_TAIL}"
 
 
-def _encode(text: Column, kept: str) -> Column:
+def _encode(text: Sql, kept: str) -> Sql:
     """Percent-encode all bytes but letters, digits, ``-_.`` and ``kept``."""
-    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    out = S.replace(S.url_encode(text), "+", "%20")
     if "*" not in kept:
-        out = F.replace(out, F.lit("*"), F.lit("%2A"))
+        out = S.replace(out, "*", "%2A")
     for char in kept:
-        out = F.replace(out, F.lit(f"%{ord(char):02X}"), F.lit(char))
+        out = S.replace(out, f"%{ord(char):02X}", char)
     return out
 
 
-def _escaped(raw: Column, as_is: str, kept: str) -> Column:
+def _escaped(raw: Sql, as_is: str, kept: str) -> Sql:
     """The part as it is printed: kept when valid, else encoded afresh."""
-    return F.when(raw.rlike(as_is), raw).otherwise(_encode(percent_decode(raw), kept))
+    return S.when(raw.rlike(as_is), raw).otherwise(_encode(percent_decode(raw), kept))
 
 
-def _pieces(url: Column) -> Column:
+def _pieces(url: Sql) -> Sql:
     """Struct of the raw parts of any URL or reference; null when unparsable."""
 
-    def with_scheme(a: Column) -> Column:
-        scheme = F.regexp_extract(a["head"], r"^([A-Za-z][A-Za-z0-9+.\-]*+):", 1)
-        return F.struct(
+    def with_scheme(a: Sql) -> Sql:
+        scheme = S.regexp_extract(a["head"], r"^([A-Za-z][A-Za-z0-9+.\-]*+):", 1)
+        return S.struct(
             a["head"].alias("head"),
             a["fragment"].alias("fragment"),
-            F.lower(scheme).alias("scheme"),
-            F.when(scheme == "", a["head"])
-            .otherwise(rest(a["head"], F.length(scheme) + 1))
+            S.lower(scheme).alias("scheme"),
+            S.when(scheme == "", a["head"])
+            .otherwise(rest(a["head"], S.length(scheme) + 1))
             .alias("body"),
         )
 
-    def with_query(b: Column) -> Column:
-        front = F.substring_index(b["body"], "?", 1)
-        return F.struct(
+    def with_query(b: Sql) -> Sql:
+        front = S.substring_index(b["body"], "?", 1)
+        return S.struct(
             b["head"].alias("head"),
             b["fragment"].alias("fragment"),
             b["scheme"].alias("scheme"),
             b["body"].contains("?").alias("has_query"),
-            rest(b["body"], F.length(front) + 1).alias("query"),
+            rest(b["body"], S.length(front) + 1).alias("query"),
             front.alias("front"),
             (
                 front.startswith("//") & ((b["scheme"] != "") | ~front.startswith("///"))
@@ -111,16 +109,16 @@ def _pieces(url: Column) -> Column:
             ((b["scheme"] != "") & ~front.startswith("/")).alias("is_opaque"),
         )
 
-    def with_authority(c: Column) -> Column:
-        authority = F.when(
-            c["has_authority"], F.regexp_extract(c["front"], "^//([^/]*+)", 1)
-        ).otherwise(F.lit(""))
+    def with_authority(c: Sql) -> Sql:
+        authority = S.when(
+            c["has_authority"], S.regexp_extract(c["front"], "^//([^/]*+)", 1)
+        ).otherwise("")
         path = (
-            F.when(c["is_opaque"], F.lit(""))
-            .when(c["has_authority"], F.regexp_extract(c["front"], r"(?s)^//[^/]*+(.*)\z", 1))
+            S.when(c["is_opaque"], "")
+            .when(c["has_authority"], S.regexp_extract(c["front"], r"(?s)^//[^/]*+(.*)\z", 1))
             .otherwise(c["front"])
         )
-        return F.struct(
+        return S.struct(
             *(
                 c[n].alias(n)
                 for n in (
@@ -128,12 +126,12 @@ def _pieces(url: Column) -> Column:
                 )
             ),
             authority.contains("@").alias("has_user"),
-            F.regexp_extract(authority, "(?s)^(.*)@", 1).alias("user"),
-            F.substring_index(authority, "@", -1).alias("host"),
+            S.regexp_extract(authority, "(?s)^(.*)@", 1).alias("user"),
+            S.substring_index(authority, "@", -1).alias("host"),
             path.alias("path"),
         )
 
-    def checked(d: Column) -> Column:
+    def checked(d: Sql) -> Sql:
         colon_first = (
             (d["scheme"] == "") & ~d["front"].startswith("/") & d["front"].rlike("^[^/]*:")
         )
@@ -147,11 +145,11 @@ def _pieces(url: Column) -> Column:
             | ~d["host"].rlike(_VALID_HOST)
             | d["host"].rlike(_BAD_PORT)
         )
-        return F.when(~bad, d)
+        return S.when(~bad, d)
 
-    head = F.substring_index(url, "#", 1)
-    first = F.struct(
-        head.alias("head"), rest(url, F.length(head) + 1).alias("fragment")
+    head = S.substring_index(url, "#", 1)
+    first = S.struct(
+        head.alias("head"), rest(url, S.length(head) + 1).alias("fragment")
     )
     return let(
         first,
@@ -162,7 +160,8 @@ def _pieces(url: Column) -> Column:
     )
 
 
-def url_parts(url: Column) -> Column:
+@expression
+def url_parts(url: Sql) -> Sql:
     """Struct(scheme, host, path, query, fragment); null when unparsable.
 
     The scheme is in lower case, the host keeps case and port and has no user
@@ -170,9 +169,9 @@ def url_parts(url: Column) -> Column:
     """
     return let(
         _pieces(url),
-        lambda p: F.when(
+        lambda p: S.when(
             p.isNotNull(),
-            F.struct(
+            S.struct(
                 p["scheme"].alias("scheme"),
                 percent_decode(p["host"]).alias("host"),
                 percent_decode(p["path"]).alias("path"),
@@ -183,87 +182,100 @@ def url_parts(url: Column) -> Column:
     )
 
 
-def canonical_key(url: Column) -> Column:
-    """``scheme://host`` plus the decoded path: the identity of a page."""
-    plain = F.regexp_extract(url, _PLAIN_URL, 1)
-    full = let(
-        url_parts(url), lambda p: F.concat(p["scheme"], F.lit("://"), p["host"], p["path"])
+@expression
+def url_identity(url: Sql) -> Sql:
+    """Struct(key, host, origin, path) of an address, all null when unparsable."""
+    plain = S.struct(
+        S.regexp_extract(url, _PLAIN_URL, 1).alias("key"),
+        S.regexp_extract(url, _PLAIN_URL, 3).alias("host"),
+        S.regexp_extract(url, _PLAIN_URL, 2).alias("origin"),
+        S.regexp_extract(url, _PLAIN_URL, 4).alias("path"),
     )
-    return F.when(plain != "", plain).otherwise(full)
+
+    def full(p: Sql) -> Sql:
+        origin = S.concat(p["scheme"], "://", p["host"])
+        return S.struct(
+            S.concat(origin, p["path"]).alias("key"),
+            p["host"].alias("host"),
+            origin.alias("origin"),
+            p["path"].alias("path"),
+        )
+
+    return S.when(url.rlike(_PLAIN_URL), plain).otherwise(let(url_parts(url), full))
 
 
-def url_host(url: Column) -> Column:
+@expression
+def canonical_key(url: Sql) -> Sql:
+    """``scheme://host`` plus the decoded path: the identity of a page."""
+    return url_identity(url)["key"]
+
+
+@expression
+def url_host(url: Sql) -> Sql:
     """Host with port, as used for grouping and same-site tests."""
-    plain = F.regexp_extract(url, _PLAIN_URL, 2)
-    return F.when(plain != "", plain).otherwise(url_parts(url)["host"])
+    return url_identity(url)["host"]
 
 
-def url_origin(url: Column) -> Column:
+@expression
+def url_origin(url: Sql) -> Sql:
     """``scheme://host``, the owner of a robots file."""
-    plain = F.regexp_extract(url, rf"^(https?://{_PLAIN_HOST})(?:[/?#]|\z)", 1)
-    full = let(url_parts(url), lambda p: F.concat(p["scheme"], F.lit("://"), p["host"]))
-    # The short cut only holds where the whole URL is parsable.
-    return F.when((plain != "") & (F.regexp_extract(url, _PLAIN_URL, 1) != ""), plain).otherwise(
-        full
-    )
+    return url_identity(url)["origin"]
 
 
-def url_path(url: Column) -> Column:
-    """Decoded path, null when the URL cannot be parsed."""
-    plain = F.regexp_extract(url, _PLAIN_URL, 1)
-    return F.when(plain != "", F.regexp_extract(url, _PLAIN_URL, 3)).otherwise(
-        url_parts(url)["path"]
-    )
+@expression
+def url_path(url: Sql) -> Sql:
+    """Decoded path, null when the address cannot be parsed."""
+    return url_identity(url)["path"]
 
 
-def _without_dots(path: Column) -> Column:
+def _without_dots(path: Sql) -> Sql:
     """Remove ``.`` and ``..`` segments; a non-empty result is always rooted."""
-    segments = F.split(path, "/", -1)
-    walked = F.aggregate(
+    segments = S.split(path, "/", -1)
+    walked = S.aggregate(
         segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(s))),
+        S.array().cast("array<string>"),
+        lambda acc, s: S.when(s == ".", acc)
+        .when(s == "..", S.slice(acc, 1, S.greatest(S.size(acc) - 1, 0)))
+        .otherwise(S.concat(acc, S.array(s))),
     )
-    closing = F.when(F.element_at(segments, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
-    rooted = F.concat(F.lit("/"), F.array_join(walked, "/"), closing)
+    closing = S.when(S.element_at(segments, -1).isin(".", ".."), "/").otherwise("")
+    rooted = S.concat("/", S.array_join(walked, "/"), closing)
     cleaned = let(
-        rooted, lambda r: F.when(r.startswith("//"), rest(r, F.lit(1))).otherwise(r)
+        rooted, lambda r: S.when(r.startswith("//"), rest(r, 1)).otherwise(r)
     )
-    simple = F.when(path.startswith("/") | (path == ""), path).otherwise(
-        F.concat(F.lit("/"), path)
+    simple = S.when(path.startswith("/") | (path == ""), path).otherwise(
+        S.concat("/", path)
     )
-    return F.when(path.rlike(_DOT_SEGMENT), cleaned).otherwise(simple)
+    return S.when(path.rlike(_DOT_SEGMENT), cleaned).otherwise(simple)
 
 
-def _printed_site(p: Column) -> Column:
+def _printed_site(p: Sql) -> Sql:
     """``//user@host`` of a parsed URL as it is printed."""
-    user = F.when(p["has_user"], F.concat(p["user"], F.lit("@"))).otherwise(F.lit(""))
-    return F.concat(F.lit("//"), user, _escaped(p["host"], _HOST_AS_IS, _HOST_KEPT))
+    user = S.when(p["has_user"], S.concat(p["user"], "@")).otherwise("")
+    return S.concat("//", user, _escaped(p["host"], _HOST_AS_IS, _HOST_KEPT))
 
 
-def _base(base: Column) -> Column:
+def _base(base: Sql) -> Sql:
     """The parts of a page URL that its links need; null when unparsable."""
 
-    def part(group: int) -> Column:
-        return F.regexp_extract(base, _PLAIN_PAGE, group)
+    def part(group: int) -> Sql:
+        return S.regexp_extract(base, _PLAIN_PAGE, group)
 
-    plain = F.struct(
+    plain = S.struct(
         part(2).alias("scheme"),
         part(1).alias("site"),
         part(3).alias("path"),
         part(4).startswith("?").alias("has_query"),
-        F.substr(part(4), F.lit(2)).alias("query"),
+        S.substr(part(4), 2).alias("query"),
         part(5).alias("fragment"),
     )
     full = let(
         _pieces(base),
-        lambda p: F.when(
+        lambda p: S.when(
             p.isNotNull(),
-            F.struct(
+            S.struct(
                 p["scheme"].alias("scheme"),
-                F.concat(p["scheme"], F.lit(":"), _printed_site(p)).alias("site"),
+                S.concat(p["scheme"], ":", _printed_site(p)).alias("site"),
                 _escaped(p["path"], _PATH_AS_IS, _PATH_KEPT).alias("path"),
                 p["has_query"].alias("has_query"),
                 p["query"].alias("query"),
@@ -271,94 +283,101 @@ def _base(base: Column) -> Column:
             ),
         ),
     )
-    return F.when(base.rlike(_PLAIN_PAGE), plain).otherwise(full)
+    return S.when(base.rlike(_PLAIN_PAGE), plain).otherwise(full)
 
 
-def _resolve(base: Column, href: Column) -> Column:
-    def odd(p: Column) -> Column:
+def _resolve(base: Sql, href: Sql) -> Sql:
+    def odd(p: Sql) -> Sql:
         own_site = (p["scheme"] != "") | (p["host"] != "") | p["has_user"]
-        scheme = F.when(p["scheme"] != "", p["scheme"]).otherwise(base["scheme"])
+        scheme = S.when(p["scheme"] != "", p["scheme"]).otherwise(base["scheme"])
         # A reference without path and query repeats those of the page.
         same_page = ~own_site & (p["path"] == "") & ~p["has_query"]
-        has_query = F.when(same_page, base["has_query"]).otherwise(p["has_query"])
-        query = F.when(same_page, base["query"]).otherwise(p["query"])
-        fragment = F.when(same_page & (p["fragment"] == ""), base["fragment"]).otherwise(
+        has_query = S.when(same_page, base["has_query"]).otherwise(p["has_query"])
+        query = S.when(same_page, base["query"]).otherwise(p["query"])
+        fragment = S.when(same_page & (p["fragment"] == ""), base["fragment"]).otherwise(
             p["fragment"]
         )
         path = _escaped(p["path"], _PATH_AS_IS, _PATH_KEPT)
         merged = (
-            F.when(own_site | path.startswith("/"), path)
+            S.when(own_site | path.startswith("/"), path)
             .when(path == "", base["path"])
-            .otherwise(F.concat(F.regexp_extract(base["path"], "(?s)^(.*/)", 1), path))
+            .otherwise(S.concat(S.regexp_extract(base["path"], "(?s)^(.*/)", 1), path))
         )
         # ``http:/x`` names a scheme but no authority and prints without one.
         no_site = (p["scheme"] != "") & ~p["front"].startswith("//")
         site = (
-            F.when(~own_site, base["site"])
-            .when(no_site, F.concat(scheme, F.lit(":")))
-            .otherwise(F.concat(scheme, F.lit(":"), _printed_site(p)))
+            S.when(~own_site, base["site"])
+            .when(no_site, S.concat(scheme, ":"))
+            .otherwise(S.concat(scheme, ":", _printed_site(p)))
         )
-        resolved = F.when(p["is_opaque"], F.concat(scheme, F.lit(":"), p["front"])).otherwise(
-            F.concat(site, let(merged, _without_dots))
+        resolved = S.when(p["is_opaque"], S.concat(scheme, ":", p["front"])).otherwise(
+            S.concat(site, let(merged, _without_dots))
         )
-        return F.concat(
+        return S.concat(
             resolved,
-            F.when(has_query, F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-            F.when(
+            S.when(has_query, S.concat("?", query)).otherwise(""),
+            S.when(
                 fragment != "",
-                F.concat(F.lit("#"), _escaped(fragment, _FRAGMENT_AS_IS, _FRAGMENT_KEPT)),
-            ).otherwise(F.lit("")),
+                S.concat("#", _escaped(fragment, _FRAGMENT_AS_IS, _FRAGMENT_KEPT)),
+            ).otherwise(""),
         )
 
-    return F.when(
+    return S.when(
         base.isNotNull() & href.isNotNull(),
-        F.when(href.rlike(_PLAIN_ROOTED), F.concat(base["site"], href))
+        S.when(href.rlike(_PLAIN_ROOTED), S.concat(base["site"], href))
         .when(href.rlike(_PLAIN_ABSOLUTE), href)
         .when(
             href.rlike(_ODD_BYTES_ROOTED),
-            F.concat(base["site"], _escaped(href, _PATH_AS_IS, _PATH_KEPT)),
+            S.concat(base["site"], _escaped(href, _PATH_AS_IS, _PATH_KEPT)),
         )
-        .otherwise(let(_pieces(href), lambda p: F.when(p.isNotNull(), let(p, odd)))),
+        .otherwise(let(_pieces(href), lambda p: S.when(p.isNotNull(), let(p, odd)))),
     )
 
 
-def resolve_url(base: Column, href: Column) -> Column:
+@expression
+def resolve_url(base: Sql, href: Sql) -> Sql:
     """Absolute, re-encoded URL of a reference; null when either is rejected."""
     return let(_base(base), lambda b: let(href, lambda h: _resolve(b, h)))
 
 
-def resolve_all(base: Column, hrefs: Column) -> Column:
+@expression
+def resolve_all(base: Sql, hrefs: Sql) -> Sql:
     """``resolve_url`` over an array of references of one page."""
-    return let(_base(base), lambda b: F.transform(hrefs, lambda h: _resolve(b, h)))
+    return let(_base(base), lambda b: S.transform(hrefs, lambda h: _resolve(b, h)))
 
 
-def is_http(url: Column) -> Column:
+@expression
+def is_http(url: Sql) -> Sql:
     return url.startswith("http://") | url.startswith("https://")
 
 
-def is_live_href(href: Column) -> Column:
+@expression
+def is_live_href(href: Sql) -> Sql:
     """A reference worth resolving: present, not empty, not a mere fragment."""
     return href.isNotNull() & (href != "") & ~href.startswith("#")
 
 
-def should_skip(url: Column) -> Column:
+@expression
+def should_skip(url: Sql) -> Sql:
     """True for binary files, feeds, account pages and the like."""
     endings = "|".join(SKIPPED_ENDINGS)
     parts = "|".join(p.replace("?", r"\?") for p in SKIPPED_PARTS)
-    return F.lower(url).rlike(rf"\.(?:{endings})\z|{parts}")
+    return S.lower(url).rlike(rf"\.(?:{endings})\z|{parts}")
 
 
-def url_contains(url: Column, wanted: Column) -> Column:
+@expression
+def url_contains(url: Sql, wanted: Sql) -> Sql:
     """Substring filter of a request; an empty or missing filter keeps all."""
-    return F.when(F.coalesce(wanted, F.lit("")) == "", F.lit(True)).otherwise(
-        F.contains(url, wanted)
+    return S.when(S.coalesce(wanted, "") == "", True).otherwise(
+        S.contains(url, wanted)
     )
 
 
-def valid_url(url: Column, mode: str = "strict") -> Column:
+@expression
+def valid_url(url: Sql, mode: str = "strict") -> Sql:
     """``strict`` wants http(s) and a host, ``prefix`` only tests the prefix."""
     if mode == "prefix":
-        return F.coalesce(is_http(url), F.lit(False))
+        return S.coalesce(is_http(url), False)
     if mode != "strict":
         raise ValueError(f"unknown mode: {mode}")
-    return F.coalesce(url.rlike("^(?i:https?)://[^/?#]"), F.lit(False))
+    return S.coalesce(url.rlike("^(?i:https?)://[^/?#]"), False)

@@ -12,7 +12,7 @@ _DOC = "_doc"
 
 def prepared(pages: DataFrame) -> DataFrame:
     """Adds the prepared page text, so that several fields share the work."""
-    return pages.withColumn(_DOC, html.prepare(F.col("html")))
+    return pages.withColumn(_DOC, html.prepare("html"))
 
 
 def parse_pages(
@@ -22,7 +22,6 @@ def parse_pages(
 
     ``depth`` and ``crawled_at`` are passed through where the input has them.
     """
-    doc = F.col(_DOC)
     no_links = F.array().cast("array<string>")
     given = set(pages.columns)
     crawled_at = F.col("crawled_at") if "crawled_at" in given else F.lit(None).cast("timestamp")
@@ -30,10 +29,10 @@ def parse_pages(
     return prepared(pages).select(
         *(["page_id"] if "page_id" in given else []),
         "url",
-        html.title_of(doc).alias("title"),
-        html.description_of(doc).alias("description"),
-        (html.news_of(doc) if news else html.paragraphs_of(doc)).alias("content"),
-        (html.links_of(doc, F.col("url")) if extract_links else no_links).alias("links"),
+        html.title_of(_DOC).alias("title"),
+        html.description_of(_DOC).alias("description"),
+        (html.news_of(_DOC) if news else html.paragraphs_of(_DOC)).alias("content"),
+        (html.links_of(_DOC, "url") if extract_links else no_links).alias("links"),
         crawled_at.alias("crawled_at"),
         depth.alias("depth"),
     )
@@ -41,20 +40,19 @@ def parse_pages(
 
 def page_texts(pages: DataFrame, want_news: Column, want_plain: Column) -> DataFrame:
     """Title, description and the kinds of content that are asked for."""
-    doc = F.col(_DOC)
     return prepared(pages).select(
         "page_id",
-        html.title_of(doc).alias("title"),
-        html.description_of(doc).alias("description"),
-        F.when(want_news, html.news_of(doc)).alias("news_text"),
-        F.when(want_plain, html.paragraphs_of(doc)).alias("plain_text"),
+        html.title_of(_DOC).alias("title"),
+        html.description_of(_DOC).alias("description"),
+        F.when(want_news, html.news_of(_DOC)).alias("news_text"),
+        F.when(want_plain, html.paragraphs_of(_DOC)).alias("plain_text"),
     )
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """``page_id, url, links`` of every page."""
     return prepared(pages).select(
-        "page_id", "url", html.links_of(F.col(_DOC), F.col("url")).alias("links")
+        "page_id", "url", html.links_of(_DOC, "url").alias("links")
     )
 
 
@@ -72,14 +70,16 @@ def link_edges(pages: DataFrame) -> DataFrame:
 
 def edge_table(links: DataFrame) -> DataFrame:
     """Edges from ``src_id, src_url, link_pos, link``, with keys and hosts."""
-    src, link = F.col("src_url"), F.col("link")
-    return links.select(
+    known = links.withColumns(
+        {"_src": urls.url_identity("src_url"), "_link": urls.url_identity("link")}
+    )
+    return known.select(
         "src_id",
-        urls.canonical_key(src).alias("src_key"),
-        src.alias("src_url"),
-        urls.url_host(src).alias("src_host"),
+        F.col("_src.key").alias("src_key"),
+        "src_url",
+        F.col("_src.host").alias("src_host"),
         F.col("link_pos").cast("int").alias("link_pos"),
-        link.alias("url"),
-        urls.canonical_key(link).alias("key"),
-        urls.url_host(link).alias("host"),
+        F.col("link").alias("url"),
+        F.col("_link.key").alias("key"),
+        F.col("_link.host").alias("host"),
     )

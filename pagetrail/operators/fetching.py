@@ -47,7 +47,7 @@ def page_index(pages: DataFrame) -> DataFrame:
     best = F.min(F.struct("page_id", "outcome", "crawled_at"))
     return (
         pages.select(
-            urls.canonical_key(F.col("url")).alias("key"), "page_id", "outcome", "crawled_at"
+            urls.canonical_key("url").alias("key"), "page_id", "outcome", "crawled_at"
         )
         .filter(F.col("key").isNotNull())
         .groupBy("key")

@@ -30,7 +30,7 @@ def seeds(requests: DataFrame) -> DataFrame:
     )
     return requests.select(
         "request_id",
-        urls.canonical_key(F.col("url")).alias("key"),
+        urls.canonical_key("url").alias("key"),
         "url",
         F.lit(0).alias("depth"),
         F.array(F.lit(0)).alias("path"),

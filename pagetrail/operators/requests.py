@@ -36,7 +36,7 @@ def with_defaults(requests: DataFrame) -> DataFrame:
 
 def validate_requests(requests: DataFrame, url_mode: str = "prefix") -> DataFrame:
     """Adds ``errors``, the names of the settings out of bounds; empty is valid."""
-    checks = [F.when(~urls.valid_url(F.col("url"), url_mode), F.lit("url"))]
+    checks = [F.when(~urls.valid_url("url", url_mode), F.lit("url"))]
     checks += [
         F.when(~F.col(name).between(low, high), F.lit(name))
         for name, (low, high) in BOUNDS.items()
@@ -89,7 +89,7 @@ def _asked_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """Every request with the id of the page that answers it, if any."""
     index = fetching.page_index(pages).filter(F.col("outcome") == fetching.OK)
     return (
-        requests.withColumn("key", urls.canonical_key(F.col("url")))
+        requests.withColumn("key", urls.canonical_key("url"))
         .join(index.select("key", "page_id", "crawled_at"), "key", "left")
         .drop("key")
     )

@@ -25,8 +25,8 @@ def parse_robots(robots: DataFrame) -> DataFrame:
             "origin",
             "fetched_at",
             F.col("_body").isNotNull().alias("usable"),
-            F.coalesce(text.rules_of(F.col("_body")), F.array().cast(RULES)).alias("rules"),
-            F.coalesce(text.delay_of(F.col("_body")), F.lit(text.DEFAULT_DELAY)).alias(
+            F.coalesce(text.rules_of("_body"), F.array().cast(RULES)).alias("rules"),
+            F.coalesce(text.delay_of("_body"), F.lit(text.DEFAULT_DELAY)).alias(
                 "crawl_delay_s"
             ),
         )
@@ -74,12 +74,13 @@ def robots_verdict(urls_df: DataFrame, parsed: DataFrame, agent: str | Column) -
     """
     agent = F.lit(agent) if isinstance(agent, str) else agent
     rules = parsed.select(F.col("origin").alias("_origin"), F.col("rules").alias("_rules"))
-    verdict = text.verdict(F.col("_rules"), urls.url_path(F.col("url")), agent)
+    known = urls_df.withColumn("_id", urls.url_identity("url")).withColumns(
+        {"_origin": F.col("_id.origin"), "_path": F.col("_id.path"), "_agent": agent}
+    )
     return (
-        urls_df.withColumn("_origin", urls.url_origin(F.col("url")))
-        .join(rules, "_origin", "left")
-        .withColumn("allowed", verdict)
-        .drop("_origin", "_rules")
+        known.join(rules, "_origin", "left")
+        .withColumn("allowed", text.verdict("_rules", "_path", "_agent"))
+        .drop("_id", "_origin", "_path", "_agent", "_rules")
     )
 
 
@@ -107,7 +108,7 @@ def robots_asof(
     none = F.lit(None).cast("timestamp")
     both = (
         visits.select(
-            urls.url_origin(F.col("url")).alias("origin"),
+            urls.url_origin("url").alias("origin"),
             F.col("at"),
             F.lit(1).alias("kind"),
             F.col("visit_id"),
@@ -157,8 +158,10 @@ def fetch_schedule(
 
     ``visited``: request_id, url, depth, path, delay.
     """
-    rows = visited.withColumn("host", urls.url_host(F.col("url"))).withColumn(
-        "_origin", urls.url_origin(F.col("url"))
+    rows = (
+        visited.withColumn("_id", urls.url_identity("url"))
+        .withColumns({"host": F.col("_id.host"), "_origin": F.col("_id.origin")})
+        .drop("_id")
     )
     if parsed is None:
         rows = rows.withColumn("_delay", F.lit(None).cast("double"))

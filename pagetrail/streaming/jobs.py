@@ -90,7 +90,7 @@ def stream_robots(visits: DataFrame, ttl_hours: float = 24) -> DataFrame:
         yield pd.DataFrame({"origin": key[0], "fetched_at": pd.Series(found, dtype="datetime64[us]")})
 
     return (
-        visits.select(urls.url_origin(F.col("url")).alias("origin"), "at")
+        visits.select(urls.url_origin("url").alias("origin"), "at")
         .filter(F.col("origin").isNotNull())
         .groupBy("origin")
         .applyInPandasWithState(

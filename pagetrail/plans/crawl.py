@@ -29,6 +29,7 @@ class Crawl:
 
     requests: DataFrame
     pages: DataFrame
+    #: links of the pages that answer their key
     edges: DataFrame
     #: request_id, key, url, depth, path, outcome, page_id, crawled_at,
     #: links_found, taken: every address that entered a queue
@@ -148,14 +149,11 @@ def crawl(
     ``robots``: origin, status, body, fetched_at; without it all is allowed.
     """
     asked = rq.with_defaults(requests)
-    degrees = edges.groupBy("src_id").agg(F.count(F.lit(1)).alias("links_found"))
-    index = cut_lineage(
-        fetching.page_index(pages).join(
-            degrees.withColumnRenamed("src_id", "page_id"), "page_id", "left"
-        ),
-        "index",
-    )
+    index = cut_lineage(fetching.page_index(pages), "index")
     follow = cut_lineage(_follow_table(index, edges), "edges")
+    degrees = follow.groupBy("src_id").agg(F.count(F.lit(1)).alias("links_found"))
+    index = index.join(degrees.withColumnRenamed("src_id", "page_id"), "page_id", "left")
+    index = cut_lineage(index, "index")
     rules = None if robots is None else cut_lineage(rb.latest_robots(robots), "robots")
 
     state = asked.select(
@@ -204,7 +202,7 @@ def crawl(
         candidates = frontier.expand(going_on.filter("taken").drop("taken"), follow)
 
     admitted = _taken(reduce(DataFrame.unionByName, levels), state)
-    return Crawl(asked, pages, edges, admitted)
+    return Crawl(asked, pages, follow, admitted)
 
 
 def page_data(done: Crawl) -> DataFrame:

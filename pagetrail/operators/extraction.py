@@ -38,14 +38,17 @@ def parse_pages(
     )
 
 
-def page_texts(pages: DataFrame, want_news: Column, want_plain: Column) -> DataFrame:
-    """Title, description and the kinds of content that are asked for."""
+def page_texts(
+    pages: DataFrame, want_news: Column, want_plain: Column, want_links: Column
+) -> DataFrame:
+    """Title, description and, row by row, only the other parts asked for."""
     return prepared(pages).select(
         "page_id",
         html.title_of(_DOC).alias("title"),
         html.description_of(_DOC).alias("description"),
         F.when(want_news, html.news_of(_DOC)).alias("news_text"),
         F.when(want_plain, html.paragraphs_of(_DOC)).alias("plain_text"),
+        F.when(want_links, html.links_of(_DOC, "url")).alias("links"),
     )
 
 

@@ -102,24 +102,15 @@ def scrape(requests: DataFrame, pages: DataFrame) -> DataFrame:
     however many requests ask for it.  Addresses without page yield no row.
     """
     asked = _asked_pages(requests, pages).filter(F.col("page_id").isNotNull())
-    wanted = asked.groupBy("page_id").agg(
-        F.max("extract_links").alias("_links")
-    )
-    texts = extraction.parse_pages(
-        pages.select("page_id", "url", "html").join(
-            wanted.filter(~F.col("_links")), "page_id", "left_semi"
-        )
-    ).unionByName(
-        extraction.parse_pages(
-            pages.select("page_id", "url", "html").join(
-                wanted.filter("_links"), "page_id", "left_semi"
-            ),
-            extract_links=True,
-        )
-    )
-    found = texts.select("page_id", "title", "description", "content", "links")
+    wanted = asked.groupBy("page_id").agg(F.max("extract_links").alias("_links"))
+    found = extraction.page_texts(
+        pages.select("page_id", "url", "html").join(wanted, "page_id"),
+        F.lit(False),
+        F.lit(True),
+        F.col("_links"),
+    ).withColumnRenamed("plain_text", "content")
     no_links = F.array().cast("array<string>")
-    return asked.join(found, "page_id").select(
+    return asked.join(found.drop("news_text"), "page_id").select(
         "request_id",
         "url",
         "title",

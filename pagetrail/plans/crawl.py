@@ -221,10 +221,11 @@ def page_data(done: Crawl) -> DataFrame:
         F.max("extract_links").alias("_links"),
     )
     texts = extraction.page_texts(
-        done.pages.select("page_id", "html").join(kinds.drop("_links"), "page_id"),
+        done.pages.select("page_id", "url", "html").join(kinds.drop("_links"), "page_id"),
         F.col("_news"),
         ~F.col("_only_news"),
-    )
+        F.lit(False),
+    ).drop("links")
     # one page's links are one row's worth of text, so these lists stay small
     lists = (
         done.edges.join(

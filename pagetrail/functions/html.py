@@ -117,12 +117,16 @@ def _named(name: str) -> str:
     return rf"(?:{_GAP}{not_it}{_ATTRIBUTE})*+{_GAP}{name}"
 
 
-def _attribute(tag: Sql, name: str) -> Sql:
-    """Decoded value of an attribute of one start tag; null when it is absent."""
-    opened = rf"(?i)^<[a-z][^\s/>]*+{_named(name)}"
-    raw = S.regexp_extract(tag, rf"{opened}\s*+=\s*+{_VALUE}", 1)
-    return S.when(
-        tag.rlike(rf"{opened}[\s=/>]"), decode_entities(_unquoted(raw), in_attribute=True)
+def _attributes(tag: Sql, *names: str) -> Sql:
+    """Decoded values of attributes of one start tag; null where absent."""
+
+    def raw(name: str) -> Sql:
+        opened = rf"(?i)^<[a-z][^\s/>]*+{_named(name)}"
+        value = _unquoted(S.regexp_extract(tag, rf"{opened}\s*+=\s*+{_VALUE}", 1))
+        return S.when(tag.rlike(rf"{opened}[\s=/>]"), value)
+
+    return S.transform(
+        S.array(*map(raw, names)), lambda v: decode_entities(v, in_attribute=True)
     )
 
 
@@ -143,24 +147,19 @@ def title(html: Sql) -> Sql:
 
 @expression
 def description_of(doc: Sql) -> Sql:
-    def last(tags: Sql, attribute: str, wanted: str) -> Sql:
-        # the word may only be missing where it is spelt with references
-        near = S.filter(tags, lambda t: t.contains(wanted) | t.contains("&"))
-        contents = S.filter(
-            S.transform(
-                S.filter(near, lambda t: _attribute(t, attribute) == wanted),
-                lambda t: _attribute(t, "content"),
-            ),
-            lambda v: v.isNotNull(),
-        )
-        return let(contents, lambda c: S.when(S.size(c) > 0, S.element_at(c, -1)))
+    def last(tags: Sql, place: int, wanted: str) -> Sql:
+        named = S.filter(tags, lambda t: (S.get(t, place) == wanted) & S.get(t, 2).isNotNull())
+        return S.get(S.try_element_at(named, -1), 2)
 
     tags = S.regexp_extract_all(doc, rf"(?i)<meta{_EDGE}{_TAG_END}", 0)
+    # the word may only be missing where it is spelt with references
+    near = S.filter(tags, lambda t: t.contains("description") | t.contains("&"))
+    parsed = S.transform(near, lambda t: _attributes(t, "name", "property", "content"))
     return let(
-        tags,
+        parsed,
         lambda t: S.coalesce(
-            let(last(t, "name", "description"), lambda v: S.when(v != "", v)),
-            last(t, "property", "og:description"),
+            let(last(t, 0, "description"), lambda v: S.when(v != "", v)),
+            last(t, 1, "og:description"),
             "",
         ),
     )
@@ -175,14 +174,14 @@ def description(html: Sql) -> Sql:
 # -- paragraphs ------------------------------------------------------------
 
 
-def _paragraph_texts(doc: Sql) -> Sql:
-    """Raw text of every paragraph in order."""
-    return S.transform(S.regexp_extract_all(doc, _PARAGRAPH, 1), _plain)
+def _paragraph_markup(doc: Sql) -> Sql:
+    """Markup of every paragraph in order."""
+    return S.regexp_extract_all(doc, _PARAGRAPH, 1)
 
 
 @expression
 def paragraphs_of(doc: Sql) -> Sql:
-    trimmed = S.transform(_paragraph_texts(doc), trim_space)
+    trimmed = S.transform(_paragraph_markup(doc), lambda p: trim_space(_plain(p)))
     kept = S.filter(trimmed, lambda t: t != "")
     return S.array_join(S.transform(kept, lambda t: S.concat(t, "\n")), "")
 
@@ -311,23 +310,18 @@ def _outermost(slices: Sql) -> Sql:
     return walked["kept"]
 
 
-def _selected_texts(doc: Sql, selector: str) -> Sql:
-    """Texts of all matches of a selector (``x`` or ``x p``); null without any."""
+def _selected(doc: Sql, selector: str) -> Sql:
+    """Markup of all matches of a selector (``x`` or ``x p``); null without any."""
     if selector.endswith(" p"):
         outer = _slices(doc, selector[: -len(" p")])
-        texts = let(
+        inner = let(
             outer,
             lambda o: S.when(
-                o.isNotNull(), S.flatten(S.transform(_outermost(o), _paragraph_texts))
+                o.isNotNull(), S.flatten(S.transform(_outermost(o), _paragraph_markup))
             ),
         )
-        return let(texts, lambda t: S.when(S.size(t) > 0, t))
-    return let(
-        _slices(doc, selector),
-        lambda found: S.when(
-            found.isNotNull(), S.transform(found, lambda s: _plain(s["inside"]))
-        ),
-    )
+        return let(inner, lambda t: S.when(S.size(t) > 0, t))
+    return S.transform(_slices(doc, selector), lambda s: s["inside"])
 
 
 @expression
@@ -336,10 +330,7 @@ def element_text(html: Sql, selector: str) -> Sql:
 
     Selectors: a tag name, ``.class``, ``#id`` or ``[attribute=value]``.
     """
-    return let(
-        prepare(html),
-        lambda doc: S.get(_selected_texts(doc, selector), 0),
-    )
+    return let(prepare(html), lambda doc: _plain(S.get(_selected(doc, selector), 0)))
 
 
 @expression
@@ -353,41 +344,35 @@ def strip_tags(html: Sql) -> Sql:
 
 @expression
 def news_of(doc: Sql) -> Sql:
-    def joined(texts: Sql) -> Sql:
-        return trim_space(
-            S.array_join(S.transform(texts, lambda t: S.concat(t, "\n")), "")
-        )
-
-    def first_article(d: Sql) -> Sql:
-        after = S.regexp_extract(d, rf"(?s){_opening('article')}(.*+)", 2)
-        return S.when(
-            d.rlike(_opening("article")),
-            let(after, lambda a: _plain(_balanced(a, "article"))),
-        )
-
-    def holds(selector: str) -> Sql:
-        """Cheap test that spares pages without the word the real search."""
+    def matches(selector: str) -> Sql:
+        # a plain search for the word spares most pages the real one
         word = selector.split(" ")[0].strip(".#")
-        return doc.contains(word)
+        found = _selected(doc, selector)
+        return S.when(doc.contains(word), found) if selector[0] in ".#" else found
+
+    def shown(markup: Sql, is_article: Sql) -> Sql:
+        texts = S.transform(markup, _plain)
+        lines = S.transform(texts, lambda t: S.concat(t, S.when(is_article, "").otherwise("\n")))
+        return let(
+            S.array_join(lines, ""),
+            lambda t: S.when(is_article, t).otherwise(trim_space(t)),
+        )
 
-    body = S.when(
-        doc.contains("articleBody"),
-        let(
-            S.array_join(_selected_texts(doc, "[itemprop=articleBody]"), ""),
-            lambda t: S.when(t != "", t),
-        ),
+    body = S.when(doc.contains("articleBody"), _selected(doc, "[itemprop=articleBody]"))
+    after = S.regexp_extract(doc, rf"(?s){_opening('article')}(.*+)", 2)
+    article = S.when(
+        doc.rlike(_opening("article")),
+        S.array(let(after, lambda a: _balanced(a, S.lit("article")))),
     )
+    others = S.coalesce(*map(matches, ARTICLE_SELECTORS), S.array().cast("array<string>"))
     return S.coalesce(
-        body,
-        first_article(doc),
-        *(
-            S.when(
-                holds(s) if s[0] in ".#" else True,
-                let(_selected_texts(doc, s), lambda t: S.when(t.isNotNull(), joined(t))),
-            )
-            for s in ARTICLE_SELECTORS
+        let(
+            S.array_join(S.transform(body, _plain), ""), lambda t: S.when(t != "", t)
+        ),
+        let(
+            article,
+            lambda a: shown(S.coalesce(a, others), a.isNotNull()),
         ),
-        "",
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from . import ordered
+from . import joins, ordered
 
 ORDER = ["depth", "path"]
 CRAWLED = "crawled"
@@ -64,10 +64,16 @@ def stay_on_domain(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("host") == F.col("src_host"))
 
 
-def expand(level: DataFrame, edges: DataFrame) -> DataFrame:
+def expand(
+    level: DataFrame,
+    edges: DataFrame,
+    rows: int | None = None,
+    max_key_rows: int = joins.MAX_KEY_ROWS,
+) -> DataFrame:
     """Links of crawled rows that may be followed, one level deeper.
 
-    ``edges``: src_key, src_host, link_pos, url, key, host.
+    ``edges``: src_key, src_host, link_pos, url, key, host.  ``rows``: how many
+    rows the level has at most, if that is known (see ``join_spread``).
     """
     settings = F.col("settings")
     parents = level.filter(settings["follow"]).select(
@@ -81,7 +87,7 @@ def expand(level: DataFrame, edges: DataFrame) -> DataFrame:
         urls.url_contains(F.col("url"), settings["filter"])
     )
     return (
-        parents.join(edges, "src_key")
+        joins.join_spread(parents, edges, "src_key", rows, max_key_rows)
         .filter(F.coalesce(kept, F.lit(False)))
         .select(
             "request_id",

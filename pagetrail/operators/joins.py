@@ -1,0 +1,42 @@
+"""Joins in which one key may hold a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_KEY_ROWS = 1_000_000
+
+
+def join_spread(
+    many: DataFrame,
+    few: DataFrame,
+    key: str,
+    rows: int | None = None,
+    max_key_rows: int = MAX_KEY_ROWS,
+) -> DataFrame:
+    """Inner join; keys with many rows in ``many`` are dealt out to several tasks.
+
+    ``rows`` is a known upper limit of the rows of ``many``: when it is within
+    ``max_key_rows`` nothing has to be counted.  Else the rows per key are; a
+    hot key gets shares of at most about ``max_key_rows`` rows, its rows in
+    ``few`` are repeated once per share, and every row of ``many`` goes to the
+    share its own content names.  There are at most ``rows / max_key_rows`` hot
+    keys, so their list may be broadcast.
+    """
+    if rows is not None and rows <= max_key_rows:
+        return many.join(few, key)
+    counted = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    shares = F.ceil(F.col("_n") / F.lit(max_key_rows)).cast("int")
+    hot = counted.filter(F.col("_n") > max_key_rows).select(key, shares.alias("_shares"))
+    if hot.isEmpty():
+        return many.join(few, key)
+    hot = F.broadcast(hot)
+    own = F.pmod(F.xxhash64(*many.columns), F.col("_shares")).cast("int")
+    dealt = many.join(hot, key, "left").withColumn("_share", F.coalesce(own, F.lit(0)))
+    repeated = few.join(hot, key, "left").withColumn(
+        "_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))
+    )
+    return (
+        dealt.drop("_shares").join(repeated.drop("_shares"), [key, "_share"]).drop("_share")
+    )

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.robots import ANY_AGENT
 from ..lineage import cut_lineage
-from ..operators import extraction, fetching, frontier, ordered, requests as rq, robots as rb
+from ..operators import extraction, fetching, frontier, joins, ordered
+from ..operators import requests as rq
+from ..operators import robots as rb
 from ..schemas import PAGE_FIELDS
 
 TOO_DEEP = "too_deep"
@@ -34,6 +36,8 @@ class Crawl:
     #: request_id, key, url, depth, path, outcome, page_id, crawled_at,
     #: links_found, taken: every address that entered a queue
     admitted: DataFrame
+    #: upper limit of the number of crawled rows
+    crawled_rows: int
 
     @property
     def visited(self) -> DataFrame:
@@ -149,7 +153,7 @@ def crawl(
     ``robots``: origin, status, body, fetched_at; without it all is allowed.
     """
     asked = rq.with_defaults(requests)
-    index = cut_lineage(fetching.page_index(pages), "index")
+    index = fetching.page_index(pages)
     follow = cut_lineage(_follow_table(index, edges), "edges")
     degrees = follow.groupBy("src_id").agg(F.count(F.lit(1)).alias("links_found"))
     index = index.join(degrees.withColumnRenamed("src_id", "page_id"), "page_id", "left")
@@ -166,6 +170,7 @@ def crawl(
     asked = asked.withColumn("extract_links", F.col("extract_links").cast("boolean"))
     candidates = frontier.seeds(asked)
     levels: list[DataFrame] = []
+    crawled_rows = 0
     while True:
         known = reduce(DataFrame.unionByName, levels) if levels else None
         level = cut_lineage(
@@ -176,8 +181,10 @@ def crawl(
         progress = _progress(level, state)
         seen = progress.agg(
             F.sum("following").alias("following"),
+            F.sum("crawled").alias("crawled"),
             F.count_if("reached").alias("reached"),
         ).first()
+        crawled_rows += seen["crawled"] or 0
         if seen["reached"]:
             progress = progress.join(
                 _cuts(level, progress, max_group_rows), "request_id", "left"
@@ -199,10 +206,12 @@ def crawl(
         if not seen["following"]:
             break
         going_on = _taken(level.filter(F.col("outcome") == frontier.CRAWLED), state)
-        candidates = frontier.expand(going_on.filter("taken").drop("taken"), follow)
+        candidates = frontier.expand(
+            going_on.filter("taken").drop("taken"), follow, seen["following"], max_group_rows
+        )
 
     admitted = _taken(reduce(DataFrame.unionByName, levels), state)
-    return Crawl(asked, pages, follow, admitted)
+    return Crawl(asked, pages, follow, admitted, crawled_rows)
 
 
 def page_data(done: Crawl) -> DataFrame:
@@ -237,7 +246,9 @@ def page_data(done: Crawl) -> DataFrame:
     )
     no_links = F.array().cast("array<string>")
     return (
-        crawled.join(texts.join(lists, "page_id", "left"), "page_id")
+        joins.join_spread(
+            crawled, texts.join(lists, "page_id", "left"), "page_id", done.crawled_rows
+        )
         .withColumn(
             "content",
             F.when(F.col("news"), F.col("news_text")).otherwise(F.col("plain_text")),

@@ -17,9 +17,11 @@ def read_robots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ROBOTS).parquet(path)
 
 
-def stream_pages(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Pages as they arrive in a folder of Parquet files."""
-    reader = spark.readStream.schema(PAGES).option("pathGlobFilter", "*pages*.parquet")
+def stream_pages(
+    spark: SparkSession, folder: str, files_per_batch: int | None = None, names: str = "*.parquet"
+) -> DataFrame:
+    """Pages as they arrive in a folder of Parquet files of the given names."""
+    reader = spark.readStream.schema(PAGES).option("pathGlobFilter", names)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(folder)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,11 +44,19 @@ def stream_dedup(links: DataFrame, within: str | None = None) -> DataFrame:
     """Admits a key when it is first seen.
 
     Without ``within`` every key is remembered for good.  With it, the stream
-    needs a watermark and keys are forgotten after that time.
+    needs a time column ``at`` and keys are forgotten after that time.  Repeats
+    are dropped before the shuffle as well, so that a link found on very many
+    pages does not end up in one task with all its copies.
     """
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = pd.Series(batch.column("key").to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(~first.duplicated()))
+
     known = links.filter(F.col("key").isNotNull())
     if within is None:
-        return known.dropDuplicates(["key"])
+        return known.mapInArrow(thinned, known.schema).dropDuplicates(["key"])
     return known.withWatermark("at", within).dropDuplicatesWithinWatermark(["key"])
 
 

@@ -526,7 +526,7 @@ def _finish(df, path, sink="parquet"):
 @query
 def stream_pages(spark, sf):
     path = new_folder(spark, "stream-pages")
-    parsed = jobs.parsed_stream(tables.stream_pages(spark, sf), extract_links=True)
+    parsed = jobs.parsed_stream(tables.stream_pages(spark, sf, names="pages.parquet"), extract_links=True)
     stamped = parsed.withColumn("crawled_at", F.timestamp_seconds(F.col("page_id") + inputs.START))
     jobs.start_page_stream(stamped, path, path + "-checkpoint").awaitTermination()
     return flat(results.read_results(spark, path))
@@ -535,7 +535,7 @@ def stream_pages(spark, sf):
 @query
 def stream_dedup(spark, sf):
     path = new_folder(spark, "stream-dedup")
-    found = extraction.link_edges(tables.stream_pages(spark, sf))
+    found = extraction.link_edges(tables.stream_pages(spark, sf, names="pages.parquet"))
     _finish(jobs.stream_dedup(found).select("key"), path)
     return spark.read.schema("key string").parquet(path)
 
@@ -554,7 +554,7 @@ def stream_robots(spark, sf):
 def stream_stats(spark, sf):
     path = new_folder(spark, "stream-stats")
     counted = jobs.stream_stats(
-        extraction.page_links(tables.stream_pages(spark, sf)).withColumn(
+        extraction.page_links(tables.stream_pages(spark, sf, names="pages.parquet")).withColumn(
             "host", urls.url_host("url")
         ),
         "host",

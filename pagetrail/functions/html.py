@@ -55,7 +55,7 @@ _RAW_START = rf"<(?:{_RAW_NAMES}){_EDGE}{_TAG_END}"
 _TOKEN = (
     r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))"
     r"|<[!?][^>]*+(?:>|\z)"
-    r"|</(?![a-z])[^>]*+(?:>|\z)"
+    r"|</(?:[^a-z>][^>]*+(?:>|\z)|>)"
     rf"|<({_RAW_NAMES}){_EDGE}{_TAG_END}.*?(?=</\1[\s/>]|\z)"
     rf"|(?:[^<]++|<(?![!?]|/[^a-z]|(?:{_RAW_NAMES})[\s/>]))++"
     r"|<"

@@ -60,12 +60,16 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """One row per link and position.  Write it once, read it per crawl."""
+    """One row per link and position.  Write it once, read it per crawl.
+
+    The outer generator keeps Spark from adding a filter on the size of the
+    list below it, which would extract all links a second time.
+    """
     exploded = page_links(pages).select(
-        "page_id", "url", F.posexplode("links").alias("link_pos", "link")
+        "page_id", "url", F.posexplode_outer("links").alias("link_pos", "link")
     )
     return edge_table(
-        exploded.select(
+        exploded.filter(F.col("link").isNotNull()).select(
             F.col("page_id").alias("src_id"), F.col("url").alias("src_url"), "link_pos", "link"
         )
     )

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_KEY_ROWS = 1_000_000
+# Rows of an id and a few flags each, some 100 MB at most.
+MAX_BROADCAST_ROWS = 2_000_000
 
 
 def join_spread(
@@ -40,3 +42,14 @@ def join_spread(
     return (
         dealt.drop("_shares").join(repeated.drop("_shares"), [key, "_share"]).drop("_share")
     )
+
+
+def pick(
+    wide: DataFrame, wanted: DataFrame, key: str, rows: int, max_rows: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """Rows of a table of texts whose key is wanted, with the columns of ``wanted``.
+
+    ``wanted`` holds one short row per key, ``rows`` at most.  While that is
+    few, it goes to the texts; only beyond that are the texts shuffled.
+    """
+    return wide.join(F.broadcast(wanted) if rows <= max_rows else wanted, key)

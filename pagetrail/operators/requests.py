@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..schemas import PAGE_FIELDS
-from . import extraction, fetching
+from . import extraction, fetching, joins
 
 # What a missing setting means.
 DEFAULTS = {
@@ -104,7 +104,9 @@ def scrape(requests: DataFrame, pages: DataFrame) -> DataFrame:
     asked = _asked_pages(requests, pages).filter(F.col("page_id").isNotNull())
     wanted = asked.groupBy("page_id").agg(F.max("extract_links").alias("_links"))
     found = extraction.page_texts(
-        pages.select("page_id", "url", "html").join(wanted, "page_id"),
+        joins.pick(
+            pages.select("page_id", "url", "html"), wanted, "page_id", requests.count()
+        ),
         F.lit(False),
         F.lit(True),
         F.col("_links"),
@@ -126,7 +128,12 @@ def page_links(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """``request_id, url, links_found, links`` of the page of each request."""
     asked = _asked_pages(requests, pages).filter(F.col("page_id").isNotNull())
     found = extraction.page_links(
-        pages.join(asked.select("page_id").distinct(), "page_id", "left_semi")
+        joins.pick(
+            pages.select("page_id", "url", "html"),
+            asked.select("page_id").distinct(),
+            "page_id",
+            requests.count(),
+        )
     )
     return asked.select("request_id", "url", "page_id").join(
         found.select("page_id", "links"), "page_id"

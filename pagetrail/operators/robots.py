@@ -45,7 +45,8 @@ def latest_robots(robots: DataFrame) -> DataFrame:
 
 def robots_rules(robots: DataFrame) -> DataFrame:
     """``origin, agent, line_no, path, allow``, one row per rule."""
-    return parse_robots(robots).select("origin", F.explode("rules").alias("r")).select(
+    rules = parse_robots(robots).select("origin", F.explode_outer("rules").alias("r"))
+    return rules.filter(F.col("r").isNotNull()).select(
         "origin", "r.agent", "r.line_no", "r.path", "r.allow"
     )
 
@@ -72,8 +73,12 @@ def robots_verdict(urls_df: DataFrame, parsed: DataFrame, agent: str | Column) -
     The rules of an origin stay one array, so a URL meets them in its own row
     instead of being multiplied by them.
     """
-    agent = F.lit(agent) if isinstance(agent, str) else agent
     rules = parsed.select(F.col("origin").alias("_origin"), F.col("rules").alias("_rules"))
+    if isinstance(agent, str):
+        # only rules that can apply travel to the addresses
+        names = {agent, text.ANY_AGENT}
+        rules = rules.withColumn("_rules", F.filter("_rules", lambda r: r["agent"].isin(*sorted(names))))
+        agent = F.lit(agent)
     known = urls_df.withColumn("_id", urls.url_identity("url")).withColumns(
         {"_origin": F.col("_id.origin"), "_path": F.col("_id.path"), "_agent": agent}
     )

@@ -230,7 +230,12 @@ def page_data(done: Crawl) -> DataFrame:
         F.max("extract_links").alias("_links"),
     )
     texts = extraction.page_texts(
-        done.pages.select("page_id", "url", "html").join(kinds.drop("_links"), "page_id"),
+        joins.pick(
+            done.pages.select("page_id", "url", "html"),
+            kinds.drop("_links"),
+            "page_id",
+            done.crawled_rows,
+        ),
         F.col("_news"),
         ~F.col("_only_news"),
         F.lit(False),

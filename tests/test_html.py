@@ -40,6 +40,8 @@ PARAGRAPHS = {
     "<p title='a>b'>c": "c\n",
     "<p>a<a hre": "a\n",
     "<p>a</p": "a\n",
+    "<p>a</": "a</\n",
+    "<p>a</>b</ x>c": "abc\n",
     "no": "",
 }
 
@@ -133,3 +135,11 @@ def test_large_page(spark):
     assert got.p == "a & b y\n" * 20_000
     assert got.l == ["http://h.example/x"] * 20_000
     assert got.n == ""
+
+
+def test_links_are_extracted_once(spark):
+    from pagetrail.operators import extraction
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    plan = extraction.link_edges(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?i)<a(?=") == 1

@@ -13,9 +13,10 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrail.functions import urls
+from pagetrail.functions import html
 from pagetrail.lineage import cut_lineage
 from pagetrail.operators import extraction, ordered
+from pagetrail.operators import requests as rq
 from pagetrail.plans.crawl import Crawl, crawl
 from pagetrail.sources import tables
 
@@ -155,10 +156,11 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, link_pos, href of every anchor, as written."""
-    from pagetrail.functions import html
-
-    return extraction.prepared(pages(spark, sf_dir)).select(
-        "page_id", "url", F.posexplode(html.hrefs_of("_doc")).alias("link_pos", "href")
+    return (
+        extraction.prepared(pages(spark, sf_dir))
+        .withColumn("hrefs", html.hrefs_of("_doc"))
+        .select("page_id", "url", F.posexplode_outer("hrefs").alias("link_pos", "href"))
+        .filter(F.col("href").isNotNull())
     )
 
 
@@ -177,8 +179,6 @@ def stored_crawl(spark: SparkSession, sf_dir: str) -> Crawl:
     It is run once per session and folder; the reports over it read the tables
     it left behind, as they would after a real crawl.
     """
-    from pagetrail.operators import requests as rq
-
     kept = _stored(spark.sparkContext.applicationId, sf_dir, "crawl")
     if "crawl" not in kept:
         kept["crawl"] = crawl(

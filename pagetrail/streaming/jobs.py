@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import urls
+from ..lineage import cut_lineage
 from ..operators import extraction
 from ..sources import results
 
@@ -71,38 +71,65 @@ def stream_stats(page_data: DataFrame, key: str = "request_id") -> DataFrame:
 REFETCH = "origin string, fetched_at timestamp"
 
 
-def stream_robots(visits: DataFrame, ttl_hours: float = 24) -> DataFrame:
-    """When each origin's robots file has to be fetched.
+def refetch_times(visits: DataFrame, held: DataFrame, ttl_hours: float = 24) -> DataFrame:
+    """When each origin's robots file has to be fetched, given the files at hand.
 
-    ``visits``: url, at (timestamp).  A visit uses the file at hand unless it is
-    older than ``ttl_hours``; then, and at the first visit, a fetch is due and
-    its time is remembered.  Only these times leave the operator, and the visits
-    of an origin pass through it in bounded batches.
+    ``visits``: origin, at.  ``held``: origin, fetched_at, one row per origin.
+    A visit uses the file at hand unless it is older than ``ttl_hours``; then,
+    and without a file, a fetch is due at that moment and its file serves the
+    visits after it.  Each round finds the next fetch of every origin, a minimum
+    that is combined before the shuffle, so no task ever sees all visits of an
+    origin.  There are as many rounds as the visits span lifetimes of a file.
     """
-    ttl = np.timedelta64(int(ttl_hours * 3600 * 1_000_000), "us")
+    ttl = int(ttl_hours * 3600 * 1_000_000)
+    late = F.unix_micros("at") > F.unix_micros("fetched_at") + ttl
+    times = cut_lineage(visits.select("origin", "at"), "visits")
+    found = times.join(held, "origin", "left").filter(F.col("fetched_at").isNull() | late)
+    rounds = []
+    while True:
+        due = found.groupBy("origin").agg(F.min("at").alias("fetched_at"))
+        due = cut_lineage(due, "due")
+        rounds.append(due)
+        if due.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
+        found = times.join(due, "origin").filter(late)
+
+
+def start_robots_stream(
+    visits: DataFrame, path: str, checkpoint: str, ttl_hours: float = 24
+) -> StreamingQuery:
+    """Appends the fetches that arriving visits (url, at) make due to a table.
 
-    def due(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        held = np.datetime64(int(state.get[0]), "us") if state.exists else None
-        found = []
-        for batch in batches:
-            times = np.sort(batch["at"].to_numpy().astype("datetime64[us]"))
-            # jump from one fetch to the next instead of walking over all visits
-            at = 0 if held is None else np.searchsorted(times, held + ttl, side="right")
-            while at < len(times):
-                held = times[at]
-                found.append(held)
-                at = np.searchsorted(times, held + ttl, side="right")
-        if held is not None:
-            state.update((int(held.astype("int64")),))
-        yield pd.DataFrame({"origin": key[0], "fetched_at": pd.Series(found, dtype="datetime64[us]")})
+    The table is the memory of the stream: the files at hand are its newest row
+    per origin.  Rows older than a file's lifetime before the batch say no more
+    than no row at all, so they are not read.  A batch that is run again
+    replaces its own rows.
+    """
+    named = visits.select(urls.url_origin("url").alias("origin"), "at").filter(
+        F.col("origin").isNotNull()
+    )
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if number == 0:
+            held = spark.createDataFrame([], REFETCH)
+        else:
+            log = spark.read.schema(f"{REFETCH}, batch bigint").parquet(path)
+            start = batch.agg(F.min("at")).first()[0]
+            recent = F.col("fetched_at") >= F.lit(start) - F.make_dt_interval(
+                hours=F.lit(0), secs=F.lit(ttl_hours * 3600)
+            )
+            held = (
+                log.filter((F.col("batch") < number) & recent)
+                .groupBy("origin")
+                .agg(F.max("fetched_at").alias("fetched_at"))
+            )
+        due = refetch_times(batch, held, ttl_hours)
+        due.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
-        visits.select(urls.url_origin("url").alias("origin"), "at")
-        .filter(F.col("origin").isNotNull())
-        .groupBy("origin")
-        .applyInPandasWithState(
-            due, REFETCH, "held_us bigint", "append", GroupStateTimeout.NoTimeout
-        )
+        named.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )

@@ -69,7 +69,7 @@ def test_robots_cache(spark, tmp_path):
         df = spark.createDataFrame(rows, "url string, at timestamp")
         df.coalesce(1).write.parquet(f"{folder}/{number}")
         arriving = spark.readStream.schema(df.schema).parquet(f"{folder}/*")
-        start(jobs.stream_robots(arriving), out)
+        jobs.start_robots_stream(arriving, out, out + "-c").awaitTermination()
         return sorted((r.fetched_at - day) / hour for r in spark.read.parquet(out).filter("origin = 'http://h'").collect())
 
     assert visits(1, [3, 0, 24, 24.5, 30]) == [0, 24.5]

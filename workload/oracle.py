@@ -153,14 +153,22 @@ verdict AS (
   GROUP BY u.url)"""
 
 
-def crawl_tables(seed_only: str = "a.seed_only", with_robots: bool = True) -> str:
+def crawl_tables(
+    seed_only: str = "a.seed_only", with_robots: bool = True, deep: bool = False
+) -> str:
     verdicts = (
         allowed("(SELECT key AS url FROM idx UNION SELECT key AS url FROM edges)", "TestBot/1.0")
         if with_robots
         else "verdict AS (SELECT DISTINCT key AS url, true AS allowed FROM "
         "(SELECT key FROM idx UNION ALL SELECT key FROM edges))"
     )
-    return f"""WITH RECURSIVE {SITE_LINKS}, {FETCH_LOG}, {ROBOTS}, {REQUESTS}, {EDGES}, {verdicts},
+    requests = REQUESTS
+    if deep:
+        requests = REQUESTS.replace("asked AS (", "bounded AS (") + """,
+asked AS (
+  SELECT * REPLACE (3 AS depth, '' AS filter, true AS extract_links, false AS seed_only)
+  FROM bounded)"""
+    return f"""WITH RECURSIVE {SITE_LINKS}, {FETCH_LOG}, {ROBOTS}, {requests}, {EDGES}, {verdicts},
 node AS (
   SELECT v.url AS key, i.page_id, l.crawled_at,
          CASE WHEN NOT v.allowed THEN 'robots_denied'
@@ -408,6 +416,8 @@ FROM admitted WHERE depth <= (SELECT depth FROM asked a WHERE a.request_id = adm
 GROUP BY request_id"""
 ORACLE["seed_only"] = f"""{crawl_tables('true', with_robots=False)}
 SELECT request_id, url, outcome, links_found FROM visited"""
+ORACLE["crawl_deep"] = f"""{crawl_tables(with_robots=False, deep=True)}
+SELECT request_id, key, url, CAST(depth AS bigint) AS depth, outcome, taken FROM admitted"""
 ORACLE["crawl_order"] = f"""{CRAWL}
 SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY depth, path) AS position, url
 FROM visited"""

@@ -364,6 +364,23 @@ def seed_only(spark, sf):
     return done.visited.select("request_id", "url", "outcome", "links_found")
 
 
+@query
+def crawl_deep(spark, sf):
+    """Every request followed to depth 3, with what was taken and what was left."""
+    asked = rq.valid_requests(inputs.crawl_requests(spark, sf)).withColumns(
+        {
+            "depth": F.lit(3),
+            "filter": F.lit(""),
+            "extract_links": F.lit(True),
+            "seed_only": F.lit(False),
+        }
+    )
+    done = crawl(asked, inputs.fetch_log(spark, sf), inputs.site_edges(spark, sf))
+    return done.admitted.select(
+        "request_id", "key", "url", F.col("depth").cast("bigint").alias("depth"), "outcome", "taken"
+    )
+
+
 @query
 def crawl_order(spark, sf):
     rows = inputs.stored_crawl(spark, sf).visited.select("request_id", "depth", "path", "url")
@@ -545,7 +562,7 @@ def stream_robots(spark, sf):
     path = new_folder(spark, "visits")
     inputs.visits(spark, sf).write.parquet(path)
     arriving = spark.readStream.schema("visit_id bigint, at timestamp, url string").parquet(path)
-    _finish(jobs.stream_robots(arriving), path + "-due")
+    jobs.start_robots_stream(arriving, path + "-due", path + "-checkpoint").awaitTermination()
     due = spark.read.schema(jobs.REFETCH).parquet(path + "-due")
     return due.select("origin", seconds("fetched_at"))
 

@@ -10,7 +10,7 @@ from .sqltext import S, Sql, let
 # often go first, since a map literal is searched from the front.
 _FREQUENT = ("amp;", "nbsp;", "quot;", "lt;", "gt;", "apos;", "copy;", "middot;", "amp")
 # Text with no other names is decoded by plain replacement, ampersands last.
-_SIMPLE = ("nbsp;", "quot;", "lt;", "gt;", "amp;")
+_SIMPLE = ("quot;", "nbsp;", "lt;", "gt;", "copy;", "middot;", "amp;")
 _NAMES = dict.fromkeys([*_FREQUENT, *html5])
 
 # What numbers 128 to 159 stand for (windows-1252).
@@ -80,12 +80,20 @@ def _decode_piece(piece: Sql, table: Sql, in_attribute: bool) -> Sql:
         return S.coalesce(found, S.concat("&", piece))
 
     token = S.regexp_extract(piece, "^(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z0-9]+;?)", 1)
-    return let(
+    general = let(
         token,
         lambda t: S.when(t == "", S.concat("&", piece))
         .when(t.startswith("#"), numeric(t))
         .otherwise(named(t)),
     )
+    quick = S.when(
+        piece.startswith(_SIMPLE[0]), S.concat(html5[_SIMPLE[0]], S.substr(piece, len(_SIMPLE[0]) + 1))
+    )
+    for name in _SIMPLE[1:]:
+        quick = quick.when(
+            piece.startswith(name), S.concat(html5[name], S.substr(piece, len(name) + 1))
+        )
+    return quick.otherwise(general)
 
 
 def _after(piece: Sql, token: Sql) -> Sql:
@@ -105,11 +113,14 @@ def decode_entities(text: Sql, in_attribute: bool = False) -> Sql:
         )
         return S.concat(S.get(pieces, 0), S.array_join(tail, ""))
 
-    simple = text
-    for name in _SIMPLE:
-        simple = S.replace(simple, f"&{name}", html5[name])
-    return (
-        S.when(~text.contains("&"), text)
-        .when(text.rlike(f"&(?!{'|'.join(_SIMPLE)})"), let(S.split(text, "&", -1), decoded))
-        .otherwise(simple)
-    )
+    def chosen(t: Sql) -> Sql:
+        simple = t
+        for name in _SIMPLE:
+            simple = S.replace(simple, f"&{name}", html5[name])
+        return (
+            S.when(~t.contains("&"), t)
+            .when(t.rlike(f"&(?!{'|'.join(_SIMPLE)})"), let(S.split(t, "&", -1), decoded))
+            .otherwise(simple)
+        )
+
+    return let(text, chosen)

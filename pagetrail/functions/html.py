@@ -94,21 +94,23 @@ def prepare(html: Sql) -> Sql:
 
 def _plain(markup: Sql) -> Sql:
     """Text of a piece of prepared markup: no tags, entities decoded."""
-    untagged = S.when(markup.contains("<"), S.regexp_replace(markup, _ANY_TAG, "")).otherwise(
-        markup
-    )
-    return let(
-        decode_entities(untagged),
-        lambda t: S.when(
-            t.contains(_MASKED_LT) | t.contains(_MASKED_AMP),
-            S.translate(t, _MASKED_LT + _MASKED_AMP, "<&"),
-        ).otherwise(t),
-    )
+
+    def untagged(m: Sql) -> Sql:
+        return S.when(m.contains("<"), S.regexp_replace(m, _ANY_TAG, "")).otherwise(m)
+
+    def unmasked(t: Sql) -> Sql:
+        masked = t.contains(_MASKED_LT) | t.contains(_MASKED_AMP)
+        return S.when(masked, S.translate(t, _MASKED_LT + _MASKED_AMP, "<&")).otherwise(t)
+
+    return let(let(markup, untagged), lambda u: let(decode_entities(u), unmasked))
 
 
 def _unquoted(value: Sql) -> Sql:
-    quoted = value.startswith('"') | value.startswith("'")
-    return S.when(quoted, S.substr(value, 2, S.length(value) - 2)).otherwise(value)
+    def inside(v: Sql) -> Sql:
+        quoted = v.startswith('"') | v.startswith("'")
+        return S.when(quoted, S.substr(v, 2, S.length(v) - 2)).otherwise(v)
+
+    return let(value, inside)
 
 
 def _named(name: str) -> str:
@@ -279,7 +281,7 @@ def _slices(doc: Sql, selector: str) -> Sql:
             starts,
             names,
             lambda s, n: let(
-                _balanced(rest(doc, s), n),
+                let(rest(doc, s), lambda after: _balanced(after, n)),
                 lambda inside: S.struct(
                     s.alias("start"), (s + S.length(inside)).alias("end"), inside.alias("inside")
                 ),
@@ -291,7 +293,10 @@ def _slices(doc: Sql, selector: str) -> Sql:
         tags,
         lambda t: S.when(
             S.size(t) > 0,
-            spans(S.split(doc, opening, -1), t, S.regexp_extract_all(doc, opening, 1)),
+            let(
+                S.split(doc, opening, -1),
+                lambda pieces: spans(pieces, t, S.regexp_extract_all(doc, opening, 1)),
+            ),
         ),
     )
 
@@ -391,7 +396,7 @@ def hrefs_of(doc: Sql) -> Sql:
     pattern = rf"(?i)<a{_EDGE}{_named('href')}\s*+=\s*+{_VALUE}{_TAG_END}"
     return S.transform(
         S.regexp_extract_all(doc, pattern, 1),
-        lambda v: decode_entities(_unquoted(v), in_attribute=True),
+        lambda v: let(_unquoted(v), lambda u: decode_entities(u, in_attribute=True)),
     )
 
 

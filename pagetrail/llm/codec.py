@@ -15,9 +15,10 @@ character; its transitions over whole tokens are kept as well.
 from __future__ import annotations
 
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from .bpe import merged, parts_of, read_ranks
 from .common import in_batches, text_or_empty
 
 #: Transitions and words a worker keeps; beyond it starts anew.
-TRANSITIONS, WORDS = 600_000, 200_000
+TRANSITIONS, WORDS = 800_000, 300_000
 
 _machines: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
 
@@ -41,12 +42,12 @@ class State:
 
     def __init__(self, last: int | None, open_: bytes, ends: list, places: list[int]) -> None:
         self.last, self.open, self.ends, self.places = last, open_, ends, places
-        self.next: dict[int, tuple[State, tuple[int, ...]]] = {}
+        self.next: dict[int, tuple[State, tuple[int, ...]]] | None = None
         self.rest: tuple[int, ...] | None = None
 
 
 class Encoder(dict):
-    """Ids by word; words not met before go through the transducer."""
+    """Packed ids by word; words not met before go through the transducer."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
@@ -75,47 +76,46 @@ class Encoder(dict):
 
     def _step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         self.made += 1
-        open_, ends, last, tokens = state.open + bytes((byte,)), state.ends, state.last, self.tokens
+        open_, ends, last = state.open + bytes((byte,)), state.ends, state.last
+        token_of, begins = self.tokens.get, self.begins
         n = len(open_)
         found = None
-        places = []
+        live = []
         for begin in state.places:
-            tail = open_[begin:]
-            if found is None and ends[begin] is not None:
-                token = tokens.get(tail)
-                if token is not None and self.compatible(ends[begin][1] if begin else last, token):
-                    found = (begin, token)
-            if tail in self.begins:
-                places.append(begin)
-        places.append(n)
+            tail = open_[begin:] if begin else open_
+            if found is None:
+                token = token_of(tail)
+                if token is not None:
+                    before = ends[begin][1] if begin else last
+                    good = before is None or self.pairs.get((before, token))
+                    if good is None:
+                        good = self.compatible(before, token)
+                    if good:
+                        found = (begin, token)
+            if tail in begins:
+                live.append(begin)
+        if found is not None:
+            live.append(n)
         ends = [*ends, found]
-        live = [p for p in places if ends[p] is not None]
-        # what the chains to all places have in common is certain
-        certain: tuple[int, ...] = ()
-        cut = 0
-        shared: list[tuple[int, int]] | None = None
+        # where the chains to all places meet; what lies before is certain
+        cut = live[0]
         for p in live:
-            chain = []
-            while p > 0:
-                begin, token = ends[p]
-                chain.append((p, token))
-                p = begin
-            chain.reverse()
-            if shared is None:
-                shared = chain
-            else:
-                k = 0
-                for x, y in zip(shared, chain):
-                    if x != y:
-                        break
-                    k += 1
-                del shared[k:]
-            if not shared:
+            if not cut:
                 break
-        if shared:
-            cut, last = shared[-1]
-            certain = tuple(t for _, t in shared)
-            open_ = open_[cut:]
+            while p > cut:
+                p = ends[p][0]
+            while cut > p:
+                cut = ends[cut][0]
+                while p > cut:
+                    p = ends[p][0]
+        certain: tuple[int, ...] = ()
+        if cut:
+            chain, p = [], cut
+            while p > 0:
+                p, token = ends[p]
+                chain.append(token)
+            certain = tuple(chain[::-1])
+            last, open_ = chain[0], open_[cut:]
         key = (last, open_)
         after = self.known.get(key)
         if after is None:
@@ -124,8 +124,8 @@ class Encoder(dict):
                 for p in range(cut + 1, n + 1):
                     e = ends[p]
                     moved.append((e[0] - cut, e[1]) if e is not None and e[0] >= cut and moved[e[0] - cut] is not None else None)
-                ends = moved
-            after = self.known[key] = State(last, open_, ends, [p - cut for p in live])
+                ends, live = moved, [p - cut for p in live]
+            after = self.known[key] = State(last, open_, ends, live)
         return after, certain
 
     def transduce(self, word: bytes) -> list[int]:
@@ -133,9 +133,12 @@ class Encoder(dict):
             self.restart()
         state, out = self.start, []
         for byte in word:
-            arrow = state.next.get(byte)
+            arrows = state.next
+            if arrows is None:
+                arrows = state.next = {}
+            arrow = arrows.get(byte)
             if arrow is None:
-                arrow = state.next[byte] = self._step(state, byte)
+                arrow = arrows[byte] = self._step(state, byte)
             state, emitted = arrow
             if emitted:
                 out += emitted
@@ -148,21 +151,21 @@ class Encoder(dict):
         out += state.rest
         return out
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.transduce(word.encode()))
+    def __missing__(self, word: str) -> bytes:
+        packed = array("I", self.transduce(word.encode())).tobytes()
         if len(word) <= 64:
             if len(self) >= WORDS:
                 self.clear()
-            self[word] = ids
-        return ids
+            self[word] = packed
+        return packed
+
+    def packed(self, text: str) -> bytes:
+        """Ids as native unsigned 32-bit integers."""
+        words = self.pattern.findall
+        return b"".join([b"".join(map(self.__getitem__, words(part))) for part in parts_of(text)])
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        get = self.__getitem__
-        for part in parts_of(text):
-            for ids in map(get, self.pattern.findall(part)):
-                out += ids
-        return out
+        return array("I", self.packed(text)).tolist()
 
 
 def _utf8_step(held: bytes, byte: int) -> tuple[bytes, str]:
@@ -191,7 +194,8 @@ class Decoder:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.next: dict[bytes, dict[int, tuple[bytes, str]]] = {b"": {}}
+        self.next: dict[bytes, dict[int, tuple[bytes, str]]] = {b"": {i: self._over(b"", i) for i in self.bytes_of}}
+        self.whole = {i: text for i, (held, text) in self.next[b""].items() if not held}
 
     def _over(self, held: bytes, token: int) -> tuple[bytes, str]:
         text = ""
@@ -216,6 +220,10 @@ class Decoder:
             yield "�"
 
     def decode(self, ids: Iterable[int]) -> str:
+        """The machine, with the transitions that begin and end between characters taken in one go."""
+        texts = list(map(self.whole.get, ids))
+        if None not in texts:
+            return "".join(texts)
         return "".join(self.stream(ids))
 
 
@@ -267,12 +275,15 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         for batch in batches:
             rows = []
             for body in batch.column(1).to_pylist():
-                ids = encoder.encode(body)
+                packed = encoder.packed(body)
+                ids = array("I", packed)
                 decoded = decoder.decode(ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
                 rows.append(
                     (
                         len(ids),
-                        hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                        hashlib.sha256(ids.tobytes()).hexdigest(),
                         hashlib.sha256(decoded.encode()).hexdigest(),
                     )
                 )

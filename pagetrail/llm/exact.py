@@ -118,5 +118,5 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix
     )
     once = kept.where("x_size IS NULL").select(body)
     # in a group of several rows one row remains for each key; only repeated rows meet here
-    several = kept.where("x_size IS NOT NULL").groupBy("x_length", "x_full").agg(F.min(body).alias(body))
+    several = kept.where("x_size IS NOT NULL").groupBy("x_length", "x_full").agg(F.min(body).alias(body)).select(body)
     return once.unionByName(several).select(f"{body}.*")

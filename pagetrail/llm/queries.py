@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codec, exact, tokens, urlfilter
-from .common import TIKTOKEN, TOKENIZER, in_batches, table, text_or_empty
+from . import chat, codec, decontaminate, exact, extract, jaccard, langid, quality, tokens, urlfilter
+from .common import TIKTOKEN, TOKENIZER, in_batches, table
 
 #: Rules of op8: host, path, verdict.
 RULES = (
@@ -95,11 +95,28 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_rows(docs)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item occurs, with the least distance."""
+    docs = table(spark, sf_dir, "documents")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return tokens.token_counts(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), quality.learned_part())
+    rated = quality.rate(docs, model)
+    return rated.select("doc_id", (~quality.learned_part()).alias("held_out"), "score", "predicted")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return codec.digests(docs, public_tokenizers.path(TIKTOKEN), public_tokenizers.PATTERN)
@@ -110,12 +127,28 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, langid.learned_part())
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (~langid.learned_part()).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_html_extract": op4_html_extract,
     "op5_token_counts": op5_token_counts,
+    "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_url_filter": op8_url_filter,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE = {

@@ -28,7 +28,7 @@ from .bpe import merged, parts_of, read_ranks
 from .common import in_batches, text_or_empty
 
 #: Transitions and words a worker keeps; beyond it starts anew.
-TRANSITIONS, WORDS = 800_000, 300_000
+TRANSITIONS, WORDS = 800_000, 500_000
 
 _machines: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
 
@@ -57,12 +57,16 @@ class Encoder(dict):
         # tokens that do not encode as themselves never occur
         self.tokens = {t: i for t, i in ranks.items() if len(merged(t, self.rank_of)) == 1}
         self.bytes_of = {i: t for t, i in self.tokens.items()}
-        self.begins = {t[:n] for t in self.tokens for n in range(1, len(t))}
+        # for bytes that are a token, begin one, or both: id * 2 + (begins one); id -1 if they are none
+        self.role = {t[:n]: -1 for t in self.tokens for n in range(1, len(t))}
+        self.role |= {t: i * 2 + (t in self.role) for t, i in self.tokens.items()}
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.restart()
 
     def restart(self) -> None:
         self.known: dict[tuple[int | None, bytes], State] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        if len(self.pairs) > TRANSITIONS:
+            self.pairs.clear()
         self.made = 0
         self.start = State(None, b"", [(-1, -1)], [0])
 
@@ -74,29 +78,33 @@ class Encoder(dict):
             self.pairs[a, b] = merged(x + y, self.rank_of) == [x, y]
         return self.pairs[a, b]
 
-    def _step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        self.made += 1
-        open_, ends, last = state.open + bytes((byte,)), state.ends, state.last
-        token_of, begins = self.tokens.get, self.begins
-        n = len(open_)
-        found = None
-        live = []
-        for begin in state.places:
-            tail = open_[begin:] if begin else open_
-            if found is None:
-                token = token_of(tail)
-                if token is not None:
-                    before = ends[begin][1] if begin else last
-                    good = before is None or self.pairs.get((before, token))
-                    if good is None:
-                        good = self.compatible(before, token)
-                    if good:
-                        found = (begin, token)
-            if tail in begins:
+    def _advance(self, last: int | None, open_: bytes, ends: list, places: list[int]) -> list[int]:
+        """Takes in the last byte of ``open_``: adds to ``ends`` and gives the places where a token may begin from here on."""
+        role_of, pairs = self.role.get, self.pairs
+        found, live = None, []
+        for begin in places:
+            tail = open_[begin:]
+            role = role_of(tail)
+            if role is None:
+                continue
+            if found is None and role != -1:
+                before, token = ends[begin][1] if begin else last, role >> 1
+                good = before is None or pairs.get((before, token))
+                if good is None:
+                    good = self.compatible(before, token)
+                if good:
+                    found = (begin, token)
+            if role & 1:
                 live.append(begin)
         if found is not None:
-            live.append(n)
-        ends = [*ends, found]
+            live.append(len(open_))
+        ends.append(found)
+        return live
+
+    def _step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        open_, ends, last = state.open + bytes((byte,)), state.ends.copy(), state.last
+        n = len(open_)
+        live = self._advance(last, open_, ends, state.places)
         # where the chains to all places meet; what lies before is certain
         cut = live[0]
         for p in live:
@@ -129,28 +137,44 @@ class Encoder(dict):
         return after, certain
 
     def transduce(self, word: bytes) -> list[int]:
+        """Ids of one match of the pattern.
+
+        A transition that is missing is made and kept.  The new state has none itself, so a short rest of the word
+        is read from there without keeping its states: they are kept when the word's beginning comes again.
+        """
         if self.made > TRANSITIONS:
             self.restart()
         state, out = self.start, []
-        for byte in word:
+        for at, byte in enumerate(word, 1):
             arrows = state.next
             if arrows is None:
                 arrows = state.next = {}
             arrow = arrows.get(byte)
             if arrow is None:
                 arrow = arrows[byte] = self._step(state, byte)
+                self.made += 1
+                if arrow[0].next is None and len(word) - at <= 32:
+                    out += arrow[1]
+                    return out + self._finish(arrow[0], word[at:])
             state, emitted = arrow
             if emitted:
                 out += emitted
         if state.rest is None:
-            chain, at = [], len(state.open)
-            while at > 0:
-                at, token = state.ends[at]
-                chain.append(token)
-            state.rest = tuple(chain[::-1])
+            state.rest = tuple(self._finish(state, b""))
         out += state.rest
         return out
 
+    def _finish(self, state: State, rest: bytes) -> list[int]:
+        """What a word that ends with ``rest`` after this state still emits."""
+        word, ends, places = state.open + rest, state.ends.copy(), state.places
+        for n in range(len(state.open) + 1, len(word) + 1):
+            places = self._advance(state.last, word[:n], ends, places)
+        chain, at = [], len(word)
+        while at > 0:
+            at, token = ends[at]
+            chain.append(token)
+        return chain[::-1]
+
     def __missing__(self, word: str) -> bytes:
         packed = array("I", self.transduce(word.encode())).tobytes()
         if len(word) <= 64:

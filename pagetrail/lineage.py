@@ -38,3 +38,19 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Steps:
+    """Written steps of one job under one folder, which ``close`` deletes when their rows are no longer needed."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder = spark, new_folder(spark, label)
+
+    def cut(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{self.folder}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

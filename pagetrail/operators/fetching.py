@@ -31,26 +31,56 @@ def classify_fetch(fetch_log: DataFrame) -> DataFrame:
     )
 
 
+def _answers(pages: DataFrame) -> DataFrame:
+    """key, address (the stored one without its fragment) and what came of each page."""
+    if {"status", "content_type", "error"} <= set(pages.columns):
+        pages = classify_fetch(pages)
+    else:
+        pages = pages.withColumn("outcome", F.lit(OK))
+    for name, kind in (("crawled_at", "timestamp"), ("links_found", "bigint")):
+        if name not in pages.columns:
+            pages = pages.withColumn(name, F.lit(None).cast(kind))
+    return pages.select(
+        urls.canonical_key("url").alias("key"), address_of("url").alias("address"), F.struct(*ANSWER).alias("answer")
+    ).filter(F.col("key").isNotNull())
+
+
+ANSWER = ("page_id", "outcome", "crawled_at", "links_found")
+
+
+def address_of(url: str) -> Column:
+    """What is fetched for an address: all of it but the fragment."""
+    return F.substring_index(F.col(url), "#", 1)
+
+
 def page_index(pages: DataFrame) -> DataFrame:
     """One row per canonical key: the stored page that answers it.
 
     Several pages may share a key (their query strings differ); the smallest id
     stands for all.  ``pages`` may be a fetch log; without its columns every
-    page counts as fetched.  ``crawled_at`` is kept where it exists.
+    page counts as fetched.  ``crawled_at`` and ``links_found`` are kept where they exist.
     """
-    if {"status", "content_type", "error"} <= set(pages.columns):
-        pages = classify_fetch(pages)
-    else:
-        pages = pages.withColumn("outcome", F.lit(OK))
-    if "crawled_at" not in pages.columns:
-        pages = pages.withColumn("crawled_at", F.lit(None).cast("timestamp"))
-    best = F.min(F.struct("page_id", "outcome", "crawled_at"))
-    return (
-        pages.select(
-            urls.canonical_key("url").alias("key"), "page_id", "outcome", "crawled_at"
-        )
-        .filter(F.col("key").isNotNull())
-        .groupBy("key")
-        .agg(best.alias("best"))
-        .select("key", "best.*")
+    best = _answers(pages).groupBy("key").agg(F.min("answer").alias("best"))
+    return best.select("key", "best.*")
+
+
+def address_index(pages: DataFrame) -> DataFrame:
+    """One row per stored address whose key other addresses share, too."""
+    known = _answers(pages)
+    shared = known.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    best = known.join(shared, "key", "left_semi").groupBy("address").agg(F.min("answer").alias("best"))
+    return best.select("address", "best.*")
+
+
+def answer(rows: DataFrame, index: DataFrame, exact: DataFrame) -> DataFrame:
+    """Adds the columns of ANSWER to rows with url and key: the page stored under just this address,
+    else the one that stands for the key, else nulls."""
+    by_key = index.select("key", F.struct(*ANSWER).alias("_by_key"))
+    by_address = exact.select(F.col("address").alias("_address"), F.struct(*ANSWER).alias("_by_address"))
+    found = (
+        rows.withColumn("_address", address_of("url"))
+        .join(by_key, "key", "left")
+        .join(by_address, "_address", "left")
+        .withColumn("_found", F.coalesce("_by_address", "_by_key"))
     )
+    return found.select(*rows.columns, "_found.*")

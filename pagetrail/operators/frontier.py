@@ -1,7 +1,7 @@
 """The frontier of a crawl as tables.
 
-A frontier row is ``request_id, key, url, depth, path`` plus the settings it is
-crawled with.  ``path`` lists the link positions from the seed; within one depth
+A frontier row is ``request_id, key, url, depth, path``; the settings of its
+request are joined where they are needed.  ``path`` lists the link positions from the seed; within one depth
 all paths have equal length, so ``(depth, path)`` is exactly the order in which
 a queue would hand the rows out, and no global numbering is needed.
 """
@@ -12,29 +12,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from . import joins, ordered
+from . import ordered
 
 ORDER = ["depth", "path"]
 CRAWLED = "crawled"
 
 
-def seeds(requests: DataFrame) -> DataFrame:
-    """First frontier row of each request (defaults already filled in)."""
+def settings_of(requests: DataFrame) -> DataFrame:
+    """request_id and what a frontier row is crawled with (defaults already filled in)."""
     settings = F.struct(
         F.col("depth").cast("int").alias("max_depth"),
         F.col("max_pages").cast("bigint").alias("max_pages"),
         F.col("stay_domain").alias("stay_domain"),
         F.col("filter").alias("filter"),
+        F.col("extract_links").alias("extract_links"),
         (F.col("extract_links") & ~F.col("seed_only")).alias("follow"),
         F.col("robots").alias("robots"),
+        (F.col("agent") if "agent" in requests.columns else F.lit(None).cast("string")).alias("agent"),
     )
+    return requests.select("request_id", settings.alias("settings"))
+
+
+def seeds(requests: DataFrame) -> DataFrame:
+    """First frontier row of each request."""
     return requests.select(
         "request_id",
         urls.canonical_key("url").alias("key"),
         "url",
         F.lit(0).alias("depth"),
         F.array(F.lit(0)).alias("path"),
-        settings.alias("settings"),
     )
 
 
@@ -64,21 +70,17 @@ def stay_on_domain(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("host") == F.col("src_host"))
 
 
-def expand(
-    level: DataFrame,
-    edges: DataFrame,
-    rows: int | None = None,
-    max_key_rows: int = joins.MAX_KEY_ROWS,
-) -> DataFrame:
+def expand(level: DataFrame, edges: DataFrame) -> DataFrame:
     """Links of crawled rows that may be followed, one level deeper.
 
-    ``edges``: src_key, src_host, link_pos, url, key, host.  ``rows``: how many
-    rows the level has at most, if that is known (see ``join_spread``).
+    ``level``: frontier rows with the page_id that answered and settings.  ``edges``: src_id, src_host, link_pos,
+    url, key, host.  A page that very many requests crawl is one key with many rows on the side of
+    ``level``, which adaptive skew handling splits.
     """
     settings = F.col("settings")
     parents = level.filter(settings["follow"]).select(
         "request_id",
-        F.col("key").alias("src_key"),
+        F.col("page_id").alias("src_id"),
         (F.col("depth") + 1).alias("depth"),
         "path",
         "settings",
@@ -87,16 +89,9 @@ def expand(
         urls.url_contains(F.col("url"), settings["filter"])
     )
     return (
-        joins.join_spread(parents, edges, "src_key", rows, max_key_rows)
+        parents.join(edges.select("src_id", "src_host", "link_pos", "url", "key", "host"), "src_id")
         .filter(F.coalesce(kept, F.lit(False)))
-        .select(
-            "request_id",
-            "key",
-            "url",
-            "depth",
-            F.concat("path", F.array("link_pos")).alias("path"),
-            "settings",
-        )
+        .select("request_id", "key", "url", "depth", F.concat("path", F.array("link_pos")).alias("path"))
     )
 
 
@@ -106,7 +101,7 @@ def depth_limit(rows: DataFrame) -> DataFrame:
 
 
 def limit_pages(
-    visited: DataFrame, max_group_rows: int = ordered.MAX_GROUP_ROWS
+    visited: DataFrame, hot_rows: int | None = None
 ) -> DataFrame:
     """Rows handed out before a request has its ``max_pages`` crawled pages.
 
@@ -118,7 +113,7 @@ def limit_pages(
         ORDER,
         F.when(F.col("outcome") == CRAWLED, 1).otherwise(0),
         "_before",
-        max_group_rows,
+        hot_rows,
     )
     limit = F.col("settings.max_pages")
     return counted.filter((limit <= 0) | (F.col("_before") < limit)).drop("_before")

@@ -1,30 +1,43 @@
 """Ordered computations over groups of any size.
 
-A window function sends each group to one task.  That is the fastest way while
-groups are small, which is checked first by counting.  Beyond the bound the
-rows are range-partitioned by group *and* order, so that one group spreads over
-many tasks; every task computes its own part, and one small row per part and
-group carries the result over from the parts before it.
+A window function sends each group to one task, where its rows stream by in order.  That is the
+plain, lazy way.  Where some groups are far too large for one task, ``hot_rows`` says from which size on a
+group is split: only these groups are range-partitioned by group *and* order; every task computes
+its own part, and one small row per part and group carries the result over from the parts
+before it.  The other groups keep the window.  Splitting has to know the groups and the ranges, so with
+``hot_rows`` steps are run and written; without it nothing runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage
 
-MAX_GROUP_ROWS = 1_000_000
 _PART = "_part"
 
 
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """Rows of the largest group and rows in all."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-    return row["largest"] or 0, row["total"] or 0
+def _by_size(
+    df: DataFrame,
+    keys: Sequence[str],
+    hot_rows: int | None,
+    plain: Callable[[DataFrame], DataFrame],
+    split: Callable[[DataFrame, int], DataFrame],
+) -> DataFrame:
+    """``plain`` for groups of up to ``hot_rows`` rows, ``split`` (with a number of parts) for the others."""
+    if hot_rows is None:
+        return plain(df)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+    hot = cut_lineage(sizes, "hot")
+    total = hot.agg(F.sum("_rows")).first()[0]
+    if not total:
+        return plain(df)
+    same = [df[k].eqNullSafe(hot[k]) for k in keys]
+    cold = plain(df.join(hot, same, "left_anti"))
+    return cold.unionByName(split(df.join(hot, same, "left_semi"), 2 * -(-total // hot_rows)))
 
 
 def _spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int) -> DataFrame:
@@ -37,46 +50,43 @@ def _spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int
     return cut_lineage(ranged.withColumn(_PART, F.spark_partition_id()), "ranges")
 
 
-def _parts(total: int, max_group_rows: int) -> int:
-    return 2 * -(-total // max_group_rows)
-
-
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     value: Column,
     name: str,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Adds the sum of ``value`` over the rows before each row of its group."""
-    largest, total = group_sizes(df, keys)
-    if largest <= max_group_rows:
-        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        return df.withColumn(
-            name, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("bigint")
+    until_here = (Window.unboundedPreceding, -1)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*until_here)
+        return rows.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("bigint"))
+
+    def split(rows: DataFrame, parts: int) -> DataFrame:
+        spread = _spread(rows.withColumn("_value", value), keys, order, parts)
+        here = Window.partitionBy(*keys, _PART).orderBy(*order).rowsBetween(*until_here)
+        earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(*until_here)
+        sums = spread.groupBy(*keys, _PART).agg(F.sum("_value").alias("_sum"))
+        carried = sums.withColumn("_carried", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+        own = spread.withColumn(name, F.coalesce(F.sum("_value").over(here), F.lit(0)))
+        return (
+            _carry(own, carried, keys)
+            .withColumn(name, (F.col(name) + F.col("_carried")).cast("bigint"))
+            .drop(_PART, "_value", "_carried")
         )
-    spread = _spread(df.withColumn("_value", value), keys, order, _parts(total, max_group_rows))
-    here = Window.partitionBy(*keys, _PART).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        spread.groupBy(*keys, _PART)
-        .agg(F.sum("_value").alias("_sum"))
-        .select(
-            *keys, _PART, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried")
-        )
-    )
-    own = F.coalesce(F.sum("_value").over(here), F.lit(0))
-    return (
-        spread.withColumn(name, own)
-        .join(carried, [*keys, _PART])
-        .withColumn(name, (F.col(name) + F.col("_carried")).cast("bigint"))
-        .drop(_PART, "_value", "_carried")
-    )
+
+    return _by_size(df, keys, hot_rows, plain, split)
+
+
+def _carry(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with what their part takes over; null keys meet as well."""
+    named = carried.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(_PART).alias("_p"), "_carried")
+    same = [rows[k].eqNullSafe(named[f"_k{i}"]) for i, k in enumerate(keys)]
+    met = rows.join(named, [*same, rows[_PART] == named["_p"]])
+    return met.drop("_p", *(f"_k{i}" for i in range(len(keys))))
 
 
 def row_number(
@@ -84,10 +94,10 @@ def row_number(
     keys: Sequence[str],
     order: Sequence[str],
     name: str,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Adds the position of each row in its group, from 1."""
-    counted = running_sum(df, keys, order, F.lit(1), name, max_group_rows)
+    counted = running_sum(df, keys, order, F.lit(1), name, hot_rows)
     return counted.withColumn(name, F.col(name) + 1)
 
 
@@ -97,29 +107,27 @@ def last_value(
     order: Sequence[str],
     value: str,
     name: str,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Adds the last non-null ``value`` up to and including each row."""
-    largest, total = group_sizes(df, keys)
     up_to_here = (Window.unboundedPreceding, Window.currentRow)
-    if largest <= max_group_rows:
+
+    def plain(rows: DataFrame) -> DataFrame:
         seen = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*up_to_here)
-        return df.withColumn(name, F.last(value, ignorenulls=True).over(seen))
-    spread = _spread(df, keys, order, _parts(total, max_group_rows))
-    here = Window.partitionBy(*keys, _PART).orderBy(*order).rowsBetween(*up_to_here)
-    earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        spread.groupBy(*keys, _PART)
-        .agg(
-            F.max_by(
-                F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order))
-            ).alias("_last")
+        return rows.withColumn(name, F.last(value, ignorenulls=True).over(seen))
+
+    def split(rows: DataFrame, parts: int) -> DataFrame:
+        spread = _spread(rows, keys, order, parts)
+        here = Window.partitionBy(*keys, _PART).orderBy(*order).rowsBetween(*up_to_here)
+        earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+        newest = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order)))
+        lasts = spread.groupBy(*keys, _PART).agg(newest.alias("_last"))
+        carried = lasts.withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)).drop("_last")
+        own = spread.withColumn(name, F.last(value, ignorenulls=True).over(here))
+        return (
+            _carry(own, carried, keys)
+            .withColumn(name, F.coalesce(F.col(name), F.col("_carried")))
+            .drop(_PART, "_carried")
         )
-        .select(*keys, _PART, F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
-    )
-    return (
-        spread.withColumn(name, F.last(value, ignorenulls=True).over(here))
-        .join(carried, [*keys, _PART])
-        .withColumn(name, F.coalesce(F.col(name), F.col("_carried")))
-        .drop(_PART, "_carried")
-    )
+
+    return _by_size(df, keys, hot_rows, plain, split)

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.robots import ANY_AGENT
 from ..schemas import PAGE_FIELDS
-from . import extraction, fetching, joins
+from . import extraction, fetching
+from . import robots as rb
 
 # What a missing setting means.
 DEFAULTS = {
@@ -56,57 +58,59 @@ def time_budget(timeout: Column, max_pages: Column) -> Column:
 
 
 def crawl_response(page_data: DataFrame, requests: DataFrame) -> DataFrame:
-    """One row per request: number of pages, the pages in order, seconds taken.
+    """One row per request: errors, number of pages, the pages in order, seconds taken.
 
-    A list can only be that long because valid requests ask for at most 100
-    pages; requests beyond the bounds have no nested answer (they are refused),
-    their pages are read from ``page_data`` itself.
+    A list can only be as long as the bounds allow (100 pages).  A request beyond the bounds is refused: ``errors`` names
+    the settings, ``pages`` is null, and its pages, if any, are counted and can be read from ``page_data`` itself.
     """
-    asked = valid_requests(requests).select("request_id")
+    asked = validate_requests(with_defaults(requests)).select("request_id", "errors")
+    totals = page_data.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("crawled_at").alias("first"), F.max("crawled_at").alias("last")
+    )
     record = F.struct("depth", "path", F.struct(*PAGE_FIELDS).alias("page"))
-    answered = (
-        page_data.join(asked, "request_id", "left_semi")
+    lists = (
+        page_data.join(asked.filter(F.size("errors") == 0), "request_id", "left_semi")
         .groupBy("request_id")
-        .agg(
-            F.collect_list(record).alias("found"),
-            F.min("crawled_at").alias("first"),
-            F.max("crawled_at").alias("last"),
-        )
+        .agg(F.array_sort(F.collect_list(record)).alias("found"))
     )
-    return asked.join(answered, "request_id", "left").select(
+    return asked.join(totals, "request_id", "left").join(lists, "request_id", "left").select(
         "request_id",
-        F.coalesce(F.size("found"), F.lit(0)).alias("pages_crawled"),
-        F.coalesce(
-            F.transform(F.array_sort("found"), lambda r: r["page"]), F.array()
+        "errors",
+        F.coalesce("n", F.lit(0)).alias("pages_crawled"),
+        F.when(
+            F.size("errors") == 0, F.coalesce(F.transform("found", lambda r: r["page"]), F.array())
         ).alias("pages"),
-        F.coalesce(
-            (F.unix_micros("last") - F.unix_micros("first")) / 1e6, F.lit(0.0)
-        ).alias("execution_time_seconds"),
+        F.coalesce((F.unix_micros("last") - F.unix_micros("first")) / 1e6, F.lit(0.0)).alias("execution_time_seconds"),
     )
 
 
-def _asked_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """Every request with the id of the page that answers it, if any."""
-    index = fetching.page_index(pages).filter(F.col("outcome") == fetching.OK)
-    return (
-        requests.withColumn("key", urls.canonical_key("url"))
-        .join(index.select("key", "page_id", "crawled_at"), "key", "left")
-        .drop("key")
+def _asked_pages(
+    requests: DataFrame, pages: DataFrame, robots: DataFrame | None, agent: str
+) -> DataFrame:
+    """The requests that a fetched page answers, with its id and time; denied addresses have none."""
+    if robots is not None:
+        names = F.coalesce("agent", F.lit(agent)) if "agent" in requests.columns else agent
+        requests = rb.drop_denied(requests, rb.latest_robots(robots), names)
+    found = fetching.answer(
+        requests.withColumn("key", urls.canonical_key("url")),
+        fetching.page_index(pages),
+        fetching.address_index(pages),
     )
+    return found.filter(F.col("outcome") == fetching.OK).drop("key", "outcome", "links_found")
 
 
-def scrape(requests: DataFrame, pages: DataFrame) -> DataFrame:
+def scrape(
+    requests: DataFrame, pages: DataFrame, robots: DataFrame | None = None, agent: str = ANY_AGENT
+) -> DataFrame:
     """The page of each requested address; nothing is followed.
 
-    ``requests``: request_id, url, extract_links.  Each page is extracted once,
-    however many requests ask for it.  Addresses without page yield no row.
+    ``requests``: request_id, url, extract_links, maybe agent.  ``robots``: robots files, which are respected.  Each page is extracted once,
+    however many requests ask for it.  Addresses without page, and denied ones, yield no row.
     """
-    asked = _asked_pages(requests, pages).filter(F.col("page_id").isNotNull())
+    asked = _asked_pages(requests, pages, robots, agent)
     wanted = asked.groupBy("page_id").agg(F.max("extract_links").alias("_links"))
     found = extraction.page_texts(
-        joins.pick(
-            pages.select("page_id", "url", "html"), wanted, "page_id", requests.count()
-        ),
+        pages.select("page_id", "url", "html").join(wanted, "page_id"),
         F.lit(False),
         F.lit(True),
         F.col("_links"),
@@ -124,16 +128,13 @@ def scrape(requests: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def page_links(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """``request_id, url, links_found, links`` of the page of each request."""
-    asked = _asked_pages(requests, pages).filter(F.col("page_id").isNotNull())
+def page_links(
+    requests: DataFrame, pages: DataFrame, robots: DataFrame | None = None, agent: str = ANY_AGENT
+) -> DataFrame:
+    """``request_id, url, links_found, links`` of the page of each request; see ``scrape``."""
+    asked = _asked_pages(requests, pages, robots, agent)
     found = extraction.page_links(
-        joins.pick(
-            pages.select("page_id", "url", "html"),
-            asked.select("page_id").distinct(),
-            "page_id",
-            requests.count(),
-        )
+        pages.select("page_id", "url", "html").join(asked.select("page_id").distinct(), "page_id")
     )
     return asked.select("request_id", "url", "page_id").join(
         found.select("page_id", "links"), "page_id"

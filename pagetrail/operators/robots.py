@@ -67,26 +67,36 @@ def usable_robots(origins: DataFrame, robots: DataFrame) -> DataFrame:
     )
 
 
-def robots_verdict(urls_df: DataFrame, parsed: DataFrame, agent: str | Column) -> DataFrame:
-    """Adds ``allowed`` to rows with a ``url``; ``parsed`` has one row per origin.
+def robots_verdict(
+    urls_df: DataFrame, parsed: DataFrame, agent: str | Column, with_delay: bool = False
+) -> DataFrame:
+    """Adds ``allowed`` to rows with a ``url``, and ``crawl_delay_s`` if asked for; ``parsed`` has one row per origin.
 
     The rules of an origin stay one array, so a URL meets them in its own row
-    instead of being multiplied by them.
+    instead of being multiplied by them.  Addresses without an origin match nothing and are dealt out
+    by their text.
     """
-    rules = parsed.select(F.col("origin").alias("_origin"), F.col("rules").alias("_rules"))
+    rules = parsed.select(
+        F.col("origin").alias("_origin"), F.col("rules").alias("_rules"), F.col("crawl_delay_s").alias("_delay")
+    )
+    if not with_delay:
+        rules = rules.drop("_delay")
     if isinstance(agent, str):
         # only rules that can apply travel to the addresses
         names = {agent, text.ANY_AGENT}
         rules = rules.withColumn("_rules", F.filter("_rules", lambda r: r["agent"].isin(*sorted(names))))
         agent = F.lit(agent)
     known = urls_df.withColumn("_id", urls.url_identity("url")).withColumns(
-        {"_origin": F.col("_id.origin"), "_path": F.col("_id.path"), "_agent": agent}
-    )
-    return (
-        known.join(rules, "_origin", "left")
-        .withColumn("allowed", text.verdict("_rules", "_path", "_agent"))
-        .drop("_id", "_origin", "_path", "_agent", "_rules")
+        {
+            "_origin": F.coalesce("_id.origin", F.hex(F.xxhash64("url"))),
+            "_path": F.col("_id.path"),
+            "_agent": agent,
+        }
     )
+    judged = known.join(rules, "_origin", "left").withColumn("allowed", text.verdict("_rules", "_path", "_agent"))
+    if with_delay:
+        judged = judged.withColumn("crawl_delay_s", F.coalesce("_delay", F.lit(text.DEFAULT_DELAY))).drop("_delay")
+    return judged.drop("_id", "_origin", "_path", "_agent", "_rules")
 
 
 def drop_denied(
@@ -102,13 +112,13 @@ def robots_asof(
     visits: DataFrame,
     snapshots: DataFrame,
     ttl_hours: float = 24,
-    max_group_rows: int = ordered.MAX_GROUP_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Adds the newest robots file at the time of each visit, and its age.
 
     ``visits``: url, at and an id column ``visit_id``.  ``snapshots``: origin,
     fetched_at.  A file is good for exactly ``ttl_hours``; without one, or with
-    an older one, ``needs_refetch`` is true.
+    an older one, ``needs_refetch`` is true, as it is for an address without an origin.
     """
     none = F.lit(None).cast("timestamp")
     both = (
@@ -120,7 +130,7 @@ def robots_asof(
             F.col("url"),
             none.alias("fetched_at"),
         )
-        .filter(F.col("origin").isNotNull())
+        .withColumn("_group", F.coalesce("origin", F.hex(F.xxhash64("url"))))
         .unionByName(
             snapshots.select(
                 "origin",
@@ -129,11 +139,13 @@ def robots_asof(
                 F.lit(None).cast("bigint").alias("visit_id"),
                 F.lit(None).cast("string").alias("url"),
                 "fetched_at",
-            ).distinct()
+            )
+            .distinct()
+            .withColumn("_group", F.col("origin"))
         )
     )
     filled = ordered.last_value(
-        both, ["origin"], ["at", "kind", "visit_id"], "fetched_at", "robots_at", max_group_rows
+        both, ["_group"], ["at", "kind", "visit_id"], "fetched_at", "robots_at", hot_rows
     )
     age = F.unix_micros("at") - F.unix_micros("robots_at")
     fresh = age <= F.lit(int(ttl_hours * 3600 * 1_000_000))
@@ -157,7 +169,7 @@ def host_spacing(delay: Column, crawl_delay_s: Column) -> Column:
 def fetch_schedule(
     visited: DataFrame,
     parsed: DataFrame | None = None,
-    max_group_rows: int = ordered.MAX_GROUP_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Earliest fetch offset: the k-th address of a host waits k spacings.
 
@@ -182,7 +194,7 @@ def fetch_schedule(
         ["request_id", "host"],
         ["depth", "path"],
         "host_rank",
-        max_group_rows,
+        hot_rows,
     )
     return ranked.drop("_origin", "_delay").withColumn(
         "fetch_offset_s", F.col("host_rank") * F.col("spacing_s")

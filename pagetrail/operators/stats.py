@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 from .frontier import CRAWLED
 
 
-def crawl_stats(visited: DataFrame) -> DataFrame:
-    """Pages, links (before any filter, duplicates included) and times."""
-    return (
+def crawl_stats(visited: DataFrame, requests: DataFrame) -> DataFrame:
+    """Pages, links (before any filter, duplicates included) and times; zeros for a request without a page."""
+    found = (
         visited.filter(F.col("outcome") == CRAWLED)
         .groupBy("request_id")
         .agg(
-            F.count(F.lit(1)).alias("pages_crawled"),
-            F.sum("links_found").alias("links_discovered"),
+            F.count(F.lit(1)).alias("pages"),
+            F.sum("links_found").alias("links"),
             F.min("crawled_at").alias("start_time"),
             F.max("crawled_at").alias("end_time"),
         )
     )
+    return requests.select("request_id").join(found, "request_id", "left").select(
+        "request_id",
+        F.coalesce("pages", F.lit(0)).alias("pages_crawled"),
+        F.coalesce("links", F.lit(0)).alias("links_discovered"),
+        "start_time",
+        "end_time",
+    )
 
 
 def skip_reasons(visited: DataFrame, totals: bool = False) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.robots import ANY_AGENT
-from ..lineage import cut_lineage
-from ..operators import extraction, fetching, frontier, joins, ordered
+from ..lineage import Steps
+from ..operators import extraction, fetching, frontier, ordered
 from ..operators import requests as rq
 from ..operators import robots as rb
 from ..schemas import PAGE_FIELDS
@@ -26,18 +26,46 @@ DENIED = "robots_denied"
 
 
 @dataclass
-class Crawl:
-    """Outcome of ``crawl``; all DataFrames are lazy reads of written tables."""
+class Site:
+    """Stored pages made ready to be crawled, once for all crawls."""
 
-    requests: DataFrame
     pages: DataFrame
-    #: links of the pages that answer their key
     edges: DataFrame
+    index: DataFrame
+    exact: DataFrame
+    steps: Steps
+
+    def close(self) -> None:
+        self.steps.close()
+
+
+def prepare(pages: DataFrame, edges: DataFrame) -> Site:
+    """Writes which page answers which address, with its number of links.
+
+    ``pages``: page table or fetch log.  ``edges``: see ``link_edges``; they are used as they are and never copied.
+    """
+    steps = Steps(pages.sparkSession, "site")
+    degrees = edges.groupBy(F.col("src_id").alias("page_id")).agg(F.count(F.lit(1)).alias("links_found"))
+    known = pages.drop("html").join(degrees, "page_id", "left").na.fill(0, ["links_found"])
+    return Site(
+        pages,
+        edges,
+        steps.cut(fetching.page_index(known), "index"),
+        steps.cut(fetching.address_index(known), "exact"),
+        steps,
+    )
+
+
+@dataclass
+class Crawl:
+    """Outcome of ``crawl``; all DataFrames are lazy reads of written tables, until ``close`` deletes them."""
+
+    requests: DataFrame
+    site: Site
     #: request_id, key, url, depth, path, outcome, page_id, crawled_at,
-    #: links_found, taken: every address that entered a queue
+    #: links_found, follow, taken, settings: every address that entered a queue
     admitted: DataFrame
-    #: upper limit of the number of crawled rows
-    crawled_rows: int
+    steps: Steps
 
     @property
     def visited(self) -> DataFrame:
@@ -49,24 +77,17 @@ class Crawl:
         """Record of each crawled page, with request_id and place in the queue."""
         return page_data(self)
 
-
-def _follow_table(index: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges of the pages that answer their key and were fetched."""
-    sources = index.filter(F.col("outcome") == fetching.OK).select(
-        F.col("page_id").alias("src_id"), F.col("key").alias("src_key")
-    )
-    return edges.select("src_id", "src_host", "link_pos", "url", "key", "host").join(
-        sources, "src_id"
-    )
+    def close(self) -> None:
+        self.steps.close()
 
 
-def _look_up(level: DataFrame, index: DataFrame, rules: DataFrame | None, agent: str) -> DataFrame:
-    """Adds what would come of visiting each row."""
-    found = level.join(index, "key", "left")
+def _look_up(level: DataFrame, settings: DataFrame, site: Site, rules: DataFrame | None) -> DataFrame:
+    """Adds what comes of visiting each row."""
+    found = fetching.answer(level, site.index, site.exact).join(settings, "request_id")
     if rules is None:
         found = found.withColumn("allowed", F.lit(True))
     else:
-        found = rb.robots_verdict(found, rules, agent)
+        found = rb.robots_verdict(found, rules, F.col("settings.agent"))
     fetched = F.coalesce(F.col("outcome"), F.lit(fetching.FETCH_ERROR))
     outcome = (
         F.when(F.col("depth") > F.col("settings.max_depth"), F.lit(TOO_DEEP))
@@ -75,14 +96,19 @@ def _look_up(level: DataFrame, index: DataFrame, rules: DataFrame | None, agent:
         .otherwise(fetched)
     )
     crawled = F.col("outcome") == frontier.CRAWLED
-    return found.withColumn("outcome", outcome).drop("allowed").withColumns(
-        {
-            "page_id": F.when(crawled, F.col("page_id")),
-            "crawled_at": F.when(crawled, F.col("crawled_at")),
-            "links_found": F.when(crawled, F.coalesce("links_found", F.lit(0)))
-            .otherwise(F.lit(0))
-            .cast("bigint"),
-        }
+    # links are only looked for where they are asked for
+    counted = crawled & F.col("settings.extract_links")
+    return (
+        found.withColumn("outcome", outcome)
+        .withColumns(
+            {
+                "page_id": F.when(crawled, F.col("page_id")),
+                "crawled_at": F.when(crawled, F.col("crawled_at")),
+                "links_found": F.when(counted, F.col("links_found")).otherwise(F.lit(0)).cast("bigint"),
+                "follow": F.col("settings.follow"),
+            }
+        )
+        .drop("allowed", "settings")
     )
 
 
@@ -92,7 +118,7 @@ def _progress(level: DataFrame, state: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("outcome") == frontier.CRAWLED).alias("crawled"),
         F.count_if(
-            (F.col("outcome") == frontier.CRAWLED) & F.col("settings.follow")
+            (F.col("outcome") == frontier.CRAWLED) & F.col("follow")
         ).alias("following"),
     )
     open_ = F.col("cut_path").isNull()
@@ -109,7 +135,7 @@ def _progress(level: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def _cuts(level: DataFrame, progress: DataFrame, max_group_rows: int) -> DataFrame:
+def _cuts(level: DataFrame, progress: DataFrame, hot_rows: int) -> DataFrame:
     """Place of the last page of each request whose limit falls in this level."""
     wanted = progress.filter("reached").select(
         "request_id", (F.col("max_pages") - F.col("done") - 1).alias("_still")
@@ -120,7 +146,7 @@ def _cuts(level: DataFrame, progress: DataFrame, max_group_rows: int) -> DataFra
         .join(wanted, "request_id")
     )
     counted = ordered.running_sum(
-        successes, ["request_id"], frontier.ORDER, F.lit(1), "_before", max_group_rows
+        successes, ["request_id"], frontier.ORDER, F.lit(1), "_before", hot_rows
     )
     return counted.filter(F.col("_before") == F.col("_still")).select(
         "request_id", F.col("depth").alias("new_depth"), F.col("path").alias("new_path")
@@ -138,27 +164,31 @@ def _taken(rows: DataFrame, state: DataFrame) -> DataFrame:
     return rows.join(cuts, "request_id").withColumn("taken", before).drop("cut_depth", "cut_path")
 
 
+#: A request with more successes in a level is split to find the place of its last page.
+HOT_ROWS = 1_000_000
+
+
 def crawl(
     requests: DataFrame,
-    pages: DataFrame,
-    edges: DataFrame,
+    site: Site,
     robots: DataFrame | None = None,
     agent: str = ANY_AGENT,
-    max_group_rows: int = ordered.MAX_GROUP_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> Crawl:
     """Crawl every request over the stored pages.
 
-    ``requests``: request_id, url and settings (missing ones take defaults).
-    ``pages``: page table or fetch log.  ``edges``: see ``link_edges``.
-    ``robots``: origin, status, body, fetched_at; without it all is allowed.
+    ``requests``: request_id, url and settings (missing ones take defaults; ``agent`` stands in where a request names
+    none).  ``site``: see ``prepare``.  ``robots``: origin, status, body, fetched_at; without it all is
+    allowed.  An address is answered by the page stored under it, else by the page of its key.
     """
+    steps = Steps(requests.sparkSession, "crawl")
     asked = rq.with_defaults(requests)
-    index = fetching.page_index(pages)
-    follow = cut_lineage(_follow_table(index, edges), "edges")
-    degrees = follow.groupBy("src_id").agg(F.count(F.lit(1)).alias("links_found"))
-    index = index.join(degrees.withColumnRenamed("src_id", "page_id"), "page_id", "left")
-    index = cut_lineage(index, "index")
-    rules = None if robots is None else cut_lineage(rb.latest_robots(robots), "robots")
+    named = F.col("agent") if "agent" in asked.columns else F.lit(None).cast("string")
+    asked = asked.withColumns(
+        {"extract_links": F.col("extract_links").cast("boolean"), "agent": F.coalesce(named, F.lit(agent))}
+    )
+    settings = steps.cut(frontier.settings_of(asked), "settings")
+    rules = None if robots is None else steps.cut(rb.latest_robots(robots), "robots")
 
     state = asked.select(
         "request_id",
@@ -167,33 +197,24 @@ def crawl(
         F.lit(None).cast("int").alias("cut_depth"),
         F.lit(None).cast("array<int>").alias("cut_path"),
     )
-    asked = asked.withColumn("extract_links", F.col("extract_links").cast("boolean"))
     candidates = frontier.seeds(asked)
     levels: list[DataFrame] = []
-    crawled_rows = 0
     while True:
-        known = reduce(DataFrame.unionByName, levels) if levels else None
-        level = cut_lineage(
-            _look_up(frontier.admit(candidates, known), index, rules, agent), "level"
-        )
+        known = reduce(DataFrame.unionByName, [x.select("request_id", "key") for x in levels]) if levels else None
+        level = steps.cut(_look_up(frontier.admit(candidates, known), settings, site, rules), "level")
         levels.append(level)
 
         progress = _progress(level, state)
         seen = progress.agg(
-            F.sum("following").alias("following"),
-            F.sum("crawled").alias("crawled"),
-            F.count_if("reached").alias("reached"),
+            F.sum("following").alias("following"), F.count_if("reached").alias("reached")
         ).first()
-        crawled_rows += seen["crawled"] or 0
         if seen["reached"]:
-            progress = progress.join(
-                _cuts(level, progress, max_group_rows), "request_id", "left"
-            )
+            progress = progress.join(_cuts(level, progress, hot_rows), "request_id", "left")
         else:
             progress = progress.withColumn("new_depth", F.lit(None).cast("int")).withColumn(
                 "new_path", F.lit(None).cast("array<int>")
             )
-        state = cut_lineage(
+        state = steps.cut(
             progress.select(
                 "request_id",
                 "max_pages",
@@ -205,13 +226,13 @@ def crawl(
         )
         if not seen["following"]:
             break
-        going_on = _taken(level.filter(F.col("outcome") == frontier.CRAWLED), state)
+        going_on = _taken(level.filter((F.col("outcome") == frontier.CRAWLED) & F.col("follow")), state)
         candidates = frontier.expand(
-            going_on.filter("taken").drop("taken"), follow, seen["following"], max_group_rows
+            going_on.filter("taken").drop("taken").join(settings, "request_id"), site.edges
         )
 
-    admitted = _taken(reduce(DataFrame.unionByName, levels), state)
-    return Crawl(asked, pages, follow, admitted, crawled_rows)
+    admitted = _taken(reduce(DataFrame.unionByName, levels), state).join(settings, "request_id")
+    return Crawl(asked, site, admitted, steps)
 
 
 def page_data(done: Crawl) -> DataFrame:
@@ -230,19 +251,14 @@ def page_data(done: Crawl) -> DataFrame:
         F.max("extract_links").alias("_links"),
     )
     texts = extraction.page_texts(
-        joins.pick(
-            done.pages.select("page_id", "url", "html"),
-            kinds.drop("_links"),
-            "page_id",
-            done.crawled_rows,
-        ),
+        done.site.pages.select("page_id", "url", "html").join(kinds.drop("_links"), "page_id"),
         F.col("_news"),
         ~F.col("_only_news"),
         F.lit(False),
     ).drop("links")
     # one page's links are one row's worth of text, so these lists stay small
     lists = (
-        done.edges.join(
+        done.site.edges.join(
             kinds.filter("_links").select(F.col("page_id").alias("src_id")), "src_id", "left_semi"
         )
         .groupBy("src_id")
@@ -251,9 +267,7 @@ def page_data(done: Crawl) -> DataFrame:
     )
     no_links = F.array().cast("array<string>")
     return (
-        joins.join_spread(
-            crawled, texts.join(lists, "page_id", "left"), "page_id", done.crawled_rows
-        )
+        crawled.join(texts.join(lists, "page_id", "left"), "page_id")
         .withColumn(
             "content",
             F.when(F.col("news"), F.col("news_text")).otherwise(F.col("plain_text")),

@@ -5,7 +5,12 @@ from pyspark.sql import functions as F
 
 from pagetrail.operators import extraction, fetching, frontier, requests as rq, stats
 from pagetrail.operators import robots as rb
-from pagetrail.plans.crawl import crawl
+from pagetrail.plans.crawl import crawl as crawl_site
+from pagetrail.plans.crawl import prepare
+
+def crawl(requests, pages, edges, *args, **settings):
+    return crawl_site(requests, prepare(pages, edges), *args, **settings)
+
 
 H = "http://h.example/"
 SITE = {"s": "ab", "a": "cb", "b": "d", "c": "s"}
@@ -74,10 +79,10 @@ def test_counts(all_cases):
     assert counts == {0: 1, 1: 3, 2: 5, 3: 5, 4: 5, 5: 1, 6: 1, 7: 5}
     outcomes = {(r.request_id, r.outcome): r.urls for r in stats.skip_reasons(all_cases.visited).collect()}
     assert outcomes[(3, "crawled")] == 4 and outcomes[(3, "fetch_error")] == 1
-    found = {r.request_id: r for r in stats.crawl_stats(all_cases.visited).collect()}
+    found = {r.request_id: r for r in stats.crawl_stats(all_cases.visited, all_cases.requests).collect()}
     assert (found[3].pages_crawled, found[3].links_discovered) == (4, 6)
     assert (found[6].pages_crawled, found[6].links_discovered) == (1, 2)
-    assert found[0].links_discovered == 2  # the edge table knows them all
+    assert found[0].links_discovered == 0  # it did not ask for links
 
 
 def test_page_data(all_cases):
@@ -97,7 +102,10 @@ def test_lookup(spark, all_cases):
 
 def test_response(spark, all_cases):
     rows = {r.request_id: r for r in rq.crawl_response(all_cases.page_data, all_cases.requests).collect()}
-    assert set(rows) == set(range(7))  # without a page limit there is no nested answer
+    assert set(rows) == set(range(8))
+    # without a page limit a request is refused, which is said; its pages are counted
+    assert (rows[7].errors, rows[7].pages_crawled, rows[7].pages) == (["max_pages"], 4, None)
+    assert rows[3].errors == []
     assert rows[3].pages_crawled == 4 and rows[3].execution_time_seconds == 3.0
     assert [p.title for p in rows[3].pages] == list("sabc")
 
@@ -146,7 +154,7 @@ def test_against_a_queue(spark, bound):
     requests = spark.createDataFrame(
         asked, "request_id bigint, url string, depth int, max_pages int"
     ).withColumn("extract_links", F.lit(True))
-    done = crawl(requests, pages, extraction.link_edges(pages), max_group_rows=bound)
+    done = crawl(requests, pages, extraction.link_edges(pages), hot_rows=bound)
     admitted = done.admitted.collect()
     for request, url, depth, limit in asked:
         mine = sorted(
@@ -157,7 +165,7 @@ def test_against_a_queue(spark, bound):
         assert {r.key[len(H):] for r in mine} == seen
         assert [r.key[len(H):] for r in mine if not r.taken] == queue
     limited = frontier.limit_pages(
-        done.admitted.filter("request_id = 3").withColumn(
+        done.admitted.filter("request_id = 3").drop("settings").withColumn(
             "settings", F.struct(F.lit(4).alias("max_pages"))
         ),
         bound,
@@ -182,3 +190,55 @@ def test_domain_and_refusals(spark):
     assert crawl(one(spark, url="http://a/%zz"), pages, edges).admitted.count() == 0
     missing = frontier.uncrawled(edges, fetching.page_index(pages)).collect()
     assert [(r.key, r.url) for r in missing] == [("http://b/y", "http://b/y")]
+
+
+def test_the_exact_address_answers_before_its_key(spark):
+    rows = [
+        (5, "http://a/p?x=1", "<title>one</title><a href='/one'>"),
+        (3, "http://a/p?x=2", "<title>two</title><a href='/two'>"),
+        (4, "http://a/p?x=1#again", "<title>late</title>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    edges = extraction.link_edges(pages)
+    asked = [(1, "http://a/p?x=1"), (2, "http://a/p?x=2#f"), (3, "http://a/p"), (4, "http://a/p?x=9")]
+    requests = spark.createDataFrame(asked, "request_id bigint, url string").withColumn("extract_links", F.lit(True))
+    got = {r.request_id: r.title for r in crawl(requests, pages, edges).page_data.filter("depth = 0").collect()}
+    # of two pages under one address the smaller id, without that address the smallest id of the key
+    assert got == {1: "late", 2: "two", 3: "two", 4: "two"}
+    assert {r.request_id: r.title for r in rq.scrape(requests, pages).collect()} == got
+    followed = crawl(requests.filter("request_id = 2"), pages, edges)
+    assert [r.key for r in followed.admitted.filter("depth = 1").collect()] == ["http://a/two"]
+
+
+def test_agent_of_each_request(spark):
+    pages = site(spark)
+    robots = spark.createDataFrame(
+        [(H[:-1], 200, "User-agent: A\nDisallow: /b\nUser-agent: B\nDisallow: /", DAY)],
+        "origin string, status int, body string, fetched_at timestamp",
+    )
+    asked = [(1, "A"), (2, "B"), (3, None)]
+    requests = spark.createDataFrame(asked, "request_id bigint, agent string").withColumns(
+        {"url": F.lit(H + "s"), "extract_links": F.lit(True), "depth": F.lit(2)}
+    )
+    done = crawl(requests, pages, extraction.link_edges(pages), robots)
+    got = {}
+    for r in done.visited.filter("outcome = 'crawled'").orderBy("depth", "path").collect():
+        got[r.request_id] = got.get(r.request_id, "") + r.key[len(H):]
+    assert got == {1: "sac", 3: "sabc"}
+    assert {r.request_id for r in rq.scrape(requests, pages, robots, "B").collect()} == {1}
+    assert {r.request_id for r in rq.page_links(requests, pages, robots).collect()} == {1, 3}
+    found = {r.request_id: (r.pages_crawled, r.links_discovered) for r in stats.crawl_stats(done.visited, done.requests).collect()}
+    assert found[2] == (0, 0)
+
+
+def test_steps_are_deleted(spark):
+    import os
+
+    pages = site(spark)
+    ready = prepare(pages, extraction.link_edges(pages))
+    done = crawl_site(one(spark), ready)
+    folders = [x.steps.folder for x in (done, ready)]
+    assert all(map(os.path.isdir, folders))
+    done.close()
+    ready.close()
+    assert not any(map(os.path.isdir, folders))

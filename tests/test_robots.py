@@ -96,17 +96,19 @@ def test_asof(spark, bound):
     offsets = [-1, 0, 24, 24.5, 30, 40, 55] + [31 + i / 10 for i in range(20)]
     visits = spark.createDataFrame(
         [(i, "http://h/x", day + o * hours) for i, o in enumerate(offsets)]
-        + [(100, "http://n/x", day)],
+        + [(100, "http://n/x", day), (101, "http://h/%zz", day), (102, None, day)],
         "visit_id bigint, url string, at timestamp",
     )
-    got = {r.visit_id: r for r in rb.robots_asof(visits, snapshots, max_group_rows=bound).collect()}
-    assert len(got) == len(offsets) + 1
+    got = {r.visit_id: r for r in rb.robots_asof(visits, snapshots, hot_rows=bound).collect()}
+    assert len(got) == len(offsets) + 3
     for i, o in enumerate(offsets):
         held = [h for h in (0, 30) if h <= o]
         expected = day + held[-1] * hours if held else None
         assert got[i].robots_at == expected
         assert got[i].needs_refetch == (not held or o - held[-1] > 24)
-    assert got[100].needs_refetch and got[100].robots_at is None
+    for i in (100, 101, 102):
+        assert got[i].needs_refetch and got[i].robots_at is None
+    assert got[101].origin is None
 
 
 @pytest.mark.parametrize("bound", [1_000_000, 4])

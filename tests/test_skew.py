@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from pagetrail.operators import joins, ordered
+from pagetrail.operators import ordered
 
 
 def rows(df):
-    return sorted(map(tuple, df.collect()))
+    return sorted(map(tuple, df.collect()), key=repr)
 
 
 def hot(spark):
@@ -18,18 +18,22 @@ def hot(spark):
     )
 
 
-def test_join_spread(spark):
-    many = hot(spark)
-    few = spark.range(10).select(F.col("id").alias("k"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("x"))
-    expected = rows(many.join(few, "k"))
-    assert rows(joins.join_spread(many, few, "k", max_key_rows=20)) == expected
-    assert rows(joins.join_spread(many, few, "k", max_key_rows=10_000)) == expected
-    assert rows(joins.join_spread(many, few, "k", rows=600)) == expected
+def test_only_hot_groups_are_split(spark):
+    df = hot(spark).unionByName(hot(spark).withColumn("k", F.lit(None).cast("bigint")).filter("o < 300"))
+    split = ordered.row_number(df, ["k"], ["o"], "s", hot_rows=100)
+    assert rows(split) == rows(ordered.row_number(df, ["k"], ["o"], "s"))
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "_part" in plan
 
 
-def test_hot_keys_are_dealt_out(spark):
-    plan = joins.join_spread(hot(spark), spark.range(5).withColumnRenamed("id", "k"), "k", max_key_rows=20)
-    assert "_share" in plan._jdf.queryExecution().toString()
+def test_without_a_bound_nothing_runs(spark):
+    group = "no-jobs"
+    spark.sparkContext.setJobGroup(group, "plans only")
+    df = hot(spark)
+    ordered.row_number(df, ["k"], ["o"], "s")
+    ordered.last_value(df, ["k"], ["o"], "v", "s")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setJobGroup("", "")
 
 
 def test_running_sum_and_row_number(spark):

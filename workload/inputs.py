@@ -2,7 +2,7 @@
 
 The page table holds no fetch log, robots files or crawl requests, and none of
 its links leads to another stored page.  These tables supply them: a link tree
-per host, fetch results, robots files and one request per host, all made from
+per host, fetch results, robots files and one request per page, all made from
 the rows of ``pages`` and ``events``.
 """
 
@@ -17,7 +17,7 @@ from pagetrail.functions import html
 from pagetrail.lineage import cut_lineage
 from pagetrail.operators import extraction, ordered
 from pagetrail.operators import requests as rq
-from pagetrail.plans.crawl import Crawl, crawl
+from pagetrail.plans.crawl import Crawl, Site, crawl, prepare
 from pagetrail.sources import tables
 
 AGENT = "TestBot/1.0"
@@ -77,10 +77,25 @@ def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.unionByName(across).unionByName(missing)
 
 
+#: Added to the id of a page for a second page that is stored under the same path with a query.
+SECOND = 1_000_000_000
+
+
+def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, and for every third a second one whose address differs only in its query."""
+    first = pages(spark, sf_dir).select("page_id", "url", "html")
+    second = first.filter(F.col("page_id") % 3 == 0).select(
+        (F.col("page_id") + SECOND).alias("page_id"),
+        F.concat(F.regexp_extract("url", "^([^?#]+)", 1), F.lit("?ref=1")).alias("url"),
+        F.replace("html", F.lit("<title>"), F.lit("<title>v2 ")).alias("html"),
+    )
+    return first.unionByName(second)
+
+
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fetch result per page."""
+    """One fetch result per stored page."""
     i = F.col("page_id")
-    return pages(spark, sf_dir).select(
+    return stored_pages(spark, sf_dir).select(
         "page_id",
         "url",
         F.when(i % 13 == 5, 404).when(i % 17 == 3, 500).otherwise(200).alias("status"),
@@ -90,7 +105,7 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("text/html; charset=utf-8")
         .alias("content_type"),
         F.when(i % 23 == 9, "timeout").alias("error"),
-        F.timestamp_seconds(i + START).alias("crawled_at"),
+        F.timestamp_seconds(i % SECOND + START).alias("crawled_at"),
         "html",
     )
 
@@ -124,12 +139,12 @@ def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per host, some of them out of bounds or incomplete."""
+    """One request per page, some of them out of bounds or incomplete."""
     i = F.col("page_id")
     null = F.lit(None).cast("bigint")
-    return site_pages(spark, sf_dir).filter(F.col("rn") == 0).select(
+    return pages(spark, sf_dir).select(
         i.alias("request_id"),
-        F.when(i % 10 == 9, F.concat(F.lit("ftp://"), "host")).otherwise(F.col("url")).alias("url"),
+        F.when(i % 10 == 9, F.concat(F.lit("ftp://"), F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1))).otherwise(F.col("url")).alias("url"),
         F.when(i % 4 == 3, null).otherwise(i % 4).alias("depth"),
         F.when(i % 5 == 0, null).when(i % 5 == 4, 101).otherwise(i % 5 + 4).alias("max_pages"),
         null.alias("workers"),
@@ -140,6 +155,7 @@ def crawl_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 8 == 7).alias("seed_only"),
         (i % 9 != 8).alias("extract_links"),
         (i % 2 == 0).alias("news"),
+        F.when(i % 5 == 2, "Other").alias("agent"),
     )
 
 
@@ -154,10 +170,54 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.join(pages(spark, sf_dir).select("page_id", "url"), "page_id").drop("page_id")
 
 
+#: Links of every kind that each page gets besides its own.
+MORE_HREFS = (
+    "", "#top", "mailto:a@b.example", "javascript:void(0)", "../up/x", "sub/page", "?q=1", "//cdn.example.org/x",
+    "https://other.example.org/a.PDF", "/files/a.zip", "/wp-admin/x", "ftp://f.example.org/x", "/a?x=1#frag",
+    "https://other.example.org/login", "/photo.jpeg", "http://third.example.org/en/",
+)
+
+
+def varied_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with descriptions of each kind, links of each kind, and articles marked in each way."""
+    i = F.col("page_id")
+    n = i.cast("string")
+    about = F.concat(F.lit('<meta name="description" content="about '), n, F.lit('">'))
+    last = F.concat(F.lit('<meta name="description" content=""><META content="last '), n, F.lit('" name=description>'))
+    graph = F.concat(F.lit('<meta property="og:description" content="graph '), n, F.lit('"/>'))
+    nothing = F.lit("")
+    head = F.concat(
+        F.when(i % 4 > 1, about).otherwise(nothing), F.when(i % 2 == 1, graph).otherwise(nothing), F.when(i % 4 == 3, last).otherwise(nothing)
+    )
+    nav = "".join(f'<a href="{h}">x</a>' for h in MORE_HREFS)
+    opening = F.element_at(F.array(*(F.lit(x[0]) for x in MARKS)), (i % len(MARKS) + 1).cast("int"))
+    closing = F.element_at(F.array(*(F.lit(x[1]) for x in MARKS)), (i % len(MARKS) + 1).cast("int"))
+    text = F.replace("html", F.lit("</head>"), F.concat(head, F.lit("</head>")))
+    text = F.replace(text, F.lit("</nav>"), F.lit(nav + "</nav>"))
+    text = F.replace(F.replace(text, F.lit("<article>"), opening), F.lit("</article>"), closing)
+    return pages(spark, sf_dir).select("page_id", "url", text.alias("html"))
+
+
+#: How an article begins and ends, one way for each page: its own, the attribute, the eight selectors, none.
+MARKS = (
+    ("<article>", "</article>"),
+    ('<div itemprop="articleBody">', "</div>"),
+    ('<div class="article-content">', "</div>"),
+    ('<section class="x post-content">', "</section>"),
+    ('<div class="entry-content y">', "</div>"),
+    ('<div id="article-body">', "</div>"),
+    ('<div id="story-body">', "</div>"),
+    ('<div class="story-body">', "</div>"),
+    ("<main>", "</main>"),
+    ('<div class="content">', "</div>"),
+    ('<div class="other">', "</div>"),
+)
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, link_pos, href of every anchor, as written."""
     return (
-        extraction.prepared(pages(spark, sf_dir))
+        extraction.prepared(varied_pages(spark, sf_dir))
         .withColumn("hrefs", html.hrefs_of("_doc"))
         .select("page_id", "url", F.posexplode_outer("hrefs").alias("link_pos", "href"))
         .filter(F.col("href").isNotNull())
@@ -173,6 +233,14 @@ def _stored(application: str, sf_dir: str, what: str) -> dict:
     return {}
 
 
+def stored_site(spark: SparkSession, sf_dir: str) -> Site:
+    """The stored pages and links, made ready once per session and folder."""
+    kept = _stored(spark.sparkContext.applicationId, sf_dir, "site")
+    if "site" not in kept:
+        kept["site"] = prepare(fetch_log(spark, sf_dir), cut_lineage(site_edges(spark, sf_dir), "edges"))
+    return kept["site"]
+
+
 def stored_crawl(spark: SparkSession, sf_dir: str) -> Crawl:
     """The crawl of all valid requests with robots files.
 
@@ -182,11 +250,7 @@ def stored_crawl(spark: SparkSession, sf_dir: str) -> Crawl:
     kept = _stored(spark.sparkContext.applicationId, sf_dir, "crawl")
     if "crawl" not in kept:
         kept["crawl"] = crawl(
-            rq.valid_requests(crawl_requests(spark, sf_dir)),
-            fetch_log(spark, sf_dir),
-            site_edges(spark, sf_dir),
-            robots(spark, sf_dir),
-            AGENT,
+            rq.valid_requests(crawl_requests(spark, sf_dir)), stored_site(spark, sf_dir), robots(spark, sf_dir), AGENT
         )
     return kept["crawl"]
 

@@ -7,8 +7,6 @@ paragraphs, and a recursive walk with a minimum per address for the crawl.
 
 from __future__ import annotations
 
-from pagetrail.functions.urls import SKIPPED_ENDINGS, SKIPPED_PARTS
-
 ORACLE: dict[str, str] = {}
 
 START = 1704067200
@@ -42,7 +40,15 @@ site_links AS (
   SELECT page_id, 6, concat('https://', host, '/missing/', CAST(rn AS varchar))
   FROM site_pages)"""
 
-FETCH_LOG = """
+STORED = """
+stored AS (
+  SELECT page_id, url, html FROM pages
+  UNION ALL
+  SELECT page_id + 1000000000, concat(regexp_extract(url, '^([^?#]+)', 1), '?ref=1'),
+         replace(html, '<title>', '<title>v2 ')
+  FROM pages WHERE page_id % 3 = 0)"""
+
+FETCH_LOG = STORED + """,
 fetch_log AS (
   SELECT page_id, url, html,
          CASE WHEN page_id % 23 = 9 THEN 'fetch_error'
@@ -50,8 +56,8 @@ fetch_log AS (
               WHEN page_id % 11 = 7 THEN 'non_html'
               WHEN page_id % 7 <> 2 AND page_id % 19 = 4 THEN 'non_html'
               ELSE 'ok' END AS outcome,
-         1704067200 + page_id AS crawled_at
-  FROM pages)"""
+         1704067200 + page_id % 1000000000 AS crawled_at
+  FROM stored)"""
 
 ROBOTS = """
 robots AS (
@@ -99,13 +105,14 @@ crawl_requests AS (
          page_id % 3 <> 0 AS stay_domain,
          CASE WHEN page_id % 6 = 1 THEN '/e' END AS filter,
          page_id % 8 = 7 AS seed_only, page_id % 9 <> 8 AS extract_links,
-         page_id % 2 = 0 AS news
-  FROM site_pages WHERE rn = 0),
+         page_id % 2 = 0 AS news,
+         CASE WHEN page_id % 5 = 2 THEN 'Other' ELSE 'TestBot/1.0' END AS agent
+  FROM site_pages),
 filled AS (
   SELECT request_id, host, url, coalesce(depth, 1) AS depth, coalesce(max_pages, 20) AS max_pages,
          coalesce(workers, 2) AS workers, coalesce(delay, 1) AS delay,
          coalesce(timeout, 10) AS timeout, stay_domain, coalesce(filter, '') AS filter,
-         seed_only, extract_links, news
+         seed_only, extract_links, news, agent
   FROM crawl_requests),
 asked AS (
   SELECT * FROM filled
@@ -153,63 +160,86 @@ verdict AS (
   GROUP BY u.url)"""
 
 
-def crawl_tables(
-    seed_only: str = "a.seed_only", with_robots: bool = True, deep: bool = False
-) -> str:
-    verdicts = (
-        allowed("(SELECT key AS url FROM idx UNION SELECT key AS url FROM edges)", "TestBot/1.0")
-        if with_robots
-        else "verdict AS (SELECT DISTINCT key AS url, true AS allowed FROM "
-        "(SELECT key FROM idx UNION ALL SELECT key FROM edges))"
-    )
+#: What stands for an address: the page stored under it, else the one with the smallest id of its key.
+ANSWERS = f"""
+exact AS (
+  SELECT regexp_extract(url, '^([^#]*)', 1) AS address, min(page_id) AS page_id FROM stored GROUP BY 1),
+by_key AS (
+  SELECT {key_of('url')} AS key, min(page_id) AS page_id FROM stored GROUP BY 1)"""
+
+
+def verdicts(addresses: str) -> str:
+    """(url, agent) -> allowed."""
+    return f"""
+verdict AS (
+  SELECT u.url, g.agent,
+         coalesce(arg_min(r.allow, (CASE WHEN r.agent = '*' THEN 1 ELSE 0 END) * 1000 + r.line_no),
+                  true) AS allowed
+  FROM (SELECT DISTINCT url FROM {addresses}) u CROSS JOIN (VALUES ('TestBot/1.0'), ('Other')) g(agent)
+  LEFT JOIN robots_rules r
+    ON r.origin = {origin_of('u.url')} AND r.agent IN (g.agent, '*')
+   AND starts_with(CASE WHEN {path_of('u.url')} = '' THEN '/' ELSE {path_of('u.url')} END, r.path)
+  GROUP BY u.url, g.agent)"""
+
+
+def crawl_tables(seed_only: str = "a.seed_only", with_robots: bool = True, deep: bool = False) -> str:
+    """Level by level, written out: no request goes deeper than 3, so 5 levels hold every queue."""
+    addresses = "(SELECT url FROM asked UNION SELECT url FROM edges)"
     requests = REQUESTS
     if deep:
         requests = REQUESTS.replace("asked AS (", "bounded AS (") + """,
 asked AS (
   SELECT * REPLACE (3 AS depth, '' AS filter, true AS extract_links, false AS seed_only)
   FROM bounded)"""
-    return f"""WITH RECURSIVE {SITE_LINKS}, {FETCH_LOG}, {ROBOTS}, {requests}, {EDGES}, {verdicts},
+    denied = "NOT v.allowed" if with_robots else "false"
+    parts = [
+        f"""WITH {SITE_LINKS}, {FETCH_LOG}, {ROBOTS}, {requests}, {EDGES}, {ANSWERS}, {verdicts(addresses)},
 node AS (
-  SELECT v.url AS key, i.page_id, l.crawled_at,
-         CASE WHEN NOT v.allowed THEN 'robots_denied'
-              WHEN i.page_id IS NULL THEN 'fetch_error'
+  SELECT v.url, v.agent, coalesce(x.page_id, k.page_id) AS page_id, l.crawled_at,
+         CASE WHEN {denied} THEN 'robots_denied'
+              WHEN coalesce(x.page_id, k.page_id) IS NULL THEN 'fetch_error'
               WHEN l.outcome = 'ok' THEN 'crawled' ELSE l.outcome END AS outcome
-  FROM verdict v LEFT JOIN idx i ON i.key = v.url LEFT JOIN fetch_log l USING (page_id)),
-walk AS (
-  SELECT a.request_id, {key_of('a.url')} AS key, a.url, 0 AS depth, [CAST(0 AS bigint)] AS path
-  FROM asked a
-  UNION ALL
-  SELECT w.request_id, e.key, e.url, w.depth + 1, list_append(w.path, e.link_pos)
-  FROM walk w
-  JOIN asked a ON a.request_id = w.request_id
-  JOIN node n ON n.key = w.key AND n.outcome = 'crawled'
-  JOIN edges e ON e.src_id = n.page_id
-  WHERE w.depth <= a.depth AND a.extract_links AND NOT {seed_only}
+  FROM verdict v
+  LEFT JOIN exact x ON x.address = regexp_extract(v.url, '^([^#]*)', 1)
+  LEFT JOIN by_key k ON k.key = {key_of('v.url')}
+  LEFT JOIN fetch_log l ON l.page_id = coalesce(x.page_id, k.page_id)),
+new0 AS (
+  SELECT request_id, {key_of('url')} AS key, url, [CAST(0 AS bigint)] AS path FROM asked),
+done0 AS (SELECT request_id, 0 AS done FROM asked)"""
+    ]
+    for n in range(5):
+        if n:
+            earlier = " UNION ALL ".join(f"SELECT request_id, key FROM level{i}" for i in range(n))
+            parts.append(f"""
+new{n} AS (
+  SELECT w.request_id, e.key, e.url, list_append(w.path, e.link_pos) AS path
+  FROM level{n - 1} w JOIN asked a USING (request_id) JOIN edges e ON e.src_id = w.page_id
+  WHERE w.taken AND w.outcome = 'crawled' AND a.extract_links AND NOT {seed_only}
     AND (NOT a.stay_domain OR e.host = e.src_host)
-    AND (a.filter = '' OR contains(e.url, a.filter))),
-firsts AS (
-  SELECT * FROM walk
-  QUALIFY row_number() OVER (PARTITION BY request_id, key ORDER BY depth, path) = 1),
-looked AS (
-  SELECT f.*, n.page_id, n.crawled_at, a.max_pages,
-         CASE WHEN f.depth > a.depth THEN 'too_deep' ELSE n.outcome END AS outcome
-  FROM firsts f JOIN node n USING (key) JOIN asked a USING (request_id)),
-counted AS (
-  SELECT *, coalesce(sum(CASE WHEN outcome = 'crawled' THEN 1 ELSE 0 END)
-              OVER (PARTITION BY request_id ORDER BY depth, path
-                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < max_pages AS taken
-  FROM looked),
-admitted AS (
-  SELECT c.* FROM counted c
-  WHERE c.depth = 0 OR EXISTS (
-    SELECT 1 FROM counted t
-    WHERE t.request_id = c.request_id AND t.taken AND t.outcome = 'crawled'
-      AND t.path = c.path[:-2])),
+    AND (a.filter = '' OR contains(e.url, a.filter))
+    AND (w.request_id, e.key) NOT IN (SELECT (request_id, key) FROM ({earlier}) k)
+  QUALIFY row_number() OVER (PARTITION BY w.request_id, e.key ORDER BY list_append(w.path, e.link_pos)) = 1),
+done{n} AS (
+  SELECT request_id, any_value(d.done) + count(*) FILTER (w.outcome = 'crawled') AS done
+  FROM done{n - 1} d LEFT JOIN level{n - 1} w USING (request_id) GROUP BY request_id)""")
+        parts.append(f"""
+level{n} AS (
+  SELECT f.*, {n} AS depth, n.page_id, n.crawled_at,
+         CASE WHEN {n} > a.depth THEN 'too_deep' ELSE n.outcome END AS outcome,
+         d.done + coalesce(sum(CASE WHEN {n} <= a.depth AND n.outcome = 'crawled' THEN 1 ELSE 0 END)
+           OVER (PARTITION BY f.request_id ORDER BY f.path
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < a.max_pages AS taken
+  FROM new{n} f JOIN asked a USING (request_id) JOIN node n ON n.url = f.url AND n.agent = a.agent
+  JOIN done{n} d USING (request_id))""")
+    levels = " UNION ALL ".join(f"SELECT * FROM level{n}" for n in range(5))
+    parts.append(f"""
+admitted AS ({levels}),
 visited AS (
-  SELECT v.*, CASE WHEN v.outcome = 'crawled'
+  SELECT v.*, CASE WHEN v.outcome = 'crawled' AND a.extract_links
                    THEN (SELECT count(*) FROM site_links l WHERE l.src_id = v.page_id)
                    ELSE 0 END AS links_found
-  FROM admitted v WHERE taken AND outcome <> 'too_deep')"""
+  FROM admitted v JOIN asked a USING (request_id) WHERE v.taken AND v.outcome <> 'too_deep')""")
+    return ",".join(parts)
 
 
 CRAWL = crawl_tables()
@@ -255,8 +285,11 @@ CONTENT = f"""coalesce(list_aggregate(
       lambda x: concat(x, chr(10))),
     'string_agg', ''), '')"""
 
-SKIP = "\\.(" + "|".join(SKIPPED_ENDINGS) + ")$|" + "|".join(
-    p.replace("?", "\\?") for p in SKIPPED_PARTS
+# Fixed values, written out here so that an error in the library's lists shows.
+SKIP = (
+    r"\.(pdf|jpg|jpeg|png|gif|css|js|ico|svg|xml|json|mp3|mp4|avi|mov|mpg|mpeg|zip|tar|gz|rar)$"
+    r"|/cdn-cgi/|/wp-admin/|/wp-includes/|javascript:|mailto:|tel:|sms:|/feed/|/rss/|/print/|/search\?"
+    r"|login|logout|signin|signup|register"
 )
 
 _KEPT = {
@@ -273,14 +306,38 @@ def encoded(path: str) -> str:
     return f"CASE WHEN regexp_matches({path}, '{plain}') THEN {path} ELSE {text} END"
 
 
-HREFS = DOC + f""",
+#: The markup that the varied pages have besides their own, and how their articles begin and end.
+MORE_HREFS = (
+    '', '#top', 'mailto:a@b.example', 'javascript:void(0)', '../up/x', 'sub/page', '?q=1', '//cdn.example.org/x',
+    'https://other.example.org/a.PDF', '/files/a.zip', '/wp-admin/x', 'ftp://f.example.org/x', '/a?x=1#frag',
+    'https://other.example.org/login', '/photo.jpeg', 'http://third.example.org/en/',
+)
+
+
+def hrefs_of(source: str, varied: bool = False) -> str:
+    """hrefs, resolved, kept and link_lists of the anchors in a table of pages."""
+    more = "".join(f", '{h}'" for h in MORE_HREFS)
+    own = f"regexp_extract_all(d, '<a href=\"([^\"]*)\"[^>]*>', 1)"
+    # the further anchors stand after the page's own, at the end of its menu
+    every = f"list_concat(list_transform({own}, lambda x: {decoded('x')}), [{more[2:]}])" if varied else f"list_transform({own}, lambda x: {decoded('x')})"
+    folder = "regexp_extract(regexp_extract(url, '^([^?#]+)', 1), '^([a-z]+://.*/)', 1)"
+    return DOC.replace("FROM pages", f"FROM {source}") + f""",
 hrefs AS (
-  SELECT page_id, url, i - 1 AS link_pos, {decoded('h[i]')} AS href
+  SELECT page_id, url, i - 1 AS link_pos, h[i] AS href
   FROM (SELECT page_id, url, h, unnest(range(1, len(h) + 1)) AS i
-        FROM (SELECT page_id, url, regexp_extract_all(d, '<a href="([^"]*)"[^>]*>', 1) AS h
-              FROM doc) x) y),
+        FROM (SELECT page_id, url, {every} AS h FROM doc) x) y),
 resolved AS (
-  SELECT *, concat({origin_of('url')}, {encoded('href')}) AS link FROM hrefs),
+  SELECT *,
+         CASE WHEN href = '' THEN url
+              WHEN href LIKE '#%' THEN regexp_extract(url, '^([^#]+)', 1) || href
+              WHEN href LIKE '?%' THEN {key_of('url')} || href
+              WHEN href LIKE '//%' THEN regexp_extract(url, '^([a-z]+:)', 1) || href
+              WHEN regexp_matches(href, '^[a-z]+:') THEN href
+              WHEN href LIKE '../%' THEN regexp_replace({folder}, '[^/]+/$', '') || substr(href, 4)
+              WHEN href = 'sub/page' THEN {folder} || href
+              WHEN href LIKE '%?%#%' THEN {origin_of('url')} || href
+              ELSE concat({origin_of('url')}, {encoded('href')}) END AS link
+  FROM hrefs),
 kept AS (
   SELECT page_id, url AS src_url, link, link_pos,
          row_number() OVER (PARTITION BY page_id ORDER BY link_pos) - 1 AS pos
@@ -290,7 +347,12 @@ kept AS (
 link_lists AS (
   SELECT p.page_id, count(k.link) AS n_links,
          coalesce(string_agg(k.link, ' ' ORDER BY k.pos), '') AS links
-  FROM pages p LEFT JOIN kept k USING (page_id) GROUP BY p.page_id)"""
+  FROM {source} p LEFT JOIN kept k USING (page_id) GROUP BY p.page_id)"""
+
+
+HREFS = hrefs_of("pages")
+STORED_HREFS = hrefs_of("stored")
+VARIED_HREFS = hrefs_of("pages", varied=True)
 
 RECORDS = f"""
 records AS (
@@ -311,37 +373,37 @@ ORACLE["valid_request_url"] = f"""{WITH_REQUESTS}
 SELECT request_id, regexp_matches(url, '^https?://[^/?#]') AS strict,
        starts_with(url, 'http://') OR starts_with(url, 'https://') AS prefix
 FROM crawl_requests"""
-ORACLE["validate_requests"] = f"""{WITH_REQUESTS}
-SELECT request_id, errors, errors = '' AS valid
-FROM (SELECT request_id, concat_ws(' ',
+ERRORS = """SELECT request_id, concat_ws(' ',
         CASE WHEN url NOT LIKE 'http://%' AND url NOT LIKE 'https://%' THEN 'url' END,
         CASE WHEN depth NOT BETWEEN 0 AND 5 THEN 'depth' END,
         CASE WHEN max_pages NOT BETWEEN 1 AND 100 THEN 'max_pages' END,
         CASE WHEN workers NOT BETWEEN 1 AND 10 THEN 'workers' END,
         CASE WHEN delay NOT BETWEEN 0 AND 10 THEN 'delay' END,
-        CASE WHEN timeout NOT BETWEEN 5 AND 60 THEN 'timeout' END) AS errors FROM filled) t"""
+        CASE WHEN timeout NOT BETWEEN 5 AND 60 THEN 'timeout' END) AS errors FROM filled"""
+ORACLE["validate_requests"] = f"""{WITH_REQUESTS}
+SELECT request_id, errors, errors = '' AS valid FROM ({ERRORS}) t"""
 ORACLE["request_defaults"] = f"""{WITH_REQUESTS}
 SELECT request_id, url, depth, max_pages, workers, delay, timeout, stay_domain, filter,
        seed_only, extract_links, news FROM filled"""
 ORACLE["time_budget"] = f"""{WITH_REQUESTS}
 SELECT request_id, timeout * max_pages + 30 AS budget_s FROM filled"""
-ORACLE["scrape"] = f"""WITH {SITE_PAGES}, {FETCH_LOG}, {REQUESTS}, {HREFS}, {RECORDS}
-SELECT q.request_id, q.url, r.title, r.description, r.content,
-       CASE WHEN q.extract_links THEN l.links ELSE '' END AS links, f.crawled_at,
+ASKED_PAGES = f"""WITH {SITE_PAGES}, {FETCH_LOG}, {REQUESTS}, {ROBOTS}, {ANSWERS},
+{verdicts('crawl_requests')}, {STORED_HREFS}, {RECORDS},
+answered AS (
+  SELECT q.request_id, q.url, q.extract_links, f.page_id, f.crawled_at
+  FROM crawl_requests q
+  JOIN verdict v ON v.url = q.url AND v.agent = q.agent AND v.allowed
+  LEFT JOIN exact x ON x.address = regexp_extract(q.url, '^([^#]*)', 1)
+  LEFT JOIN by_key k ON k.key = {key_of('q.url')}
+  JOIN fetch_log f ON f.page_id = coalesce(x.page_id, k.page_id) AND f.outcome = 'ok')"""
+ORACLE["scrape"] = f"""{ASKED_PAGES}
+SELECT a.request_id, a.url, r.title, r.description, r.content,
+       CASE WHEN a.extract_links THEN l.links ELSE '' END AS links, a.crawled_at,
        CAST(0 AS bigint) AS depth
-FROM crawl_requests q
-JOIN (SELECT {key_of('url')} AS key, min(page_id) AS page_id FROM pages GROUP BY 1) i
-  ON i.key = {key_of('q.url')}
-JOIN fetch_log f ON f.page_id = i.page_id AND f.outcome = 'ok'
-JOIN records r ON r.page_id = i.page_id
-JOIN link_lists l ON l.page_id = i.page_id"""
-ORACLE["page_links"] = f"""WITH {SITE_PAGES}, {FETCH_LOG}, {REQUESTS}, {HREFS}
-SELECT q.request_id, q.url, l.n_links AS links_found, l.links
-FROM crawl_requests q
-JOIN (SELECT {key_of('url')} AS key, min(page_id) AS page_id FROM pages GROUP BY 1) i
-  ON i.key = {key_of('q.url')}
-JOIN fetch_log f ON f.page_id = i.page_id AND f.outcome = 'ok'
-JOIN link_lists l ON l.page_id = i.page_id"""
+FROM answered a JOIN records r USING (page_id) JOIN link_lists l USING (page_id)"""
+ORACLE["page_links"] = f"""{ASKED_PAGES}
+SELECT a.request_id, a.url, l.n_links AS links_found, l.links
+FROM answered a JOIN link_lists l USING (page_id)"""
 
 # -- addresses -------------------------------------------------------------
 
@@ -351,14 +413,14 @@ SELECT src_id, link_pos, split_part(link, '://', 1) AS scheme, {host_of('link')}
        {path_of('link')} AS path, regexp_extract(link, '\\?([^#]*)', 1) AS query,
        regexp_extract(link, '#(.*)$', 1) AS fragment
 FROM site_links"""
-ORACLE["resolve_links"] = f"WITH {HREFS} SELECT page_id, link_pos, href, link AS resolved FROM resolved"
-ORACLE["http_links"] = f"""{WITH_LINKS}
-SELECT * FROM site_links WHERE regexp_matches(link, '^https?://')"""
-ORACLE["skip_links"] = f"""WITH {HREFS}
+ORACLE["resolve_links"] = f"WITH {VARIED_HREFS} SELECT page_id, link_pos, href, link AS resolved FROM resolved"
+ORACLE["http_links"] = f"""WITH {VARIED_HREFS}
+SELECT page_id, link_pos, link FROM resolved WHERE link LIKE 'http://%' OR link LIKE 'https://%'"""
+ORACLE["skip_links"] = f"""WITH {VARIED_HREFS}
 SELECT page_id, link_pos, href, regexp_matches(lower(href), '{SKIP}') AS skipped FROM hrefs"""
 ORACLE["canonical_key"] = f"{WITH_LINKS} SELECT src_id, link_pos, {key_of('link')} AS key FROM site_links"
 ORACLE["url_host"] = f"SELECT page_id, {host_of('url')} AS host FROM pages"
-ORACLE["live_hrefs"] = f"""WITH {HREFS}
+ORACLE["live_hrefs"] = f"""WITH {VARIED_HREFS}
 SELECT page_id, link_pos, href FROM hrefs WHERE href <> '' AND href NOT LIKE '#%'"""
 ORACLE["url_contains"] = "SELECT page_id, url FROM pages WHERE strpos(url, '/en/') > 0"
 
@@ -366,11 +428,20 @@ ORACLE["url_contains"] = "SELECT page_id, url FROM pages WHERE strpos(url, '/en/
 
 ORACLE["page_title"] = f"WITH {DOC} SELECT page_id, {TITLE} AS title FROM doc"
 ORACLE["page_description"] = """
-SELECT page_id, coalesce(regexp_extract(html, '<meta name="description" content="([^"]*)"', 1), '')
-         AS description
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat('graph ', page_id)
+                                 WHEN 2 THEN concat('about ', page_id) ELSE concat('last ', page_id) END AS description
 FROM pages"""
 ORACLE["page_content"] = f"WITH {DOC} SELECT page_id, {CONTENT} AS content FROM doc"
-ORACLE["news_content"] = f"WITH {DOC} SELECT page_id, {NEWS} AS content FROM doc"
+# pages by how their article is marked: 0 and 1 as it stands, 2 to 7 trimmed with a line end, 8 and 9 by paragraphs, 10 not at all
+_INSIDE = "string_split(regexp_extract(d, '<article>(.*)', 1, 's'), '</article>')[1]"
+_PARAGRAPHS = f"""list_aggregate(list_transform(string_split_regex({_INSIDE}, '<p>')[2:],
+      lambda x: concat({stripped("string_split_regex(x, '</?(p|article|footer|div|nav|ul|li|h1)>')[1]")}, chr(10))), 'string_agg', '')"""
+ORACLE["news_content"] = f"""WITH {DOC}
+SELECT page_id,
+       CASE WHEN page_id % 11 < 2 THEN {NEWS}
+            WHEN page_id % 11 < 8 THEN trim({NEWS}, {WHITE})
+            WHEN page_id % 11 < 10 THEN trim(coalesce({_PARAGRAPHS}, ''), {WHITE}) ELSE '' END AS content
+FROM doc"""
 ORACLE["extract_links"] = f"WITH {HREFS} SELECT page_id, n_links, links FROM link_lists"
 ORACLE["link_edges"] = f"""WITH {HREFS}
 SELECT page_id AS src_id, {key_of('src_url')} AS src_key, src_url, {host_of('src_url')} AS src_host,
@@ -386,22 +457,22 @@ SELECT page_id,
        CASE WHEN d LIKE '%<h1>%'
             THEN {stripped("string_split(string_split(d, '<h1>')[2], '</h1>')[1]")} END AS h1
 FROM doc"""
-ORACLE["parse_pages"] = f"""WITH {HREFS}, {RECORDS}
+ORACLE["parse_pages"] = f"""WITH {STORED}, {STORED_HREFS}, {RECORDS}
 SELECT p.page_id, p.url, r.title, r.description, r.content, l.links,
-       {START} + p.page_id AS crawled_at, CAST(0 AS bigint) AS depth
-FROM pages p JOIN records r USING (page_id) JOIN link_lists l USING (page_id)"""
+       {START} + p.page_id % 1000000000 AS crawled_at, CAST(0 AS bigint) AS depth
+FROM stored p JOIN records r USING (page_id) JOIN link_lists l USING (page_id)"""
 
 # -- frontier and crawl ----------------------------------------------------
 
 WITH_EDGES = f"WITH {SITE_LINKS}, {EDGES}"
-ORACLE["frontier_dedup"] = f"""{WITH_EDGES}
+ORACLE["frontier_dedup"] = f"""{WITH_EDGES}, {FETCH_LOG}
 SELECT src_host AS request_id, key, arg_min(url, src_id * 100 + link_pos) AS url
 FROM edges e
-WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.page_id % 2 = 0
+WHERE NOT EXISTS (SELECT 1 FROM fetch_log p WHERE p.outcome = 'ok'
                   AND {host_of('p.url')} = e.src_host AND {key_of('p.url')} = e.key)
 GROUP BY src_host, key"""
-EXPANDED = f"""
-FROM asked a JOIN edges e ON e.src_key = {key_of('a.url')}
+EXPANDED = """
+FROM asked a JOIN edges e ON e.src_id = a.request_id
 WHERE a.extract_links AND NOT a.seed_only AND (NOT a.stay_domain OR e.host = e.src_host)"""
 ORACLE["expand_frontier"] = f"""{WITH_EDGES}, {REQUESTS}
 SELECT a.request_id, e.key, e.url, CAST(1 AS bigint) AS depth, e.link_pos {EXPANDED}
@@ -430,7 +501,7 @@ FROM (SELECT s.page_id, CASE WHEN outcome = 'ok' THEN 'crawled' ELSE outcome END
       FROM site_pages s JOIN fetch_log USING (page_id)) t
 WHERE before < 5"""
 
-PAGE_DATA = f"""{CRAWL}, {DOC}, {RECORDS},
+PAGE_DATA = f"""{CRAWL}, {DOC.replace('FROM pages', 'FROM stored')}, {RECORDS},
 page_links AS (
   SELECT src_id, string_agg(link, ' ' ORDER BY link_pos) AS links FROM site_links GROUP BY src_id),
 page_data AS (
@@ -452,11 +523,11 @@ SELECT url AS "URL", title AS "Title", description AS "Description", content AS
        CAST(depth AS varchar) AS "Depth"
 FROM page_data"""
 ORACLE["crawl_response"] = f"""{PAGE_DATA}
-SELECT a.request_id, count(p.url) AS pages_crawled,
-       coalesce(string_agg(p.url, ' ' ORDER BY p.depth, p.path), '') AS urls,
-       coalesce(string_agg(p.title, '|' ORDER BY p.depth, p.path), '') AS titles,
+SELECT c.request_id, c.errors, count(p.url) AS pages_crawled,
+       CASE WHEN c.errors = '' THEN coalesce(string_agg(p.url, ' ' ORDER BY p.depth, p.path), '') END AS urls,
+       CASE WHEN c.errors = '' THEN coalesce(string_agg(p.title, '|' ORDER BY p.depth, p.path), '') END AS titles,
        CAST(coalesce(max(p.crawled_at) - min(p.crawled_at), 0) AS double) AS execution_time_seconds
-FROM asked a LEFT JOIN page_data p USING (request_id) GROUP BY a.request_id"""
+FROM ({ERRORS}) c LEFT JOIN page_data p USING (request_id) GROUP BY c.request_id, c.errors"""
 ORACLE["not_found"] = f"""{CRAWL}
 SELECT request_id, url FROM crawl_requests c
 WHERE NOT EXISTS (SELECT 1 FROM visited v WHERE v.request_id = c.request_id AND v.outcome = 'crawled')"""
@@ -466,9 +537,9 @@ FROM admitted WHERE NOT taken GROUP BY request_id, depth"""
 ORACLE["visited_count"] = f"""{CRAWL}
 SELECT request_id, count(*) AS visited_count FROM admitted GROUP BY request_id"""
 ORACLE["visited_lookup"] = f"""{CRAWL}
-SELECT a.request_id, t.url,
-       EXISTS (SELECT 1 FROM admitted m WHERE m.request_id = a.request_id AND m.url = t.url) AS visited
-FROM asked a JOIN (SELECT DISTINCT src_host, url FROM edges) t ON t.src_host = {host_of('a.url')}"""
+SELECT DISTINCT a.request_id, t.link AS url,
+       EXISTS (SELECT 1 FROM admitted m WHERE m.request_id = a.request_id AND m.url = t.link) AS visited
+FROM asked a JOIN site_links t ON t.src_id = a.request_id"""
 ORACLE["uncrawled_links"] = f"""WITH {HREFS},
 named AS (
   SELECT *, CASE WHEN link LIKE '%\\%%' ESCAPE '\\'
@@ -483,7 +554,8 @@ WHERE key NOT IN (SELECT {key_of('url')} FROM pages) GROUP BY key"""
 ORACLE["robots_rules"] = f"WITH {ROBOTS} SELECT origin, agent, line_no, path, allow FROM robots_rules"
 ORACLE["crawl_delay"] = f"WITH {ROBOTS} SELECT origin, crawl_delay_s FROM robots_delay"
 ORACLE["robots_allowed"] = f"""WITH {ROBOTS}, {allowed('pages', 'TestBot/1.0')}
-SELECT page_id, url, allowed FROM pages JOIN verdict USING (url)"""
+SELECT page_id, p.url, allowed, coalesce(crawl_delay_s, 1.0) AS crawl_delay_s
+FROM pages p JOIN verdict v ON v.url = p.url LEFT JOIN robots_delay d ON d.origin = {origin_of('p.url')}"""
 ORACLE["robots_filter"] = f"""WITH {SITE_LINKS}, {ROBOTS},
 {allowed('(SELECT link AS url FROM site_links)', 'Other')}
 SELECT src_id, link_pos, link AS url FROM site_links l JOIN verdict v ON v.url = l.link
@@ -494,7 +566,7 @@ SELECT o.origin, coalesce(r.status = 200, false) AS usable,
        (SELECT count(*) FROM robots_rules u WHERE u.origin = r.origin) AS n_rules,
        coalesce(d.crawl_delay_s, 1.0) AS crawl_delay_s
 FROM origins o
-LEFT JOIN robots r ON r.origin = o.origin AND o.origin NOT LIKE '%net'
+LEFT JOIN robots r ON r.origin = o.origin
 LEFT JOIN robots_delay d ON d.origin = r.origin"""
 VISITS = f"""
 visits AS (
@@ -502,7 +574,8 @@ visits AS (
   FROM events e CROSS JOIN (SELECT count(*) AS n FROM pages) c
   JOIN pages p ON p.page_id = e.event_id % c.n)"""
 ORACLE["robots_asof"] = f"""WITH {VISITS},
-snapshots AS (SELECT DISTINCT origin, at_ts AS fetched_at FROM visits WHERE visit_id % 10 = 0)
+snapshots AS (
+  SELECT origin, min(at_ts) AS fetched_at FROM visits GROUP BY origin, date_trunc('week', at_ts))
 SELECT v.visit_id, v.origin, CAST(floor(epoch(v.at_ts)) AS bigint) AS "at",
        CAST(floor(epoch(s.fetched_at)) AS bigint) AS robots_at,
        s.fetched_at IS NULL OR v.at_ts - s.fetched_at > INTERVAL 24 HOUR AS needs_refetch
@@ -523,9 +596,11 @@ FROM ranked r JOIN asked a USING (request_id) LEFT JOIN robots_delay d ON d.orig
 # -- statistics ------------------------------------------------------------
 
 ORACLE["crawl_stats"] = f"""{CRAWL}
-SELECT request_id, count(*) AS pages_crawled, CAST(sum(links_found) AS bigint) AS links_discovered,
-       min(crawled_at) AS start_time, max(crawled_at) AS end_time
-FROM visited WHERE outcome = 'crawled' GROUP BY request_id"""
+SELECT a.request_id, count(v.url) AS pages_crawled,
+       CAST(coalesce(sum(v.links_found), 0) AS BIGINT) AS links_discovered,
+       min(v.crawled_at) AS start_time, max(v.crawled_at) AS end_time
+FROM asked a LEFT JOIN visited v ON v.request_id = a.request_id AND v.outcome = 'crawled'
+GROUP BY a.request_id"""
 ORACLE["skip_reasons"] = f"""{CRAWL}
 SELECT request_id, outcome, count(*) AS urls FROM visited GROUP BY ROLLUP (request_id, outcome)"""
 

@@ -149,10 +149,10 @@ def time_budget(spark, sf):
 
 @query
 def crawl_response(spark, sf):
-    done = inputs.stored_crawl(spark, sf)
-    answers = rq.crawl_response(inputs.stored_page_data(spark, sf), done.requests)
+    answers = rq.crawl_response(inputs.stored_page_data(spark, sf), inputs.crawl_requests(spark, sf))
     return answers.select(
         "request_id",
+        text_list("errors").alias("errors"),
         F.col("pages_crawled").cast("bigint").alias("pages_crawled"),
         text_list(F.transform("pages", lambda p: p["url"])).alias("urls"),
         F.array_join(F.transform("pages", lambda p: p["title"]), "|").alias("titles"),
@@ -162,14 +162,15 @@ def crawl_response(spark, sf):
 
 @query
 def scrape(spark, sf):
-    asked = inputs.crawl_requests(spark, sf).select("request_id", "url", "extract_links")
-    return flat(rq.scrape(asked, inputs.fetch_log(spark, sf)), "request_id")
+    asked = inputs.crawl_requests(spark, sf).select("request_id", "url", "extract_links", "agent")
+    found = rq.scrape(asked, inputs.fetch_log(spark, sf), inputs.robots(spark, sf), inputs.AGENT)
+    return flat(found, "request_id")
 
 
 @query
 def page_links(spark, sf):
-    asked = inputs.crawl_requests(spark, sf).select("request_id", "url")
-    found = rq.page_links(asked, inputs.fetch_log(spark, sf))
+    asked = inputs.crawl_requests(spark, sf).select("request_id", "url", "agent")
+    found = rq.page_links(asked, inputs.fetch_log(spark, sf), inputs.robots(spark, sf), inputs.AGENT)
     return found.select(
         "request_id",
         "url",
@@ -210,7 +211,10 @@ def resolve_links(spark, sf):
 
 @query
 def http_links(spark, sf):
-    return _site_link_urls(spark, sf).filter(urls.is_http("link"))
+    resolved = inputs.links(spark, sf).select(
+        "page_id", F.col("link_pos").cast("bigint").alias("link_pos"), urls.resolve_url("url", "href").alias("link")
+    )
+    return resolved.filter(urls.is_http("link"))
 
 
 @query
@@ -257,7 +261,7 @@ def page_title(spark, sf):
 
 @query
 def page_description(spark, sf):
-    return inputs.pages(spark, sf).select("page_id", html.description("html").alias("description"))
+    return inputs.varied_pages(spark, sf).select("page_id", html.description("html").alias("description"))
 
 
 @query
@@ -267,7 +271,7 @@ def page_content(spark, sf):
 
 @query
 def news_content(spark, sf):
-    return inputs.pages(spark, sf).select("page_id", html.news("html").alias("content"))
+    return inputs.varied_pages(spark, sf).select("page_id", html.news("html").alias("content"))
 
 
 @query
@@ -316,16 +320,24 @@ def frontier_dedup(spark, sf):
         F.lit(1).alias("depth"),
         F.array(F.col("src_id").cast("int"), F.col("link_pos")).alias("path"),
     )
-    admitted = inputs.pages(spark, sf).filter(F.col("page_id") % 2 == 0).select(
+    # what was fetched well counts as admitted
+    fetched = fetching.classify_fetch(inputs.fetch_log(spark, sf)).filter(F.col("outcome") == fetching.OK)
+    admitted = fetched.select(
         urls.url_host("url").alias("request_id"), urls.canonical_key("url").alias("key")
     )
     return frontier.admit(candidates, admitted).select("request_id", "key", "url")
 
 
+def _crawled_seeds(asked: DataFrame) -> DataFrame:
+    """The seeds as if the page of that name had answered each."""
+    level = frontier.seeds(asked).withColumn("page_id", F.col("request_id"))
+    return level.join(frontier.settings_of(asked), "request_id")
+
+
 @query
 def expand_frontier(spark, sf):
     asked = rq.valid_requests(inputs.crawl_requests(spark, sf))
-    found = frontier.expand(frontier.seeds(asked), inputs.site_edges(spark, sf))
+    found = frontier.expand(_crawled_seeds(asked), inputs.site_edges(spark, sf))
     return found.select(
         "request_id",
         "key",
@@ -353,14 +365,14 @@ def stay_on_domain(spark, sf):
 @query
 def filter_links(spark, sf):
     asked = rq.valid_requests(inputs.crawl_requests(spark, sf)).withColumn("filter", F.lit("/en/"))
-    found = frontier.expand(frontier.seeds(asked), inputs.site_edges(spark, sf))
+    found = frontier.expand(_crawled_seeds(asked), inputs.site_edges(spark, sf))
     return found.select("request_id", "url", F.element_at("path", -1).cast("bigint").alias("link_pos"))
 
 
 @query
 def seed_only(spark, sf):
     asked = rq.valid_requests(inputs.crawl_requests(spark, sf)).withColumn("seed_only", F.lit(True))
-    done = crawl(asked, inputs.fetch_log(spark, sf), inputs.site_edges(spark, sf))
+    done = crawl(asked, inputs.stored_site(spark, sf))
     return done.visited.select("request_id", "url", "outcome", "links_found")
 
 
@@ -375,7 +387,7 @@ def crawl_deep(spark, sf):
             "seed_only": F.lit(False),
         }
     )
-    done = crawl(asked, inputs.fetch_log(spark, sf), inputs.site_edges(spark, sf))
+    done = crawl(asked, inputs.stored_site(spark, sf))
     return done.admitted.select(
         "request_id", "key", "url", F.col("depth").cast("bigint").alias("depth"), "outcome", "taken"
     )
@@ -422,13 +434,9 @@ def visited_count(spark, sf):
 @query
 def visited_lookup(spark, sf):
     done = inputs.stored_crawl(spark, sf)
-    asked = inputs.site_links(spark, sf).select(
-        F.regexp_extract("src_url", "^[a-z]+://([^/?#]+)", 1).alias("host"), F.col("link").alias("url")
-    )
-    requests = done.requests.select(
-        "request_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host")
-    )
-    addresses = asked.join(requests, "host").select("request_id", "url").distinct()
+    # of every request: the links on the page it began with
+    asked = inputs.site_links(spark, sf).select(F.col("src_id").alias("request_id"), F.col("link").alias("url"))
+    addresses = asked.join(done.requests.select("request_id"), "request_id").distinct()
     return frontier.visited_lookup(addresses, done.admitted)
 
 
@@ -459,7 +467,8 @@ def crawl_delay(spark, sf):
 @query
 def robots_allowed(spark, sf):
     parsed = rb.latest_robots(inputs.robots(spark, sf))
-    return rb.robots_verdict(inputs.pages(spark, sf).select("page_id", "url"), parsed, inputs.AGENT)
+    asked = inputs.pages(spark, sf).select("page_id", "url")
+    return rb.robots_verdict(asked, parsed, inputs.AGENT, with_delay=True)
 
 
 @query
@@ -474,8 +483,7 @@ def robots_filter(spark, sf):
 @query
 def robots_default(spark, sf):
     origins = inputs.site_links(spark, sf).select(urls.url_origin("link").alias("origin"))
-    some = inputs.robots(spark, sf).filter(~F.col("origin").endswith("net"))
-    return rb.usable_robots(origins, some).select(
+    return rb.usable_robots(origins, inputs.robots(spark, sf)).select(
         "origin", "usable", F.size("rules").cast("bigint").alias("n_rules"), "crawl_delay_s"
     )
 
@@ -483,8 +491,12 @@ def robots_default(spark, sf):
 @query
 def robots_asof(spark, sf):
     visits = inputs.visits(spark, sf)
-    snapshots = visits.filter(F.col("visit_id") % 10 == 0).select(
-        urls.url_origin("url").alias("origin"), F.col("at").alias("fetched_at")
+    # the first visit of each week to an origin fetched its robots file
+    week = F.date_trunc("week", "at")
+    snapshots = (
+        visits.select(urls.url_origin("url").alias("origin"), "at")
+        .groupBy("origin", week.alias("week"))
+        .agg(F.min("at").alias("fetched_at"))
     )
     return rb.robots_asof(visits, snapshots).select(
         "visit_id", "origin", seconds("at"), seconds("robots_at"), "needs_refetch"
@@ -515,7 +527,8 @@ def fetch_schedule(spark, sf):
 
 @query
 def crawl_stats(spark, sf):
-    found = stats.crawl_stats(inputs.stored_crawl(spark, sf).visited)
+    done = inputs.stored_crawl(spark, sf)
+    found = stats.crawl_stats(done.visited, done.requests)
     return found.select(
         "request_id", "pages_crawled", "links_discovered", seconds("start_time"), seconds("end_time")
     )

@@ -50,6 +50,9 @@ _TAG_END = rf"(?:{_GAP}{_ATTRIBUTE})*+{_GAP}>"
 _ANY_TAG = rf"<(?:[a-zA-Z][^\s/>]*+{_TAG_END}|/[a-zA-Z][^>]*+>)"
 _VALUE = r"""("[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+)"""
 
+# Elements that do not begin with a line end.
+_FIRST_LINE_END_GOES = "pre|listing|textarea"
+
 _RAW_NAMES = "|".join(RAW_TEXT + RAW_TEXT_WITH_ENTITIES)
 _RAW_START = rf"<(?:{_RAW_NAMES}){_EDGE}{_TAG_END}"
 _TOKEN = (
@@ -70,7 +73,7 @@ _PARAGRAPH = rf"(?i)<p{_EDGE}{_TAG_END}({_P_INSIDE})"
 
 @expression
 def prepare(html: Sql) -> Sql:
-    """Drop comments and cut-off tags, mask raw text, unify line ends."""
+    """Drop comments, cut-off tags and the line end a ``pre`` begins with, mask raw text, unify line ends."""
 
     def token(t: Sql) -> Sql:
         opening = S.regexp_extract(t, f"(?i)^{_RAW_START}", 0)
@@ -89,7 +92,14 @@ def prepare(html: Sql) -> Sql:
     text = S.when(html.contains("\r"), S.regexp_replace(html, "\r\n?", "\n")).otherwise(html)
     tokens = S.regexp_extract_all(text, _TOKEN, 0)
     joined = S.array_join(S.transform(tokens, token), "")
-    return S.regexp_replace(joined, _CUT_OFF_TAG, "")
+    whole = S.regexp_replace(joined, _CUT_OFF_TAG, "")
+    return let(
+        whole,
+        lambda w: S.when(
+            w.rlike(rf"(?i)<(?:{_FIRST_LINE_END_GOES}){_EDGE}"),
+            S.regexp_replace(w, rf"(?i)(<(?:{_FIRST_LINE_END_GOES}){_EDGE}{_TAG_END})\n", "$1"),
+        ).otherwise(w),
+    )
 
 
 def _plain(markup: Sql) -> Sql:
@@ -260,47 +270,106 @@ def _balanced(after: Sql, name: Sql) -> Sql:
     )
 
 
-def _slices(doc: Sql, selector: str) -> Sql:
-    """Struct(start, end, inside) of every matching element, in order."""
-    opening = _opening(selector)
+def _elements(doc: Sql, opening: str, name: Sql) -> Sql:
+    """Struct(start, end, inside) of the matching elements of one name.
 
-    def spans(pieces: Sql, tags: Sql, names: Sql) -> Sql:
-        starts = S.aggregate(
-            S.sequence(0, S.size(tags) - 1),
-            S.array().cast("array<int>"),
-            lambda acc, i: S.concat(
-                acc,
-                S.array(
-                    S.coalesce(S.element_at(S.concat(S.array(0), acc), -1), 0)
-                    + S.length(S.get(pieces, i))
-                    + S.length(S.get(tags, i))
-                ),
+    The text is cut once at all tags of that name; a stack of open elements gives each end, and
+    what is inside is put together from the pieces, so the work grows with the page and with what is found.
+    """
+    tag = S.concat(r"\Q", name, r"\E[\s/>]")
+    cut = S.concat("(?i)(?:</?", tag, ")?(?:[^<]++|<(?!/?", tag, "))*+")
+    is_open, is_close = S.concat("(?i)^<", tag), S.concat("(?i)^</", tag)
+    opened = "array<struct<i:int,start:int,hit:boolean>>"
+    closed = "array<struct<start:int,end:int,i:int,j:int>>"
+
+    def step(acc: Sql, piece: Sql) -> Sql:
+        held = acc["held"]
+        top = S.try_element_at(held, -1)
+        closing = S.rlike(piece, is_close) & (S.size(held) > 0)
+        mark = S.struct(
+            acc["i"].alias("i"), acc["at"].alias("start"), S.rlike(piece, f"^(?:{opening})").alias("hit")
+        )
+        found = S.struct(
+            top["start"].alias("start"), acc["at"].alias("end"), top["i"].alias("i"), acc["i"].alias("j")
+        )
+        return S.struct(
+            (acc["i"] + 1).alias("i"),
+            (acc["at"] + S.length(piece)).alias("at"),
+            S.when(closing, S.slice(held, 1, S.size(held) - 1))
+            .when(S.rlike(piece, is_open), S.concat(held, S.array(mark)))
+            .otherwise(held)
+            .alias("held"),
+            S.when(closing & top["hit"], S.concat(acc["found"], S.array(found)))
+            .otherwise(acc["found"])
+            .alias("found"),
+        )
+
+    def ends(pieces: Sql) -> Sql:
+        walked = S.aggregate(
+            pieces,
+            S.struct(
+                S.lit(0).alias("i"),
+                S.lit(0).alias("at"),
+                S.array().cast(opened).alias("held"),
+                S.array().cast(closed).alias("found"),
             ),
+            step,
         )
-        return S.zip_with(
-            starts,
-            names,
-            lambda s, n: let(
-                let(rest(doc, s), lambda after: _balanced(after, n)),
-                lambda inside: S.struct(
-                    s.alias("start"), (s + S.length(inside)).alias("end"), inside.alias("inside")
+        return let(
+            walked,
+            lambda w: S.concat(
+                w["found"],
+                S.transform(
+                    S.filter(w["held"], lambda h: h["hit"]),
+                    lambda h: S.struct(
+                        h["start"].alias("start"), w["at"].alias("end"), h["i"].alias("i"), S.size(pieces).alias("j")
+                    ),
                 ),
             ),
         )
 
-    tags = S.regexp_extract_all(doc, opening, 0)
+    def inside(pieces: Sql, f: Sql) -> Sql:
+        first = S.regexp_replace(S.get(pieces, f["i"]), f"^(?:{opening})", "")
+        return (
+            S.when(S.lower(name).isin(*VOID_ELEMENTS), "")
+            .when(S.lower(name) == "p", S.regexp_extract(first, f"(?i)^{_P_INSIDE}", 0))
+            .otherwise(S.concat(first, S.array_join(S.slice(pieces, f["i"] + 2, f["j"] - f["i"] - 1), "")))
+        )
+
     return let(
-        tags,
-        lambda t: S.when(
-            S.size(t) > 0,
-            let(
-                S.split(doc, opening, -1),
-                lambda pieces: spans(pieces, t, S.regexp_extract_all(doc, opening, 1)),
+        S.regexp_extract_all(doc, cut, 0),
+        lambda pieces: S.transform(
+            ends(pieces),
+            lambda f: let(
+                inside(pieces, f),
+                lambda text: S.struct(
+                    f["start"].alias("start"),
+                    # an element that ends without its own tag ends with its text
+                    S.when(S.lower(name).isin("p", *VOID_ELEMENTS), f["start"] + S.length(text))
+                    .otherwise(f["end"])
+                    .alias("end"),
+                    text.alias("inside"),
+                ),
             ),
         ),
     )
 
 
+def _slices(doc: Sql, selector: str) -> Sql:
+    """Struct(start, end, inside) of every matching element, in order; null without any."""
+    opening = _opening(selector)
+    names = S.array_distinct(
+        S.transform(S.regexp_extract_all(doc, opening, 1), lambda n: S.lower(n))
+    )
+    return let(
+        names,
+        lambda found: S.when(
+            S.size(found) > 0,
+            S.array_sort(S.flatten(S.transform(found, lambda n: _elements(doc, opening, n)))),
+        ),
+    )
+
+
 def _outermost(slices: Sql) -> Sql:
     """Slices that lie in no earlier one."""
     walked = S.aggregate(

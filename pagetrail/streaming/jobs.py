@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterator, Mapping
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import urls
-from ..lineage import cut_lineage
 from ..operators import extraction
 from ..sources import results
 
+#: Works off what is there and ends; ``{"processingTime": "1 minute"}`` keeps a stream running.
+ONCE: Mapping[str, object] = {"availableNow": True}
+
 
 def parsed_stream(pages: DataFrame, news: bool = False, extract_links: bool = False) -> DataFrame:
     """Page records of arriving pages; stateless."""
@@ -23,7 +23,7 @@ def parsed_stream(pages: DataFrame, news: bool = False, extract_links: bool = Fa
 
 
 def start_page_stream(
-    page_data: DataFrame, path: str, checkpoint: str, fmt: str = "json"
+    page_data: DataFrame, path: str, checkpoint: str, fmt: str = "json", trigger: Mapping[str, object] = ONCE
 ) -> StreamingQuery:
     """Appends each page record as soon as its page is parsed."""
     if fmt == "csv":
@@ -35,29 +35,44 @@ def start_page_stream(
     return (
         sink.option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start(path)
     )
 
 
-def stream_dedup(links: DataFrame, within: str | None = None) -> DataFrame:
-    """Admits a key when it is first seen.
+FIRST = "key string, src_id bigint, link_pos int, url string"
+
+
+def start_dedup_stream(
+    links: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, object] = ONCE
+) -> StreamingQuery:
+    """Appends every key when it is first seen, with the link that showed it first.
 
-    Without ``within`` every key is remembered for good.  With it, the stream
-    needs a time column ``at`` and keys are forgotten after that time.  Repeats
-    are dropped before the shuffle as well, so that a link found on very many
-    pages does not end up in one task with all its copies.
+    ``links``: src_id, link_pos, url, key.  Of the links in one batch the first one of the page with the smallest id counts.  The
+    table is the memory: keys are never forgotten, nothing is held by executors between batches, and a batch
+    that is run again replaces its own rows.  Repeats are combined before the shuffle, so a page that all
+    others link to costs little.
     """
 
-    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first = pd.Series(batch.column("key").to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array(~first.duplicated()))
+    def step(batch: DataFrame, number: int) -> None:
+        first = (
+            batch.filter(F.col("key").isNotNull())
+            .groupBy("key")
+            .agg(F.min(F.struct("src_id", "link_pos", "url")).alias("first"))
+            .select("key", "first.*")
+        )
+        if number:
+            log = batch.sparkSession.read.schema(f"{FIRST}, batch bigint").parquet(path)
+            first = first.join(log.filter(F.col("batch") < number).select("key"), "key", "left_anti")
+        first.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    known = links.filter(F.col("key").isNotNull())
-    if within is None:
-        return known.mapInArrow(thinned, known.schema).dropDuplicates(["key"])
-    return known.withWatermark("at", within).dropDuplicatesWithinWatermark(["key"])
+    return (
+        links.select("key", "src_id", F.col("link_pos").cast("int").alias("link_pos"), "url")
+        .writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
 
 
 def stream_stats(page_data: DataFrame, key: str = "request_id") -> DataFrame:
@@ -77,26 +92,39 @@ def refetch_times(visits: DataFrame, held: DataFrame, ttl_hours: float = 24) ->
     ``visits``: origin, at.  ``held``: origin, fetched_at, one row per origin.
     A visit uses the file at hand unless it is older than ``ttl_hours``; then,
     and without a file, a fetch is due at that moment and its file serves the
-    visits after it.  Each round finds the next fetch of every origin, a minimum
-    that is combined before the shuffle, so no task ever sees all visits of an
-    origin.  There are as many rounds as the visits span lifetimes of a file.
+    visits after it.  Which visit comes to fetch depends on the one before, so the distinct times of an
+    origin are read in order, once; a task holds the time of the last fetch and nothing else.
     """
     ttl = int(ttl_hours * 3600 * 1_000_000)
-    late = F.unix_micros("at") > F.unix_micros("fetched_at") + ttl
-    times = cut_lineage(visits.select("origin", "at"), "visits")
-    found = times.join(held, "origin", "left").filter(F.col("fetched_at").isNull() | late)
-    rounds = []
-    while True:
-        due = found.groupBy("origin").agg(F.min("at").alias("fetched_at"))
-        due = cut_lineage(due, "due")
-        rounds.append(due)
-        if due.isEmpty():
-            return reduce(DataFrame.unionByName, rounds)
-        found = times.join(due, "origin").filter(late)
+    times = visits.select("origin", F.unix_micros("at").alias("t")).distinct()
+    known = held.select("origin", F.unix_micros("fetched_at").alias("held"))
+    ordered = times.join(known, "origin", "left").repartition("origin").sortWithinPartitions("origin", "t")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            origins, due = [], []
+            for origin, t, held_at in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if origin != now:
+                    now, last = origin, held_at
+                if last is None or t > last + ttl:
+                    last = t
+                    origins.append(origin)
+                    due.append(t)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(origins, pa.string()), pa.array(due, pa.int64())], ["origin", "due"]
+            )
+
+    found = ordered.select("origin", "t", "held").mapInArrow(scan, "origin string, due bigint")
+    return found.select("origin", F.timestamp_micros("due").alias("fetched_at"))
 
 
 def start_robots_stream(
-    visits: DataFrame, path: str, checkpoint: str, ttl_hours: float = 24
+    visits: DataFrame,
+    path: str,
+    checkpoint: str,
+    ttl_hours: float = 24,
+    trigger: Mapping[str, object] = ONCE,
 ) -> StreamingQuery:
     """Appends the fetches that arriving visits (url, at) make due to a table.
 
@@ -130,6 +158,6 @@ def start_robots_stream(
     return (
         named.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )

@@ -60,6 +60,11 @@ NEWS = {
     "<div id='story-body'> s </div>": "s",
     "<span class='story-body'>1</span><b class='story-body'>2</b>": "1\n2",
     "<p>nothing": "",
+    "<article><pre>\nx\n</pre>y</article>": "x\ny",
+    "<article>a<LISTING class=q>\r\nx</LISTING></article>": "ax",
+    "<div class=story-body>a<section class='story-body'>b<div>c</div></section>d</div>e<section>": "abcd\nbc",
+    "<div class=entry-content>a<div>b": "ab",
+    "<p class=entry-content>a<p>b</div>c": "a",
 }
 
 BASE = "http://h.example/dir/page?x=1"
@@ -110,6 +115,10 @@ def test_strip_tags(spark):
     given = {
         " <html><head><title>t</title><style>p{}</style></head><p>a&lt;b</p> <b>c</b> ": "tp{}a<b c",
         "<script>1 &lt; 2</script>": "1 &lt; 2",
+        "<p>x<textarea>\nq</textarea>": "xq",
+        "<textarea>\n\nq": "q",
+        "a<pre\nclass=x>\n b": "a b",
+        "<script>'<pre>\nx'</script>": "'<pre>\nx'",
         "": "",
     }
     assert evaluate(spark, given, html.strip_tags) == given
@@ -137,6 +146,18 @@ def test_large_page(spark):
     assert got.n == ""
 
 
+def test_many_matches_on_one_page(spark):
+    import time
+
+    page = "".join(f"<div class='story-body'>text of part {i} <b>é</b> and more of it</div>" for i in range(6400))
+    evaluate(spark, ["<div class='story-body'>x</div>"], html.news)
+    began = time.perf_counter()
+    got = evaluate(spark, [page], html.news)[page]
+    assert got.count("\n") == 6399 and got.startswith("text of part 0 é and more of it\n")
+    print("seconds", time.perf_counter() - began)
+    assert time.perf_counter() - began < 12
+
+
 def test_links_are_extracted_once(spark):
     from pagetrail.operators import extraction
 

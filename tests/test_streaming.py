@@ -20,11 +20,6 @@ def batch(first, n=6):
     ]
 
 
-def start(df, path, mode="append"):
-    query = df.writeStream.format("parquet").option("checkpointLocation", path + "-c").outputMode(mode)
-    query.trigger(availableNow=True).start(path).awaitTermination()
-
-
 def test_pages_restart_from_checkpoint(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
 
@@ -54,10 +49,49 @@ def test_dedup_over_batches(spark, tmp_path):
     for number in (1, 2):
         put(spark, folder, number, batch(6 * number))
         edges = extraction.link_edges(tables.stream_pages(spark, f"{folder}/*", files_per_batch=1))
-        start(jobs.stream_dedup(edges).select("key"), out)
-    keys = [r.key for r in spark.read.parquet(out).collect()]
-    expected = extraction.link_edges(spark.read.parquet(f"{folder}/*")).select("key").distinct()
-    assert sorted(keys) == sorted(r.key for r in expected.collect())
+        jobs.start_dedup_stream(edges, out, out + "-c").awaitTermination()
+    got = {r.key: r.url for r in spark.read.schema(jobs.FIRST).parquet(out).collect()}
+    assert spark.read.parquet(out).count() == len(got)
+    edges = extraction.link_edges(spark.read.parquet(f"{folder}/*")).orderBy("src_id", "link_pos").collect()
+    expected = {}
+    for r in edges:
+        expected.setdefault(r.key, r.url)
+    assert got == expected
+
+
+def test_a_stream_can_keep_running(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    put(spark, folder, 1, batch(0))
+    edges = extraction.link_edges(tables.stream_pages(spark, f"{folder}/*"))
+    query = jobs.start_dedup_stream(edges, out, out + "-c", {"processingTime": "1 second"})
+    try:
+        query.processAllAvailable()
+        before = spark.read.parquet(out).count()
+        put(spark, folder, 2, batch(6))
+        query.processAllAvailable()
+        assert query.isActive and spark.read.parquet(out).count() > before
+    finally:
+        query.stop()
+
+
+def test_a_year_of_visits_takes_one_pass(spark):
+    day = dt.datetime(2024, 1, 1)
+    visits = spark.range(4000).selectExpr("concat('http://h', id % 3) AS origin", "timestamp_micros(1704067200000000 + (id * 7919 % 4000) * 7884000000) AS at")
+    held = spark.createDataFrame([("http://h1", day + dt.timedelta(days=3))], jobs.REFETCH)
+    got = {}
+    for r in jobs.refetch_times(visits, held).collect():
+        got.setdefault(r.origin, []).append(r.fetched_at)
+    at = {}
+    for r in visits.collect():
+        at.setdefault(r.origin, []).append(r.at)
+    for origin, times in at.items():
+        last = day + dt.timedelta(days=3) if origin == "http://h1" else None
+        expected = []
+        for t in sorted(times):
+            if last is None or t - last > dt.timedelta(days=1):
+                last = t
+                expected.append(t)
+        assert sorted(got[origin]) == expected and len(expected) > 200
 
 
 def test_robots_cache(spark, tmp_path):

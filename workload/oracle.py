@@ -610,11 +610,13 @@ ORACLE["stream_pages"] = f"""WITH {HREFS}, {RECORDS}
 SELECT p.url, r.title, r.description, r.content, l.links, {START} + p.page_id AS crawled_at,
        CAST(0 AS bigint) AS depth
 FROM pages p JOIN records r USING (page_id) JOIN link_lists l USING (page_id)"""
-ORACLE["stream_dedup"] = f"""WITH {HREFS}
-SELECT DISTINCT CASE WHEN link LIKE '%\\%%' ESCAPE '\\'
-                     THEN url_decode(replace({key_of('link')}, '+', '%2B'))
-                     ELSE {key_of('link')} END AS key
-FROM kept"""
+ORACLE["stream_dedup"] = f"""WITH {HREFS},
+named AS (
+  SELECT *, CASE WHEN link LIKE '%\\%%' ESCAPE '\\'
+                 THEN url_decode(replace({key_of('link')}, '+', '%2B'))
+                 ELSE {key_of('link')} END AS key
+  FROM kept)
+SELECT key, arg_min(link, page_id * 100000 + pos) AS url FROM named GROUP BY key"""
 ORACLE["stream_stats"] = f"""WITH {HREFS}
 SELECT {host_of('p.url')} AS host, count(*) AS pages_crawled,
        CAST(sum(n_links) AS bigint) AS links_discovered

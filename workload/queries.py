@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrail.functions import html, urls
-from pagetrail.lineage import new_folder
+from pagetrail.lineage import cut_lineage, new_folder
 from pagetrail.operators import extraction, fetching, frontier, ordered, stats
 from pagetrail.operators import requests as rq
 from pagetrail.operators import robots as rb
@@ -542,21 +542,21 @@ def skip_reasons(spark, sf):
 # -- streaming -------------------------------------------------------------
 
 
-def _finish(df, path, sink="parquet"):
-    (
-        df.writeStream.format(sink)
-        .option("checkpointLocation", path + "-checkpoint")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start(path)
-        .awaitTermination()
-    )
+def _arriving_pages(spark, sf):
+    """The pages in four files that arrive one after the other, in order of their ids."""
+    path = new_folder(spark, "pages")
+    pages = inputs.pages(spark, sf)
+    n = pages.count()
+    for part in range(4):
+        some = pages.filter(F.floor(F.col("page_id") * 4 / n) == part) if part < 3 else pages.filter(F.col("page_id") * 4 / n >= 3)
+        some.coalesce(1).write.parquet(f"{path}/{part}")
+    return tables.stream_pages(spark, f"{path}/*", files_per_batch=1)
 
 
 @query
 def stream_pages(spark, sf):
     path = new_folder(spark, "stream-pages")
-    parsed = jobs.parsed_stream(tables.stream_pages(spark, sf, names="pages.parquet"), extract_links=True)
+    parsed = jobs.parsed_stream(_arriving_pages(spark, sf), extract_links=True)
     stamped = parsed.withColumn("crawled_at", F.timestamp_seconds(F.col("page_id") + inputs.START))
     jobs.start_page_stream(stamped, path, path + "-checkpoint").awaitTermination()
     return flat(results.read_results(spark, path))
@@ -565,16 +565,22 @@ def stream_pages(spark, sf):
 @query
 def stream_dedup(spark, sf):
     path = new_folder(spark, "stream-dedup")
-    found = extraction.link_edges(tables.stream_pages(spark, sf, names="pages.parquet"))
-    _finish(jobs.stream_dedup(found).select("key"), path)
-    return spark.read.schema("key string").parquet(path)
+    found = extraction.link_edges(_arriving_pages(spark, sf))
+    jobs.start_dedup_stream(found, path, path + "-checkpoint").awaitTermination()
+    return spark.read.schema(jobs.FIRST).parquet(path).select("key", "url")
 
 
 @query
 def stream_robots(spark, sf):
     path = new_folder(spark, "visits")
-    inputs.visits(spark, sf).write.parquet(path)
-    arriving = spark.readStream.schema("visit_id bigint, at timestamp, url string").parquet(path)
+    visits = cut_lineage(inputs.visits(spark, sf), "visits")
+    # three files that arrive one after the other, in order of time
+    third = F.least(F.floor((F.dayofmonth("at") - 1) / 10), F.lit(2))
+    for part in range(3):
+        visits.filter(third == part).coalesce(1).write.parquet(f"{path}/{part}")
+    arriving = (
+        spark.readStream.schema("visit_id bigint, at timestamp, url string").option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    )
     jobs.start_robots_stream(arriving, path + "-due", path + "-checkpoint").awaitTermination()
     due = spark.read.schema(jobs.REFETCH).parquet(path + "-due")
     return due.select("origin", seconds("fetched_at"))
@@ -584,9 +590,7 @@ def stream_robots(spark, sf):
 def stream_stats(spark, sf):
     path = new_folder(spark, "stream-stats")
     counted = jobs.stream_stats(
-        extraction.page_links(tables.stream_pages(spark, sf, names="pages.parquet")).withColumn(
-            "host", urls.url_host("url")
-        ),
+        extraction.page_links(_arriving_pages(spark, sf)).withColumn("host", urls.url_host("url")),
         "host",
     )
 

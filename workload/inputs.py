@@ -233,6 +233,12 @@ def _stored(application: str, sf_dir: str, what: str) -> dict:
     return {}
 
 
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    """The next report runs its crawl anew."""
+    for what in ("site", "crawl", "page_data"):
+        _stored(spark.sparkContext.applicationId, sf_dir, what).clear()
+
+
 def stored_site(spark: SparkSession, sf_dir: str) -> Site:
     """The stored pages and links, made ready once per session and folder."""
     kept = _stored(spark.sparkContext.applicationId, sf_dir, "site")

@@ -38,16 +38,18 @@ from .common import cut_lineage, fresh, in_batches
 from .components import components
 from .shingles import shingle_sets
 
-#: A shingle in so many distinct texts goes last in the order (any order gives the same result).
+#: A shingle that so many distinct texts have in their windows goes last in the order (any order gives the same result).
 COMMON = 16
+#: Times the windows are counted to find such shingles; every time those found before have moved to the end.
+ORDERS = 2
 #: Regions of up to so many members compare them directly; larger ones take pivots.
 SMALL = 24
 #: Rounds of pivots in large regions before their other components are measured.
-ROUNDS = 4
+ROUNDS = 2
 #: log2 of the bits of the filters: common shingles, shared shingles, sets to verify (at most 8 MB each).
 COMMON_BITS, SHARED_BITS, VERIFY_BITS = 25, 26, 25
-#: Shingles held by a task at once, and about so many in a bucket that is counted at once.
-HELD, BUCKET = 1 << 21, 1 << 20
+#: Shingles held by a task at once.
+HELD = 1 << 19
 #: Bytes of a hash that are compared in verification.
 WIDTH = 6
 
@@ -82,133 +84,140 @@ class _Seen:
         return False
 
 
-def _profile(rows: DataFrame) -> DataFrame:
-    """Two kinds of rows: (id, n, c) for each text, and (s, times) for shingles a task met in several distinct texts."""
+class _Blobs:
+    """Shingles of a task on their way to the buckets of the hash space, equal ones combined before."""
+
+    def __init__(self, log2: int) -> None:
+        self.log2, self.held, self.size = log2, [], 0
+
+    def add(self, first: np.ndarray) -> None:
+        self.held.append(first)
+        self.size += len(first)
+
+    def send(self, repeats: bool = False) -> pa.RecordBatch:
+        """Everything held; with ``repeats`` only what is held more than once, to buckets of its own."""
+        values, times = np.unique(np.concatenate([_EMPTY, *self.held]), return_counts=True)
+        self.held, self.size = [], 0
+        if repeats:
+            values, times = values[times > 1], times[times > 1]
+        bucket = (values >> np.uint64(64 - self.log2)).astype(np.int64) if self.log2 else np.zeros(len(values), np.int64)
+        heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+        tails = np.r_[heads[1:], len(bucket)]
+        times = np.minimum(times, 255).astype(np.uint8)
+        bucket = bucket + (repeats << self.log2)
+        n = len(heads)
+        return pa.RecordBatch.from_arrays(
+            [
+                *(pa.nulls(n, kind) for kind in (pa.int64(), pa.int32(), pa.binary())),
+                pa.array(bucket[heads]),
+                pa.array([values[a:b].tobytes() for a, b in zip(heads, tails)], pa.binary()),
+                pa.array([times[a:b].tobytes() for a, b in zip(heads, tails)], pa.binary()),
+            ],
+            ["id", "n", "c", "bucket", "found", "times"],
+        )
+
+
+def _ordered(found: np.ndarray, common: np.ndarray | None) -> np.ndarray:
+    """The window of a set: its first shingles in the order of (common, hash)."""
+    if common is None:
+        return found[: window(len(found))]
+    last = bits.test(common, found)
+    return np.concatenate([found[~last], found[last]])[: window(len(found))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, size = _Seen(), [], 0
 
-        def repeated() -> pa.RecordBatch:
-            values, times = np.unique(np.concatenate(held), return_counts=True)
-            many = times > 1
-            k = int(many.sum())
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.nulls(k, pa.int64()),
-                    pa.nulls(k, pa.int32()),
-                    pa.nulls(k, pa.binary()),
-                    pa.array(values[many].view(np.int64)),
-                    pa.array(times[many].astype(np.int64)),
-                ],
-                ["id", "n", "c", "s", "times"],
-            )
+def _windows(rows: DataFrame, common, with_texts: bool) -> DataFrame:
+    """Blobs of the windows of all distinct sets, by bucket.
 
+    Asked for texts, also (id, n, c) of each, and as further blobs the shingles that a task meets repeatedly in whole sets:
+    large groups of near copies show there beyond their windows.
+    There are 16 buckets or more for each shuffle partition, so that a bucket stays small where partitions are.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    log2 = (partitions * 16 - 1).bit_length()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, blobs, whole = _Seen(), _Blobs(log2), _Blobs(log2)
+        order = None if common is None else common.value
         for batch in batches:
             n, c = [], []
             for found in shingle_sets(batch.column(1)):
+                name = _class_of(found)
                 n.append(len(found))
-                c.append(_class_of(found))
-                if not seen(c[-1]):
-                    held.append(found)
-                    size += len(found)
-                    if size >= HELD:
-                        yield repeated()
-                        held, size = [], 0
-            k = len(n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(c, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())],
-                ["id", "n", "c", "s", "times"],
-            )
-        if held:
-            yield repeated()
-
-    return in_batches(rows, run, "id long, n int, c binary, s long, times long")
-
-
-def _ordered(found: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The window of a set: its first shingles in the order of (common, hash)."""
-    last = bits.test(common, found)
-    return np.concatenate([found[~last], found[last]])[: window(len(found))]
+                c.append(name)
+                if len(found) and not seen(name):
+                    blobs.add(_ordered(found, order))
+                    if blobs.size >= HELD:
+                        yield blobs.send()
+                    if with_texts:
+                        whole.add(found)
+                        if whole.size >= 2 * HELD:
+                            yield whole.send(repeats=True)
+            if with_texts:
+                k = len(n)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(n, pa.int32()), pa.array(c, pa.binary()), *(pa.nulls(k, t) for t in (pa.int64(), pa.binary(), pa.binary()))],
+                    ["id", "n", "c", "bucket", "found", "times"],
+                )
+        yield blobs.send()
+        yield whole.send(repeats=True)
 
+    return in_batches(rows, run, "id long, n int, c binary, bucket long, found binary, times binary")
 
-def _shared(rows: DataFrame, common, total: int) -> DataFrame:
-    """(s): shingles in the windows of several distinct texts.
 
-    Tasks send sorted blobs of hashes per bucket of the hash space, combined before; the number
-    of buckets grows with ``total``, so that a bucket stays small.
-    """
-    log2 = max(0, (total // BUCKET).bit_length())
+def _counts(blobs: DataFrame) -> DataFrame:
+    """(s, times) of shingles that occur in several windows; times up to 255."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, size = _Seen(), [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found, times = None, [], []
 
-        def blobs() -> pa.RecordBatch:
-            values, times = np.unique(np.concatenate(held), return_counts=True)
-            bucket = (values >> np.uint64(64 - log2)).astype(np.int64) if log2 else np.zeros(len(values), np.int64)
-            heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            tails = np.r_[heads[1:], len(bucket)]
-            once = times == 1
+        def result() -> pa.RecordBatch:
+            values, weight = np.concatenate([_EMPTY, *found]), np.concatenate([np.zeros(0, np.int64), *times])
+            order = np.argsort(values, kind="stable")
+            values, weight = values[order], weight[order]
+            heads = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+            sums = np.add.reduceat(weight, heads) if len(heads) else weight
+            many = sums > 1
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket[heads]),
-                    pa.array([values[a:b][once[a:b]].tobytes() for a, b in zip(heads, tails)], pa.binary()),
-                    pa.array([values[a:b][~once[a:b]].tobytes() for a, b in zip(heads, tails)], pa.binary()),
-                ],
-                ["bucket", "once", "several"],
+                [pa.array(values[heads][many].view(np.int64)), pa.array(np.minimum(sums[many], 255).astype(np.int32))], ["s", "times"]
             )
 
         for batch in batches:
-            for found in shingle_sets(batch.column(1)):
-                if len(found) and not seen(_class_of(found)):
-                    held.append(_ordered(found, common.value))
-                    size += len(held[-1])
-            if size >= HELD:
-                yield blobs()
-                held, size = [], 0
-        if held:
-            yield blobs()
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, once, several = None, [], []
-
-        def result() -> pa.RecordBatch:
-            values, times = np.unique(np.concatenate([_EMPTY, *once]), return_counts=True)
-            found = np.union1d(values[times > 1], np.concatenate([_EMPTY, *several]))
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["s"])
-
-        for batch in batches:
-            for bucket, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for bucket, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if bucket != now and now is not None:
                     yield result()
-                    once, several = [], []
+                    found, times = [], []
                 now = bucket
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                once.append(np.concatenate([a, b]))
-                several.append(b)
+                found.append(np.frombuffer(a, np.uint64))
+                times.append(np.frombuffer(b, np.uint8).astype(np.int64))
         if now is not None:
             yield result()
 
-    sent = in_batches(rows, send, "bucket long, once binary, several binary")
-    return in_batches(sent.repartition("bucket").sortWithinPartitions("bucket"), meet, "s long")
+    sent = blobs.where("bucket IS NOT NULL").select("bucket", "found", "times")
+    return in_batches(sent.repartition("bucket").sortWithinPartitions("bucket"), run, "s long, times int")
 
 
 def _regions(rows: DataFrame, common, shared) -> DataFrame:
-    """(s, c, n, own): each class in the regions of its window; ``own``: shingles of the window nobody shares."""
+    """(s, c, n, own, end, pos, rare): each class in the regions of its window; ``own``: shingles of the window that no other window
+    has; ``end``: place of the window's last shingle in the order; ``pos``: rank of the shingle in the set, from 1; ``rare``: shingles of the whole set that are not marked as common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for batch in batches:
-            s, c, n, own, times = [], [], [], [], []
+            s, c, n, own, end, pos, rare, times = [], [], [], [], [], [], [], []
             for found in shingle_sets(batch.column(1)):
                 if not len(found) or seen(name := _class_of(found)):
                     continue
-                first = _ordered(found, common.value)
-                first = first[bits.test(shared.value, first)]
+                whole = _ordered(found, common.value)
+                met = bits.test(shared.value, whole)
+                first = whole[met]
                 if len(first):
                     s.append(first)
+                    pos.append(np.flatnonzero(met) + 1)
+                    end.append(int(bits.test(common.value, whole[-1:])[0]) << 62 | int(whole[-1]) >> 2)
                     c.append(name)
                     n.append(len(found))
                     own.append(window(len(found)) - len(first))
+                    rare.append(int((~bits.test(common.value, found)).sum()))
                     times.append(len(first))
             if s:
                 at = np.repeat(np.arange(len(s)), times)
@@ -218,16 +227,36 @@ def _regions(rows: DataFrame, common, shared) -> DataFrame:
                         pa.array(c, pa.binary()).take(pa.array(at)),
                         pa.array(np.array(n, np.int32)[at]),
                         pa.array(np.array(own, np.int32)[at]),
+                        pa.array(np.array(end, np.int64)[at]),
+                        pa.array(np.concatenate(pos).astype(np.int32)),
+                        pa.array(np.array(rare, np.int32)[at]),
                     ],
-                    ["s", "c", "n", "own"],
+                    ["s", "c", "n", "own", "end", "pos", "rare"],
                 )
 
-    return in_batches(rows, run, "s long, c binary, n int, own int").distinct()
+    return in_batches(rows, run, "s long, c binary, n int, own int, end long, pos int, rare int").distinct()
 
 
 def _similar(a: Column, b: Column) -> Column:
-    """Sizes of sets that can link."""
-    return (F.least(a, b) * 4 >= F.greatest(a, b) * 3)
+    """Whether two members can link by their sizes and windows.
+
+    Of two windows take the one that ends first in the order: what of it the other window lacks, the other set lacks.
+    So that set has at most ``n - own`` shingles in common with the other.
+    """
+    sizes = F.least(a["n"], b["n"]) * 4 >= F.greatest(a["n"], b["n"]) * 3
+    most = F.when(a["end"] <= b["end"], a["n"] - a["own"]).otherwise(b["n"] - b["own"])
+    return sizes & (most * 7 >= (a["n"] + b["n"]) * 3)
+
+
+def _rest(a: Column, b: Column) -> Column:
+    """Shingles outside the window that ends first; only these can be shared besides those of both windows."""
+    n = F.when(a["end"] <= b["end"], a["n"]).otherwise(b["n"])
+    return F.floor(3 * n / 4 + 0.75) - 1
+
+
+def _early(a: Column, b: Column) -> Column:
+    """Whether two members of a region can link if its shingle is the first that they share; for some region it is."""
+    return (F.least(a["n"] - a["pos"], b["n"] - b["pos"]) + 1) * 7 >= (a["n"] + b["n"]) * 3
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
@@ -240,11 +269,11 @@ class _Verifier:
     def __init__(self, rows: DataFrame, classes: DataFrame) -> None:
         self.rows, self.classes = rows, classes
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """(x, y) of ``pairs``, which must be a written table, that link."""
-        sc = pairs.sparkSession.sparkContext
-        named = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
-        wanted = named.join(self.classes, "c").select(F.xxhash64("id").alias("h"))
+    def sets(self, names: DataFrame) -> DataFrame:
+        """(c, found) for the named classes, from the text that stands for each; written."""
+        sc = names.sparkSession.sparkContext
+        wanted = names.distinct().join(self.classes, "c").select("c", "id", F.xxhash64("id").alias("h"))
+        wanted = cut_lineage(wanted, "wanted")
         keys = sc.broadcast(bits.build(wanted, "h", VERIFY_BITS))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,8 +288,13 @@ class _Verifier:
                 yield pa.RecordBatch.from_arrays([chosen.column(0), pa.array(c, pa.binary()), pa.array(blob, pa.binary())], ["id", "c", "found"])
 
         sets = in_batches(self.rows.withColumn("h", F.xxhash64("id")), run, "id long, c binary, found binary")
-        sets = sets.join(self.classes.select(F.col("c").alias("k"), F.col("id").alias("i")), (F.col("c") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
-        sets = cut_lineage(sets.select("c", "found").dropDuplicates(["c"]), "sets")
+        named = wanted.select(F.col("c").alias("k"), F.col("id").alias("i"))
+        sets = sets.join(named, (F.col("c") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
+        return cut_lineage(sets.select("c", "found").dropDuplicates(["c"]), "sets")
+
+    @staticmethod
+    def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """(x, y) of ``pairs`` that link."""
 
         def full(blob: bytes) -> np.ndarray:
             out = np.zeros((len(blob) // WIDTH, 8), np.uint8)
@@ -283,86 +317,111 @@ class _Verifier:
         return in_batches(joined, compare, "x binary, y binary")
 
 
-def _links(rows: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes (c, id, n, rows) and links between them: enough for every component, each true."""
+def _links(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts (id, n, c), classes (c, id, n) and links between them: enough for every component, each true."""
     sc = rows.sparkSession.sparkContext
-    texts = profile.where("c IS NOT NULL")
-    classes = texts.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("rows"))
-    classes = cut_lineage(classes, "classes")
-    common = profile.where("s IS NOT NULL").groupBy("s").agg(F.sum("times").alias("times")).where(F.col("times") >= COMMON)
-    common = sc.broadcast(bits.build(common, "s", COMMON_BITS))
-    total = classes.agg(F.coalesce(F.sum(F.floor(F.col("n") / 4) + 1), F.lit(0))).first()[0]
-    shared = sc.broadcast(bits.build(_shared(rows, common, int(total)), "s", SHARED_BITS))
+    first = cut_lineage(_windows(rows, None, True), "profile")
+    texts = first.where("c IS NOT NULL").select("id", "n", "c")
+    classes = cut_lineage(texts.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n")), "classes")
+    marks, common = None, None
+    for turn in range(ORDERS):
+        blobs = _windows(rows, common, False) if turn else first
+        new = cut_lineage(_counts(blobs).where(F.col("times") >= COMMON).select("s"), "common")
+        marks = new if marks is None else marks.union(new)
+        common = sc.broadcast(bits.build(marks, "s", COMMON_BITS))
+    shared = sc.broadcast(bits.build(_counts(_windows(rows, common, False)), "s", SHARED_BITS))
     regions = cut_lineage(_regions(rows, common, shared), "regions")
-    stats = regions.groupBy("s").agg(F.count("*").alias("members"), F.min(F.struct("own", "c", "n")).alias("pivot")).where("members > 1")
+    stats = regions.groupBy("s").agg(F.count("*").alias("members"), F.min(F.struct("rare", "c", "n", "own", "end", "pos")).alias("pivot")).where("members > 1")
     placed = cut_lineage(regions.join(stats, "s"), "placed")
     small, large = placed.where(F.col("members") <= SMALL), placed.where(F.col("members") > SMALL)
     verify = _Verifier(rows, classes)
 
     # large regions: pivots, round by round, while a region holds several components
-    links, found = None, None
-    waiting = large.select("s", "c", "n", F.col("c").alias("comp"), "pivot")
+    links, found, sets = None, None, None
+    waiting = large.select("s", "c", *_SHAPE, F.col("c").alias("comp"), "pivot")
     for turn in range(ROUNDS):
         if turn:
-            waiting = _unresolved(large, found)
-            pivots = waiting.groupBy("s").agg(F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "n", "comp")).alias("pivot"))
+            # the next pivot comes from another component than the largest
+            waiting = cut_lineage(_unresolved(large, found), "waiting")
+            others = waiting.join(_largest(waiting), "s").where("comp <> main")
+            pivots = others.groupBy("s").agg(F.min(F.struct("rare", "c", "n", "own", "end", "pos", "comp")).alias("pivot"))
             waiting = waiting.drop("pivot").join(pivots, "s").where("comp <> pivot.comp")
-        star = waiting.where((F.col("c") != F.col("pivot.c")) & _similar(F.col("n"), F.col("pivot.n"))).select(*_pair(F.col("c"), F.col("pivot.c"))).distinct()
+        can = _similar(F.struct(*_SHAPE), F.col("pivot"))
+        star = waiting.where((F.col("c") != F.col("pivot.c")) & can).select(*_pair(F.col("c"), F.col("pivot.c"))).distinct()
         star = cut_lineage(star, "star")
         if star.isEmpty():
             break
-        good = cut_lineage(verify(star), "links")
+        sets = verify.sets(large.select("c")) if sets is None else sets
+        good = cut_lineage(verify.links(star, sets), "links")
         links = good if links is None else links.union(good)
         found = cut_lineage(components(links), "components")
 
-    pairs = _direct(small)
+    pairs = _direct(small, large)
     if found is not None:
-        apart = cut_lineage(_unresolved(large, found), "apart")
-        pairs = pairs.union(_across(apart))
-    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("shared"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-    need = F.ceil(3 * (F.col("nx") + F.col("ny")) / 7)
-    rest = lambda n: F.floor(3 * F.col(n) / 4 + 0.75) - 1  # noqa: E731  shingles outside the window
-    pairs = pairs.where(F.col("shared") + F.greatest(rest("nx"), rest("ny")) >= need).select("x", "y")
+        pairs = pairs.union(_across(cut_lineage(_unresolved(large, found), "apart"))).distinct()
     if found is not None:
         for side in "xy":
             own = found.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
             pairs = pairs.join(own, side, "left")
         pairs = pairs.where("root_x IS NULL OR root_y IS NULL OR root_x <> root_y").select("x", "y")
-    good = cut_lineage(verify(cut_lineage(pairs, "pairs")), "links")
-    return classes, good if links is None else links.union(good)
+    pairs = cut_lineage(pairs, "pairs")
+    sets = verify.sets(pairs.select(F.explode(F.array("x", "y")).alias("c")))
+    good = cut_lineage(verify.links(pairs, sets), "links")
+    return texts, classes, good if links is None else links.union(good)
+
+
+_SHAPE = ("n", "own", "end", "pos", "rare")
 
 
-def _direct(small: DataFrame) -> DataFrame:
-    """All pairs of similar size in regions of at most SMALL members."""
-    groups = small.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("c", "n"))).alias("m"))
+def _direct(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(x, y) that can link and share a region of at most SMALL members, by all that their windows share.
+
+    What two windows share in large regions isn't counted; it is no more than either has there.
+    """
+    elsewhere = large.groupBy("c").agg(F.count("*").cast("int").alias("more"))
+    members = small.join(elsewhere, "c", "left").na.fill(0, ["more"])
+    groups = members.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("c", *_SHAPE, "more"))).alias("m"))
     each = groups.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
-    return each.where(_similar(F.col("a.n"), F.col("b.n"))).select(
-        F.col("a.c").alias("x"), F.col("b.c").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")
+    a, b = F.col("a"), F.col("b")
+    met = each.where(_similar(a, b)).select(
+        a["c"].alias("x"),
+        b["c"].alias("y"),
+        _early(a, b).alias("early"),
+        (_rest(a, b) + F.least(a["more"], b["more"])).alias("rest"),
+        (a["n"] + b["n"]).alias("both"),
     )
+    pairs = met.groupBy("x", "y").agg(
+        F.count("*").alias("shared"), F.max("early").alias("early"), F.first("rest").alias("rest"), F.first("both").alias("both")
+    )
+    return pairs.where(F.col("early") & (7 * (F.col("shared") + F.col("rest")) >= 3 * F.col("both"))).select("x", "y")
 
 
 def _unresolved(large: DataFrame, found: DataFrame) -> DataFrame:
-    """(s, c, n, comp, pivot) of large regions that hold several components."""
+    """(s, c, n, own, end, comp, pivot) of large regions that hold several components."""
     placed = large.join(found.select(F.col("node").alias("c"), "root"), "c", "left").select(
-        "s", "c", "n", F.coalesce("root", "c").alias("comp"), "pivot"
+        "s", "c", *_SHAPE, F.coalesce("root", "c").alias("comp"), "pivot"
     )
     several = placed.groupBy("s").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("s")
     return placed.join(several, "s", "left_semi")
 
 
+def _largest(placed: DataFrame) -> DataFrame:
+    """(s, main): the component with most members of each region."""
+    sizes = placed.groupBy("s", "comp").agg(F.count("*").alias("k"))
+    return sizes.groupBy("s").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"))
+
+
 def _across(apart: DataFrame) -> DataFrame:
-    """Pairs of similar size whose components differ: each member outside the largest component against the others."""
-    sizes = apart.groupBy("s", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("s").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"))
-    few = apart.join(main, "s").where("comp <> main").select("s", F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("comp").alias("comp1"))
-    met = few.join(apart, "s").where((F.col("comp1") != F.col("comp")) & _similar(F.col("n1"), F.col("n")))
-    first = F.col("c1") < F.col("c")
-    return met.select(
-        "s",
-        *_pair(F.col("c1"), F.col("c")),
-        F.when(first, F.col("n1")).otherwise(F.col("n")).alias("nx"),
-        F.when(first, F.col("n")).otherwise(F.col("n1")).alias("ny"),
-    ).distinct().drop("s")
+    """(x, y) that can link and whose components differ: each member outside the largest component against the others.
+
+    A pair is looked at in the region of the first shingle that both share, or in few besides.
+    """
+    member = F.struct("c", *_SHAPE, "comp")
+    few = apart.join(_largest(apart), "s").where("comp <> main").select("s", member.alias("a"))
+    a, b = F.col("a"), F.col("b")
+    can = (a["comp"] != b["comp"]) & _similar(a, b) & _early(a, b)
+    met = few.join(apart.select("s", member.alias("b")), "s").where(can)
+    return met.select(*_pair(a["c"], b["c"]))
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -375,13 +434,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     another row; repeated rows give repeated rows.  No rows: no rows.  Extra columns play no part.
     """
     rows = _rows(docs, key, text)
-    profile = cut_lineage(_profile(rows), "profile")
-    classes, links = _links(rows, profile)
+    texts, classes, links = _links(rows)
     found = cut_lineage(components(links), "components")
     named = classes.join(found.select(F.col("node").alias("c"), "root"), "c", "left").select("c", "id", F.coalesce("root", "c").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component"))
     of_class = named.join(least, "root").select("c", "component")
-    texts = profile.where("c IS NOT NULL").select("id", "n", "c")
     return texts.join(of_class, "c", "left").select(
         F.col("id").alias(key),
         F.col("n").cast("long").alias("n_shingles"),

@@ -10,7 +10,7 @@ import pyarrow as pa
 WORDS = 5
 
 #: Bytes of text worked on at once (a longer text is worked on alone).
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _rng = np.random.default_rng(20_240_501)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -26,7 +26,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE * 2)
+        size = max(n, SLICE + SLICE // 4)
         _powers[:] = [
             np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64)
             for b in (_BASE, pow(_BASE, -1, 1 << 64))
@@ -75,8 +75,8 @@ def _sets(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
             np.not_equal(found[1:], found[:-1], out=fresh[1:])
             out.append(found[fresh])
         elif b > a:
-            short = (words[a:b] * _PLACE[: b - a]).sum(dtype=np.uint64) + _PLACE[WORDS] * np.uint64(b - a)
-            out.append(mixed(np.array([short], np.uint64)))
+            short = (words[a:b] * _PLACE[: b - a]).sum(dtype=np.uint64, keepdims=True)
+            out.append(mixed(short + _PLACE[WORDS:] * np.uint64(b - a)))
         else:
             out.append(empty)
     return out
@@ -84,17 +84,18 @@ def _sets(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """Sorted distinct hashes for each text; a null or one without words has none."""
-    texts = texts.cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else ()
     if len(texts) == 0:
         return
     data = texts.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        to = int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1
+        begin = int(offsets[at])
+        to = int(np.searchsorted(offsets, begin + SLICE, side="right")) - 1
         to = min(max(to, at + 1), len(texts))
-        yield from _sets(data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at])
+        yield from _sets(data[begin : int(offsets[to])], offsets[at + 1 : to + 1].astype(np.int64) - begin)
         at = to
 
 

@@ -89,7 +89,6 @@ def test_large_regions_take_pivots(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "COMMON", 10**9)  # no order by frequency: passages make large regions
     monkeypatch.setattr(jaccard, "ROUNDS", 2)
     monkeypatch.setattr(jaccard, "HELD", 500)
-    monkeypatch.setattr(jaccard, "BUCKET", 1000)
     assert rows(jaccard.near_groups(docs(spark, data))) == brute(data)
 
 

@@ -14,6 +14,7 @@ character; its transitions over whole tokens are kept as well.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import sys
 from array import array
@@ -28,7 +29,10 @@ from .bpe import merged, parts_of, read_ranks
 from .common import in_batches, text_or_empty
 
 #: Transitions and words a worker keeps; beyond it starts anew.
-TRANSITIONS, WORDS = 800_000, 500_000
+TRANSITIONS, WORDS = 250_000, 300_000
+
+#: log2 of the places that note which transitions were asked for.
+_ASKED = 22
 
 _machines: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
 
@@ -38,9 +42,10 @@ class State:
     the start and the id of the token that ends the chain there (None: no chain by ``last``);
     ``places``: where a later token may begin."""
 
-    __slots__ = ("last", "open", "ends", "places", "next", "rest")
+    __slots__ = ("number", "last", "open", "ends", "places", "next", "rest")
 
-    def __init__(self, last: int | None, open_: bytes, ends: list, places: list[int]) -> None:
+    def __init__(self, number: int, last: int | None, open_: bytes, ends: list, places: list[int]) -> None:
+        self.number = number
         self.last, self.open, self.ends, self.places = last, open_, ends, places
         self.next: dict[int, tuple[State, tuple[int, ...]]] | None = None
         self.rest: tuple[int, ...] | None = None
@@ -60,23 +65,32 @@ class Encoder(dict):
         # for bytes that are a token, begin one, or both: id * 2 + (begins one); id -1 if they are none
         self.role = {t[:n]: -1 for t in self.tokens for n in range(1, len(t))}
         self.role |= {t: i * 2 + (t in self.role) for t, i in self.tokens.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.older: dict[str, bytes] = {}
         self.restart()
 
     def restart(self) -> None:
         self.known: dict[tuple[int | None, bytes], State] = {}
-        if len(self.pairs) > TRANSITIONS:
+        if len(self.pairs) > 2 * TRANSITIONS:
             self.pairs.clear()
         self.made = 0
-        self.start = State(None, b"", [(-1, -1)], [0])
+        self.asked = bytearray(1 << _ASKED)
+        self.start = State(0, None, b"", [(-1, -1)], [0])
+
+    def forget(self) -> None:
+        """Drops words and transitions, for a worker goes on with other work; known pairs stay."""
+        self.clear()
+        self.older = {}
+        self.restart()
 
     def compatible(self, a: int | None, b: int) -> bool:
         if a is None:
             return True
-        if (a, b) not in self.pairs:
+        pair = a << 32 | b
+        if pair not in self.pairs:
             x, y = self.bytes_of[a], self.bytes_of[b]
-            self.pairs[a, b] = merged(x + y, self.rank_of) == [x, y]
-        return self.pairs[a, b]
+            self.pairs[pair] = merged(x + y, self.rank_of) == [x, y]
+        return self.pairs[pair]
 
     def _advance(self, last: int | None, open_: bytes, ends: list, places: list[int]) -> list[int]:
         """Takes in the last byte of ``open_``: adds to ``ends`` and gives the places where a token may begin from here on."""
@@ -89,7 +103,7 @@ class Encoder(dict):
                 continue
             if found is None and role != -1:
                 before, token = ends[begin][1] if begin else last, role >> 1
-                good = before is None or pairs.get((before, token))
+                good = before is None or pairs.get(before << 32 | token)
                 if good is None:
                     good = self.compatible(before, token)
                 if good:
@@ -133,29 +147,31 @@ class Encoder(dict):
                     e = ends[p]
                     moved.append((e[0] - cut, e[1]) if e is not None and e[0] >= cut and moved[e[0] - cut] is not None else None)
                 ends, live = moved, [p - cut for p in live]
-            after = self.known[key] = State(last, open_, ends, live)
+            after = self.known[key] = State(len(self.known) + 1, last, open_, ends, live)
         return after, certain
 
     def transduce(self, word: bytes) -> list[int]:
         """Ids of one match of the pattern.
 
-        A transition that is missing is made and kept.  The new state has none itself, so a short rest of the word
-        is read from there without keeping its states: they are kept when the word's beginning comes again.
+        A transition that is missing is made when it is asked for again; the first time, a short rest of the word is
+        read without keeping its states.
         """
         if self.made > TRANSITIONS:
             self.restart()
+            gc.collect()
         state, out = self.start, []
-        for at, byte in enumerate(word, 1):
+        for at, byte in enumerate(word):
             arrows = state.next
-            if arrows is None:
-                arrows = state.next = {}
-            arrow = arrows.get(byte)
+            arrow = arrows.get(byte) if arrows is not None else None
             if arrow is None:
+                place = (state.number * 2654435761 + byte * 40503) & ((1 << _ASKED) - 1)
+                if not self.asked[place] and len(word) - at <= 32:
+                    self.asked[place] = 1
+                    return out + self._finish(state, word[at:])
+                if arrows is None:
+                    arrows = state.next = {}
                 arrow = arrows[byte] = self._step(state, byte)
                 self.made += 1
-                if arrow[0].next is None and len(word) - at <= 32:
-                    out += arrow[1]
-                    return out + self._finish(arrow[0], word[at:])
             state, emitted = arrow
             if emitted:
                 out += emitted
@@ -164,21 +180,55 @@ class Encoder(dict):
         out += state.rest
         return out
 
+    def _ahead(self, word: bytes, begin: int) -> list[tuple[int, int]]:
+        """(end, id) of the tokens that begin at a place, short to long."""
+        role_of, out = self.role.get, []
+        for end in range(begin + 1, len(word) + 1):
+            role = role_of(word[begin:end])
+            if role is None:
+                break
+            if role != -1:
+                out.append((end, role >> 1))
+            if not role & 1:
+                break
+        return out
+
     def _finish(self, state: State, rest: bytes) -> list[int]:
-        """What a word that ends with ``rest`` after this state still emits."""
-        word, ends, places = state.open + rest, state.ends.copy(), state.places
-        for n in range(len(state.open) + 1, len(word) + 1):
-            places = self._advance(state.last, word[:n], ends, places)
-        chain, at = [], len(word)
-        while at > 0:
-            at, token = ends[at]
-            chain.append(token)
-        return chain[::-1]
+        """What a word that ends with ``rest`` after this state still emits.
+
+        Looks for the chain from the front, long tokens first.  A place that can't be left again is left out from then on:
+        the chain to it is the only one, so no other way there needs to be tried.
+        """
+        word, last, pairs = state.open + rest, state.last, self.pairs
+        n, at, chain, ways, closed = len(word), 0, [], [], set()
+        ahead = self._ahead(word, 0)
+        while at < n:
+            while ahead:
+                end, token = ahead.pop()
+                if end in closed:
+                    continue
+                good = last is None or pairs.get(last << 32 | token)
+                if good is None:
+                    good = self.compatible(last, token)
+                if good:
+                    ways.append((at, last, ahead))
+                    chain.append(token)
+                    at, last = end, token
+                    ahead = self._ahead(word, at)
+                    break
+            else:
+                closed.add(at)
+                at, last, ahead = ways.pop()
+                chain.pop()
+        return chain
 
     def __missing__(self, word: str) -> bytes:
-        packed = array("I", self.transduce(word.encode())).tobytes()
+        packed = self.older.get(word)
+        if packed is None:
+            packed = array("I", self.transduce(word.encode())).tobytes()
         if len(word) <= 64:
-            if len(self) >= WORDS:
+            if len(self) >= WORDS:  # what is used again comes back from the older half
+                self.older = dict(self)
                 self.clear()
             self[word] = packed
         return packed
@@ -256,6 +306,7 @@ def machines(path: str, pattern: str) -> tuple[Encoder, Decoder]:
     if (path, pattern) not in _machines:
         ranks = read_ranks(path)
         _machines[path, pattern] = Encoder(ranks, pattern), Decoder(ranks)
+        gc.freeze()  # lives as long as the worker
     return _machines[path, pattern]
 
 
@@ -272,6 +323,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         for batch in batches:
             ids = [encoder.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
+        encoder.forget()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("body"))
     return in_batches(rows, run, "key long, ids array<int>").select(F.col("key").alias(key), "ids")
@@ -316,6 +368,7 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                 ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        encoder.forget()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("body"))
     schema = "key long, n_tokens long, ids_sha256 string, decoded_sha256 string"

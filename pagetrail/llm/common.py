@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagetrail.lineage import cut_lineage
 
-__all__ = ["TOKENIZER", "TIKTOKEN", "cut_lineage", "fresh", "in_batches", "remainder", "table", "text_or_empty"]
+__all__ = ["TOKENIZER", "TIKTOKEN", "cut_lineage", "fresh", "give_back", "in_batches", "remainder", "table", "text_or_empty"]
 
 #: Names of vocabulary files; their place is always a parameter.
 TOKENIZER, TIKTOKEN = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -38,8 +42,51 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def give_back() -> None:
+    """Returns memory a task no longer needs to the system: workers live on, next to other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+#: Rows and bytes of an Arrow batch: texts are long, and a batch is in memory several times on its way.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Makes Spark's bounds on Arrow batches of this session at least as strict."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        setting = f"spark.sql.execution.arrow.{name}"
+        given = spark.conf.get(setting, None) or ""
+        if not (given.isdigit() and 0 < int(given) <= most):
+            spark.conf.set(setting, str(most))
+
+
+def _importable(spark: SparkSession) -> None:
+    """Lets Python workers find this package where the driver found it, if they have the same folder."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+
+
 def in_batches(
-    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
-    """Arrow batches through ``fn``, partition by partition; nothing is held beyond a batch."""
-    return df.mapInArrow(fn, schema)
+    """Arrow batches through ``fn``, partition by partition; nothing is held beyond what ``fn`` holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # caches of small objects would be searched for cycles again and again; once at the end is enough
+        gc.disable()
+        try:
+            yield from fn(batches)
+        finally:
+            gc.enable()
+            give_back()
+
+    _bound_batches(df.sparkSession)
+    _importable(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -50,13 +50,17 @@ class Counter(dict):
 
     def __missing__(self, word: str) -> int:
         if len(self) > len(self.whole) + REMEMBERED:
-            self.clear()
-            self.update(self.whole)
+            self.forget()
         n = len(merged(word.encode(), self.rank_of))
         if len(word) <= 64:
             self[word] = n
         return n
 
+    def forget(self) -> None:
+        """Keeps only what was proven."""
+        self.clear()
+        self.update(self.whole)
+
     def count(self, text: str) -> int:
         """Special strings count one each; the text between them is split by the pattern."""
         if self.special is None:
@@ -95,12 +99,14 @@ def token_counts(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path, pattern).count
+        counts = counter(path, pattern)
+        count = counts.count
         for batch in batches:
             tokens = [count(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(tokens, pa.int64())], ["key", "n_bytes", "n_tokens"]
             )
+        counts.forget()
 
     counted = in_batches(rows, run, "key long, n_bytes long, n_tokens long")
     return counted.select(

@@ -219,5 +219,5 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
                 keep = [not held.value.matches(t) for t in batch.column(len(names)).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        out = out.mapInArrow(run, out.schema)
+        out = in_batches(out, run, out.schema)
     return out.drop(body)

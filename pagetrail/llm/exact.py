@@ -112,11 +112,15 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix
     body = fresh("x_row", names)
     rows = docs.select(F.col(key).alias("x_key"), F.col(text).alias("x_text"), F.struct(*names).alias(body))
     hashed = _hashed(rows, "x_text", prefix).drop("x_text")
-    groups = _groups(hashed)
-    kept = hashed.join(groups, ["x_length", "x_full"], "left").where(
-        F.col("x_size").isNull() | F.col("x_key").eqNullSafe(F.col("x_keep"))
+    # rows that no other can equal never leave their task
+    alone = hashed.where("x_full IS NULL").select(body)
+    alike = hashed.where("x_full IS NOT NULL")
+    largest = alike.groupBy("x_length", "x_full").agg(F.max("x_key").alias("x_keep"))
+    # one row remains for each key; only repeated rows meet in the last step
+    several = (
+        alike.join(largest, ["x_length", "x_full"])
+        .where(F.col("x_key").eqNullSafe(F.col("x_keep")))
+        .groupBy("x_length", "x_full")
+        .agg(F.min(body).alias(body))
     )
-    once = kept.where("x_size IS NULL").select(body)
-    # in a group of several rows one row remains for each key; only repeated rows meet here
-    several = kept.where("x_size IS NOT NULL").groupBy("x_length", "x_full").agg(F.min(body).alias(body)).select(body)
-    return once.unionByName(several).select(f"{body}.*")
+    return alone.unionByName(several.select(body)).select(f"{body}.*")

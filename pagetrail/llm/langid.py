@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from .common import in_batches, remainder
 
 #: Buckets of hashed n-grams (one to three characters in UTF-8 bytes).
-BUCKETS = 4096
+BUCKETS = 2048
 #: Training reads at most so many labelled rows for each language, chosen by hash.
 SAMPLE = 400
 #: Below this difference of costs, relative to the largest possible one, a text is ambiguous.
 AMBIGUOUS = 0.05
 #: Bytes of text that are hashed at once.
-PART = 1 << 20
+PART = 1 << 16
 
 _EDGE = 0x20
 
@@ -70,7 +70,7 @@ def gram_counts(text: str) -> np.ndarray:
         grams = [part, part[1:] * np.uint32(257) + part[:-1], (part[2:] * np.uint32(257) + part[1:-1]) * np.uint32(263) + part[:-2]]
         for size, g in enumerate(grams):
             g = (g + np.uint32(size)) * np.uint32(2654435761)
-            total += np.bincount(g >> np.uint32(20), minlength=BUCKETS)
+            total += np.bincount(g >> np.uint32(21), minlength=BUCKETS)
     return total
 
 
@@ -115,14 +115,15 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
         if taken.setdefault(r["language"], 0) < size:
             taken[r["language"]] += 1
             names.append(r["language"])
-            x.append(features(np.frombuffer(r["counts"], "<u4")))
+            x.append(features(np.frombuffer(r["counts"], "<u4")).astype(np.float32))
     languages = sorted(set(names))
     codes = codewords(len(languages))
     if not languages:
         return Model([], codes, np.zeros((BUCKETS, 1)), np.zeros(1))
-    data = np.array(x)
+    data = np.array(x, np.float32)
     target = codes[[languages.index(n) for n in names]]
-    weights, bias = np.zeros((BUCKETS, codes.shape[1])), np.zeros(codes.shape[1])
+    weights, bias = np.zeros((BUCKETS, codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
+    target = target.astype(np.float32)
     speed_w, speed_b = np.zeros_like(weights), np.zeros_like(bias)
     for _ in range(300):
         slope = -target / (1 + np.exp(np.clip(target * (data @ weights + bias), -30, 30))) / len(data)
@@ -175,4 +176,4 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             keep = [known and has_letter(t) and held.value.decide(gram_counts(t))[0] != "und" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import in_batches, remainder
 
-#: Training reads at most about so many labelled rows, chosen by the hash of their text.
+#: Training reads about so many labelled rows, chosen by the hash of their key.
 SAMPLE = 3000
 #: Lines of a training document beyond which it is cut into several chains.
 CHAIN = 64
@@ -118,7 +118,7 @@ def score(text: str | None, model: Model) -> float:
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, key: str, text: str, size: int) -> DataFrame:
-    """(body, label) of about ``size`` labelled rows at most, those with a small hash of the text."""
+    """(k, body, label) of about ``size`` labelled rows, those with a small hash of the key."""
     rows = docs.where(learn & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("body"))
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max("quality").alias("label"))
     total = known.count()

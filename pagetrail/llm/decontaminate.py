@@ -2,8 +2,10 @@
 
 A test item may occur in a document with up to k edits (inserted, deleted or changed characters).
 Cut into k + 1 pieces, at least one piece then occurs unchanged.  Rolling hashes of all windows of a
-document find the pieces, the bytes confirm them, and around each hit Myers' algorithm gives the least
-distance of the item to any passage there.
+document find the pieces and the bytes confirm them.  Of the pairs of pieces, one has at most one edit, so
+beside a hit that counts there is half of its neighbour at least; and an edit destroys GRAM grams of the
+item at most, so most of them are near it.  Around what is left Myers' algorithm gives the least distance
+of the item to any passage there.
 
 Documents and items are compared as runs of letters and digits, lower-cased, one blank between.
 Items are the stated query set: they are split by hash into blocks of a bounded size, and each block
@@ -24,8 +26,10 @@ from .common import cut_lineage, fresh, in_batches, text_or_empty
 
 #: Edits allowed, as a share of the characters of an item.
 ERRORS = 0.1
-#: A piece has at least so many bytes, if the item has; shorter items must occur unchanged.
+#: Of a piece, so many bytes are hashed at most; the rest is compared.
 PIECE = 16
+#: Characters of the grams that are counted before a distance is measured.
+GRAM = 4
 #: Bytes of items in a block (one block is in memory at a time).
 BLOCK_BYTES = 4 << 20
 #: Bytes of text hashed at once.
@@ -42,14 +46,19 @@ def plain(text: Column) -> Column:
 
 
 def budget(chars: int, size: int, errors: float = ERRORS) -> int:
-    """Edits allowed for an item of so many characters and bytes; every piece keeps PIECE bytes."""
-    return max(0, min(int(errors * chars), size // PIECE - 1))
+    """Edits allowed for an item of so many characters, whatever its bytes."""
+    return int(errors * chars)
 
 
-def pieces(item: bytes, k: int) -> list[tuple[int, bytes]]:
-    """Start and bytes of k + 1 pieces of nearly equal size."""
+def pieces(item: str, k: int) -> list[tuple[int, bytes, int]]:
+    """Start, bytes and middle of k + 1 pieces of nearly equal size; no cut goes through a character."""
     cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
-    return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
+    out, start = [], 0
+    for a, b in zip(cuts, cuts[1:]):
+        piece = item[a:b].encode()
+        out.append((start, piece, len(item[a : (a + b) // 2].encode())))
+        start += len(piece)
+    return out
 
 
 def myers(pattern: str, text: str) -> int:
@@ -83,15 +92,23 @@ def myers(pattern: str, text: str) -> int:
     return best
 
 
-def _windows(data: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each window of ``size`` (a power of two) bytes, by doubling."""
+def _windows(data: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Size and the hash of each window of so many bytes, for ascending sizes, by doubling."""
     h = _TABLE[data]
     factor, width = _FACTOR, 1
-    while width < size:
-        h = h[:-width] * np.uint64(factor) + h[width:]
-        factor = factor * factor % (1 << 64)
-        width *= 2
-    return h
+    for size in sizes:
+        if size > len(data):
+            return
+        while width * 2 <= size:
+            h = h[:-width] * np.uint64(factor) + h[width:]
+            factor = factor * factor % (1 << 64)
+            width *= 2
+        # two windows that overlap make one of any size in between
+        yield size, h if size == width else h[: width - size] * np.uint64(factor) + h[size - width :]
+
+
+def _grams(text: str) -> list[str]:
+    return [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
 
 
 @dataclass
@@ -104,41 +121,62 @@ class Matcher:
     def __post_init__(self) -> None:
         self.raw = [t.encode() for t in self.texts]
         self.edits = [budget(len(t), len(b)) for t, b in zip(self.texts, self.raw)]
+        self.grams = [_grams(t) for t in self.texts]
+        self.pieces = [pieces(t, k) for t, k in zip(self.texts, self.edits)]
         by_size: dict[int, list[tuple[int, int, int]]] = {}
-        for i, raw in enumerate(self.raw):
-            if not raw:
-                continue
-            for start, piece in pieces(raw, self.edits[i]):
-                size = min(PIECE, 1 << (len(piece).bit_length() - 1))
-                h = int(_windows(np.frombuffer(piece[:size], np.uint8), size)[0])
-                by_size.setdefault(size, []).append((h, i, start))
+        for i, cut in enumerate(self.pieces):
+            for j, (_, piece, _) in enumerate(cut):
+                size = min(PIECE, len(piece))
+                if size:
+                    h = int(next(_windows(np.frombuffer(piece[:size], np.uint8), [size]))[1][0])
+                    by_size.setdefault(size, []).append((h, i, j))
         self.by_size = {}
-        for size, found in by_size.items():
+        for size, found in sorted(by_size.items()):
             found.sort()
             keys = np.array([f[0] for f in found], np.uint64)
             gate = np.zeros(1 << _FILTER, bool)
             gate[keys >> np.uint64(64 - _FILTER)] = True
             self.by_size[size] = keys, gate, found
-        self.piece_end = [{s: s + len(p) for s, p in pieces(r, k)} for r, k in zip(self.raw, self.edits)]
 
     def _hits(self, data: bytes) -> Iterator[tuple[int, int]]:
         """Item and the place in ``data`` where it would begin, for pieces that occur."""
-        for size, (keys, gate, found) in self.by_size.items():
-            for at in range(0, max(1, len(data) - size + 1), PART):
-                part = np.frombuffer(data[at : at + PART + size - 1], np.uint8)
-                if len(part) < size:
-                    continue
-                h = _windows(part, size)
-                for p in np.flatnonzero(gate[h >> np.uint64(64 - _FILTER)]).tolist():
-                    value = h[p]
-                    k = int(np.searchsorted(keys, value))
+        sizes = list(self.by_size)
+        for at in range(0, len(data), PART):
+            part = np.frombuffer(data[at : at + PART + PIECE - 1], np.uint8)
+            for size, h in _windows(part, sizes):
+                keys, gate, found = self.by_size[size]
+                h = h[:PART]
+                places = np.flatnonzero(gate[h >> np.uint64(64 - _FILTER)])
+                first = np.searchsorted(keys, h[places])
+                equal = keys[np.minimum(first, len(keys) - 1)] == h[places]
+                for p, k in zip(places[equal].tolist(), first[equal].tolist()):
+                    value = keys[k]
                     while k < len(keys) and keys[k] == value:
-                        _, i, start = found[k]
-                        end = self.piece_end[i][start]
-                        if data.startswith(self.raw[i][start:end], at + p):
+                        _, i, j = found[k]
+                        start, piece, _ = self.pieces[i][j]
+                        if data.startswith(piece, at + p) and self._beside(i, j, data, at + p - start):
                             yield i, at + p - start
                         k += 1
 
+    def _beside(self, i: int, j: int, data: bytes, begin: int) -> bool:
+        """Whether the other piece of the pair may be there with one edit, which leaves one of its halves in place."""
+        if j ^ 1 >= len(self.pieces[i]):
+            return True
+        start, piece, middle = self.pieces[i][j ^ 1]
+        a = begin + start
+        b, c = a + middle, a + len(piece)  # a character has four bytes at most
+        return (
+            data.find(piece[:middle], max(0, a - 4), max(0, b + 4)) >= 0 or data.find(piece[middle:], max(0, b - 4), max(0, c + 4)) >= 0
+        )
+
+    def _may_match(self, i: int, passage: str) -> bool:
+        """Whether the passage has as many grams of the item as its budget leaves."""
+        least = len(self.texts[i]) - GRAM + 1 - GRAM * self.edits[i]
+        if least <= 0:
+            return True
+        near = set(_grams(passage))
+        return sum(map(near.__contains__, self.grams[i])) >= least
+
     def matches(self, text: str) -> dict[int, int]:
         """Least distance by item id, for the items that occur within their budget."""
         data = text.encode()
@@ -151,12 +189,15 @@ class Matcher:
             if begin >= 0 and data.startswith(raw, begin):
                 best[i] = 0
                 continue
-            if begin <= reach.get(i, -1):
+            if i in reach and begin <= reach[i]:
                 continue  # the passage around the last hit covers this one
             slack = 4 * k
             low, high = max(0, begin - slack), begin + len(raw) + 2 * slack
             reach[i] = begin + slack // 2
-            d = myers(self.texts[i], data[low:high].decode(errors="ignore"))
+            passage = data[low:high].decode(errors="ignore")
+            if not self._may_match(i, passage):
+                continue
+            d = myers(self.texts[i], passage)
             if d <= k and d < best.get(i, k + 1):
                 best[i] = d
         return {self.ids[i]: d for i, d in best.items()}
@@ -179,10 +220,10 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[Matcher]:
 def contamination(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """One row per document row and item that occurs in it: key, item_id, distance, budget of edits not included.
+    """One row per document row and item that occurs in it: key, item_id, distance.  An item may have a tenth of its characters edited.
 
-    Null and empty texts on either side, and those without letters or digits, match nothing.  Items shorter than
-    2 * PIECE bytes must occur unchanged.  Items with a null key are ignored; an item repeated under another
+    Null and empty texts on either side, and those without letters or digits, match nothing.  Items of fewer
+    than ten characters must occur unchanged.  Items with a null key are ignored; an item repeated under another
     key is another item.  Repeated documents give repeated rows, null document keys are kept.  No rows on
     either side: no rows.  Whole texts are searched, in parts; extra columns play no part.
     """

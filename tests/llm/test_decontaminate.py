@@ -78,3 +78,33 @@ def test_blocks_give_the_same(spark, monkeypatch):
     whole = rows(d.contamination(table, items))
     monkeypatch.setattr(d, "BLOCK_BYTES", 300)
     assert rows(d.contamination(table, items)) == whole and len(whole) == 9
+
+
+def changed(text, k, step):
+    """The text with k characters exchanged, one in each stretch of ``step``."""
+    out = list(text)
+    for i in range(k):
+        out[i * step + step // 2] = "7"
+    return "".join(out)
+
+
+def test_a_tenth_of_the_characters_may_differ():
+    rnd = random.Random(5)
+    texts = [prose(f"t{n}", 60)[:n].strip().ljust(n, "q") for n in (9, 10, 15, 19, 20, 31, 40, 93, 233)]
+    texts += [t.translate(str.maketrans("aeo", "ñ日é")) for t in texts]
+    matcher = d.Matcher(list(range(len(texts))), texts)
+    for i, t in enumerate(texts):
+        k = len(t) // 10  # the stated budget: a tenth
+        step = len(t) // max(1, k)
+        assert matcher.matches(f"vor {changed(t, k, step)} nach").get(i) == k
+        assert i not in matcher.matches(f"vor {changed(t, k + 1, len(t) // (k + 1))} nach")
+        # at the very start and end of a document, with the item's head or tail gone
+        assert matcher.matches(t[k:] + " nach").get(i) == distance(t, t[k:] + " nach") <= k
+        assert matcher.matches("vor " + t[: len(t) - k]).get(i) == distance(t, "vor " + t[: len(t) - k]) <= k
+        for _ in range(20):
+            text = f"{prose(rnd.random(), 5)} {edited(t, rnd.randint(0, k + 1), rnd)} {prose(rnd.random(), 5)}"
+            least = distance(t, text)
+            assert matcher.matches(text).get(i) == (least if least <= k else None)
+    # one long word exchanged
+    item = "the whole of it and then extraordinarily many other words that nobody has changed since those were written"
+    assert d.Matcher([1], [item]).matches(item.replace("many other", "no further")) == {1: distance(item, item.replace("many other", "no further"))}

@@ -27,7 +27,9 @@ from .urlfilter import host_of
 FREQUENT = 0.5
 
 # Element names, and words of class, id or role that mark what is no article.
-RAW = "script|style|template|noscript|iframe|textarea|select|svg|object|title"
+RAW = "script|style|noscript|iframe|textarea|title"
+#: Within these, a tag that ends in "/>" is closed, and no element is raw text.
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -35,7 +37,10 @@ BLOCK = frozenset(
     "thead tr ul".split()
 )
 CONTAINER = frozenset("article main section div body td html".split())
-OUTSIDE = frozenset("nav header footer aside form menu head dialog button fieldset".split())
+OUTSIDE = frozenset("nav header footer aside form menu head dialog button fieldset svg object select template".split())
+#: HTML elements that end foreign ones that are open, and where in foreign ones HTML may stand.
+BREAKS = BLOCK - {"title"} | frozenset("b code em i img s small span strong sub sup u var br embed meta".split())
+HOLDS = frozenset(("foreignobject", "desc", "annotation-xml"))
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies dialog disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notices "
@@ -46,10 +51,10 @@ WORDS = frozenset(
 CLOSES = {"li": "li", "dt": "dd|dt", "dd": "dd|dt", "tr": "tr|td|th", "td": "td|th", "th": "td|th", "option": "option"}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:" + RAW + r")\b[^>]*>|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?:" + RAW + r")(?=[\s/>])[^>]*>|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-_RAW_NAME = re.compile(r"<(" + RAW + r")\b", re.I)
+_RAW_TAG = re.compile(r"<(" + RAW + r")(?=[\s/>])([^>]*)>", re.I)
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[\s_\-]+")
 _SPACE = re.compile(r"\s+")
@@ -86,7 +91,7 @@ class Open:
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, attributes) for tags and ("text", text, "") for what stands between them."""
-    at, n = 0, len(page)
+    at, n, foreign = 0, len(page), 0
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -96,10 +101,19 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             yield "text", page[at : m.start()], ""
         at = m.end()
         if m[2] is not None:
-            yield ("close" if m[1] else "open"), m[2].lower(), m[3]
+            kind, name = ("close" if m[1] else "open"), m[2].lower()
+            if name in FOREIGN and not (kind == "open" and m[3].endswith("/")):
+                foreign = foreign + 1 if kind == "open" else max(0, foreign - 1)
+            elif foreign and kind == "open" and name in BREAKS:
+                foreign = 0
+            yield kind, name, m[3]
         else:
-            raw = _RAW_NAME.match(page, m.start())
-            if raw is not None:
+            raw = _RAW_TAG.match(page, m.start())
+            if raw is None:
+                continue
+            if foreign:
+                yield "open", raw[1].lower(), raw[2]
+            else:
                 end = re.compile(rf"</{raw[1]}\s*>", re.I).search(page, at)
                 at = end.end() if end else n
 
@@ -133,12 +147,23 @@ class Walk:
             if self.stack[i].name in limit:
                 return
 
+    def _leave_foreign(self) -> None:
+        """Ends foreign elements that are open, up to one that holds HTML."""
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].name in HOLDS:
+                return
+            if self.stack[i].name in FOREIGN:
+                while len(self.stack) > i:
+                    self._pop()
+
     def run(self, page: str) -> None:
         for kind, name, attributes in events(page):
             if kind == "text":
                 self.text(name)
                 continue
-            if name in BLOCK:
+            if kind == "open" and name in BREAKS and self.stack[-1].outside:
+                self._leave_foreign()
+            if name in BLOCK and not self.stack[-1].outside:
                 self.block()
             elif name == "br":
                 self.text(" ")

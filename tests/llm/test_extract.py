@@ -50,3 +50,19 @@ def test_awkward_rows(spark):
     assert extract.main_text(spark.createDataFrame([], PAGES)).count() == 0
     repeated = [(1, "http://g.org/", page("T", "x"))] * 3
     assert len(rows(extract.main_text(spark.createDataFrame([(*p, "", "", "") for p in repeated], PAGES)))) == 3
+
+
+def test_embedded_elements_end_where_they_end(spark):
+    inside = [
+        ("icon <svg class=i width='1'/> goes on", "icon goes on"),
+        ("icon <svg><title>t</title><path d='x'/><svg><g/></svg> in </svg> after", "icon after"),
+        ("an <object data=a><object data=b>inner</object> outer</object> after", "an after"),
+        ("a <select><option>1<option>2</select> choice", "a choice"),
+        ("a <template><p>t</p><template>u</template> v</template> after", "a after"),
+        ("open <svg><path d='x'></p><p>next", "open\nnext"),
+        ("open <svg><path d='x'><p>next", "open\nnext"),
+        ("own <title-bar>bar</title-bar> element", "own bar element"),
+        ("icon <svg><style/><title/><path/></svg> after", "icon after"),
+    ]
+    pages = [(i, f"http://h{i}.org/", f"<html><body><article><p>{a}</p><p>the rest</p></article></body></html>") for i, (a, _) in enumerate(inside)]
+    assert run(spark, pages) == {i: f"{b}\nthe rest" for i, (_, b) in enumerate(inside)}

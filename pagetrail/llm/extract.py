@@ -7,7 +7,9 @@ aggregation.  A class is valid if it is frequent and its tokens occur once per p
 their paths, valid classes nest by path into the template.  What lies between template tokens are
 slots.  The slot of the article is the template's article or main element, else the deepest
 container that holds at least half of the host's text; its content is extracted whole, except for
-elements that are menus, headers, footers, side bars, notices, adverts, forms, scripts or comments.
+elements that are menus, headers, footers, side bars, notices, adverts, forms, scripts or comments.  A
+form, or an element that only a word of its class, id or role marks, stays if it holds half of the
+host's text (of the page's, if it isn't frequent), and the mark isn't inherited into an article.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ BLOCK = frozenset(
     "thead tr ul".split()
 )
 CONTAINER = frozenset("article main section div body td html".split())
-OUTSIDE = frozenset("nav header footer aside form menu head dialog button fieldset svg object select template".split())
+OUTSIDE = frozenset("nav header footer aside menu head dialog button fieldset svg object select template".split())
 #: HTML elements that end foreign ones that are open, and where in foreign ones HTML may stand.
 BREAKS = BLOCK - {"title"} | frozenset("b code em i img s small span strong sub sup u var br embed meta".split())
 HOLDS = frozenset(("foreignobject", "desc", "annotation-xml"))
@@ -62,8 +64,9 @@ _SPACE = re.compile(r"\s+")
 _MASK = (1 << 63) - 1
 
 
-def _stands_outside(name: str, attributes: str) -> bool:
-    if name in OUTSIDE:
+def _is_marked(name: str, attributes: str) -> bool:
+    """Whether an element may be no article, by a word of its class, id or role; what it holds decides."""
+    if name == "form":
         return True
     if attributes and name not in ("html", "body", "article", "main"):
         for m in _MARKS.finditer(attributes):
@@ -80,13 +83,22 @@ def _step(path: int, name: str, mark: str) -> int:
     return h
 
 
+class Mark:
+    """A marked element: the mark above it, the one around it in the page, and the characters below it."""
+
+    __slots__ = ("path", "above", "around", "in_article", "chars", "dropped")
+
+    def __init__(self, path: int, above: Mark | None, around: Mark | None, in_article: bool) -> None:
+        self.path, self.above, self.around, self.in_article, self.chars, self.dropped = path, above, around, in_article, 0, False
+
+
 class Open:
-    """An open element."""
+    """An open element; ``mark`` is the one that holds for its text, ``around`` the innermost one."""
 
-    __slots__ = ("name", "path", "outside", "chars")
+    __slots__ = ("name", "path", "outside", "mark", "around", "in_article")
 
-    def __init__(self, name: str, path: int, outside: bool) -> None:
-        self.name, self.path, self.outside, self.chars = name, path, outside, 0
+    def __init__(self, name: str, path: int, outside: bool, mark: Mark | None, around: Mark | None, in_article: bool) -> None:
+        self.name, self.path, self.outside, self.mark, self.around, self.in_article = name, path, outside, mark, around, in_article
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -122,7 +134,8 @@ class Walk:
     """Follows the open elements of a page; the two passes hook in at text and at ends."""
 
     def __init__(self) -> None:
-        self.stack = [Open("", 1, False)]
+        self.stack = [Open("", 1, False, None, None, False)]
+        self.marks: list[Mark] = []
 
     def text(self, raw: str) -> None: ...
 
@@ -133,9 +146,7 @@ class Walk:
     def closed(self, element: Open) -> None: ...
 
     def _pop(self) -> None:
-        element = self.stack.pop()
-        self.stack[-1].chars += element.chars
-        self.closed(element)
+        self.closed(self.stack.pop())
 
     def _end(self, names: str, limit: frozenset[str]) -> None:
         wanted = names.split("|")
@@ -147,6 +158,24 @@ class Walk:
             if self.stack[i].name in limit:
                 return
 
+    def _mark(self, element: Open, attributes: str) -> None:
+        if element.name in ("article", "main"):
+            # a mark around it says nothing about it, unless the mark is part of another article
+            if element.mark is not None and not element.mark.in_article:
+                element.mark = None
+            element.in_article = True
+        elif _is_marked(element.name, attributes):
+            element.mark = element.around = Mark(element.path, element.mark, element.around, element.in_article)
+            self.marks.append(element.around)
+
+    def judge(self, total: int, known: dict[int, bool]) -> None:
+        """Decides which marks hold: as the host does where it knows the path, else those with less than half of the page's text."""
+        for m in reversed(self.marks):
+            if m.around is not None:
+                m.around.chars += m.chars
+        for m in self.marks:
+            m.dropped = (m.above is not None and m.above.dropped) or known.get(m.path, m.chars < FREQUENT * total)
+
     def _leave_foreign(self) -> None:
         """Ends foreign elements that are open, up to one that holds HTML."""
         for i in range(len(self.stack) - 1, 0, -1):
@@ -175,10 +204,12 @@ class Walk:
                 if name in VOID or attributes.endswith("/"):
                     continue
                 top = self.stack[-1]
-                outside = top.outside or _stands_outside(name, attributes)
+                outside = top.outside or name in OUTSIDE
                 m = _MARKS.search(attributes) if attributes else None
                 mark = (m[1] or m[2] or m[3] or "") if m else ""
-                element = Open(name, _step(top.path, name, mark), outside)
+                element = Open(name, _step(top.path, name, mark), outside, top.mark, top.around, top.in_article)
+                if not outside:
+                    self._mark(element, attributes)
                 self.stack.append(element)
                 self.opened(element)
             else:
@@ -193,70 +224,107 @@ class Profile(Walk):
 
     def __init__(self) -> None:
         super().__init__()
-        self.found: dict[int, list] = {}
+        self.rows: list[list] = []  # of each element: the row around it, path, name, depth, characters, mark, marked itself
+        self.open = [-1]
+        self.total = 0
+        self.parts: list[tuple[int, int, Mark | None]] = []
 
     def text(self, raw: str) -> None:
-        if not self.stack[-1].outside:
-            self.stack[-1].chars += len(raw)
+        top = self.stack[-1]
+        if not top.outside:
+            n = len(raw.strip())
+            self.total += n
+            if top.around is not None:
+                top.around.chars += n
+            self.parts.append((self.open[-1], n, top.mark))
+
+    def opened(self, element: Open) -> None:
+        self.open.append(self.open[-1] if element.outside else len(self.rows))
+        if not element.outside:
+            own = element.around if self.marks and element.around is self.marks[-1] and element.around.path == element.path else None
+            self.rows.append([self.open[-2], element.path, element.name, len(self.stack), 0, own])
 
     def closed(self, element: Open) -> None:
-        entry = self.found.get(element.path)
-        if entry is None:
-            entry = self.found[element.path] = [element.name, len(self.stack), 0, 0, element.outside]
-        entry[2] += 1
-        entry[3] += element.chars
+        self.open.pop()
+
+    def found(self) -> tuple[int, dict[int, list]]:
+        """Characters of the page that marks leave; by token name, depth, times, such characters, marked, all characters if marked."""
+        self.judge(self.total, {})
+        left = 0
+        for row, n, mark in self.parts:
+            if mark is None or not mark.dropped:
+                left += n
+                if row >= 0:
+                    self.rows[row][4] += n
+        tokens: dict[int, list] = {}
+        for above, path, name, depth, chars, own in reversed(self.rows):
+            if above >= 0:
+                self.rows[above][4] += chars
+            entry = tokens.setdefault(path, [name, depth, 0, 0, own is not None, 0])
+            entry[2] += 1
+            entry[3] += chars
+            if own is not None:
+                entry[5] += own.chars
+        return left, tokens
 
 
 class Article(Walk):
-    """The text in the slot of the template."""
+    """The text of a page, with what is in the slot of the template and what is marked."""
 
     def __init__(self, slot: int | None) -> None:
         super().__init__()
-        self.slot, self.inside = slot, 0 if slot is not None else 1
-        self.pieces: list[str] = []
-        self.blocks: list[str] = []
+        self.slot, self.inside, self.seen = slot, 0, False
+        self.total = 0
+        self.pieces: list[tuple[str, Mark | None]] = []
+        self.blocks: list[tuple[bool, list[tuple[str, Mark | None]]]] = []
 
     def text(self, raw: str) -> None:
-        if self.inside and not self.stack[-1].outside:
-            self.pieces.append(raw)
+        top = self.stack[-1]
+        if not top.outside:
+            n = len(raw.strip())
+            self.total += n
+            if top.around is not None:
+                top.around.chars += n
+            self.pieces.append((raw, top.mark))
 
     def block(self) -> None:
         if self.pieces:
-            text = _SPACE.sub(" ", entities.unescape("".join(self.pieces))).strip()
-            if text:
-                self.blocks.append(text)
+            self.blocks.append((self.inside > 0, self.pieces))
             self.pieces = []
 
     def opened(self, element: Open) -> None:
         if element.path == self.slot:
             self.block()
             self.inside += 1
+            self.seen = True
+            element.mark = None
 
     def closed(self, element: Open) -> None:
         if element.path == self.slot:
             self.block()
             self.inside -= 1
 
+    def texts(self, slot_only: bool) -> list[str]:
+        out = []
+        for inside, pieces in self.blocks:
+            if inside or not slot_only:
+                left = "".join(raw for raw, mark in pieces if mark is None or not mark.dropped)
+                text = _SPACE.sub(" ", entities.unescape(left)).strip()
+                if text:
+                    out.append(text)
+        return out
 
-def article(page: str, slot: int | None) -> tuple[str, bool]:
-    """Text of the slot, and whether the page has it; without a slot, everything that is not outside."""
-    walk = Article(slot)
-    seen = slot is None
-    if not seen:
-        plain = walk.opened
-
-        def opened(element: Open) -> None:
-            nonlocal seen
-            seen = seen or element.path == slot
-            plain(element)
 
-        walk.opened = opened
+def article(page: str, slot: int | None, kept: list[int] = (), dropped: list[int] = ()) -> str:
+    """Text of the slot, or if the page lacks it, everything that isn't outside; marks hold as the host says."""
+    walk = Article(slot)
     walk.run(page)
-    return "\n".join(walk.blocks), seen
+    walk.judge(walk.total, dict.fromkeys(kept or (), False) | dict.fromkeys(dropped or (), True))
+    return "\n".join(walk.texts(walk.seen))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot): the path of the article in each host's template; pages have page, host, html."""
+    """(host, slot, kept, dropped): paths of the article and of marked elements in each host's template; pages have page, host, html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,28 +332,27 @@ def templates(pages: DataFrame) -> DataFrame:
             for page, host, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 walk = Profile()
                 walk.run(text)
-                rows.append((host, page, 1, "", 0, 1, walk.stack[0].chars))
-                rows += [
-                    (host, page, path, name, depth, times, chars)
-                    for path, (name, depth, times, chars, outside) in walk.found.items()
-                    if not outside
-                ]
-            columns = list(zip(*rows)) if rows else [()] * 7
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+                left, tokens = walk.found()
+                rows.append((host, page, 1, "", 0, 1, left, False, walk.total))
+                rows += [(host, page, path, *entry) for path, entry in tokens.items()]
+            columns = list(zip(*rows)) if rows else [()] * 9
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "page", "token", "name", "depth", "times", "chars"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "page", "token", "name", "depth", "times", "chars", "marked", "whole"]
             )
 
-    found = in_batches(pages, run, "host string, page long, token long, name string, depth int, times int, chars long")
+    found = in_batches(pages, run, "host string, page long, token long, name string, depth int, times int, chars long, marked boolean, whole long")
     tokens = found.groupBy("host", "token").agg(
         F.first("name").alias("name"),
         F.first("depth").alias("depth"),
         F.count("*").alias("pages"),
         F.sum("times").alias("times"),
         F.sum("chars").alias("chars"),
+        F.first("marked").alias("marked"),
+        F.sum("whole").alias("whole"),
         F.sum(F.xxhash64("page", "times").cast("decimal(38,0)")).alias("vector"),
     )
-    whole = tokens.where("token = 1").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
+    whole = tokens.where("token = 1").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"), F.col("whole").alias("all_whole"))
     valid = tokens.join(whole, "host").where((F.col("times") == F.col("pages")) & (F.col("pages") >= FREQUENT * F.col("all_pages")))
     # tokens of one class share its size; of nested classes, the most frequent one and in it the best container counts
     classes = valid.groupBy("host", "vector").agg(
@@ -297,9 +364,16 @@ def templates(pages: DataFrame) -> DataFrame:
         ).alias("best"),
         F.first("pages").alias("pages"),
     )
-    return classes.where("best IS NOT NULL").groupBy("host").agg(
+    slots = classes.where("best IS NOT NULL").groupBy("host").agg(
         F.max(F.struct("best.named", "pages", "best.depth", "best.chars", "best.token"))["token"].alias("slot")
     )
+    # of frequent marked elements, those stay that hold most of the host's text
+    marked = tokens.where("marked").join(whole, "host").where(F.col("pages") >= FREQUENT * F.col("all_pages"))
+    stays = F.col("whole") >= FREQUENT * F.col("all_whole")
+    marks = marked.groupBy("host").agg(
+        F.collect_list(F.when(stays, F.col("token"))).alias("kept"), F.collect_list(F.when(~stays, F.col("token"))).alias("dropped")
+    )
+    return slots.join(marks, "host", "full")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -314,14 +388,11 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
         F.col(key).cast("long").alias("page"), host_of(F.col(url)).alias("host"), text_or_empty(html).alias("html"), F.col(url).alias("url")
     )
     slots = templates(rows.select("page", "host", "html"))
-    joined = rows.join(slots, "host", "left").select("page", "url", "html", "slot")
+    joined = rows.join(slots, "host", "left").select("page", "url", "html", "slot", "kept", "dropped")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for page, slot in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                text, seen = article(page, slot)
-                texts.append(text if seen else article(page, None)[0])
+            texts = [article(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["page", "url", "text", "n_chars"],

@@ -66,3 +66,18 @@ def test_embedded_elements_end_where_they_end(spark):
     ]
     pages = [(i, f"http://h{i}.org/", f"<html><body><article><p>{a}</p><p>the rest</p></article></body></html>") for i, (a, _) in enumerate(inside)]
     assert run(spark, pages) == {i: f"{b}\nthe rest" for i, (_, b) in enumerate(inside)}
+
+
+def test_words_of_a_class_do_not_drop_what_holds_the_text(spark):
+    text = "A long enough text that is the main thing here, number"
+    shells = [
+        "<div class='layout has-sidebar'><article><p>{}</p></article><div class=sidebar>More</div></div>",
+        "<div id='content' class='no-sidebar'><p>{}</p><div class=share>Share</div></div>",
+        "<div class='post comments-open'><p>{}</p></div><div class=comments><p>First!</p></div>",
+        "<form id=aspnet><div><p>{}</p></div></form>",
+        "<main><div class='has-sidebar'><article><p>{}</p></article></div><div class=comments><article>First!</article></div></main>",
+        "<div class='header-fixed'><div class=menu>" + "menu " * 4 + "</div><article><p>{}</p></article></div>",
+    ]
+    for n in (1, 4):
+        pages = [(10 * h + i, f"http://h{h}.org/", f"<html><body>{x.format(f'{text} {i}')}</body></html>") for h, x in enumerate(shells) for i in range(n)]
+        assert run(spark, pages) == {10 * h + i: f"{text} {i}" for h in range(len(shells)) for i in range(n)}

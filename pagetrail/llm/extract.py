@@ -3,10 +3,10 @@
 A token is a tag at its path of enclosing tags.  Its occurrence vector says how often it occurs in
 each page of the host; tokens that share a vector form an equivalence class.  Vectors are summed
 up as a hash over (page, count), pre-combined per task, so that a host of any size is one
-aggregation.  A class is valid if it is frequent and its tokens occur once per page; as tokens carry
+aggregation.  A class is valid if it is frequent and its tokens occur once on most of their pages; as tokens carry
 their paths, valid classes nest by path into the template.  What lies between template tokens are
-slots.  The slot of the article is the template's article or main element, else the deepest
-container that holds at least half of the host's text; its content is extracted whole, except for
+slots.  The article's slots lie in the template's article or main element if it holds half of the
+host's text, else in the smallest container that holds all of it; they are extracted whole, except for
 elements that are menus, headers, footers, side bars, notices, adverts, forms, scripts or comments.  A
 form, or an element that only a word of its class, id or role marks, stays if it holds half of the
 host's text (of the page's, if it isn't frequent), and the mark isn't inherited into an article.
@@ -27,6 +27,8 @@ from .urlfilter import host_of
 
 #: A class is frequent if it occurs in this share of a host's pages.
 FREQUENT = 0.5
+#: The slot's container holds this share of the text that isn't outside; a page where it holds less gives all of it.
+NEARLY = 1.0
 
 # Element names, and words of class, id or role that mark what is no article.
 RAW = "script|style|noscript|iframe|textarea|title"
@@ -304,27 +306,31 @@ class Article(Walk):
             self.block()
             self.inside -= 1
 
-    def texts(self, slot_only: bool) -> list[str]:
-        out = []
+    def texts(self, share: float) -> list[str]:
+        """Blocks of the slot if it holds so much of the text that marks leave, else all."""
+        every, within, whole, found = [], [], 0, 0
         for inside, pieces in self.blocks:
-            if inside or not slot_only:
-                left = "".join(raw for raw, mark in pieces if mark is None or not mark.dropped)
-                text = _SPACE.sub(" ", entities.unescape(left)).strip()
-                if text:
-                    out.append(text)
-        return out
-
-
-def article(page: str, slot: int | None, kept: list[int] = (), dropped: list[int] = ()) -> str:
-    """Text of the slot, or if the page lacks it, everything that isn't outside; marks hold as the host says."""
+            left = "".join(raw for raw, mark in pieces if mark is None or not mark.dropped)
+            text = _SPACE.sub(" ", entities.unescape(left)).strip()
+            if text:
+                every.append(text)
+                whole += len(text)
+                if inside:
+                    within.append(text)
+                    found += len(text)
+        return within if self.seen and found >= share * whole else every
+
+
+def article(page: str, slot: int | None, named: bool | None = None, kept: list[int] = (), dropped: list[int] = ()) -> str:
+    """Text of the slot, or if the page lacks it or has much text elsewhere, everything that isn't outside; marks hold as the host says."""
     walk = Article(slot)
     walk.run(page)
     walk.judge(walk.total, dict.fromkeys(kept or (), False) | dict.fromkeys(dropped or (), True))
-    return "\n".join(walk.texts(walk.seen))
+    return "\n".join(walk.texts(FREQUENT if named else NEARLY))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot, kept, dropped): paths of the article and of marked elements in each host's template; pages have page, host, html."""
+    """(host, slot, named, kept, dropped): paths of the article and of marked elements in each host's template; pages have page, host, html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,25 +354,24 @@ def templates(pages: DataFrame) -> DataFrame:
         F.count("*").alias("pages"),
         F.sum("times").alias("times"),
         F.sum("chars").alias("chars"),
+        F.sum((F.col("times") == 1).cast("long")).alias("once"),
         F.first("marked").alias("marked"),
         F.sum("whole").alias("whole"),
         F.sum(F.xxhash64("page", "times").cast("decimal(38,0)")).alias("vector"),
     )
     whole = tokens.where("token = 1").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"), F.col("whole").alias("all_whole"))
-    valid = tokens.join(whole, "host").where((F.col("times") == F.col("pages")) & (F.col("pages") >= FREQUENT * F.col("all_pages")))
-    # tokens of one class share its size; of nested classes, the most frequent one and in it the best container counts
-    classes = valid.groupBy("host", "vector").agg(
-        F.max(
-            F.when(
-                F.col("name").isin(*CONTAINER) & (F.col("chars") * 2 >= F.col("all_chars")),
-                F.struct(F.col("name").isin("article", "main").alias("named"), "depth", "chars", "token"),
-            )
-        ).alias("best"),
-        F.first("pages").alias("pages"),
-    )
-    slots = classes.where("best IS NOT NULL").groupBy("host").agg(
-        F.max(F.struct("best.named", "pages", "best.depth", "best.chars", "best.token"))["token"].alias("slot")
+    valid = tokens.join(whole, "host").where((F.col("once") >= FREQUENT * F.col("pages")) & (F.col("pages") >= FREQUENT * F.col("all_pages")))
+    # tokens of one class share its size; in it the best container counts
+    named = F.col("name").isin("article", "main")
+    enough = F.when(named, FREQUENT).otherwise(NEARLY) * F.col("all_chars")
+    classes = valid.where(F.col("name").isin(*CONTAINER) & (F.col("chars") >= enough)).groupBy("host", "vector", named.alias("named")).agg(
+        F.max(F.struct("depth", "chars", "token")).alias("best")
     )
+    # classes nest: the smallest one that holds all that the largest named one, if there is one, holds
+    most = classes.groupBy("host").agg(F.max(F.struct("named", "best.chars")).alias("most"))
+    inner = classes.join(most, "host").where((F.col("named") == F.col("most.named")) & (F.col("best.chars") >= NEARLY * F.col("most.chars")))
+    slots = inner.groupBy("host").agg(F.max(F.struct("best.depth", "best.chars", "best.token", "named")).alias("best"))
+    slots = slots.select("host", F.col("best.token").alias("slot"), F.col("best.named").alias("named"))
     # of frequent marked elements, those stay that hold most of the host's text
     marked = tokens.where("marked").join(whole, "host").where(F.col("pages") >= FREQUENT * F.col("all_pages"))
     stays = F.col("whole") >= FREQUENT * F.col("all_whole")
@@ -381,18 +386,18 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
     Null and empty html give an empty text; a null url has the empty host.  Character references are decoded,
     white space inside a block becomes one blank, blocks are joined by a new line.  A page that
-    lacks its host's slot gives all its text that is not a menu, header and so on.  Null keys and repeated
+    lacks its host's slot, or has more text outside it than it may, gives all its text that is not a menu, header and so on.  Null keys and repeated
     rows stay; a repeated page counts twice in its host's vectors.  No rows: no rows.  Extra columns play no part.
     """
     rows = pages.select(
         F.col(key).cast("long").alias("page"), host_of(F.col(url)).alias("host"), text_or_empty(html).alias("html"), F.col(url).alias("url")
     )
     slots = templates(rows.select("page", "host", "html"))
-    joined = rows.join(slots, "host", "left").select("page", "url", "html", "slot", "kept", "dropped")
+    joined = rows.join(slots, "host", "left").select("page", "url", "html", "slot", "named", "kept", "dropped")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [article(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+            texts = [article(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 7)))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["page", "url", "text", "n_chars"],

@@ -81,3 +81,23 @@ def test_words_of_a_class_do_not_drop_what_holds_the_text(spark):
     for n in (1, 4):
         pages = [(10 * h + i, f"http://h{h}.org/", f"<html><body>{x.format(f'{text} {i}')}</body></html>") for h, x in enumerate(shells) for i in range(n)]
         assert run(spark, pages) == {10 * h + i: f"{text} {i}" for h in range(len(shells)) for i in range(n)}
+
+
+def test_all_slots_are_extracted(spark):
+    def lead(i):
+        return f"<html><body><nav>n</nav><div class=lead><p>{'lead ' * 8}{i}</p></div><div class=story><p>{'story ' * 10}{i}</p></div></body></html>"
+
+    def small(i):
+        return f"<html><body><div class=lead><p>small {i}</p></div><div class=story><p>{'story ' * 100}{i}</p></div></body></html>"
+
+    pages = [(i, "http://a.org/", lead(i)) for i in range(4)] + [(10 + i, "http://b.org/", small(i)) for i in range(4)]
+    want = {i: f"{'lead ' * 8}{i}\n{'story ' * 10}{i}" for i in range(4)} | {10 + i: f"small {i}\n{'story ' * 100}{i}" for i in range(4)}
+    assert run(spark, pages) == want
+
+
+def test_one_page_with_two_articles_leaves_the_slot(spark):
+    shell = "<html><body><div class=top>Home and more</div>{}</body></html>"
+    texts = [f"{'the main text of this page is long ' * 3}{i}" for i in range(8)]
+    pages = [(i, "http://a.org/", shell.format(f"<article><p>{t}</p></article>")) for i, t in enumerate(texts)]
+    pages.append((8, "http://a.org/", shell.format(f"<article><p>{texts[0]}</p></article><article><p>{texts[1]}</p></article>")))
+    assert run(spark, pages) == dict(enumerate(texts)) | {8: f"{texts[0]}\n{texts[1]}"}

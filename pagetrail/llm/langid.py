@@ -19,7 +19,7 @@ from .common import in_batches, remainder
 
 #: Buckets of hashed n-grams (one to three characters in UTF-8 bytes).
 BUCKETS = 2048
-#: Training reads at most so many labelled rows for each language, chosen by hash.
+#: Training reads at most so many distinct labelled texts for each language, chosen by hash.
 SAMPLE = 400
 #: Below this difference of costs, relative to the largest possible one, a text is ambiguous.
 AMBIGUOUS = 0.05
@@ -84,12 +84,12 @@ def has_letter(text: str | None) -> bool:
 
 
 def sample(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", size: int = SAMPLE) -> DataFrame:
-    """(language, counts): at most ``size`` rows of each language of those that ``learn`` admits, those of smallest hash."""
+    """(language, counts): distinct texts of each language of those that ``learn`` admits, about 1.5 * ``size`` of smallest hash."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("language"), F.col(text).alias("body"), F.xxhash64(text).alias("h")
     )
-    # one count for each language gives the bound on the hash; rows are only filtered, never gathered by language
-    counts = rows.groupBy("language").count().collect()
+    # one count of distinct texts for each language gives the bound on the hash; only what is under it is gathered
+    counts = rows.select("language", "h").distinct().groupBy("language").count().collect()
     if not counts:
         return _counted(rows.limit(0))
     most = {r["language"]: int(2**64 * min(1.0, 1.5 * (size + 50) / r["count"])) - 2**63 - 1 for r in counts}
@@ -99,11 +99,17 @@ def sample(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang
 
 def _counted(few: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # no more than the bound on the hash admits
         for batch in batches:
+            new = []
+            for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                new.append(pair not in seen)
+                seen.add(pair)
+            batch = batch.filter(pa.array(new, pa.bool_()))
             counts = [gram_counts(t).astype("<u4").tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary())], ["language", "h", "counts"])
 
-    return in_batches(few.select("language", "h", "body"), run, "language string, h long, counts binary")
+    return in_batches(few.select("language", "h", "body"), run, "language string, h long, counts binary").dropDuplicates(["language", "h"])
 
 
 def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", size: int = SAMPLE) -> Model:

@@ -91,3 +91,11 @@ def test_quality_awkward_rows(spark):
     assert len({r["score"] for r in got if r["doc_id"] == 6}) == 1
     assert quality.rate(docs(spark, []), model).count() == 0
     assert rows(quality.rate(docs(spark, [(1, "a\n" * 3000)]), quality.fit([])))[0][0] == 1
+
+
+def test_copies_do_not_hide_a_language(spark):
+    texts = spark.createDataFrame([(f"l{i}", prose(i, 30)) for i in range(8)], "lang string, text string")
+    table = spark.range(2000).withColumnRenamed("id", "doc_id").crossJoin(texts)
+    model = langid.train(table, F.lit(True))
+    assert model.languages == [f"l{i}" for i in range(8)]
+    assert langid.sample(table, F.lit(True)).count() == 8

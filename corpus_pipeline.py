@@ -10,7 +10,7 @@ from pagetrail.llm.common import TIKTOKEN, cut_lineage, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; what is in none of them goes."""
+    """Documents with a letter; texts without one go (all, if nothing was taught), other languages than the taught ones stay."""
     return langid.accepted(docs, langid.train(docs, langid.learned_part()))
 
 

@@ -171,7 +171,7 @@ def learned_part(key: str = "doc_id") -> Column:
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is in one of the learned languages, in any mixture: those not ``und``, with all columns."""
+    """The rows of ``docs`` whose text isn't ``und``, with all columns: only texts without a letter go, or all if nothing was learned."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
     schema = docs.schema

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codec, decontaminate, exact, extract, jaccard, langid, quality, tokens, urlfilter
+from . import chat, codec, decontaminate, exact, extract, jaccard, langid, oracles, quality, shards, tokens, urlfilter
 from .common import TIKTOKEN, TOKENIZER, in_batches, table
 
 #: Rules of op8: host, path, verdict.
@@ -22,6 +22,9 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
+#: Shards and seed of op13.
+SHARDS, SHARD_SEED = 24, 13
+
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats all conversations, reads the output back and digests what it finds, turn by turn."""
@@ -138,6 +141,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~langid.learned_part()).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 23 under the law ``rows``; it takes rows one by one, so equal texts stay no group."""
+    return shards.shard(table(spark, sf_dir, "documents"), shards=SHARDS, seed=SHARD_SEED, keep=("doc_id",))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
@@ -149,6 +157,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE = {
@@ -190,4 +199,5 @@ ORACLE = {
                coalesce((SELECT arg_max(r_verdict, length(r_host || r_path)) FROM rules
                 WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)), 'allow') AS verdict
         FROM parts""",
+    "op13_sharding": oracles.sharding(SHARDS, SHARD_SEED),
 }

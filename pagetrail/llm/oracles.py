@@ -49,3 +49,39 @@ def sharding(shards: int, seed: int) -> str:
         SELECT doc_id, size, text_crc32, 'rows' AS law, (x % {shards})::INTEGER AS shard, (x // {shards})::BIGINT AS slot,
                NULL::INTEGER AS grown_shard
         FROM numbered JOIN walk USING (number) WHERE x < total"""
+
+
+def spelling(every: int, letters: int, occurrences: int, times: int) -> str:
+    return f"""
+        WITH RECURSIVE t AS MATERIALIZED (SELECT {CRC_TABLE} AS t),
+        runs AS (
+          SELECT doc_id, run, count(*) AS n
+          FROM (SELECT doc_id, unnest(regexp_extract_all(
+                  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+                FROM documents)
+          GROUP BY doc_id, run),
+        hashed AS (SELECT run, n, {crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run", "t")} AS h FROM runs, t),
+        shaped AS (
+          SELECT CASE WHEN h % {every} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+                 ELSE run END AS word, n FROM hashed),
+        words AS MATERIALIZED (
+          SELECT word, sum(n)::BIGINT AS n FROM shaped WHERE length(word) >= {letters} GROUP BY word HAVING sum(n) >= {occurrences}),
+        holes AS MATERIALIZED (
+          SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS hole
+          FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words)),
+        near AS MATERIALIZED (
+          SELECT a.word, a.n, b.word AS other, b.n AS other_n
+          FROM holes a JOIN holes b ON a.hole = b.hole AND a.p = b.p AND a.word <> b.word
+          UNION SELECT h.word, h.n, w.word, w.n FROM holes h JOIN words w ON h.hole = w.word
+          UNION SELECT w.word, w.n, h.word, h.n FROM holes h JOIN words w ON h.hole = w.word),
+        best AS MATERIALIZED (
+          SELECT word, count(*) AS n_near, arg_min(other, {{'less': -other_n, 'other': other}}) AS other,
+                 max(other_n) AS other_n, max(other_n) >= {times} * any_value(n) AS fits
+          FROM near GROUP BY word),
+        chain AS (
+          SELECT word, other AS at, 1 AS steps FROM best WHERE fits
+          UNION ALL SELECT c.word, b.other, c.steps + 1 FROM chain c JOIN best b ON b.word = c.at WHERE b.fits),
+        roots AS (SELECT word, arg_max(at, steps) AS root FROM chain GROUP BY word)
+        SELECT word, CASE WHEN fits THEN other END AS form, coalesce(root, word) AS root, n,
+               coalesce(n_near, 0) AS n_near, CASE WHEN fits THEN other_n END AS form_n
+        FROM words LEFT JOIN best USING (word) LEFT JOIN roots USING (word)"""

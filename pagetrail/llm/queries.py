@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codec, decontaminate, exact, extract, jaccard, langid, oracles, quality, shards, tokens, urlfilter
+from . import chat, codec, decontaminate, exact, extract, jaccard, langid, oracles, quality, shards, spelling, tokens, urlfilter
 from .common import TIKTOKEN, TOKENIZER, in_batches, table
 
 #: Rules of op8: host, path, verdict.
@@ -141,6 +141,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~langid.learned_part()).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the frequent word one edit away that they may be a variant of."""
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 23 under the law ``rows``; it takes rows one by one, so equal texts stay no group."""
     return shards.shard(table(spark, sf_dir, "documents"), shards=SHARDS, seed=SHARD_SEED, keep=("doc_id",))
@@ -157,6 +162,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
+    "op11_spelling": op11_spelling,
     "op13_sharding": op13_sharding,
 }
 
@@ -199,5 +205,6 @@ ORACLE = {
                coalesce((SELECT arg_max(r_verdict, length(r_host || r_path)) FROM rules
                 WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)), 'allow') AS verdict
         FROM parts""",
+    "op11_spelling": oracles.spelling(spelling.EVERY, spelling.LETTERS, spelling.OCCURRENCES, spelling.TIMES),
     "op13_sharding": oracles.sharding(SHARDS, SHARD_SEED),
 }

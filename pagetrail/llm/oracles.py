@@ -79,9 +79,9 @@ def spelling(every: int, letters: int, occurrences: int, times: int) -> str:
                  max(other_n) AS other_n, max(other_n) >= {times} * any_value(n) AS fits
           FROM near GROUP BY word),
         chain AS (
-          SELECT word, other AS at, 1 AS steps FROM best WHERE fits
-          UNION ALL SELECT c.word, b.other, c.steps + 1 FROM chain c JOIN best b ON b.word = c.at WHERE b.fits),
-        roots AS (SELECT word, arg_max(at, steps) AS root FROM chain GROUP BY word)
+          SELECT word, other AS goal, 1 AS steps FROM best WHERE fits
+          UNION ALL SELECT c.word, b.other, c.steps + 1 FROM chain c JOIN best b ON b.word = c.goal WHERE b.fits),
+        roots AS (SELECT word, arg_max(goal, steps) AS root FROM chain GROUP BY word)
         SELECT word, CASE WHEN fits THEN other END AS form, coalesce(root, word) AS root, n,
                coalesce(n_near, 0) AS n_near, CASE WHEN fits THEN other_n END AS form_n
         FROM words LEFT JOIN best USING (word) LEFT JOIN roots USING (word)"""

@@ -14,10 +14,10 @@ from pyspark.sql.types import StructType
 
 from pagetrail.lineage import cut_lineage
 
-__all__ = ["TOKENIZER", "TIKTOKEN", "cut_lineage", "fresh", "give_back", "in_batches", "remainder", "table", "text_or_empty"]
+__all__ = ["PIECES", "TOKENIZER", "TIKTOKEN", "cut_lineage", "fresh", "give_back", "in_batches", "remainder", "table", "text_or_empty"]
 
 #: Names of vocabulary files; their place is always a parameter.
-TOKENIZER, TIKTOKEN = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+TOKENIZER, TIKTOKEN, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

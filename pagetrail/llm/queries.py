@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codec, decontaminate, exact, extract, jaccard, langid, oracles, quality, shards, spelling, tokens, urlfilter
-from .common import TIKTOKEN, TOKENIZER, in_batches, table
+from . import alignment, chat, codec, decontaminate, exact, extract, jaccard, langid, oracles, quality, shards, spelling, tokens, urlfilter
+from .common import PIECES, TIKTOKEN, TOKENIZER, in_batches, table
 
 #: Rules of op8: host, path, verdict.
 RULES = (
@@ -146,6 +146,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups, links and corpus-wide counts of links of two tokenizers, by document."""
+    path = public_tokenizers.path
+    return alignment.align(table(spark, sf_dir, "documents"), path(TOKENIZER), path(PIECES))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 23 under the law ``rows``; it takes rows one by one, so equal texts stay no group."""
     return shards.shard(table(spark, sf_dir, "documents"), shards=SHARDS, seed=SHARD_SEED, keep=("doc_id",))
@@ -163,6 +169,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
     "op11_spelling": op11_spelling,
+    "op12_alignment": op12_alignment,
     "op13_sharding": op13_sharding,
 }
 

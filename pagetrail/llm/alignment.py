@@ -13,16 +13,18 @@ them read the ids.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_alphabet
+from .bpe import merged, read_json
 from .common import cut_lineage, in_batches, text_or_empty
 
 #: Entries of a product worked on at once; pairs a task counts before it passes them on.
@@ -36,6 +38,9 @@ LONG = 1 << 16
 
 _SHIFT = 32
 
+#: Tokenizer file of A, model of B, pattern of A.
+Files = tuple[str, str, str]
+
 
 # Sparse rows
 
@@ -102,21 +107,38 @@ def group_numbers(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), len(cuts)
 
 
+def _cuts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Last bytes of the tokens of A and of B, and for each byte whether tokens of both end with it."""
+    last_a, last_b = np.cumsum(a, dtype=np.int64) - 1, np.cumsum(b, dtype=np.int64) - 1
+    ends = np.zeros(int(last_a[-1]) + 1 if len(a) else 0, np.int8)
+    ends[last_a] = 1
+    ends[last_b] += 1
+    return last_a, last_b, ends == 2
+
+
+def group_numbers(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Group of each token of A and of B, and the number of groups: cut where tokens of both end."""
+    last_a, last_b, cut = _cuts(a, b)
+    before = np.cumsum(cut, dtype=np.int64) - cut
+    return before[last_a], before[last_b], int(cut.sum())
+
+
 def overlaps(a: np.ndarray, b: np.ndarray, block: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Overlap links of tokens of the byte lengths ``a`` and ``b``: (token of A, token of B, shared bytes).
 
     No link crosses a group, so matrices are built for whole groups of about ``block`` bytes together.
     """
     block = block or BLOCK
-    of_a, of_b, n = group_numbers(a, b)
-    ends = np.cumsum(a, dtype=np.int64)[np.searchsorted(of_a, np.arange(n), "right") - 1] if n else np.zeros(0, np.int64)
-    group, before = 0, 0
-    while group < n:
-        last = max(int(np.searchsorted(ends, before + block, "right")), group + 1)
-        (a0, a1), (b0, b1) = (np.searchsorted(of, [group, last]) for of in (of_a, of_b))
+    last_a, last_b, cut = _cuts(a, b)
+    ends = np.flatnonzero(cut)
+    group, byte, a0, b0 = 0, 0, 0, 0
+    while group < len(ends):
+        group = max(int(np.searchsorted(ends, byte + block)), group + 1)
+        byte = int(ends[group - 1])
+        a1, b1 = (int(np.searchsorted(last, byte)) + 1 for last in (last_a, last_b))
         for rows, columns, shared in Csr.of_pieces(a[a0:a1]).times(Csr.of_pieces(b[b0:b1]).transposed(), block):
             yield rows + a0, columns + b0, shared
-        group, before = last, ends[last - 1]
+        byte, a0, b0 = byte + 1, a1, b1
 
 
 def shared_groups(a: np.ndarray, b: np.ndarray, block: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -130,22 +152,57 @@ def shared_groups(a: np.ndarray, b: np.ndarray, block: int | None = None) -> Ite
 
 
 class Bytewise:
-    """A byte-level BPE tokenizer file; special strings inside texts are plain text."""
+    """A byte-level BPE tokenizer file; special strings inside texts are plain text.
 
-    def __init__(self, path: str) -> None:
+    ``tiktoken`` reads the same vocabulary several times as fast, but joins any two neighbours that make a token, the
+    lowest id first, whatever merges the file lists.  It is used where that is proven to be the same: ids follow
+    the order of merges, and every token encodes alone as one token.  Then two neighbours that make a token are always a
+    listed pair, as the token alone gets to the same two neighbours and goes on to one token.
+    """
+
+    def __init__(self, path: str, pattern: str) -> None:
+        ids, merges, special = read_json(path)
+        self.pieces = [b""] * (max([*ids.values(), *special.values()]) + 1)
+        for piece, i in ids.items():
+            self.pieces[i] = piece
+        for piece, i in special.items():
+            self.pieces[i] = piece.encode()
+        if ranks_suffice(ids, merges) and _default_split(path):
+            import tiktoken
+
+            whole = tiktoken.Encoding("bytewise", pat_str=pattern, mergeable_ranks=ids, special_tokens={})
+            self.encode = lambda texts: [whole.encode_ordinary(t) for t in texts]
+            return
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        back = byte_alphabet()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.pieces = [b""] * (max(vocabulary.values()) + 1)
-        for piece, i in vocabulary.items():
-            self.pieces[i] = bytes(back[c] for c in piece) if all(c in back for c in piece) else piece.encode()
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        slow = Tokenizer.from_file(path)
+        slow.encode_special_tokens = True
+        self.encode = lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
+
+
+def ranks_suffice(ids: dict[bytes, int], merges: dict[tuple[bytes, bytes], int]) -> bool:
+    """Whether joining the lowest id first gives what the merges give."""
+    made = [ids.get(a + b, -1) for a, b in sorted(merges, key=merges.get)]
+    if made != sorted(set(made)) or (made and made[0] < 0):
+        return False
+    get = merges.get
+    return all(len(merged(token, lambda a, b: get((a, b)))) == 1 for token in ids)
+
+
+def _default_split(path: str) -> bool:
+    """Whether the file splits texts by the usual pattern and changes nothing before."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    split = file["pre_tokenizer"] or {}
+    plain = {"dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "ignore_merges": False}
+    return (
+        file["normalizer"] is None
+        and split.get("type") == "ByteLevel"
+        and not split.get("add_prefix_space")
+        and split.get("use_regex", True)
+        and all(file["model"].get(name) in (usual, "") for name, usual in plain.items())
+    )
 
 
 class Piecewise:
@@ -188,43 +245,51 @@ def parts_of(text: str) -> Iterator[str]:
 class Pair:
     """Both tokenizers of a worker."""
 
-    def __init__(self, a_path: str, b_path: str) -> None:
-        self.a, self.b = Bytewise(a_path), Piecewise(b_path)
+    def __init__(self, a_path: str, b_path: str, pattern: str) -> None:
+        self.a, self.b = Bytewise(a_path, pattern), Piecewise(b_path)
         if not self.b.words_part:
             raise ValueError("pieces of the model cross the beginnings of words")
         self.a_size, self.b_size = (np.array([len(p) for p in side.pieces], np.int64) for side in (self.a, self.b))
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both sides by text; none where there is nothing to align."""
+        #: Ids as text within a group, then those that begin one.
+        self.a_shown, self.b_shown = (
+            np.array([m + b"%d" % i for m in (b",", mark) for i in range(len(side.pieces))], object)
+            for side, mark in ((self.a, b";"), (self.b, b"|"))
+        )
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of both sides by text, as little-endian unsigned 32-bit integers; none where there is nothing to align."""
         parts = [list(parts_of(t)) if t else [] for t in texts]
         flat = [p for group in parts for p in group]
         a_ids = self.a.encode([" " + p for p in flat])
         b_ids = self.b.encode(flat)
         at = 0
         for text, group in zip(texts, parts, strict=True):
-            a = [i for ids in a_ids[at : at + len(group)] for i in ids]
-            b = [i for ids in b_ids[at : at + len(group)] for i in ids]
-            at += len(group)
             whole = b" " + text.encode()
-            if not text or any(b"".join(map(side.pieces.__getitem__, ids)) != whole for side, ids in ((self.a, a), (self.b, b))):
-                a, b = [], []
-            yield np.array(a, "<u4"), np.array(b, "<u4")
+            sides = []
+            for side, ids in ((self.a, a_ids), (self.b, b_ids)):
+                own = ids[at] if len(group) == 1 else list(chain.from_iterable(ids[at : at + len(group)]))
+                if not text or b"".join(map(side.pieces.__getitem__, own)) != whole:
+                    sides = [b"", b""]
+                    break
+                sides.append(np.fromiter(own, "<u4", len(own)).tobytes())
+            at += len(group)
+            yield tuple(sides)
 
 
-_pairs: dict[tuple[str, str], Pair] = {}
+_pairs: dict[tuple[str, str, str], Pair] = {}
 
 
-def pair(a_path: str, b_path: str) -> Pair:
-    """One per worker process."""
-    if (a_path, b_path) not in _pairs:
-        _pairs[a_path, b_path] = Pair(a_path, b_path)
-    return _pairs[a_path, b_path]
+def pair(*files: str) -> Pair:
+    """Both tokenizers of the files and the pattern, one pair per worker process."""
+    if files not in _pairs:
+        _pairs[files] = Pair(*files)
+    return _pairs[files]
 
 
 # Spark
 
 
-def encode(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, files: Files, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, key, a_ids, b_ids) per row of ``docs``, written once; ids as little-endian unsigned 32-bit integers.
 
     ``row`` is a number of its own for every row, repeated rows included.  Texts that are null or empty, or that a
@@ -233,12 +298,12 @@ def encode(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), text_or_empty(F.col(f"`{text}`")).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = pair(a_path, b_path)
+        both = pair(*files)
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
                 found = list(both.encode(part.column(1).to_pylist()))
-                sides = [pa.array([ids[i].tobytes() for ids in found], pa.binary()) for i in (0, 1)]
+                sides = [pa.array([ids[i] for ids in found], pa.binary()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *sides], ["key", "a_ids", "b_ids"])
 
     encoded = in_batches(rows, run, "key long, a_ids binary, b_ids binary")
@@ -260,6 +325,7 @@ class Batch:
     """Texts one behind the other: a cut of both sides lies between any two of them."""
 
     def __init__(self, batch: pa.RecordBatch, both: Pair) -> None:
+        self.both = both
         sides = []
         for name, size in (("a_ids", both.a_size), ("b_ids", both.b_size)):
             raw = batch.column(name).to_pylist()
@@ -279,38 +345,35 @@ class Batch:
 
     def group_texts(self) -> tuple[np.ndarray, list[bytes]]:
         """Number of groups by text, and its groups written out."""
-        of_a, of_b, _ = group_numbers(self.a_size, self.b_size)
+        of_a, of_b, n = group_numbers(self.a_size, self.b_size)
         # place of each token when groups follow each other, A before B
-        a_place = np.arange(len(of_a)) + np.searchsorted(of_b, of_a, "left")
-        b_place = np.arange(len(of_b)) + np.searchsorted(of_a, of_b, "right")
+        a_until, b_until = (np.cumsum(np.bincount(of, minlength=n)) for of in (of_a, of_b))
+        a_place = np.arange(len(of_a)) + np.concatenate([[0], b_until])[of_a]
+        b_place = np.arange(len(of_b)) + a_until[of_b]
         marks = np.empty(len(of_a) + len(of_b), object)
-        for ids, of, place, mark in ((self.a_ids, of_a, a_place, b";"), (self.b_ids, of_b, b_place, b"|")):
-            first = np.ones(len(of), bool)
-            first[1:] = of[1:] != of[:-1]
-            known, code = np.unique(ids, return_inverse=True)
-            shown = np.array([b",%d" % i for i in known] + [mark + b"%d" % i for i in known] + [b""], object)
-            marks[place] = shown[code + first * len(known)]
-        begins = np.flatnonzero(np.diff(of_a, prepend=-1))  # a token of A begins every group
-        n_groups = np.bincount(self.doc_of_a[begins], minlength=len(self.a_n))
+        a_first, b_first = (np.diff(of, prepend=-1) > 0 for of in (of_a, of_b))
+        marks[a_place] = self.both.a_shown[self.a_ids + a_first * len(self.both.a_size)]
+        marks[b_place] = self.both.b_shown[self.b_ids + b_first * len(self.both.b_size)]
+        n_groups = np.bincount(self.doc_of_a[a_first], minlength=len(self.a_n))
         sizes = self.a_n + self.b_n
         return n_groups, [b"".join(marks[e - k : e])[1:] for e, k in zip(np.cumsum(sizes), sizes, strict=True)]
 
 
-def overlap_links(encoded: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def overlap_links(encoded: DataFrame, files: Files) -> DataFrame:
     """(row, key, a_at, b_at, a_id, b_id, n_bytes): one row for each pair of token occurrences that share bytes; places count from 0 in each text."""
-    return _pairs_of(encoded, a_path, b_path, lambda one: one.links())
+    return _pairs_of(encoded, files, lambda one: one.links())
 
 
-def group_links(encoded: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def group_links(encoded: DataFrame, files: Files) -> DataFrame:
     """The same for pairs of token occurrences within one group; n_bytes is 1 for all of them."""
-    return _pairs_of(encoded, a_path, b_path, lambda one: shared_groups(one.a_size, one.b_size))
+    return _pairs_of(encoded, files, lambda one: shared_groups(one.a_size, one.b_size))
 
 
-def _pairs_of(encoded: DataFrame, a_path: str, b_path: str, product) -> DataFrame:
+def _pairs_of(encoded: DataFrame, files: Files, product) -> DataFrame:
     schema = pa.schema([(n, pa.int64()) for n in ("row", "key", "a_at", "b_at", "a_id", "b_id", "n_bytes")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = pair(a_path, b_path)
+        both = pair(*files)
         for batch in _slices(batches):
             one = Batch(batch, both)
             a_first, b_first = np.cumsum(one.a_n) - one.a_n, np.cumsum(one.b_n) - one.b_n
@@ -323,7 +386,7 @@ def _pairs_of(encoded: DataFrame, a_path: str, b_path: str, product) -> DataFram
     return in_batches(encoded, run, ", ".join(f"{f.name} long" for f in schema))
 
 
-def pair_counts(encoded: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def pair_counts(encoded: DataFrame, files: Files) -> DataFrame:
     """(pair, a_id, b_id, n, best): links over the whole corpus by pair of ids; ``best`` where no pair of the b_id has more.
 
     Tasks add up in a bounded array of pairs and pass it on when it is full.  The best count of a b_id is a table no
@@ -331,7 +394,7 @@ def pair_counts(encoded: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = pair(a_path, b_path)
+        both = pair(*files)
         known, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         waiting: list[np.ndarray] = []
         size = 0
@@ -406,12 +469,12 @@ def _rest(doc: np.ndarray, codes: np.ndarray, n: int) -> pa.Array:
 
 
 def align(
-    docs: DataFrame, a_path: str, b_path: str, frequent: int = 1 << FREQUENT, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, files: Files, frequent: int = 1 << FREQUENT, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """One row per row of ``docs``: key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
-    ``a_path`` is a tokenizer file (byte-level BPE, gets a space before the text), ``b_path`` a sentencepiece model;
-    all executors have both.  count_sum adds the corpus-wide counts of the pairs of ids of a text's
+    ``files``: a tokenizer file (byte-level BPE, gets a space before the text), a sentencepiece model, which all
+    executors have, and the pattern by which the first splits texts.  count_sum adds the corpus-wide counts of the pairs of ids of a text's
     links, n_best counts links whose pair no other pair of the same id of B outdoes.  groups_sha256 digests the groups.
 
     Null and empty texts, and texts that a tokenizer changes, have zeros and no digest ('').  Null keys and repeated rows
@@ -419,8 +482,8 @@ def align(
     Counts of the ``frequent`` most frequent pairs are held by every task (17 bytes each), links of other
     pairs are joined with theirs; what is joined is rare by construction, so no key of the join is hot.
     """
-    encoded = encode(docs, a_path, b_path, key, text)
-    counts = cut_lineage(pair_counts(encoded, a_path, b_path), "counts")
+    encoded = encode(docs, files, key, text)
+    counts = cut_lineage(pair_counts(encoded, files), "counts")
     pairs, n, best, bound = _frequent(counts, frequent)
     held = docs.sparkSession.sparkContext.broadcast((pairs, n, best))
     schema = pa.schema(
@@ -430,7 +493,7 @@ def align(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = pair(a_path, b_path)
+        both = pair(*files)
         pairs, n, best = held.value
         for batch in _slices(batches):
             one = Batch(batch, both)

@@ -149,7 +149,7 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, groups, links and corpus-wide counts of links of two tokenizers, by document."""
     path = public_tokenizers.path
-    return alignment.align(table(spark, sf_dir, "documents"), path(TOKENIZER), path(PIECES))
+    return alignment.align(table(spark, sf_dir, "documents"), (path(TOKENIZER), path(PIECES), public_tokenizers.PATTERN))
 
 
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def build(members: DataFrame, column: str, log2: int) -> np.ndarray:
         F.bitmap_construct_agg(F.expr(f"place % {_CHUNK}")).alias("bits")
     )
     out = np.zeros(1 << (log2 - 3), np.uint8)
-    for row in chunks.toLocalIterator():
+    for row in chunks.collect():
         part = np.frombuffer(row["bits"], np.uint8)
         out[row["chunk"] * (_CHUNK // 8) : row["chunk"] * (_CHUNK // 8) + len(part)] = part
     return out

@@ -55,6 +55,9 @@ def give_back() -> None:
 #: Rows and bytes of an Arrow batch: texts are long, and a batch is in memory several times on its way.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
+#: Bytes up to which a task's memory is not worth a search.
+SMALL_TASK = 1 << 19
+
 
 def _bound_batches(spark: SparkSession) -> None:
     """Makes Spark's bounds on Arrow batches of this session at least as strict."""
@@ -79,13 +82,22 @@ def in_batches(
     """Arrow batches through ``fn``, partition by partition; nothing is held beyond what ``fn`` holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal read
+            for batch in batches:
+                read += batch.nbytes
+                yield batch
+
         # caches of small objects would be searched for cycles again and again; once at the end is enough
         gc.disable()
         try:
-            yield from fn(batches)
+            yield from fn(counted())
         finally:
             gc.enable()
-            give_back()
+            if read > SMALL_TASK:
+                give_back()
 
     _bound_batches(df.sparkSession)
     _importable(df.sparkSession)

@@ -50,8 +50,8 @@ ROUNDS = 2
 COMMON_BITS, SHARED_BITS, VERIFY_BITS = 25, 26, 25
 #: Shingles held by a task at once.
 HELD = 1 << 19
-#: Bytes of a hash that are compared in verification.
-WIDTH = 6
+#: Distance at which sets link at most, with room for rounding where distances are compared.
+NEAR, ROOM = 0.25, 1e-9
 
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -283,8 +283,7 @@ class _Verifier:
                 c, blob = [], []
                 for found in shingle_sets(chosen.column(1)):
                     c.append(_class_of(found))
-                    short = (found >> np.uint64(8 * (8 - WIDTH))).astype("<u8")
-                    blob.append(short.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes())
+                    blob.append(found.astype("<u8").tobytes())
                 yield pa.RecordBatch.from_arrays([chosen.column(0), pa.array(c, pa.binary()), pa.array(blob, pa.binary())], ["id", "c", "found"])
 
         sets = in_batches(self.rows.withColumn("h", F.xxhash64("id")), run, "id long, c binary, found binary")
@@ -293,28 +292,26 @@ class _Verifier:
         return cut_lineage(sets.select("c", "found").dropDuplicates(["c"]), "sets")
 
     @staticmethod
-    def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """(x, y) of ``pairs`` that link."""
-
-        def full(blob: bytes) -> np.ndarray:
-            out = np.zeros((len(blob) // WIDTH, 8), np.uint8)
-            out[:, :WIDTH] = np.frombuffer(blob, np.uint8).reshape(-1, WIDTH)
-            return out.view("<u8").ravel()
+    def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """(x, y, distance, link) of ``pairs``, by all 64 bits of their shingles."""
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x, y = batch.column(2), batch.column(3)
-                hit = np.zeros(len(batch), bool)
+                distance, link = np.zeros(len(batch)), np.zeros(len(batch), bool)
                 for i in range(len(batch)):
-                    a, b = full(x[i].as_py()), full(y[i].as_py())
+                    a, b = (np.frombuffer(side[i].as_buffer(), "<u8") for side in (x, y))
                     both = np.sort(np.concatenate([a, b]))
                     common = int((both[1:] == both[:-1]).sum())
-                    hit[i] = 100 * common >= 75 * (len(a) + len(b) - common)
-                yield batch.filter(pa.array(hit)).select([0, 1])
+                    union = len(a) + len(b) - common
+                    distance[i], link[i] = 1 - common / union, 100 * common >= 75 * union
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(distance), pa.array(link)], ["x", "y", "distance", "link"]
+                )
 
         sides = [sets.select(F.col("c").alias(side), F.col("found").alias(f"set_{side}")) for side in "xy"]
         joined = pairs.join(sides[0], "x").join(sides[1], "y").select("x", "y", "set_x", "set_y")
-        return in_batches(joined, compare, "x binary, y binary")
+        return in_batches(joined, compare, "x binary, y binary, distance double, link boolean")
 
 
 def _links(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -337,7 +334,7 @@ def _links(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     verify = _Verifier(rows, classes)
 
     # large regions: pivots, round by round, while a region holds several components
-    links, found, sets = None, None, None
+    links, found, sets, distances = None, None, None, None
     waiting = large.select("s", "c", *_SHAPE, F.col("c").alias("comp"), "pivot")
     for turn in range(ROUNDS):
         if turn:
@@ -352,13 +349,14 @@ def _links(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         if star.isEmpty():
             break
         sets = verify.sets(large.select("c")) if sets is None else sets
-        good = cut_lineage(verify.links(star, sets), "links")
+        stars = cut_lineage(verify.measured(star, sets), "distances")
+        distances = stars if distances is None else distances
+        good = stars.where("link").select("x", "y")
         links = good if links is None else links.union(good)
         found = cut_lineage(components(links), "components")
 
-    pairs = _direct(small, large)
-    if found is not None:
-        pairs = pairs.union(_across(cut_lineage(_unresolved(large, found), "apart"))).distinct()
+    # whatever the pivots did, members of large regions that no component joins are compared
+    pairs = _direct(small, large).union(_across(cut_lineage(_ranged(_unresolved(large, found), distances), "apart"))).distinct()
     if found is not None:
         for side in "xy":
             own = found.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
@@ -366,7 +364,7 @@ def _links(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         pairs = pairs.where("root_x IS NULL OR root_y IS NULL OR root_x <> root_y").select("x", "y")
     pairs = cut_lineage(pairs, "pairs")
     sets = verify.sets(pairs.select(F.explode(F.array("x", "y")).alias("c")))
-    good = cut_lineage(verify.links(pairs, sets), "links")
+    good = cut_lineage(verify.measured(pairs, sets).where("link").select("x", "y"), "links")
     return texts, classes, good if links is None else links.union(good)
 
 
@@ -396,8 +394,10 @@ def _direct(small: DataFrame, large: DataFrame) -> DataFrame:
     return pairs.where(F.col("early") & (7 * (F.col("shared") + F.col("rest")) >= 3 * F.col("both"))).select("x", "y")
 
 
-def _unresolved(large: DataFrame, found: DataFrame) -> DataFrame:
-    """(s, c, n, own, end, comp, pivot) of large regions that hold several components."""
+def _unresolved(large: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(s, c, shape, comp, pivot) of large regions that hold several components; what nothing linked is its own."""
+    if found is None:
+        return large.select("s", "c", *_SHAPE, F.col("c").alias("comp"), "pivot")
     placed = large.join(found.select(F.col("node").alias("c"), "root"), "c", "left").select(
         "s", "c", *_SHAPE, F.coalesce("root", "c").alias("comp"), "pivot"
     )
@@ -405,6 +405,25 @@ def _unresolved(large: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(several, "s", "left_semi")
 
 
+def _ranged(placed: DataFrame, distances: DataFrame | None) -> DataFrame:
+    """Adds ``low`` and ``high``, between which the distance to the region's first pivot lies.
+
+    Measured members have both alike.  The others were too unlike by size and window: what of a window no
+    other has bounds what two sets can share, which is the low end.
+    """
+    a, b = F.struct(*_SHAPE), F.col("pivot")
+    most = F.least(F.when(a["end"] <= b["end"], a["n"] - a["own"]).otherwise(b["n"] - b["own"]), a["n"], b["n"])
+    least = 1 - most / (a["n"] + b["n"] - most)
+    itself = F.col("c") == F.col("pivot.c")
+    if distances is None:
+        exact = F.when(itself, 0.0)
+    else:
+        x, y = _pair(F.col("c"), F.col("pivot.c"))
+        placed = placed.select("*", x, y).join(distances.select("x", "y", "distance"), ["x", "y"], "left")
+        exact = F.when(itself, 0.0).otherwise(F.col("distance"))
+    return placed.select("s", "c", *_SHAPE, "comp", F.coalesce(exact, least).alias("low"), F.coalesce(exact, F.lit(1.0)).alias("high"))
+
+
 def _largest(placed: DataFrame) -> DataFrame:
     """(s, main): the component with most members of each region."""
     sizes = placed.groupBy("s", "comp").agg(F.count("*").alias("k"))
@@ -414,12 +433,14 @@ def _largest(placed: DataFrame) -> DataFrame:
 def _across(apart: DataFrame) -> DataFrame:
     """(x, y) that can link and whose components differ: each member outside the largest component against the others.
 
-    A pair is looked at in the region of the first shingle that both share, or in few besides.
+    A pair is looked at in the region of the first shingle that both share, or in few besides, and only if by the
+    triangle inequality their distances to the region's pivot allow it.
     """
-    member = F.struct("c", *_SHAPE, "comp")
+    member = F.struct("c", *_SHAPE, "comp", "low", "high")
     few = apart.join(_largest(apart), "s").where("comp <> main").select("s", member.alias("a"))
     a, b = F.col("a"), F.col("b")
-    can = (a["comp"] != b["comp"]) & _similar(a, b) & _early(a, b)
+    window = F.greatest(a["low"] - b["high"], b["low"] - a["high"]) <= NEAR + ROOM
+    can = (a["comp"] != b["comp"]) & window & _similar(a, b) & _early(a, b)
     met = few.join(apart.select("s", member.alias("b")), "s").where(can)
     return met.select(*_pair(a["c"], b["c"]))
 

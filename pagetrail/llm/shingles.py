@@ -16,24 +16,10 @@ _rng = np.random.default_rng(20_240_501)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _PLACE = _rng.integers(0, 1 << 63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE + SLICE // 4)
-        _powers[:] = [
-            np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64)
-            for b in (_BASE, pow(_BASE, -1, 1 << 64))
-        ]
-    return _powers[0], _powers[1]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit (splitmix finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -41,6 +27,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _letters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each byte with its place in the word.  Words are sums of these: unlike a polynomial
+    of the bytes, no arrangement of letters is known to make two sums equal."""
+    return mixed(_BYTE[data] + at.astype(np.uint64) * _STEP)
+
+
+#: The same by table, for the first places of a word.
+_NEAR = 64
+_TABLE = _letters(np.tile(np.arange(256, dtype=np.uint8), _NEAR), np.repeat(np.arange(_NEAR), 256))
+
+
 def _sets(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """The set of each text; ``ends`` has where each ends in ``data``."""
     n = len(data)
@@ -53,12 +50,16 @@ def _sets(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     edge[ends] = True
     starts = np.flatnonzero(edge[:n])
     stops = np.append(starts[1:], n)
+    at = np.arange(n, dtype=np.int32) - np.repeat(starts.astype(np.int32), stops - starts)
+    hashed = _TABLE[(np.minimum(at, _NEAR - 1) << 8) | data]
+    far = np.flatnonzero(at >= _NEAR)
+    if len(far):
+        hashed[far] = _letters(data[far], at[far])
     keep = inside[starts]
     starts, stops = starts[keep], stops[keep]
-    up, down = _power_tables(n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    words = mixed((total[stops] - total[starts]) * down[starts])
+    np.cumsum(hashed, out=total[1:])
+    words = mixed(total[stops] - total[starts])
     owner = np.searchsorted(ends, starts, side="right")
     bounds = np.searchsorted(owner, np.arange(len(ends) + 1))
     if len(words) >= WORDS:

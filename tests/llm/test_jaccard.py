@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from helpers import awkward, docs, prose, rows
 
 from pagetrail.llm import bits, jaccard
@@ -92,6 +93,41 @@ def test_large_regions_take_pivots(spark, monkeypatch):
     assert rows(jaccard.near_groups(docs(spark, data))) == brute(data)
 
 
+def stub():
+    """The set with fewest shingles is like nothing in its region, whose other members are alike."""
+    w = prose("stub", 5)
+    return [(1, w), (2, f"{w} p q"), (3, f"{w} p q r")] + [(10 + i, f"{w} u{i} v{i}") for i in range(6)]
+
+
+@pytest.mark.parametrize("small", [1, 24])
+@pytest.mark.parametrize("common", [2, 10**9])
+def test_pivot_unlike_its_region(spark, monkeypatch, small, common):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    data = stub()
+    assert {r[0]: r[2] for r in brute(data)}[3] == 2
+    assert rows(jaccard.near_groups(docs(spark, data))) == brute(data)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_rounds_do_not_matter(spark, monkeypatch, rounds):
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "COMMON", 10**9)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    data = corpus(4, 150) + [(5000 + i, t) for i, t in stub()]
+    assert rows(jaccard.near_groups(docs(spark, data))) == brute(data)
+
+
+def test_long_words_differ(spark):
+    """Words whose polynomial hashes are equal for every base: letters in the order of Thue and Morse, and their complement."""
+    words = []
+    for n in (1024, 2048, 4096):
+        word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+        words += [word, word.translate(str.maketrans("ab", "ba"))]
+    data = list(enumerate(words))
+    assert rows(jaccard.near_groups(docs(spark, data))) == [(i, 1, i) for i in range(6)]
+
+
 def test_awkward_rows(spark):
     data = awkward()
     assert rows(jaccard.near_groups(docs(spark, data, extra=True))) == brute(data)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from .entities import decode_entities
 from .sqltext import S, Sql, expression, let
 from .text import rest, trim_space
+from .tree import build
 from .urls import is_http, is_live_href, resolve_all, should_skip
 
 # Fixed values of the HTML standard.
@@ -23,16 +24,6 @@ VOID_ELEMENTS = (
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
     "param", "source", "track", "wbr",
 )
-# Start tags that end an open paragraph; the same elements' end tags do, too.
-BLOCKS = (
-    "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog",
-    "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
-    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "listing",
-    "main", "menu", "nav", "ol", "p", "plaintext", "pre", "section", "summary",
-    "table", "ul", "xmp",
-)
-CELLS = ("caption", "tbody", "td", "tfoot", "th", "thead", "tr")
-
 # Where article text is looked for when nothing better is found.
 ARTICLE_SELECTORS = (
     ".article-content", ".post-content", ".entry-content", "#article-body",
@@ -66,9 +57,7 @@ _TOKEN = (
 _DROPPED_TOKEN = r"^<(?:[!?]|/[^a-zA-Z])"
 _CUT_OFF_TAG = r"</?[a-zA-Z][^>]*+\z"
 
-_P_END = rf"</?(?:{'|'.join(BLOCKS)}){_EDGE}|</(?:{'|'.join(CELLS)}){_EDGE}"
-_P_INSIDE = rf"(?:[^<]++|(?!{_P_END})<)*+"
-_PARAGRAPH = rf"(?i)<p{_EDGE}{_TAG_END}({_P_INSIDE})"
+_PARAGRAPH = rf"(?i)<p{_EDGE}{_TAG_END}((?:[^<]++|<(?!/?p{_EDGE}))*+)"
 
 
 @expression
@@ -102,6 +91,13 @@ def prepare(html: Sql) -> Sql:
     )
 
 
+@expression
+def parse(html: Sql) -> Sql:
+    """The prepared page as a tree builder understands it: every element opened and closed."""
+    standard = S.rlike(html, r"(?is)^\s*+(?:<!--(?:-?>|.*?--!?>)\s*+)*+<!doctype\s++html\b")
+    return let(S.struct(prepare(html).alias("doc"), standard.alias("standard")), lambda x: build(x["doc"], ~x["standard"], _ANY_TAG))
+
+
 def _plain(markup: Sql) -> Sql:
     """Text of a piece of prepared markup: no tags, entities decoded."""
 
@@ -187,8 +183,13 @@ def description(html: Sql) -> Sql:
 
 
 def _paragraph_markup(doc: Sql) -> Sql:
-    """Markup of every paragraph in order."""
-    return S.regexp_extract_all(doc, _PARAGRAPH, 1)
+    """Markup of every paragraph of a tree in order."""
+    opening = _opening("p")
+    nested = rf"(?i)<p{_EDGE}(?:[^<]++|<(?!/?p{_EDGE}))*+<p{_EDGE}"
+    return S.when(
+        doc.rlike(nested),
+        S.transform(S.array_sort(_elements(doc, opening, S.lit("p"))), lambda s: s["inside"]),
+    ).otherwise(S.regexp_extract_all(doc, _PARAGRAPH, 1))
 
 
 @expression
@@ -201,7 +202,7 @@ def paragraphs_of(doc: Sql) -> Sql:
 @expression
 def paragraphs(html: Sql) -> Sql:
     """Trimmed, non-empty paragraph texts, each followed by a line end."""
-    return let(prepare(html), paragraphs_of)
+    return let(parse(html), paragraphs_of)
 
 
 # -- elements by selector --------------------------------------------------
@@ -263,11 +264,7 @@ def _balanced(after: Sql, name: Sql) -> Sql:
     )
     nested = S.substr(after, 1, let(pieces, cut))
     lowered = S.lower(name)
-    return (
-        S.when(lowered.isin(*VOID_ELEMENTS), "")
-        .when(lowered == "p", S.regexp_extract(after, f"(?i)^{_P_INSIDE}", 0))
-        .otherwise(nested)
-    )
+    return S.when(lowered.isin(*VOID_ELEMENTS), "").otherwise(nested)
 
 
 def _elements(doc: Sql, opening: str, name: Sql) -> Sql:
@@ -330,10 +327,8 @@ def _elements(doc: Sql, opening: str, name: Sql) -> Sql:
 
     def inside(pieces: Sql, f: Sql) -> Sql:
         first = S.regexp_replace(S.get(pieces, f["i"]), f"^(?:{opening})", "")
-        return (
-            S.when(S.lower(name).isin(*VOID_ELEMENTS), "")
-            .when(S.lower(name) == "p", S.regexp_extract(first, f"(?i)^{_P_INSIDE}", 0))
-            .otherwise(S.concat(first, S.array_join(S.slice(pieces, f["i"] + 2, f["j"] - f["i"] - 1), "")))
+        return S.when(S.lower(name).isin(*VOID_ELEMENTS), "").otherwise(
+            S.concat(first, S.array_join(S.slice(pieces, f["i"] + 2, f["j"] - f["i"] - 1), ""))
         )
 
     return let(
@@ -345,7 +340,7 @@ def _elements(doc: Sql, opening: str, name: Sql) -> Sql:
                 lambda text: S.struct(
                     f["start"].alias("start"),
                     # an element that ends without its own tag ends with its text
-                    S.when(S.lower(name).isin("p", *VOID_ELEMENTS), f["start"] + S.length(text))
+                    S.when(S.lower(name).isin(*VOID_ELEMENTS), f["start"] + S.length(text))
                     .otherwise(f["end"])
                     .alias("end"),
                     text.alias("inside"),
@@ -404,13 +399,13 @@ def element_text(html: Sql, selector: str) -> Sql:
 
     Selectors: a tag name, ``.class``, ``#id`` or ``[attribute=value]``.
     """
-    return let(prepare(html), lambda doc: _plain(S.get(_selected(doc, selector), 0)))
+    return let(parse(html), lambda doc: _plain(S.get(_selected(doc, selector), 0)))
 
 
 @expression
 def strip_tags(html: Sql) -> Sql:
     """All text of a document or fragment, trimmed; script text included."""
-    return trim_space(_plain(prepare(html)))
+    return trim_space(_plain(parse(html)))
 
 
 # -- article text ----------------------------------------------------------
@@ -453,7 +448,7 @@ def news_of(doc: Sql) -> Sql:
 @expression
 def news(html: Sql) -> Sql:
     """Article text: articleBody, else the first article, else known classes."""
-    return let(prepare(html), news_of)
+    return let(parse(html), news_of)
 
 
 # -- links -----------------------------------------------------------------
@@ -480,4 +475,4 @@ def links_of(doc: Sql, base: Sql) -> Sql:
 @expression
 def links(html: Sql, base: Sql) -> Sql:
     """Absolute links of a page worth following, in order, duplicates kept."""
-    return let(prepare(html), lambda doc: links_of(doc, base))
+    return let(parse(html), lambda doc: links_of(doc, base))

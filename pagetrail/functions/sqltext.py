@@ -46,6 +46,9 @@ class Sql:
     def __gt__(self, other: object) -> Sql:
         return self._with(">", other)
 
+    def __le__(self, other: object) -> Sql:
+        return self._with("<=", other)
+
     def __add__(self, other: object) -> Sql:
         return self._with("+", other)
 

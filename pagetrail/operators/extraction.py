@@ -12,7 +12,7 @@ _DOC = "_doc"
 
 def prepared(pages: DataFrame) -> DataFrame:
     """Adds the prepared page text, so that several fields share the work."""
-    return pages.withColumn(_DOC, html.prepare("html"))
+    return pages.withColumn(_DOC, html.parse("html"))
 
 
 def parse_pages(

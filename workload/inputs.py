@@ -214,6 +214,29 @@ MARKS = (
 )
 
 
+#: Markup that is nested wrongly, one kind for each page.
+TANGLES = (
+    "<table>first<tr><td>cell</td></tr>second</table>",
+    "</p>x</div></em>",
+    "<b><p>bold</b>not</p>",
+    "<table><tr><td><p>in<p>cell<td>two</table>",
+    "<ul><li><p>one<li>two</ul>",
+    "<select><option>a<p>b</select>",
+    "<table><p>moved<tr><td>kept</table>",
+    "<p>open<table><tr><td>closes it</table>",
+    "<p><a href=/t1>one<p>two<a href=/t2>three</a>",
+    "<h2>head<h3>line</h2>",
+)
+
+
+def tangled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with wrongly nested markup behind their navigation."""
+    tangle = F.element_at(F.array(*map(F.lit, TANGLES)), (F.col("page_id") % len(TANGLES) + 1).cast("int"))
+    return pages(spark, sf_dir).select(
+        "page_id", "url", F.replace("html", F.lit("</nav>"), F.concat(F.lit("</nav>"), tangle)).alias("html")
+    )
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, link_pos, href of every anchor, as written."""
     return (

@@ -449,6 +449,25 @@ SELECT page_id AS src_id, {key_of('src_url')} AS src_key, src_url, {host_of('src
        CASE WHEN link LIKE '%\\%%' ESCAPE '\\' THEN url_decode(replace({key_of('link')}, '+', '%2B'))
             ELSE {key_of('link')} END AS key, {host_of('link')} AS host
 FROM kept"""
+#: What a tree builder makes of the wrongly nested markup of each page, written out.
+UNTANGLED = (
+    "firstsecond<table><tr><td>cell</td></tr></table>",
+    "<p></p>x",
+    "<b></b><p><b>bold</b>not</p>",
+    "<table><tr><td><p>in</p><p>cell</p></td><td>two</td></tr></table>",
+    "<ul><li><p>one</p></li><li>two</li></ul>",
+    "<select><option>ab</option></select>",
+    "<p>moved</p><table><tr><td>kept</td></tr></table>",
+    "<p>open</p><table><tr><td>closes it</td></tr></table>",
+    "<p>one</p><p>twothree</p>",
+    "<h2>head</h2><h3>line</h3>",
+)
+_UNTANGLED = "[" + ", ".join(f"'{x}'" for x in UNTANGLED) + "]"
+ORACLE["tangled_content"] = f"""WITH {DOC.replace("FROM pages", f"""
+  FROM (SELECT page_id, url, replace(html, '</nav>', concat('</nav>', {_UNTANGLED}[page_id % 10 + 1])) AS html FROM pages) t""")}
+SELECT page_id, {CONTENT} AS content, trim({stripped('d')}, {WHITE}) AS text,
+       CASE WHEN page_id % 10 = 8 AND d LIKE '%</nav>%' THEN 3 ELSE 0 END AS n_tangled
+FROM doc"""
 ORACLE["strip_tags"] = f"WITH {DOC} SELECT page_id, trim({stripped('d')}, {WHITE}) AS text FROM doc"
 ORACLE["element_text"] = f"""WITH {DOC}
 SELECT page_id,

@@ -301,6 +301,18 @@ def element_text(spark, sf):
     )
 
 
+@query
+def tangled_content(spark, sf):
+    """Paragraphs, text and links of pages whose elements are nested wrongly."""
+    doc = inputs.tangled_pages(spark, sf).withColumn("doc", html.parse("html"))
+    return doc.select(
+        "page_id",
+        html.paragraphs_of("doc").alias("content"),
+        html.strip_tags("html").alias("text"),
+        F.size(F.filter(html.hrefs_of("doc"), lambda h: h.isin("/t1", "/t2"))).cast("bigint").alias("n_tangled"),
+    )
+
+
 @query
 def parse_pages(spark, sf):
     given = inputs.fetch_log(spark, sf).select("page_id", "url", "html", "crawled_at")

@@ -8,11 +8,10 @@ a queue would hand the rows out, and no global numbering is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from . import ordered
 
 ORDER = ["depth", "path"]
 CRAWLED = "crawled"
@@ -100,23 +99,26 @@ def depth_limit(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("depth") <= F.col("settings.max_depth"))
 
 
-def limit_pages(
-    visited: DataFrame, hot_rows: int | None = None
-) -> DataFrame:
+def limit_pages(visited: DataFrame, most: int = 100) -> DataFrame:
     """Rows handed out before a request has its ``max_pages`` crawled pages.
 
-    Only rows with outcome ``crawled`` count; a limit of zero or less is none.
+    Only rows with outcome ``crawled`` count; a limit of zero or less is none.  ``most`` is the greatest limit there can
+    be (requests allow 100); a greater one raises an error.  With it, tasks pass on at most so many successes of a request, so
+    a hot request does not gather; the place of the last allowed success then cuts all its rows.
     """
-    counted = ordered.running_sum(
-        visited,
-        ["request_id"],
-        ORDER,
-        F.when(F.col("outcome") == CRAWLED, 1).otherwise(0),
-        "_before",
-        hot_rows,
-    )
     limit = F.col("settings.max_pages")
-    return counted.filter((limit <= 0) | (F.col("_before") < limit)).drop("_before")
+    known = limit.isNotNull() & F.when(
+        limit > most, F.raise_error(F.concat(F.lit(f"max_pages beyond {most}: "), limit.cast("string"))).cast("boolean")
+    ).otherwise(True)
+    rows = visited.filter(known)
+    successes = rows.filter((F.col("outcome") == CRAWLED) & (limit > 0)).select("request_id", limit.alias("_limit"), *ORDER)
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy(*ORDER))
+    ranked = successes.withColumn("_place", place).filter(F.col("_place") <= most)
+    cuts = ranked.filter(F.col("_place") == F.col("_limit")).select(
+        F.col("request_id").alias("_request"), F.struct(*ORDER).alias("_last")
+    )
+    cut = rows.join(cuts, F.col("request_id").eqNullSafe(F.col("_request")), "left")
+    return cut.filter(F.col("_last").isNull() | (F.struct(*ORDER) <= F.col("_last"))).drop("_request", "_last")
 
 
 def pending(admitted: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import robots as text
-from ..functions import urls
+from ..functions import search, urls
 from . import ordered
 
 RULES = "array<struct<line_no:int,agent:string,path:string,allow:boolean>>"
@@ -108,48 +108,60 @@ def drop_denied(
     return robots_verdict(urls_df, parsed, agent).filter("allowed").drop("allowed")
 
 
+def robots_index(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fetch times for ``robots_asof``: by origin and month (origin, month, times, ascending), and per origin the months that
+    have any (origin, months, lasts: the newest time of each).  Write both to use them for many batches of visits.
+
+    Times of an origin are combined before the shuffle; a row holds what a month or the months of an origin have.
+    """
+    known = snapshots.filter(F.col("origin").isNotNull() & F.col("fetched_at").isNotNull())
+    by_month = (
+        known.select("origin", _month("fetched_at").alias("month"), "fetched_at")
+        .groupBy("origin", "month")
+        .agg(F.sort_array(F.collect_set("fetched_at")).alias("times"))
+    )
+    newest = known.groupBy("origin", _month("fetched_at").alias("month")).agg(F.max("fetched_at").alias("last"))
+    by_origin = newest.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("month", "last"))).alias("m"))
+    return by_month, by_origin.select("origin", F.col("m.month").alias("months"), F.col("m.last").alias("lasts"))
+
+
+def _month(at: str) -> Column:
+    return (F.year(at) * 12 + F.month(at)).cast("int")
+
+
 def robots_asof(
     visits: DataFrame,
-    snapshots: DataFrame,
+    snapshots: DataFrame | tuple[DataFrame, DataFrame],
     ttl_hours: float = 24,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Adds the newest robots file at the time of each visit, and its age.
 
-    ``visits``: url, at and an id column ``visit_id``.  ``snapshots``: origin,
-    fetched_at.  A file is good for exactly ``ttl_hours``; without one, or with
-    an older one, ``needs_refetch`` is true, as it is for an address without an origin.
+    ``visits``: url, at and an id column ``visit_id``.  ``snapshots``: origin, fetched_at, or what ``robots_index`` made of
+    them.  A file is good for exactly ``ttl_hours``; without one, or with an older one, ``needs_refetch`` is true, as it is for
+    an address without an origin and for a visit without a time.
+
+    A visit meets the fetch times of its month, and the months of its origin, and finds its place in both by binary
+    search.  Visits are neither sorted nor gathered, and each key of the other side is one row, so that the visits of
+    a hot origin can be in any number of tasks.
     """
-    none = F.lit(None).cast("timestamp")
-    both = (
-        visits.select(
-            urls.url_origin("url").alias("origin"),
-            F.col("at"),
-            F.lit(1).alias("kind"),
-            F.col("visit_id"),
-            F.col("url"),
-            none.alias("fetched_at"),
-        )
-        .withColumn("_group", F.coalesce("origin", F.hex(F.xxhash64("url"))))
-        .unionByName(
-            snapshots.select(
-                "origin",
-                F.col("fetched_at").alias("at"),
-                F.lit(0).alias("kind"),
-                F.lit(None).cast("bigint").alias("visit_id"),
-                F.lit(None).cast("string").alias("url"),
-                "fetched_at",
-            )
-            .distinct()
-            .withColumn("_group", F.col("origin"))
-        )
-    )
-    filled = ordered.last_value(
-        both, ["_group"], ["at", "kind", "visit_id"], "fetched_at", "robots_at", hot_rows
+    by_month, by_origin = snapshots if isinstance(snapshots, tuple) else robots_index(snapshots)
+    known = visits.select(
+        "visit_id",
+        "url",
+        urls.url_origin("url").alias("origin"),
+        "at",
+        _month("at").alias("_month"),
     )
+    # addresses without an origin meet nothing and are dealt out by their text
+    known = known.withColumn("_key", F.coalesce("origin", F.hex(F.xxhash64("url"))))
+    of_month = by_month.select(F.col("origin").alias("_key"), F.col("month").alias("_month"), "times")
+    of_origin = by_origin.select(F.col("origin").alias("_key"), "months", "lasts")
+    met = known.join(of_month, ["_key", "_month"], "left").join(of_origin, "_key", "left")
+    earlier = F.get("lasts", search.count_up_to(F.col("months"), F.col("_month") - 1) - 1)
+    found = met.withColumn("robots_at", F.coalesce(search.last_up_to(F.col("times"), F.col("at")), earlier))
     age = F.unix_micros("at") - F.unix_micros("robots_at")
     fresh = age <= F.lit(int(ttl_hours * 3600 * 1_000_000))
-    return filled.filter(F.col("kind") == 1).select(
+    return found.select(
         "visit_id",
         "url",
         "origin",

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import urls
+from ..lineage import Steps, remove
 from ..operators import extraction
 from ..sources import results
 
@@ -42,6 +45,38 @@ def start_page_stream(
 
 FIRST = "key string, src_id bigint, link_pos int, url string"
 
+#: Parts of the memory of the dedup stream; log2 of the bits of its filter (16 MB).
+BUCKETS, FILTER_BITS = 256, 27
+
+
+def _placed(keys: DataFrame) -> DataFrame:
+    """Adds bucket, chunk and bit of each key; 32768 bits are a chunk."""
+    place = F.col("_hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    return (
+        keys.withColumn("_hash", F.xxhash64("key"))
+        .withColumns(
+            {
+                "bucket": F.shiftrightunsigned("_hash", 40).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"),
+                "_chunk": F.shiftright(place, 15).cast("int"),
+                "_bit": place.bitwiseAND(F.lit(32767)).cast("int"),
+            }
+        )
+        .drop("_hash")
+    )
+
+
+def _perhaps_seen(placed: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows whose bit is set; a row without is new for sure."""
+    octet = F.conv(F.hex(F.substring(F.col("bits"), F.expr("_bit div 8 + 1"), F.lit(1))), 16, 10).cast("int")
+    is_set = octet.bitwiseAND(F.expr("shiftleft(1, _bit % 8)")) != 0
+    return placed.join(bits.withColumnRenamed("chunk", "_chunk"), "_chunk").filter(is_set)
+
+
+def _opened(spark: SparkSession, path: str, number: int, buckets: list[int]) -> DataFrame:
+    """Keys of earlier batches in some buckets; no file of another bucket is opened."""
+    log = spark.read.schema(f"{FIRST}, batch bigint, bucket int").parquet(path)
+    return log.filter((F.col("batch") < number) & F.col("bucket").isin(buckets)).select("key")
+
 
 def start_dedup_stream(
     links: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, object] = ONCE
@@ -51,20 +86,44 @@ def start_dedup_stream(
     ``links``: src_id, link_pos, url, key.  Of the links in one batch the first one of the page with the smallest id counts.  The
     table is the memory: keys are never forgotten, nothing is held by executors between batches, and a batch
     that is run again replaces its own rows.  Repeats are combined before the shuffle, so a page that all
-    others link to costs little.
+    others link to costs little.  Links without a key are left out.
+
+    The table is cut into buckets by a hash of the key, and a filter of one bit for each key lies beside it (``path``
+    + ``-filter``).  A key whose bit is not set is new; for the others only their buckets are opened.  So what a batch
+    reads depends on what it may have in common with earlier ones, not on how many there were.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        first = (
+        spark = batch.sparkSession
+        first = _placed(
             batch.filter(F.col("key").isNotNull())
             .groupBy("key")
             .agg(F.min(F.struct("src_id", "link_pos", "url")).alias("first"))
             .select("key", "first.*")
         )
-        if number:
-            log = batch.sparkSession.read.schema(f"{FIRST}, batch bigint").parquet(path)
-            first = first.join(log.filter(F.col("batch") < number).select("key"), "key", "left_anti")
-        first.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        steps = Steps(spark, "dedup")
+        try:
+            first = steps.cut(first, "first")
+            known = None
+            if number:
+                bits = spark.read.schema("chunk int, bits binary").parquet(f"{path}-filter/batch={number - 1}")
+                perhaps = steps.cut(_perhaps_seen(first, bits).select("key", "bucket"), "perhaps")
+                buckets = sorted(r[0] for r in perhaps.select("bucket").distinct().collect())  # BUCKETS at most
+                if buckets:
+                    seen = _opened(spark, path, number, buckets).join(perhaps.select("key"), "key", "left_semi")
+                    first = steps.cut(first.join(seen, "key", "left_anti"), "new")
+                known = bits
+            first.select("key", "src_id", "link_pos", "url", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+                f"{path}/batch={number}"
+            )
+            new = first.groupBy(F.col("_chunk").alias("chunk")).agg(F.bitmap_construct_agg("_bit").alias("bits"))
+            if known is not None:
+                new = known.unionByName(new).groupBy("chunk").agg(F.bitmap_or_agg("bits").alias("bits"))
+            new.write.mode("overwrite").parquet(f"{path}-filter/batch={number}")
+        finally:
+            steps.close()
+        # the filter before the last one is of no more use, even if this batch is run again
+        remove(spark, f"{path}-filter/batch={number - 2}")
 
     return (
         links.select("key", "src_id", F.col("link_pos").cast("int").alias("link_pos"), "url")
@@ -93,26 +152,33 @@ def refetch_times(visits: DataFrame, held: DataFrame, ttl_hours: float = 24) ->
     A visit uses the file at hand unless it is older than ``ttl_hours``; then,
     and without a file, a fetch is due at that moment and its file serves the
     visits after it.  Which visit comes to fetch depends on the one before, so the distinct times of an
-    origin are read in order, once; a task holds the time of the last fetch and nothing else.
+    origin are read in order, once; a task holds the time of the last fetch and goes from fetch to fetch.
+    Visits without an origin or a time make nothing due.
     """
     ttl = int(ttl_hours * 3600 * 1_000_000)
-    times = visits.select("origin", F.unix_micros("at").alias("t")).distinct()
+    dated = visits.filter(F.col("origin").isNotNull() & F.col("at").isNotNull())
+    times = dated.select("origin", F.unix_micros("at").alias("t")).distinct()
     known = held.select("origin", F.unix_micros("fetched_at").alias("held"))
     ordered = times.join(known, "origin", "left").repartition("origin").sortWithinPartitions("origin", "t")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last = None, None
         for batch in batches:
-            origins, due = [], []
-            for origin, t, held_at in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            origins, at = batch.column(0), batch.column(1).to_numpy()
+            # where another origin begins, then from fetch to fetch
+            other = pc.not_equal(origins.slice(1), origins.slice(0, max(len(origins) - 1, 0))).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(other) + 1, [len(at)]]) if len(at) else np.zeros(1, int)
+            found, due = [], []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                origin = origins[a].as_py()
                 if origin != now:
-                    now, last = origin, held_at
-                if last is None or t > last + ttl:
-                    last = t
-                    origins.append(origin)
-                    due.append(t)
+                    now, last = origin, batch.column(2)[a].as_py()
+                while (i := a if last is None else a + int(np.searchsorted(at[a:b], last + ttl, "right"))) < b:
+                    last = int(at[i])
+                    found.append(origin)
+                    due.append(last)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(origins, pa.string()), pa.array(due, pa.int64())], ["origin", "due"]
+                [pa.array(found, pa.string()), pa.array(due, pa.int64())], ["origin", "due"]
             )
 
     found = ordered.select("origin", "t", "held").mapInArrow(scan, "origin string, due bigint")
@@ -131,10 +197,10 @@ def start_robots_stream(
     The table is the memory of the stream: the files at hand are its newest row
     per origin.  Rows older than a file's lifetime before the batch say no more
     than no row at all, so they are not read.  A batch that is run again
-    replaces its own rows.
+    replaces its own rows.  Visits without an origin or a time make nothing due and say nothing about files at hand.
     """
     named = visits.select(urls.url_origin("url").alias("origin"), "at").filter(
-        F.col("origin").isNotNull()
+        F.col("origin").isNotNull() & F.col("at").isNotNull()
     )
 
     def step(batch: DataFrame, number: int) -> None:
@@ -144,7 +210,7 @@ def start_robots_stream(
         else:
             log = spark.read.schema(f"{REFETCH}, batch bigint").parquet(path)
             start = batch.agg(F.min("at")).first()[0]
-            recent = F.col("fetched_at") >= F.lit(start) - F.make_dt_interval(
+            recent = F.col("fetched_at") >= F.lit(start).cast("timestamp") - F.make_dt_interval(
                 hours=F.lit(0), secs=F.lit(ttl_hours * 3600)
             )
             held = (

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from pagetrail.lineage import cut_lineage
 from pagetrail.operators import extraction, fetching, frontier, requests as rq, stats
 from pagetrail.operators import robots as rb
 from pagetrail.plans.crawl import crawl as crawl_site
@@ -12,6 +13,11 @@ def crawl(requests, pages, edges, *args, **settings):
     return crawl_site(requests, prepare(pages, edges), *args, **settings)
 
 
+def written_edges(pages):
+    """The link table a crawl goes by, written once."""
+    return cut_lineage(extraction.link_edges(pages), "edges")
+
+
 H = "http://h.example/"
 SITE = {"s": "ab", "a": "cb", "b": "d", "c": "s"}
 DAY = dt.datetime(2024, 1, 1)
@@ -61,7 +67,7 @@ def all_cases(spark):
         row = one(spark, **{"request_id": i, "depth": 1, "max_pages": 20, "filter": "", "seed_only": False, **settings})
         row = row.select("request_id", "url", "extract_links", "depth", "max_pages", "filter", "seed_only")
         requests = row if requests is None else requests.unionByName(row)
-    return crawl(requests, pages, extraction.link_edges(pages))
+    return crawl(requests, pages, written_edges(pages))
 
 
 def test_golden_crawls(all_cases):
@@ -116,7 +122,7 @@ def test_robots(spark):
         [(H[:-1], 200, "User-agent: *\nDisallow: /b", DAY)],
         "origin string, status int, body string, fetched_at timestamp",
     )
-    edges = extraction.link_edges(pages)
+    edges = written_edges(pages)
     done = crawl(one(spark, depth=2), pages, edges, robots)
     assert order(done) == "sac"
     assert done.admitted.filter(F.col("key") == H + "d").count() == 0
@@ -154,7 +160,7 @@ def test_against_a_queue(spark, bound):
     requests = spark.createDataFrame(
         asked, "request_id bigint, url string, depth int, max_pages int"
     ).withColumn("extract_links", F.lit(True))
-    done = crawl(requests, pages, extraction.link_edges(pages), hot_rows=bound)
+    done = crawl(requests, pages, written_edges(pages), hot_rows=bound)
     admitted = done.admitted.collect()
     for request, url, depth, limit in asked:
         mine = sorted(
@@ -167,8 +173,7 @@ def test_against_a_queue(spark, bound):
     limited = frontier.limit_pages(
         done.admitted.filter("request_id = 3").drop("settings").withColumn(
             "settings", F.struct(F.lit(4).alias("max_pages"))
-        ),
-        bound,
+        )
     )
     assert limited.filter("outcome = 'crawled'").count() == 4
 
@@ -180,7 +185,7 @@ def test_domain_and_refusals(spark):
         (2, "http://a/x?q=1", ""),
     ]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    edges = extraction.link_edges(pages)
+    edges = written_edges(pages)
     home = crawl(one(spark, url="http://a/", depth=3), pages, edges)
     assert [r.key for r in home.admitted.orderBy("depth", "path").collect()] == ["http://a/", "http://a/x"]
     away = crawl(one(spark, url="http://a/", depth=3, stay_domain=False), pages, edges)
@@ -199,7 +204,7 @@ def test_the_exact_address_answers_before_its_key(spark):
         (4, "http://a/p?x=1#again", "<title>late</title>"),
     ]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    edges = extraction.link_edges(pages)
+    edges = written_edges(pages)
     asked = [(1, "http://a/p?x=1"), (2, "http://a/p?x=2#f"), (3, "http://a/p"), (4, "http://a/p?x=9")]
     requests = spark.createDataFrame(asked, "request_id bigint, url string").withColumn("extract_links", F.lit(True))
     got = {r.request_id: r.title for r in crawl(requests, pages, edges).page_data.filter("depth = 0").collect()}
@@ -220,7 +225,7 @@ def test_agent_of_each_request(spark):
     requests = spark.createDataFrame(asked, "request_id bigint, agent string").withColumns(
         {"url": F.lit(H + "s"), "extract_links": F.lit(True), "depth": F.lit(2)}
     )
-    done = crawl(requests, pages, extraction.link_edges(pages), robots)
+    done = crawl(requests, pages, written_edges(pages), robots)
     got = {}
     for r in done.visited.filter("outcome = 'crawled'").orderBy("depth", "path").collect():
         got[r.request_id] = got.get(r.request_id, "") + r.key[len(H):]
@@ -235,10 +240,34 @@ def test_steps_are_deleted(spark):
     import os
 
     pages = site(spark)
-    ready = prepare(pages, extraction.link_edges(pages))
+    ready = prepare(pages, written_edges(pages))
     done = crawl_site(one(spark), ready)
     folders = [x.steps.folder for x in (done, ready)]
     assert all(map(os.path.isdir, folders))
     done.close()
     ready.close()
     assert not any(map(os.path.isdir, folders))
+
+
+def test_limit_pages_against_a_count(spark):
+    rows = [
+        (r, d, [0, i][: d + 1], ["crawled", "skipped", "crawled", "failed"][(i * 7 + r) % 4], (None, 0, 1, 3, 100)[r])
+        for r in range(5) for d in range(2) for i in range(40)
+    ]
+    df = spark.createDataFrame(rows, "request_id long, depth int, path array<int>, outcome string, m long").dropDuplicates(["request_id", "depth", "path"])
+    given = df.collect()
+    visited = df.select("request_id", "depth", "path", "outcome", F.struct(F.col("m").alias("max_pages")).alias("settings"))
+    limited = frontier.limit_pages(visited)
+    expected = set()
+    for r in range(5):
+        n = 0
+        for x in sorted((x for x in given if x.request_id == r), key=lambda x: (x.depth, x.path)):
+            if x.m is not None and (x.m <= 0 or n < x.m):
+                expected.add((r, x.depth, tuple(x.path)))
+            n += x.outcome == "crawled"
+    assert {(x.request_id, x.depth, tuple(x.path)) for x in limited.collect()} == expected
+    plan = limited._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan  # tasks pass on no more than the limit of a request
+    beyond = visited.withColumn("settings", F.struct(F.lit(101).alias("max_pages")))
+    with pytest.raises(Exception, match="max_pages beyond 100"):
+        frontier.limit_pages(beyond).collect()

@@ -1,9 +1,12 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagetrail.functions import robots as text
+from pagetrail.functions import search
+from pagetrail.lineage import cut_lineage
 from pagetrail.operators import robots as rb
 
 AGENT = "Bot/1"
@@ -85,8 +88,7 @@ def test_missing_robots_are_open(spark):
     assert rb.drop_denied(urls, rb.latest_robots(robots), AGENT, respect=False).count() == 4
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 3])
-def test_asof(spark, bound):
+def test_asof(spark):
     day = dt.datetime(2024, 1, 1)
     hours = dt.timedelta(hours=1)
     snapshots = spark.createDataFrame(
@@ -99,7 +101,7 @@ def test_asof(spark, bound):
         + [(100, "http://n/x", day), (101, "http://h/%zz", day), (102, None, day)],
         "visit_id bigint, url string, at timestamp",
     )
-    got = {r.visit_id: r for r in rb.robots_asof(visits, snapshots, hot_rows=bound).collect()}
+    got = {r.visit_id: r for r in rb.robots_asof(visits, snapshots).collect()}
     assert len(got) == len(offsets) + 3
     for i, o in enumerate(offsets):
         held = [h for h in (0, 30) if h <= o]
@@ -111,6 +113,67 @@ def test_asof(spark, bound):
     assert got[101].origin is None
 
 
+def test_asof_over_months(spark):
+    """Months without files, times at the border of months, repeated and null rows, against a plain search."""
+    rnd = random.Random(2)
+    day = dt.datetime(2023, 11, 20)
+    files = [(f"http://h{rnd.randint(0, 3)}", day + dt.timedelta(hours=rnd.choice([0, 264, 1000, 3000]) + rnd.randint(0, 90))) for _ in range(80)]
+    files += [("http://h0", dt.datetime(2024, 1, 1)), ("http://h0", dt.datetime(2023, 12, 31, 23, 59, 59, 999999))]
+    snapshots = spark.createDataFrame(files * 2 + [(None, day), ("http://h1", None)], "origin string, fetched_at timestamp")
+    rows = [(i, f"http://h{rnd.randint(0, 4)}/{i}", day + dt.timedelta(hours=rnd.randint(-20, 4000))) for i in range(400)]
+    rows += [(900, "http://h0/", dt.datetime(2024, 1, 1)), (901, "http://h0/", None), (902, "no origin", day)]
+    visits = spark.createDataFrame(rows, "visit_id bigint, url string, at timestamp")
+    got = {r.visit_id: r for r in rb.robots_asof(visits, rb.robots_index(snapshots)).collect()}
+    assert len(got) == len(rows)
+    for i, url, at in rows:
+        held = [f for o, f in files if at is not None and url.startswith(o + "/") and f <= at]
+        assert got[i].robots_at == max(held, default=None)
+        assert got[i].needs_refetch == (not held or at - max(held) > dt.timedelta(days=1))
+
+
+SPLIT = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+}
+
+
+@pytest.mark.parametrize("settings", [{}, SPLIT])
+def test_asof_spreads_a_hot_origin(spark, settings):
+    """Nine tenths of the visits are of one origin: no window or sort by time gathers them, joins leave or split them."""
+    day = dt.datetime(2024, 1, 1)
+    snapshots = spark.createDataFrame([(f"http://h{i}", day) for i in range(20)], "origin string, fetched_at timestamp")
+    index = tuple(cut_lineage(x, "index") for x in rb.robots_index(snapshots))
+    visits = spark.range(0, 20000, 1, 8).selectExpr(
+        "id AS visit_id", "concat('http://h', if(id % 10 = 0, id % 200 div 10, 7), '/', id) AS url", "timestamp_seconds(1704067200 + id) AS at"
+    )
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = rb.robots_asof(visits, index)
+        assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+        parts = (
+            found.filter("origin = 'http://h7'").select(F.spark_partition_id().alias("p"), "robots_at")
+            .groupBy("p").agg(F.count("robots_at").alias("n")).collect()
+        )
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(r.n for r in parts) == 18100 and len(parts) >= 4 and max(r.n for r in parts) < 8000
+
+
+def test_binary_search(spark):
+    values = list(range(0, 2000, 3))
+    rows = [(v, x) for v in ([], [5], [1, 1, 2], values) for x in (-1, 0, 1, 2, 5, 6, 1000, 1998, 5000)] + [(None, 1), ([1], None)]
+    df = spark.createDataFrame(rows, "v array<int>, x int").select("v", "x", search.count_up_to("v", "x").alias("n"), search.last_up_to("v", "x").alias("l"))
+    for r in df.collect():
+        below = [y for y in r.v or [] if r.x is not None and y <= r.x]
+        assert (r.n, r.l) == (len(below), below[-1] if below else None)
+
+
 @pytest.mark.parametrize("bound", [1_000_000, 4])
 def test_schedule(spark, bound):
     rows = [(1, f"http://h/{i}", 0, [0, i], 1) for i in range(25)] + [(1, "http://g/", 1, [0, 0], 1)]

@@ -59,6 +59,57 @@ def test_dedup_over_batches(spark, tmp_path):
     assert got == expected
 
 
+def test_what_dedup_reads_does_not_grow(spark, tmp_path, monkeypatch):
+    """Twelve batches of new keys and a few old ones: the log grows, what is read of it stays about the same."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "key string, src_id bigint, link_pos int, url string"
+    read, plain = [], jobs._opened
+
+    def opened(session, path, number, buckets):
+        found = plain(session, path, number, buckets)
+        files = {f.split("bucket=")[1].split("/")[0] for f in found.inputFiles()}
+        assert len(found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")) > 1
+        read.append((number, len(buckets), found.count(), len(files)))
+        return found
+
+    monkeypatch.setattr(jobs, "_opened", opened)
+    everything = []
+    for number in range(12):
+        rows = [(f"k{number}-{i}", number, i, f"u{number}-{i}") for i in range(200)]
+        rows += [(f"k{max(number - 1, 0)}-{i}", number, 500 + i, "again") for i in range(3)] + [(None, number, 0, "no key")]
+        everything += rows
+        spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/{number}")
+        arriving = spark.readStream.schema(schema).parquet(f"{folder}/*")
+        jobs.start_dedup_stream(arriving, out, out + "-c").awaitTermination()
+    got = spark.read.schema(schema).parquet(out).collect()
+    first = {}
+    for key, src, pos, url in everything:
+        if key is not None and (key not in first or (src, pos) < first[key][:2]):
+            first[key] = (src, pos, url)
+    assert {r.key: (r.src_id, r.link_pos, r.url) for r in got} == first and len(got) == len(first) == 2400
+    # three old keys open three buckets of 256, whatever the log holds
+    assert len(read) == 11 and all(b <= 4 for _, b, _, _ in read) and max(n for *_, n, _ in read) < 60
+    filters = [p.name for p in (tmp_path / "out-filter").iterdir()]
+    assert sorted(filters) == ["batch=10", "batch=11"]
+
+
+def test_dedup_batch_run_again(spark, tmp_path):
+    """A batch whose end was not recorded is run again and replaces its rows and its filter."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "key string, src_id bigint, link_pos int, url string"
+
+    def arrive(number, keys):
+        spark.createDataFrame([(k, number, 0, f"{k}{number}") for k in keys], schema).write.parquet(f"{folder}/{number}")
+        jobs.start_dedup_stream(spark.readStream.schema(schema).parquet(f"{folder}/*"), out, out + "-c").awaitTermination()
+
+    arrive(0, "abc")
+    arrive(1, "bcd")
+    (tmp_path / "out-c" / "commits" / "1").unlink()
+    (tmp_path / "out-c" / "commits" / ".1.crc").unlink(missing_ok=True)
+    arrive(2, "ade")
+    assert sorted(r.url for r in spark.read.schema(schema).parquet(out).collect()) == ["a0", "b0", "c0", "d1", "e2"]
+
+
 def test_a_stream_can_keep_running(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     put(spark, folder, 1, batch(0))
@@ -111,6 +162,27 @@ def test_robots_cache(spark, tmp_path):
     assert spark.read.parquet(out).filter("origin = 'http://g'").count() == 1
 
 
+def test_robots_cache_without_times(spark, tmp_path):
+    """Visits without a time or an origin make nothing due, alone in a batch or beside a held file."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    day = dt.datetime(2024, 1, 1)
+    schema = "url string, at timestamp"
+
+    def arrive(number, rows):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{number}")
+        jobs.start_robots_stream(spark.readStream.schema(schema).parquet(f"{folder}/*"), out, out + "-c").awaitTermination()
+        return sorted((r.origin, r.fetched_at) for r in spark.read.parquet(out).collect())
+
+    first = [("http://h", day)]
+    assert arrive(0, [("http://h/x", day), ("http://h/x", None), (None, day), ("http://h/%zz", day)]) == first
+    assert arrive(1, [("http://h/x", None), ("http://g/x", None)]) == first
+    assert arrive(2, [("http://h/x", None), ("http://h/y", day + dt.timedelta(hours=24))]) == first
+    assert arrive(3, [("http://h/y", day + dt.timedelta(hours=25))]) == [*first, ("http://h", day + dt.timedelta(hours=25))]
+    held = spark.createDataFrame([("http://h", day), ("http://k", None)], jobs.REFETCH)
+    visits = spark.createDataFrame([("http://h", None), (None, day), ("http://k", day)], "origin string, at timestamp")
+    assert [tuple(r) for r in jobs.refetch_times(visits, held).collect()] == [("http://k", day)]
+
+
 def test_running_stats(spark, tmp_path):
     folder = str(tmp_path / "in")
     seen = []

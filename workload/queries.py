@@ -554,46 +554,56 @@ def skip_reasons(spark, sf):
 # -- streaming -------------------------------------------------------------
 
 
-def _arriving_pages(spark, sf):
-    """The pages in four files that arrive one after the other, in order of their ids."""
-    path = new_folder(spark, "pages")
+def _arriving(spark, rows, part, parts, run) -> None:
+    """Folder by folder, each written by many tasks, ``run`` goes on with what arrived; a folder is a batch."""
+    path = new_folder(spark, "arriving")
+    kept = cut_lineage(rows.withColumn("_part", part), "arriving")
+    for number in range(parts):
+        kept.filter(F.col("_part") == number).drop("_part").write.parquet(f"{path}/{number}")
+        run(f"{path}/*").awaitTermination()
+
+
+def _arriving_pages(spark, sf, run) -> None:
+    """The pages in four parts that arrive one after the other, in order of their ids; rows without one come first."""
     pages = inputs.pages(spark, sf)
-    n = pages.count()
-    for part in range(4):
-        some = pages.filter(F.floor(F.col("page_id") * 4 / n) == part) if part < 3 else pages.filter(F.col("page_id") * 4 / n >= 3)
-        some.coalesce(1).write.parquet(f"{path}/{part}")
-    return tables.stream_pages(spark, f"{path}/*", files_per_batch=1)
+    n = max(pages.count(), 1)
+    quarter = F.greatest(F.least(F.floor(F.col("page_id") * 4 / n), F.lit(3)), F.lit(0))
+    _arriving(spark, pages, F.coalesce(quarter, F.lit(0)), 4, lambda path: run(tables.stream_pages(spark, path)))
 
 
 @query
 def stream_pages(spark, sf):
     path = new_folder(spark, "stream-pages")
-    parsed = jobs.parsed_stream(_arriving_pages(spark, sf), extract_links=True)
-    stamped = parsed.withColumn("crawled_at", F.timestamp_seconds(F.col("page_id") + inputs.START))
-    jobs.start_page_stream(stamped, path, path + "-checkpoint").awaitTermination()
+
+    def run(pages):
+        parsed = jobs.parsed_stream(pages, extract_links=True)
+        stamped = parsed.withColumn("crawled_at", F.timestamp_seconds(F.col("page_id") + inputs.START))
+        return jobs.start_page_stream(stamped, path, path + "-checkpoint")
+
+    _arriving_pages(spark, sf, run)
     return flat(results.read_results(spark, path))
 
 
 @query
 def stream_dedup(spark, sf):
     path = new_folder(spark, "stream-dedup")
-    found = extraction.link_edges(_arriving_pages(spark, sf))
-    jobs.start_dedup_stream(found, path, path + "-checkpoint").awaitTermination()
+    _arriving_pages(
+        spark, sf, lambda pages: jobs.start_dedup_stream(extraction.link_edges(pages), path, path + "-checkpoint")
+    )
     return spark.read.schema(jobs.FIRST).parquet(path).select("key", "url")
 
 
 @query
 def stream_robots(spark, sf):
     path = new_folder(spark, "visits")
-    visits = cut_lineage(inputs.visits(spark, sf), "visits")
-    # three files that arrive one after the other, in order of time
-    third = F.least(F.floor((F.dayofmonth("at") - 1) / 10), F.lit(2))
-    for part in range(3):
-        visits.filter(third == part).coalesce(1).write.parquet(f"{path}/{part}")
-    arriving = (
-        spark.readStream.schema("visit_id bigint, at timestamp, url string").option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
-    )
-    jobs.start_robots_stream(arriving, path + "-due", path + "-checkpoint").awaitTermination()
+    # three parts that arrive one after the other, in order of time; visits without a time come first
+    third = F.coalesce(F.least(F.floor((F.dayofmonth("at") - 1) / 10), F.lit(2)), F.lit(0))
+
+    def run(folder):
+        arriving = spark.readStream.schema("visit_id bigint, at timestamp, url string").parquet(folder)
+        return jobs.start_robots_stream(arriving, path + "-due", path + "-checkpoint")
+
+    _arriving(spark, inputs.visits(spark, sf), third, 3, run)
     due = spark.read.schema(jobs.REFETCH).parquet(path + "-due")
     return due.select("origin", seconds("fetched_at"))
 
@@ -601,22 +611,21 @@ def stream_robots(spark, sf):
 @query
 def stream_stats(spark, sf):
     path = new_folder(spark, "stream-stats")
-    counted = jobs.stream_stats(
-        extraction.page_links(_arriving_pages(spark, sf)).withColumn("host", urls.url_host("url")),
-        "host",
-    )
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    (
-        counted.writeStream.foreachBatch(store)
-        .option("checkpointLocation", path + "-checkpoint")
-        .outputMode("update")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    def run(pages):
+        counted = jobs.stream_stats(extraction.page_links(pages).withColumn("host", urls.url_host("url")), "host")
+        return (
+            counted.writeStream.foreachBatch(store)
+            .option("checkpointLocation", path + "-checkpoint")
+            .outputMode("update")
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    _arriving_pages(spark, sf, run)
     rows = spark.read.schema(
         "host string, pages_crawled bigint, links_discovered bigint, batch int"
     ).parquet(path)

@@ -56,7 +56,7 @@ def give_back() -> None:
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 #: Bytes up to which a task's memory is not worth a search.
-SMALL_TASK = 1 << 19
+SMALL_TASK = 1 << 16
 
 
 def _bound_batches(spark: SparkSession) -> None:

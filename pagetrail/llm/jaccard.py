@@ -289,7 +289,9 @@ class _Verifier:
         sets = in_batches(self.rows.withColumn("h", F.xxhash64("id")), run, "id long, c binary, found binary")
         named = wanted.select(F.col("c").alias("k"), F.col("id").alias("i"))
         sets = sets.join(named, (F.col("c") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
-        return cut_lineage(sets.select("c", "found").dropDuplicates(["c"]), "sets")
+        written = cut_lineage(sets.select("c", "found").dropDuplicates(["c"]), "sets")
+        keys.destroy()  # filters are given back as soon as what they served is written
+        return written
 
     @staticmethod
     def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -325,9 +327,13 @@ def _links(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         blobs = _windows(rows, common, False) if turn else first
         new = cut_lineage(_counts(blobs).where(F.col("times") >= COMMON).select("s"), "common")
         marks = new if marks is None else marks.union(new)
+        if common is not None:
+            common.destroy()
         common = sc.broadcast(bits.build(marks, "s", COMMON_BITS))
     shared = sc.broadcast(bits.build(_counts(_windows(rows, common, False)), "s", SHARED_BITS))
     regions = cut_lineage(_regions(rows, common, shared), "regions")
+    common.destroy()
+    shared.destroy()
     stats = regions.groupBy("s").agg(F.count("*").alias("members"), F.min(F.struct("rare", "c", "n", "own", "end", "pos")).alias("pivot")).where("members > 1")
     placed = cut_lineage(regions.join(stats, "s"), "placed")
     small, large = placed.where(F.col("members") <= SMALL), placed.where(F.col("members") > SMALL)

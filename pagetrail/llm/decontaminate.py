@@ -200,7 +200,10 @@ class Matcher:
             d = myers(self.texts[i], passage)
             if d <= k and d < best.get(i, k + 1):
                 best[i] = d
-        return {self.ids[i]: d for i, d in best.items()}
+        least: dict[int, int] = {}
+        for i, d in best.items():  # an item may have several texts
+            least[self.ids[i]] = min(d, least.get(self.ids[i], d))
+        return least
 
 
 def _blocks(items: DataFrame, key: str, text: str) -> Iterator[Matcher]:
@@ -224,7 +227,8 @@ def contamination(
 
     Null and empty texts on either side, and those without letters or digits, match nothing.  Items of fewer
     than ten characters must occur unchanged.  Items with a null key are ignored; an item repeated under another
-    key is another item.  Repeated documents give repeated rows, null document keys are kept.  No rows on
+    key is another item.  Of several texts of an item in one block the least distance counts; beyond BLOCK_BYTES of items there may be
+    a row for each block.  Repeated documents give repeated rows, null document keys are kept.  No rows on
     either side: no rows.  Whole texts are searched, in parts; extra columns play no part.
     """
     spark = docs.sparkSession

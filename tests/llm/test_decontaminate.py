@@ -108,3 +108,12 @@ def test_a_tenth_of_the_characters_may_differ():
     # one long word exchanged
     item = "the whole of it and then extraordinarily many other words that nobody has changed since those were written"
     assert d.Matcher([1], [item]).matches(item.replace("many other", "no further")) == {1: distance(item, item.replace("many other", "no further"))}
+
+
+def test_item_of_two_texts(spark):
+    """The text that is nearer to the document counts, whatever the order of the texts."""
+    cat, dog = ("the quick brown fox jumps over the lazy %s near the old river bank" % x for x in ("cat", "dog"))
+    table = spark.createDataFrame([(5, cat), (5, dog)], "item_id long, text string")
+    for text in (cat, dog):
+        found = decontaminate.contamination(docs(spark, [(1, text)]), table).collect()
+        assert [tuple(r) for r in found] == [(1, 5, 0)]

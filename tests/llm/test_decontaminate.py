@@ -115,5 +115,5 @@ def test_item_of_two_texts(spark):
     cat, dog = ("the quick brown fox jumps over the lazy %s near the old river bank" % x for x in ("cat", "dog"))
     table = spark.createDataFrame([(5, cat), (5, dog)], "item_id long, text string")
     for text in (cat, dog):
-        found = decontaminate.contamination(docs(spark, [(1, text)]), table).collect()
+        found = d.contamination(docs(spark, [(1, text)]), table).collect()
         assert [tuple(r) for r in found] == [(1, 5, 0)]

@@ -43,6 +43,11 @@ def latest_robots(robots: DataFrame) -> DataFrame:
     return parse_robots(newest)
 
 
+def with_index(parsed: DataFrame) -> DataFrame:
+    """Adds the rules sorted for look-ups, so that ``robots_verdict`` need not sort them; for tables that are written."""
+    return parsed.withColumn("rule_index", text.rule_index("rules"))
+
+
 def robots_rules(robots: DataFrame) -> DataFrame:
     """``origin, agent, line_no, path, allow``, one row per rule."""
     rules = parse_robots(robots).select("origin", F.explode_outer("rules").alias("r"))
@@ -72,20 +77,20 @@ def robots_verdict(
 ) -> DataFrame:
     """Adds ``allowed`` to rows with a ``url``, and ``crawl_delay_s`` if asked for; ``parsed`` has one row per origin.
 
-    The rules of an origin stay one array, so a URL meets them in its own row
-    instead of being multiplied by them.  Addresses without an origin match nothing and are dealt out
+    The rules of an origin stay one row, so a URL meets them in its own row
+    instead of being multiplied by them, and looks up its own prefixes (``with_index`` spares repeated calls the sorting).  Addresses without an origin match nothing and are dealt out
     by their text.
     """
-    rules = parsed.select(
-        F.col("origin").alias("_origin"), F.col("rules").alias("_rules"), F.col("crawl_delay_s").alias("_delay")
-    )
-    if not with_delay:
-        rules = rules.drop("_delay")
+    applying = F.col("rules")
     if isinstance(agent, str):
         # only rules that can apply travel to the addresses
         names = {agent, text.ANY_AGENT}
-        rules = rules.withColumn("_rules", F.filter("_rules", lambda r: r["agent"].isin(*sorted(names))))
+        applying = F.filter(applying, lambda r: r["agent"].isin(*sorted(names)))
         agent = F.lit(agent)
+    index = F.col("rule_index") if "rule_index" in parsed.columns else text.rule_index(applying)
+    rules = parsed.select(F.col("origin").alias("_origin"), index.alias("_rules"), F.col("crawl_delay_s").alias("_delay"))
+    if not with_delay:
+        rules = rules.drop("_delay")
     known = urls_df.withColumn("_id", urls.url_identity("url")).withColumns(
         {
             "_origin": F.coalesce("_id.origin", F.hex(F.xxhash64("url"))),

@@ -188,7 +188,7 @@ def crawl(
         {"extract_links": F.col("extract_links").cast("boolean"), "agent": F.coalesce(named, F.lit(agent))}
     )
     settings = steps.cut(frontier.settings_of(asked), "settings")
-    rules = None if robots is None else steps.cut(rb.latest_robots(robots), "robots")
+    rules = None if robots is None else steps.cut(rb.with_index(rb.latest_robots(robots)), "robots")
 
     state = asked.select(
         "request_id",

@@ -45,6 +45,41 @@ def test_verdicts(spark):
     assert {r.case: r.allowed for r in got} == {i: v for i, (_, _, v) in enumerate(VERDICTS)}
 
 
+def test_many_rules_against_a_scan(spark):
+    draw = random.Random(5)
+
+    def path(most):
+        return "/" + "".join(draw.choice("ab/é") for _ in range(draw.randrange(most)))
+
+    files, wanted = {}, {}
+    for h in range(6):
+        lines, rules, agent = [], [], None
+        for number in range([0, 1, 8, 60, 400, 3000][h]):
+            if number % 40 == 0:
+                agent = draw.choice(["*", AGENT, "other", "Bot"])
+                lines.append(f"User-agent: {agent}")
+            else:
+                prefix, allow = path(7), draw.random() < 0.5
+                lines.append(f"{'Allow' if allow else 'Disallow'}: {prefix}")
+                rules.append((agent, prefix, allow))
+        files[h] = "\n".join(lines)
+        for _ in range(150):
+            p = path(9)
+            own = [a for n, x, a in rules if n == AGENT and p.startswith(x)]
+            every = [a for n, x, a in rules if n == "*" and p.startswith(x)]
+            wanted[f"http://h{h}{p}"] = (own + every + [True])[0]
+    robots = spark.createDataFrame(
+        [(f"http://h{h}", 200, body, None) for h, body in files.items()],
+        "origin string, status int, body string, fetched_at timestamp",
+    )
+    urls = spark.createDataFrame([(u,) for u in wanted], "url string")
+    parsed = rb.parse_robots(robots)
+    for table, agent in ((parsed, AGENT), (rb.with_index(parsed), F.lit(AGENT))):
+        got = {r.url: r.allowed for r in rb.robots_verdict(urls, table, agent).collect()}
+        assert got == wanted
+    assert {r.allowed for r in rb.robots_verdict(urls, parsed, F.lit(None).cast("string")).collect()} == {True, False}
+
+
 def test_rules_keep_order_and_line_numbers(spark):
     body = "#\nUser-agent: A\nDisallow: /1\n\nAllow: /2\nUser-agent: B\nCrawl-delay: 3\nAllow: /3"
     robots = spark.createDataFrame(

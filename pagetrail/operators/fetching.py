@@ -72,6 +72,18 @@ def address_index(pages: DataFrame) -> DataFrame:
     return best.select("address", "best.*")
 
 
+def answers_for(rows: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Indexes for ``answer`` of just the pages that can answer ``rows`` (url, key).
+
+    Pages meet the distinct keys of ``rows`` before anything of them is shuffled, so what is grouped depends on the rows,
+    not on the table.  An address has one key, so one grouping by both serves both indexes.
+    """
+    wanted = rows.select("key").filter(F.col("key").isNotNull()).distinct()
+    best = _answers(pages).join(wanted, "key", "left_semi").groupBy("key", "address").agg(F.min("answer").alias("best"))
+    by_key = best.groupBy("key").agg(F.min("best").alias("best"))
+    return by_key.select("key", "best.*"), best.select("address", "best.*")
+
+
 def answer(rows: DataFrame, index: DataFrame, exact: DataFrame) -> DataFrame:
     """Adds the columns of ANSWER to rows with url and key: the page stored under just this address,
     else the one that stands for the key, else nulls."""

@@ -84,30 +84,36 @@ def crawl_response(page_data: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+#: Indexes of stored pages by key and by address, as a prepared site holds them (``index``, ``exact``).
+Indexes = tuple[DataFrame, DataFrame]
+
+
 def _asked_pages(
-    requests: DataFrame, pages: DataFrame, robots: DataFrame | None, agent: str
+    requests: DataFrame, pages: DataFrame, robots: DataFrame | None, agent: str, indexes: Indexes | None
 ) -> DataFrame:
     """The requests that a fetched page answers, with its id and time; denied addresses have none."""
     if robots is not None:
         names = F.coalesce("agent", F.lit(agent)) if "agent" in requests.columns else agent
         requests = rb.drop_denied(requests, rb.latest_robots(robots), names)
-    found = fetching.answer(
-        requests.withColumn("key", urls.canonical_key("url")),
-        fetching.page_index(pages),
-        fetching.address_index(pages),
-    )
+    keyed = requests.withColumn("key", urls.canonical_key("url"))
+    found = fetching.answer(keyed, *(indexes or fetching.answers_for(keyed, pages)))
     return found.filter(F.col("outcome") == fetching.OK).drop("key", "outcome", "links_found")
 
 
 def scrape(
-    requests: DataFrame, pages: DataFrame, robots: DataFrame | None = None, agent: str = ANY_AGENT
+    requests: DataFrame,
+    pages: DataFrame,
+    robots: DataFrame | None = None,
+    agent: str = ANY_AGENT,
+    indexes: Indexes | None = None,
 ) -> DataFrame:
     """The page of each requested address; nothing is followed.
 
     ``requests``: request_id, url, extract_links, maybe agent.  ``robots``: robots files, which are respected.  Each page is extracted once,
-    however many requests ask for it.  Addresses without page, and denied ones, yield no row.
+    however many requests ask for it.  Addresses without page, and denied ones, yield no row.  ``indexes``: those of a prepared
+    site (its ``index`` and ``exact``); without them the pages are searched for the keys that are asked for.
     """
-    asked = _asked_pages(requests, pages, robots, agent)
+    asked = _asked_pages(requests, pages, robots, agent, indexes)
     wanted = asked.groupBy("page_id").agg(F.max("extract_links").alias("_links"))
     found = extraction.page_texts(
         pages.select("page_id", "url", "html").join(wanted, "page_id"),
@@ -129,10 +135,14 @@ def scrape(
 
 
 def page_links(
-    requests: DataFrame, pages: DataFrame, robots: DataFrame | None = None, agent: str = ANY_AGENT
+    requests: DataFrame,
+    pages: DataFrame,
+    robots: DataFrame | None = None,
+    agent: str = ANY_AGENT,
+    indexes: Indexes | None = None,
 ) -> DataFrame:
     """``request_id, url, links_found, links`` of the page of each request; see ``scrape``."""
-    asked = _asked_pages(requests, pages, robots, agent)
+    asked = _asked_pages(requests, pages, robots, agent, indexes)
     found = extraction.page_links(
         pages.select("page_id", "url", "html").join(asked.select("page_id").distinct(), "page_id")
     )

@@ -65,5 +65,20 @@ def test_single_pages(spark):
     assert got[1].links == ["http://h/a"] * 2 and got[2].links == [] and got[3].links == []
     found = {r.request_id: (r.links_found, r.links) for r in rq.page_links(asked, pages).collect()}
     assert found == {1: (2, ["http://h/a"] * 2), 2: (2, ["http://h/a"] * 2), 3: (0, [])}
+    # with the indexes of a prepared site, and with an address that its own page answers
+    indexes = (fetching.page_index(pages), fetching.address_index(pages))
+    more = asked.union(spark.createDataFrame([(5, "http://h/p?x=1", False), (6, None, False), (7, "http://h/%zz", True)], asked.schema))
+    for given in (None, indexes):
+        records = {r.request_id: r.title for r in rq.scrape(more, pages, indexes=given).collect()}
+        assert records == {1: "three", 2: "three", 3: "", 5: "five"}
     missing = rq.not_found(asked, rq.scrape(asked, pages)).collect()
     assert [r.request_id for r in missing] == [4]
+
+
+def test_pages_meet_the_keys_before_the_shuffle(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "<p>x") for i in range(50)], "page_id bigint, url string, html string")
+    asked = spark.createDataFrame([("http://h/3", "http://h/3")], "url string, key string")
+    by_key, by_address = fetching.answers_for(asked, pages)
+    assert [r.page_id for r in by_address.collect()] == [3]
+    plan = by_key._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [key") < plan.index("LeftSemi")

@@ -134,6 +134,56 @@ def start_dedup_stream(
     )
 
 
+SEEN = "key string, at timestamp, batch bigint"
+LATE = "key string, n bigint, batch bigint"
+
+
+def start_bounded_dedup_stream(
+    links: DataFrame, path: str, checkpoint: str, delay_s: int = 86_400, trigger: Mapping[str, object] = ONCE
+) -> StreamingQuery:
+    """Appends keys when they are seen and were not within ``delay_s`` seconds of event time; late rows are counted.
+
+    ``links``: key, at.  For streams whose memory must not grow for ever: state holds the keys of the last ``delay_s``
+    seconds before the newest time, in the state store of the query, and a key that comes again after that is appended
+    again.  Rows older than the watermark can't be judged any more; they are counted by key in ``path`` + ``-late``, as are
+    rows without a time.  Rows without a key are left out.
+
+    Spark judges lateness in a batch by the watermark that the batch before ran with, which comes from the newest
+    time of the batches before that one; these times lie beside the table (``path`` + ``-newest``).  A batch that is run
+    again replaces its own rows.
+    """
+    timed = links.filter(F.col("key").isNotNull()).select("key", "at").withWatermark("at", f"{delay_s} seconds")
+    first = timed.filter(F.col("at").isNotNull()).dropDuplicatesWithinWatermark(["key"])
+    # the same rows of the same batch, once as the state lets them through and once as they came
+    both = first.withColumn("first", F.lit(True)).unionByName(timed.withColumn("first", F.lit(False)))
+
+    def newest(spark: SparkSession, number: int) -> int:
+        """Milliseconds of the newest time up to a batch; 0 before the first."""
+        if number < 0:
+            return 0
+        return spark.read.schema("newest bigint").parquet(f"{path}-newest/batch={number}").first()[0]
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        steps = Steps(spark, "bounded-dedup")
+        try:
+            rows = steps.cut(batch, "rows")  # the state is asked once
+            came = rows.filter(~F.col("first"))
+            rows.filter("first").select("key", "at").write.mode("overwrite").parquet(f"{path}/batch={number}")
+            bound = max(0, newest(spark, number - 2) - delay_s * 1000)
+            on_time = F.unix_micros("at") > F.lit(bound).cast("bigint") * 1000
+            late = came.filter(~F.coalesce(on_time, F.lit(False))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+            late.write.mode("overwrite").parquet(f"{path}-late/batch={number}")
+            high = F.greatest(F.max(F.unix_millis("at")), F.lit(newest(spark, number - 1)).cast("bigint"))
+            came.agg(high.alias("newest")).write.mode("overwrite").parquet(f"{path}-newest/batch={number}")
+        finally:
+            steps.close()
+        # a batch that is run again needs those of the two before it
+        remove(spark, f"{path}-newest/batch={number - 3}")
+
+    return both.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def stream_stats(page_data: DataFrame, key: str = "request_id") -> DataFrame:
     """Running page and link counts; output mode ``update``."""
     return page_data.groupBy(key).agg(

@@ -629,13 +629,26 @@ ORACLE["stream_pages"] = f"""WITH {HREFS}, {RECORDS}
 SELECT p.url, r.title, r.description, r.content, l.links, {START} + p.page_id AS crawled_at,
        CAST(0 AS bigint) AS depth
 FROM pages p JOIN records r USING (page_id) JOIN link_lists l USING (page_id)"""
-ORACLE["stream_dedup"] = f"""WITH {HREFS},
+NAMED = f"""WITH {HREFS},
 named AS (
   SELECT *, CASE WHEN link LIKE '%\\%%' ESCAPE '\\'
                  THEN url_decode(replace({key_of('link')}, '+', '%2B'))
                  ELSE {key_of('link')} END AS key
-  FROM kept)
+  FROM kept)"""
+ORACLE["stream_dedup"] = f"""{NAMED}
 SELECT key, arg_min(link, page_id * 100000 + pos) AS url FROM named GROUP BY key"""
+ORACLE["stream_dedup_bounded"] = f"""{NAMED},
+n AS (SELECT greatest(count(*), 1) AS n FROM pages),
+arrived AS (
+  SELECT key, page_id AS t, CASE WHEN page_id % 10 = 0 THEN 3
+         ELSE coalesce(greatest(least(floor(page_id * 4 / n), 3), 0), 0) END AS part
+  FROM named, n WHERE key IS NOT NULL),
+newest AS (SELECT part, max(t) AS newest FROM arrived GROUP BY part),
+judged AS (
+  SELECT a.key, coalesce(a.t <= (SELECT max(w.newest) FROM newest w WHERE w.part < a.part) - greatest(n // 2, 1),
+                         a.t IS NULL) AS late
+  FROM arrived a, n)
+SELECT key, bool_or(NOT late) AS seen, CAST(count(*) FILTER (WHERE late) AS bigint) AS n_late FROM judged GROUP BY key"""
 ORACLE["stream_stats"] = f"""WITH {HREFS}
 SELECT {host_of('p.url')} AS host, count(*) AS pages_crawled,
        CAST(sum(n_links) AS bigint) AS links_discovered

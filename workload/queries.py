@@ -593,6 +593,28 @@ def stream_dedup(spark, sf):
     return spark.read.schema(jobs.FIRST).parquet(path).select("key", "url")
 
 
+@query
+def stream_dedup_bounded(spark, sf):
+    """Keys that were appended, and late links by key; pages whose id ends in 0 arrive with the last part."""
+    path = new_folder(spark, "stream-bounded")
+    pages = inputs.pages(spark, sf)
+    n = max(pages.count(), 1)
+    quarter = F.greatest(F.least(F.floor(F.col("page_id") * 4 / n), F.lit(3)), F.lit(0))
+    part = F.when(F.col("page_id") % 10 == 0, F.lit(3)).otherwise(F.coalesce(quarter, F.lit(0)))
+
+    def run(folder):
+        edges = extraction.link_edges(tables.stream_pages(spark, folder))
+        dated = edges.select("key", F.timestamp_seconds(F.col("src_id") + inputs.START).alias("at"))
+        return jobs.start_bounded_dedup_stream(dated, path, path + "-checkpoint", max(n // 2, 1))
+
+    _arriving(spark, pages, part, 4, run)
+    seen = spark.read.schema(jobs.SEEN).parquet(path).select("key", F.lit(1).alias("seen"), F.lit(0).alias("n"))
+    late = spark.read.schema(jobs.LATE).parquet(path + "-late").select("key", F.lit(0).alias("seen"), "n")
+    return seen.union(late).groupBy("key").agg(
+        (F.max("seen") == 1).alias("seen"), F.sum("n").cast("bigint").alias("n_late")
+    )
+
+
 @query
 def stream_robots(spark, sf):
     path = new_folder(spark, "visits")

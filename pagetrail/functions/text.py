@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .sqltext import S, Sql
+from .sqltext import S, Sql, let
 
 # The code points with the Unicode White_Space property.
 WHITE_SPACE = (
@@ -31,3 +31,26 @@ def percent_decode(text: Sql) -> Sql:
     decoded = S.try_url_decode(S.replace(text, "+", "%2B"))
     usable = decoded.isNotNull() & ~decoded.contains("\ufffd")
     return S.when(~text.contains("%"), text).otherwise(S.when(usable, decoded).otherwise(text))
+
+
+def percent_key(text: Sql) -> Sql:
+    """Text with ``%XX`` undone in which two texts are equal just when their bytes are; ``%XX`` must be well formed.
+
+    Bytes that are no UTF-8, and the replacement character itself, are followed by a replacement character and all bytes in
+    hex.  What decodes to plain text has no replacement character, so the two kinds never meet.
+    """
+
+    def decoded(pieces: Sql) -> Sql:
+        def joined(so_far: Sql, piece: Sql) -> Sql:
+            return S.concat(so_far, S.unhex(S.left(piece, 2)), S.substr(piece, 3).cast("binary"))
+
+        return S.aggregate(S.slice(pieces, 2, S.size(pieces) - 1), S.get(pieces, 0).cast("binary"), joined)
+
+    def shown(data: Sql) -> Sql:
+        return let(
+            S.make_valid_utf8(data.cast("string")),
+            lambda t: S.when(t.contains("\ufffd"), S.concat(t, "\ufffd", S.hex(data))).otherwise(t),
+        )
+
+    plain = ~text.contains("%") & ~text.contains("\ufffd")
+    return S.when(plain, text).otherwise(let(S.split(text, "%", -1), lambda pieces: let(decoded(pieces), shown)))

@@ -8,7 +8,7 @@ only odd ones enter the full rules.
 from __future__ import annotations
 
 from .sqltext import S, Sql, expression, let
-from .text import percent_decode, rest
+from .text import percent_decode, percent_key, rest
 
 # Link endings and fragments that are never followed.
 SKIPPED_ENDINGS = (
@@ -45,7 +45,7 @@ _FRAGMENT_KEPT = _PATH_KEPT + "?!()*"
 _HOST_KEPT = _PATH_KEPT + "!'()*[]<>\"%"
 
 _PLAIN_URL = (
-    rf"^((https?://({_PLAIN_HOST}))((?:/[^%?#\x00-\x1f\x7f]*+)?))"
+    rf"^((https?://({_PLAIN_HOST}))((?:/[^%?#\x00-\x1f\x7f\ufffd]*+)?))"
     r"(?:\?[^#\x00-\x1f\x7f]*+)?(?:#[^%]*+)?\z"
 )
 # A page URL whose parts need no rewriting to be printed.
@@ -165,7 +165,8 @@ def url_parts(url: Sql) -> Sql:
     """Struct(scheme, host, path, query, fragment); null when unparsable.
 
     The scheme is in lower case, the host keeps case and port and has no user
-    information, path and fragment are decoded, the query is left as written.
+    information, path and fragment are decoded, the query is left as written.  Paths
+    are equal when their bytes are, also where these are no UTF-8 (``percent_key``).
     """
     return let(
         _pieces(url),
@@ -174,7 +175,7 @@ def url_parts(url: Sql) -> Sql:
             S.struct(
                 p["scheme"].alias("scheme"),
                 percent_decode(p["host"]).alias("host"),
-                percent_decode(p["path"]).alias("path"),
+                percent_key(p["path"]).alias("path"),
                 p["query"].alias("query"),
                 percent_decode(p["fragment"]).alias("fragment"),
             ),

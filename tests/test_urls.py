@@ -56,7 +56,7 @@ KEYS = {
     "http://a.b/x+y": "http://a.b/x+y",
     "http://u:p@a.b:8080/p": "http://a.b:8080/p",
     "http://[::1]:80/x": "http://[::1]:80/x",
-    "http://a.b/caf%E9": "http://a.b/caf%E9",
+    "http://a.b/caf%E9": "http://a.b/caf\ufffd\ufffd2F636166E9",
     "http://a.b/x#%zz": None,
     "http://a.b/%zz": None,
     "http://a b/": None,
@@ -114,6 +114,22 @@ def test_key_is_host_and_path_of_parts(spark):
         assert key == origins[url] + paths[url]
 
 
+def test_keys_are_equal_when_bytes_are(spark):
+    from urllib.parse import unquote_to_bytes
+
+    paths = [
+        "/%ff", "/%FF", "/%fF", "/%25FF", "/%25ff", "/é%ff", "/%c3%A9%Ff", "/%c3%a9", "/é", "/%41", "/A", "/%e2%82A", "/%e2%82%41",
+        "/\ufffd", "/%ef%bf%bd", "/\ufffdFF", "/\ufffd\ufffd2FFF", "/%C0%80", "/%00", "/x+y", "/x%2By", "/x%20y", "/%ff%fe", "/%fe%ff",
+    ]
+    got = evaluate(spark, [f"http://h{p}" for p in paths], urls.canonical_key)
+    keys = {p: got[f"http://h{p}"] for p in paths}
+    assert all(keys.values())
+    for a in paths:
+        for b in paths:
+            assert (keys[a] == keys[b]) == (unquote_to_bytes(a) == unquote_to_bytes(b)), (a, b)
+    assert keys["/%c3%a9"] == "http://h/é" and keys["/x+y"] == "http://h/x+y"
+
+
 def test_skip(spark):
     assert evaluate(spark, SKIPPED, urls.should_skip) == SKIPPED
 

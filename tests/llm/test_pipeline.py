@@ -23,3 +23,28 @@ def test_every_stage_takes_effect(spark, tmp_path):
     assert seen[3] == seen[2] - {102}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == seen[3] and all(r["n_tokens"] > 0 for r in out)
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Clashing extra columns, nulls, repeated rows, empty and long texts: each stage keeps the columns."""
+    extra = ["key", "body", "h", "row", "keep_id", "n_shingles", "component_id"]
+    long = " ".join(prose(i, 50) for i in range(200, 400))
+    rows = [(1, prose(1, 50)), (1, prose(1, 50)), (2, ""), (3, None), (4, long), (5, prose(5, 4)), (None, prose(6, 50))]
+    base = docs(spark, []).schema
+    table = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], base).selectExpr("*", *[f"'x' AS `{c}`" for c in extra])
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None), (None, ""), (2, prose("item", 40))], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet"
+    )
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = cut_lineage(stage(spark, frame, str(tmp_path)), name)
+        assert frame.columns == table.columns, name
+    assert sorted(r["text"] for r in frame.collect()) == sorted([prose(1, 50), long, prose(5, 4), prose(6, 50)])
+
+
+def test_empty_tables(spark, tmp_path):
+    docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.collect() == [] and "ids_sha256" in out.columns

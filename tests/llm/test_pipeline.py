@@ -48,3 +48,14 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.collect() == [] and "ids_sha256" in out.columns
+
+
+def test_texts_without_words_stay_in_later_stages(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = docs(spark, [(1, None), (2, ""), (3, " "), (4, prose(4, 20)), (4, prose(4, 20))])
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("near_dedup", "decontamination"):
+        assert sorted(r["doc_id"] for r in stages[name](spark, table, str(tmp_path)).collect()) == [1, 2, 3, 4, 4]
+    assert sorted(r["doc_id"] for r in stages["exact_dedup"](spark, table, str(tmp_path)).collect()) == [2, 3, 4]
+    counted = stages["byte_bpe"](spark, table, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_tokens"] > 0) for r in counted) == [(1, False), (2, False), (3, True), (4, True), (4, True)]

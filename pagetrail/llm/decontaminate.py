@@ -1,8 +1,7 @@
 """Benchmark decontamination by pigeonhole pieces and Myers' bit-parallel distance.
 
 A test item may occur in a document with up to k edits (inserted, deleted or changed characters).
-Cut into k + 1 pieces, at least one piece then occurs unchanged.  Rolling hashes of all windows of a
-document find the pieces and the bytes confirm them.  Of the pairs of pieces, one has at most one edit, so
+Cut into k + 1 pieces, at least one piece then occurs unchanged.  XX  Of the pairs of pieces, one has at most one edit, so
 beside a hit that counts there is half of its neighbour at least; and an edit destroys GRAM grams of the
 item at most, so most of them are near it.  Around what is left Myers' algorithm gives the least distance
 of the item to any passage there.
@@ -14,8 +13,10 @@ meets all documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +27,18 @@ from .common import cut_lineage, fresh, in_batches, text_or_empty
 
 #: Edits allowed, as a share of the characters of an item.
 ERRORS = 0.1
-#: Of a piece, so many bytes are hashed at most; the rest is compared.
+#: Of a piece, so many bytes are found as numbers at most; the rest is compared.
 PIECE = 16
 #: Characters of the grams that are counted before a distance is measured.
 GRAM = 4
 #: Bytes of items in a block (one block is in memory at a time).
 BLOCK_BYTES = 4 << 20
-#: Bytes of text hashed at once.
-PART = 1 << 20
+#: Bytes of text searched at once; what is made of them stays in a core's cache.
+PART = 1 << 16
+#: Between texts that are searched together: a byte that no UTF-8 has.
+APART = b"\xff"
 
-_FACTOR = 0x9E3779B97F4A7C15 | 1
-_TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FILTER = 22
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def plain(text: Column) -> Column:
@@ -92,19 +93,63 @@ def myers(pattern: str, text: str) -> int:
     return best
 
 
-def _windows(data: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """Size and the hash of each window of so many bytes, for ascending sizes, by doubling."""
-    h = _TABLE[data]
-    factor, width = _FACTOR, 1
-    for size in sizes:
-        if size > len(data):
-            return
-        while width * 2 <= size:
-            h = h[:-width] * np.uint64(factor) + h[width:]
-            factor = factor * factor % (1 << 64)
-            width *= 2
-        # two windows that overlap make one of any size in between
-        yield size, h if size == width else h[: width - size] * np.uint64(factor) + h[size - width :]
+def _words(data: np.ndarray, width: int) -> np.ndarray:
+    """Each window of 1, 2, 4 or 8 bytes as a number, without a copy."""
+    n = len(data) - width + 1
+    return np.ndarray(n, f"<u{width}", data, 0, (1,)) if n > 0 else np.zeros(0, f"<u{width}")
+
+
+def _mixed(words: np.ndarray, shift: np.uint64) -> np.ndarray:
+    """Places of numbers in a filter of 64 - ``shift`` bits."""
+    mixed = words * _FACTOR
+    mixed >>= shift
+    return mixed.view(np.int64)
+
+
+@dataclass
+class Pieces:
+    """Pieces of at least ``width`` bytes and of fewer than twice as many, or of any number from eight on."""
+
+    width: int
+    #: Numbers that pieces begin with, ascending, and the filter of them.
+    firsts: np.ndarray
+    shift: np.uint64
+    gate: np.ndarray
+    #: By the distance of the last number from the first: both as one key, ascending, with item and piece of each.
+    ends: dict[int, tuple[np.ndarray, list[tuple[int, int, int]]]]
+
+    @classmethod
+    def of(cls, width: int, found: list[tuple[bytes, int, int]]) -> Pieces:
+        """``found``: first bytes, item and number of each piece."""
+        number = lambda raw: int.from_bytes(raw, "little")
+        firsts = np.array(sorted({number(raw[:width]) for raw, _, _ in found}), np.uint64)
+        bits = min(22, max(10, len(firsts).bit_length() + 6))
+        shift = np.uint64(64 - bits)
+        gate = np.zeros(1 << bits, bool)
+        gate[_mixed(firsts, shift)] = True
+        ends: dict[int, list[tuple[int, int, int]]] = {}
+        for raw, i, j in found:
+            key = (number(raw[:width]) * int(_FACTOR) + number(raw[-width:])) % (1 << 64)
+            ends.setdefault(len(raw) - width, []).append((key, i, j))
+        return cls(width, firsts, shift, gate, {n: (np.array([f[0] for f in sorted(e)], np.uint64), sorted(e)) for n, e in ends.items()})
+
+    def hits(self, part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Place, item and number of pieces that begin in the first PART bytes, as far as the numbers tell."""
+        words = _words(part, self.width)
+        places = np.flatnonzero(self.gate[_mixed(words[:PART], self.shift)])
+        first = words[places].astype(np.uint64)
+        known = self.firsts[np.minimum(np.searchsorted(self.firsts, first), len(self.firsts) - 1)] == first
+        places, first = places[known], first[known] * _FACTOR
+        for distance, (keys, found) in self.ends.items():
+            inside = np.count_nonzero(places + distance < len(words))  # places ascend
+            key = first[:inside] + words[places[:inside] + distance]
+            k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            equal = keys[k] == key
+            for p, k in zip(places[:inside][equal].tolist(), k[equal].tolist()):
+                value = found[k][0]
+                while k < len(found) and found[k][0] == value:
+                    yield p, found[k][1], found[k][2]
+                    k += 1
 
 
 def _grams(text: str) -> list[str]:
@@ -113,7 +158,7 @@ def _grams(text: str) -> list[str]:
 
 @dataclass
 class Matcher:
-    """The pieces of a block of items, by the hash of their first bytes."""
+    """The pieces of a block of items, by the numbers that their first bytes are."""
 
     ids: list[int]
     texts: list[str]
@@ -123,40 +168,29 @@ class Matcher:
         self.edits = [budget(len(t), len(b)) for t, b in zip(self.texts, self.raw)]
         self.grams = [_grams(t) for t in self.texts]
         self.pieces = [pieces(t, k) for t, k in zip(self.texts, self.edits)]
-        by_size: dict[int, list[tuple[int, int, int]]] = {}
+        by_width: dict[int, list[tuple[bytes, int, int]]] = {}
         for i, cut in enumerate(self.pieces):
             for j, (_, piece, _) in enumerate(cut):
-                size = min(PIECE, len(piece))
-                if size:
-                    h = int(next(_windows(np.frombuffer(piece[:size], np.uint8), [size]))[1][0])
-                    by_size.setdefault(size, []).append((h, i, j))
-        self.by_size = {}
-        for size, found in sorted(by_size.items()):
-            found.sort()
-            keys = np.array([f[0] for f in found], np.uint64)
-            gate = np.zeros(1 << _FILTER, bool)
-            gate[keys >> np.uint64(64 - _FILTER)] = True
-            self.by_size[size] = keys, gate, found
-
-    def _hits(self, data: bytes) -> Iterator[tuple[int, int]]:
-        """Item and the place in ``data`` where it would begin, for pieces that occur."""
-        sizes = list(self.by_size)
-        for at in range(0, len(data), PART):
-            part = np.frombuffer(data[at : at + PART + PIECE - 1], np.uint8)
-            for size, h in _windows(part, sizes):
-                keys, gate, found = self.by_size[size]
-                h = h[:PART]
-                places = np.flatnonzero(gate[h >> np.uint64(64 - _FILTER)])
-                first = np.searchsorted(keys, h[places])
-                equal = keys[np.minimum(first, len(keys) - 1)] == h[places]
-                for p, k in zip(places[equal].tolist(), first[equal].tolist()):
-                    value = keys[k]
-                    while k < len(keys) and keys[k] == value:
-                        _, i, j = found[k]
-                        start, piece, _ = self.pieces[i][j]
-                        if data.startswith(piece, at + p) and self._beside(i, j, data, at + p - start):
-                            yield i, at + p - start
-                        k += 1
+                if piece:
+                    width = min(PIECE // 2, 1 << len(piece).bit_length() - 1)
+                    by_width.setdefault(width, []).append((piece[:PIECE], i, j))
+        self.by_width = [Pieces.of(width, found) for width, found in sorted(by_width.items())]
+
+    def _hits(self, group: list[bytes]) -> dict[int, set[tuple[int, int]]]:
+        """By text of a group: items and the places in it where they would begin, for pieces that occur."""
+        starts = [0, *accumulate(len(data) + 1 for data in group)]
+        whole = APART.join(group)
+        hits: dict[int, set[tuple[int, int]]] = {}
+        for at in range(0, len(whole), PART):
+            part = np.frombuffer(whole[at : at + PART + PIECE - 1], np.uint8)
+            for kind in self.by_width:
+                for p, i, j in kind.hits(part):
+                    n = bisect_right(starts, at + p) - 1
+                    data, place = group[n], at + p - starts[n]
+                    start, piece, _ = self.pieces[i][j]
+                    if data.startswith(piece, place) and self._beside(i, j, data, place - start):
+                        hits.setdefault(n, set()).add((i, place - start))
+        return hits
 
     def _beside(self, i: int, j: int, data: bytes, begin: int) -> bool:
         """Whether the other piece of the pair may be there with one edit, which leaves one of its halves in place."""
@@ -179,10 +213,29 @@ class Matcher:
 
     def matches(self, text: str) -> dict[int, int]:
         """Least distance by item id, for the items that occur within their budget."""
-        data = text.encode()
+        return next(self.all_matches([text]))
+
+    def all_matches(self, texts: Iterable[str]) -> Iterator[dict[int, int]]:
+        """``matches`` of each text; short ones are searched together."""
+        group: list[bytes] = []
+        size = 0
+        for text in texts:
+            group.append(text.encode())
+            size += len(group[-1]) + 1
+            if size >= PART:
+                yield from self._of_group(group)
+                group, size = [], 0
+        yield from self._of_group(group)
+
+    def _of_group(self, group: list[bytes]) -> Iterator[dict[int, int]]:
+        hits = self._hits(group)
+        for n, data in enumerate(group):
+            yield self._least(data, sorted(hits[n])) if n in hits else {}
+
+    def _least(self, data: bytes, hits: list[tuple[int, int]]) -> dict[int, int]:
         best: dict[int, int] = {}
         reach: dict[int, int] = {}
-        for i, begin in sorted(set(self._hits(data))):
+        for i, begin in hits:
             if best.get(i) == 0:
                 continue
             raw, k = self.raw[i], self.edits[i]
@@ -244,7 +297,7 @@ def _search(rows: DataFrame, matcher: Matcher) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(k, i, d) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, d in held.value.matches(t).items()]
+            found = [(k, i, d) for k, t in zip(batch.column(0).to_pylist(), held.value.all_matches(batch.column(1).to_pylist())) for i, d in t.items()]
             k, i, d = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.int32())], ["key", "item_id", "distance"])
 
@@ -261,7 +314,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = [not held.value.matches(t) for t in batch.column(len(names)).to_pylist()]
+                keep = [not found for found in held.value.all_matches(batch.column(len(names)).to_pylist())]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         out = in_batches(out, run, out.schema)

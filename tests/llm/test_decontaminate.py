@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -117,3 +118,23 @@ def test_item_of_two_texts(spark):
     for text in (cat, dog):
         found = d.contamination(docs(spark, [(1, text)]), table).collect()
         assert [tuple(r) for r in found] == [(1, 5, 0)]
+
+
+def test_what_tasks_hold_of_items_is_small():
+    """A block of items comes to every Python worker; it must not bring filters that are larger than the items ask for."""
+    matcher = d.Matcher(list(range(200)), [prose(i, 30) for i in range(200)])
+    assert len(pickle.dumps(matcher)) < 4 << 20
+
+
+def test_texts_searched_together(monkeypatch):
+    """Short texts are joined, long ones cut into parts; nothing is found across texts and nothing lost between parts."""
+    rnd = random.Random(9)
+    items = [prose(i, n) for i, n in enumerate((1, 2, 5, 30, 60))] + ["ab", "x", "日本", "q" * 8, "é" * 40]
+    matcher = d.Matcher(list(range(len(items))), items)
+    texts = [edited(items[i % 10], rnd.randint(0, len(items[i % 10]) // 10), rnd) + " " * (i % 3) + prose(i, i % 7) for i in range(60)]
+    texts += ["", "a", "b", items[3][:40], items[3][40:], "x"]
+    want = [{i: k for i, x in enumerate(items) if (k := distance(x, t)) <= d.budget(len(x), 0)} for t in texts]
+    for part in (64, 1 << 16):
+        monkeypatch.setattr(d, "PART", part)
+        assert list(matcher.all_matches(texts)) == want == [matcher.matches(t) for t in texts]
+    assert sum(map(len, want)) > 30

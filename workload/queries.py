@@ -557,7 +557,9 @@ def skip_reasons(spark, sf):
 def _arriving(spark, rows, part, parts, run) -> None:
     """Folder by folder, each written by many tasks, ``run`` goes on with what arrived; a folder is a batch."""
     path = new_folder(spark, "arriving")
-    kept = cut_lineage(rows.withColumn("_part", part), "arriving")
+    # a part is a range of ids and lies in few of the files that are read; dealt out, all tasks get some of every part
+    dealt = rows.withColumn("_part", part).repartition(spark.sparkContext.defaultParallelism)
+    kept = cut_lineage(dealt, "arriving")
     for number in range(parts):
         kept.filter(F.col("_part") == number).drop("_part").write.parquet(f"{path}/{number}")
         run(f"{path}/*").awaitTermination()
@@ -602,9 +604,16 @@ def stream_dedup_bounded(spark, sf):
     quarter = F.greatest(F.least(F.floor(F.col("page_id") * 4 / n), F.lit(3)), F.lit(0))
     part = F.when(F.col("page_id") % 10 == 0, F.lit(3)).otherwise(F.coalesce(quarter, F.lit(0)))
 
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}-links/{number}")
+
     def run(folder):
-        edges = extraction.link_edges(tables.stream_pages(spark, folder))
-        dated = edges.select("key", F.timestamp_seconds(F.col("src_id") + inputs.START).alias("at"))
+        # the stream below reads its links twice, so they are extracted and written once
+        edges = extraction.link_edges(tables.stream_pages(spark, folder)).select("src_id", "key")
+        written = edges.writeStream.foreachBatch(store).option("checkpointLocation", path + "-links-checkpoint").trigger(availableNow=True)
+        written.start().awaitTermination()
+        links = spark.readStream.schema(edges.schema).parquet(f"{path}-links/*")
+        dated = links.select("key", F.timestamp_seconds(F.col("src_id") + inputs.START).alias("at"))
         return jobs.start_bounded_dedup_stream(dated, path, path + "-checkpoint", max(n // 2, 1))
 
     _arriving(spark, pages, part, 4, run)

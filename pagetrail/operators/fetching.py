@@ -91,8 +91,8 @@ def answer(rows: DataFrame, index: DataFrame, exact: DataFrame) -> DataFrame:
     by_address = exact.select(F.col("address").alias("_address"), F.struct(*ANSWER).alias("_by_address"))
     found = (
         rows.withColumn("_address", address_of("url"))
-        .join(by_key, "key", "left")
-        .join(by_address, "_address", "left")
+        .join(by_key.hint("merge"), "key", "left")
+        .join(by_address.hint("merge"), "_address", "left")
         .withColumn("_found", F.coalesce("_by_address", "_by_key"))
     )
     return found.select(*rows.columns, "_found.*")

@@ -59,7 +59,7 @@ def admit(candidates: DataFrame, admitted: DataFrame | None = None) -> DataFrame
     )
     if admitted is not None:
         first = first.join(
-            admitted.select("request_id", "key"), ["request_id", "key"], "left_anti"
+            admitted.select("request_id", "key").hint("merge"), ["request_id", "key"], "left_anti"
         )
     return first.select(*candidates.columns)
 
@@ -88,7 +88,7 @@ def expand(level: DataFrame, edges: DataFrame) -> DataFrame:
         urls.url_contains(F.col("url"), settings["filter"])
     )
     return (
-        parents.join(edges.select("src_id", "src_host", "link_pos", "url", "key", "host"), "src_id")
+        parents.join(edges.select("src_id", "src_host", "link_pos", "url", "key", "host").hint("merge"), "src_id")
         .filter(F.coalesce(kept, F.lit(False)))
         .select("request_id", "key", "url", "depth", F.concat("path", F.array("link_pos")).alias("path"))
     )
@@ -138,7 +138,7 @@ def visited_count(admitted: DataFrame) -> DataFrame:
 def visited_lookup(addresses: DataFrame, admitted: DataFrame) -> DataFrame:
     """Marks raw addresses (request_id, url) that were admitted as written."""
     known = admitted.select("request_id", "url").distinct().withColumn("_known", F.lit(True))
-    return addresses.join(known, ["request_id", "url"], "left").select(
+    return addresses.join(known.hint("merge"), ["request_id", "url"], "left").select(
         *addresses.columns, F.coalesce("_known", F.lit(False)).alias("visited")
     )
 

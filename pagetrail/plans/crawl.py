@@ -1,5 +1,8 @@
 """Replay of crawls over stored pages, many requests in one job.
 
+Joins whose sides grow with the requests or pages are merge joins by hint: such tables compress so well that Spark, going by
+the size of files, would send hundreds of MB through the driver to broadcast them.
+
 The queue of each request is worked off level by level.  A level is one table
 of admitted addresses with what came of each of them; the next level comes from
 joining its crawled rows with the link edges.  Page text is never touched while
@@ -46,7 +49,7 @@ def prepare(pages: DataFrame, edges: DataFrame) -> Site:
     """
     steps = Steps(pages.sparkSession, "site")
     degrees = edges.groupBy(F.col("src_id").alias("page_id")).agg(F.count(F.lit(1)).alias("links_found"))
-    known = pages.drop("html").join(degrees, "page_id", "left").na.fill(0, ["links_found"])
+    known = pages.drop("html").join(degrees.hint("merge"), "page_id", "left").na.fill(0, ["links_found"])
     return Site(
         pages,
         edges,
@@ -83,7 +86,7 @@ class Crawl:
 
 def _look_up(level: DataFrame, settings: DataFrame, site: Site, rules: DataFrame | None) -> DataFrame:
     """Adds what comes of visiting each row."""
-    found = fetching.answer(level, site.index, site.exact).join(settings, "request_id")
+    found = fetching.answer(level, site.index, site.exact).join(settings.hint("merge"), "request_id")
     if rules is None:
         found = found.withColumn("allowed", F.lit(True))
     else:
@@ -123,7 +126,7 @@ def _progress(level: DataFrame, state: DataFrame) -> DataFrame:
     )
     open_ = F.col("cut_path").isNull()
     return (
-        state.join(counts, "request_id", "left")
+        state.join(counts.hint("merge"), "request_id", "left")
         .na.fill(0, ["rows", "crawled", "following"])
         .withColumn(
             "reached",
@@ -143,7 +146,7 @@ def _cuts(level: DataFrame, progress: DataFrame, hot_rows: int) -> DataFrame:
     successes = (
         level.filter(F.col("outcome") == frontier.CRAWLED)
         .select("request_id", "depth", "path")
-        .join(wanted, "request_id")
+        .join(wanted.hint("merge"), "request_id")
     )
     counted = ordered.running_sum(
         successes, ["request_id"], frontier.ORDER, F.lit(1), "_before", hot_rows
@@ -161,7 +164,7 @@ def _taken(rows: DataFrame, state: DataFrame) -> DataFrame:
         | (F.col("depth") < F.col("cut_depth"))
         | ((F.col("depth") == F.col("cut_depth")) & (F.col("path") <= F.col("cut_path")))
     )
-    return rows.join(cuts, "request_id").withColumn("taken", before).drop("cut_depth", "cut_path")
+    return rows.join(cuts.hint("merge"), "request_id").withColumn("taken", before).drop("cut_depth", "cut_path")
 
 
 #: A request with more successes in a level is split to find the place of its last page.
@@ -209,7 +212,7 @@ def crawl(
             F.sum("following").alias("following"), F.count_if("reached").alias("reached")
         ).first()
         if seen["reached"]:
-            progress = progress.join(_cuts(level, progress, hot_rows), "request_id", "left")
+            progress = progress.join(_cuts(level, progress, hot_rows).hint("merge"), "request_id", "left")
         else:
             progress = progress.withColumn("new_depth", F.lit(None).cast("int")).withColumn(
                 "new_path", F.lit(None).cast("array<int>")
@@ -228,10 +231,10 @@ def crawl(
             break
         going_on = _taken(level.filter((F.col("outcome") == frontier.CRAWLED) & F.col("follow")), state)
         candidates = frontier.expand(
-            going_on.filter("taken").drop("taken").join(settings, "request_id"), site.edges
+            going_on.filter("taken").drop("taken").join(settings.hint("merge"), "request_id"), site.edges
         )
 
-    admitted = _taken(reduce(DataFrame.unionByName, levels), state).join(settings, "request_id")
+    admitted = _taken(reduce(DataFrame.unionByName, levels), state).join(settings.hint("merge"), "request_id")
     return Crawl(asked, site, admitted, steps)
 
 
@@ -243,7 +246,7 @@ def page_data(done: Crawl) -> DataFrame:
     """
     wanted = done.requests.select("request_id", "news", "extract_links")
     crawled = done.visited.filter(F.col("outcome") == frontier.CRAWLED).join(
-        wanted, "request_id"
+        wanted.hint("merge"), "request_id"
     )
     kinds = crawled.groupBy("page_id").agg(
         F.max("news").alias("_news"),
@@ -251,7 +254,7 @@ def page_data(done: Crawl) -> DataFrame:
         F.max("extract_links").alias("_links"),
     )
     texts = extraction.page_texts(
-        done.site.pages.select("page_id", "url", "html").join(kinds.drop("_links"), "page_id"),
+        done.site.pages.select("page_id", "url", "html").join(kinds.drop("_links").hint("merge"), "page_id"),
         F.col("_news"),
         ~F.col("_only_news"),
         F.lit(False),
@@ -259,7 +262,7 @@ def page_data(done: Crawl) -> DataFrame:
     # one page's links are one row's worth of text, so these lists stay small
     lists = (
         done.site.edges.join(
-            kinds.filter("_links").select(F.col("page_id").alias("src_id")), "src_id", "left_semi"
+            kinds.filter("_links").select(F.col("page_id").alias("src_id")).hint("merge"), "src_id", "left_semi"
         )
         .groupBy("src_id")
         .agg(F.array_sort(F.collect_list(F.struct("link_pos", "url"))).alias("_found"))
@@ -267,7 +270,7 @@ def page_data(done: Crawl) -> DataFrame:
     )
     no_links = F.array().cast("array<string>")
     return (
-        crawled.join(texts.join(lists, "page_id", "left"), "page_id")
+        crawled.join(texts.join(lists.hint("merge"), "page_id", "left").hint("merge"), "page_id")
         .withColumn(
             "content",
             F.when(F.col("news"), F.col("news_text")).otherwise(F.col("plain_text")),

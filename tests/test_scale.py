@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pagetrail.operators import fetching, frontier
 from workload import queries
 
 
@@ -21,3 +22,19 @@ def test_arriving_parts_are_dealt_out(spark):
 
     queries._arriving(spark, rows, F.floor(F.col("page_id") / 1000), 4, run)
     assert len(files) == 4 and min(files) > 1
+
+
+def test_growing_sides_are_not_broadcast(spark):
+    """Small as they are here, tables of requests and pages meet in merge joins."""
+    rows = spark.createDataFrame([("r", "k", "http://h/", 0, [0])], "request_id string, key string, url string, depth int, path array<int>")
+    answers = spark.createDataFrame([("k", "http://h/", 1, "ok", None, 0)], "key string, address string, page_id long, outcome string, crawled_at timestamp, links_found long")
+    found = [
+        fetching.answer(rows, answers.drop("address"), answers.drop("key")),
+        frontier.admit(rows, rows),
+        frontier.visited_lookup(rows.select("request_id", "url"), rows),
+    ]
+    for df in found:
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [f.count() for f in found] == [1, 0, 1]

@@ -448,7 +448,7 @@ def visited_lookup(spark, sf):
     done = inputs.stored_crawl(spark, sf)
     # of every request: the links on the page it began with
     asked = inputs.site_links(spark, sf).select(F.col("src_id").alias("request_id"), F.col("link").alias("url"))
-    addresses = asked.join(done.requests.select("request_id"), "request_id").distinct()
+    addresses = asked.join(done.requests.select("request_id").hint("merge"), "request_id").distinct()
     return frontier.visited_lookup(addresses, done.admitted)
 
 
@@ -529,7 +529,7 @@ def host_spacing(spark, sf):
 @query
 def fetch_schedule(spark, sf):
     done = inputs.stored_crawl(spark, sf)
-    visited = done.visited.join(done.requests.select("request_id", "delay"), "request_id")
+    visited = done.visited.join(done.requests.select("request_id", "delay").hint("merge"), "request_id")
     planned = rb.fetch_schedule(visited, rb.latest_robots(inputs.robots(spark, sf)))
     return planned.select("request_id", "url", "host", "host_rank", "fetch_offset_s")
 

@@ -95,7 +95,7 @@ def prepare(html: Sql) -> Sql:
 def parse(html: Sql) -> Sql:
     """The prepared page as a tree builder understands it: every element opened and closed."""
     standard = S.rlike(html, r"(?is)^\s*+(?:<!--(?:-?>|.*?--!?>)\s*+)*+<!doctype\s++html\b")
-    return let(S.struct(prepare(html).alias("doc"), standard.alias("standard")), lambda x: build(x["doc"], ~x["standard"], _ANY_TAG))
+    return let(S.struct(prepare(html).alias("doc"), standard.alias("standard")), lambda x: build(x["doc"], ~x["standard"], _ANY_TAG, _TAG_END))
 
 
 def _plain(markup: Sql) -> Sql:

@@ -8,6 +8,9 @@ wrongly (closed before a block, opened again inside it).  Selecting elements in
 What is open is a path of names, ``/div/p/``, so that every question about scopes is one pattern on a short string.  Each
 piece of output begins with its place, a list of numbers: content that goes before a table gets a place before the table's,
 and the pieces are sorted at the end.  Tags are walked in blocks, so that appending output costs a block and not the page.
+
+Where nothing but plain elements is open, text with its phrasing elements is one token, and so is a block, a list item or a paragraph
+that holds nothing else; these begin and end in themselves whatever formatting is open, so the walk takes one step for them.
 """
 
 from __future__ import annotations
@@ -44,8 +47,24 @@ LEAVES_FOREIGN = (
     "nobr|ol|p|pre|ruby|s|small|span|strong|strike|sub|sup|table|tt|u|ul|var"
 )
 
-#: Tags walked before their output is put away.
-BLOCK = 64
+# Elements that can be one token with what is in them: in a text, around a text, with masked text.
+IN_TEXT = (
+    "a|abbr|acronym|b|bdi|bdo|big|cite|code|data|del|dfn|em|font|i|ins|kbd|label|mark|output|q|s|samp|small|span|strike|"
+    "strong|sub|sup|time|tt|u|var"
+)
+IN_TEXT_VOID = "br|img|input|wbr"
+AROUND_TEXT = (
+    "p|li|dd|dt|h[1-6]|address|article|aside|blockquote|center|details|dialog|div|fieldset|figcaption|figure|footer|header|"
+    "hgroup|main|nav|pre|section|summary"
+)
+MASKED = "script|style|title"
+#: Elements in which tokens mean other things, so that none is put together in them and next to them.
+ELSEWHERE = (
+    "table|caption|colgroup|col|tbody|thead|tfoot|tr|td|th|select|svg|math|foreignobject|template|applet|marquee|object"
+)
+
+#: Tokens walked before their output is put away, and parts of a token that is put together, at most.
+BLOCK, PARTS = 64, 30
 
 _ENTRY = "struct<at:string,pre:string,tag:string,f:int>"
 _FORMAT = "struct<f:int,name:string,tag:string>"
@@ -67,6 +86,17 @@ def _without_p(path: Sql) -> Sql:
     return S.when(_scoped(path, "p", SCOPE + "|button"), _before(path, "p")).otherwise(path)
 
 
+def _without_item(path: Sql, names: str) -> Sql:
+    """The path in which a list item of the names begins."""
+    stops = "|".join(x for x in SPECIAL.split("|") if x not in ("address", "div", "p"))
+    open_one = path.rlike(rf"/(?:{names})/(?:(?!(?:{stops})/)[^/]+/)*$")
+    return let(S.when(open_one, _before(path, names)).otherwise(path), _without_p)
+
+
+def _without_heading(path: Sql) -> Sql:
+    return let(_without_p(path), lambda p: S.regexp_replace(p, "/h[1-6]/$", "/"))
+
+
 def _depth(path: Sql) -> Sql:
     return S.length(path) - S.length(S.replace(path, "/", "")) - 1
 
@@ -169,9 +199,7 @@ def _plan(path: Sql, word: Sql, text: Sql, quirks: Sql, formats: Sql) -> Sql:
         )
 
     def item(names: str) -> Sql:
-        stops = "|".join(x for x in SPECIAL.split("|") if x not in ("address", "div", "p"))
-        open_one = path.rlike(rf"/(?:{names})/(?:(?!(?:{stops})/)[^/]+/)*$")
-        return let(S.when(open_one, _before(path, names)).otherwise(path), lambda p: plan(_without_p(p), "+"))
+        return plan(_without_item(path, names), "+")
 
     def start() -> Sql:
         return (
@@ -182,7 +210,7 @@ def _plan(path: Sql, word: Sql, text: Sql, quirks: Sql, formats: Sql) -> Sql:
             .when(_is(word, FORMATTING), plan(path, "+", again=True))
             .when(word == "li", item("li"))
             .when(_is(word, "dd|dt"), item("dd|dt"))
-            .when(_is(word, "h[1-6]"), let(_without_p(path), lambda p: plan(S.regexp_replace(p, "/h[1-6]/$", "/"), "+")))
+            .when(_is(word, "h[1-6]"), plan(_without_heading(path), "+"))
             .when(_is(word, "html|head|body"), S.when((path == "/") | (path == "/html/") | path.endswith("/head/") & (word == "body"), plan(S.regexp_replace(path, "/head/$", "/"), "+")).otherwise(drop))
             .when(_is(word, "area|br|embed|image|img|input|keygen|wbr"), plan(path, ".", again=True))
             .when(_is(word, VOID), plan(path, "."))
@@ -268,7 +296,20 @@ def _piece(at: Sql, text: Sql) -> Sql:
     return S.concat(at, _END, text)
 
 
-def _step(acc: Sql, token: Sql, quirks: Sql) -> Sql:
+def _end_tag(start: Sql) -> Sql:
+    return S.concat("</", S.regexp_extract(start, r"^<([^\s/>]+)", 1), ">")
+
+
+def _missing(formats: Sql, held: Sql) -> Sql:
+    """Formatting elements that are to be opened again: those behind the last one that is open."""
+    ids = S.transform(held, lambda e: e["f"])
+    last = S.coalesce(
+        S.array_max(S.transform(formats, lambda f, j: S.when((f["f"] == 0) | S.array_contains(ids, f["f"]), j + 1).otherwise(0))), 0
+    )
+    return S.slice(formats, last + 1, S.size(formats))
+
+
+def _step(acc: Sql, token: Sql, quirks: Sql, start_tag: str) -> Sql:
     path, stack, i = acc["path"], acc["stack"], acc["i"]
     word, text = token["w"], token["t"]
 
@@ -278,7 +319,7 @@ def _step(acc: Sql, token: Sql, quirks: Sql) -> Sql:
             popped,
             lambda e, j: _piece(
                 S.concat(_above(e["at"]), _number(i * 2 - 1), "-", _number(S.lit(10**8) - depth - j)),
-                S.concat("</", S.regexp_extract(e["tag"], r"^<([^\s/>]+)", 1), ">"),
+                _end_tag(e["tag"]),
             ),
         )
 
@@ -323,11 +364,7 @@ def _step(acc: Sql, token: Sql, quirks: Sql) -> Sql:
             table = S.get(held, _depth(S.regexp_extract(kept, "^(.*/table/)", 1)) - 1)
             below = S.coalesce(S.try_element_at(held, -1)["pre"], "")
             pre = S.when(moved, _fostered(table["at"])).otherwise(below)
-            ids = S.transform(held, lambda e: e["f"])
-            last = S.coalesce(
-                S.array_max(S.transform(formats, lambda f, j: S.when((f["f"] == 0) | S.array_contains(ids, f["f"]), j + 1).otherwise(0))), 0
-            )
-            missing = S.when(plan["again"] & (S.size(formats) > 0), S.slice(formats, last + 1, S.size(formats))).otherwise(
+            missing = S.when(plan["again"] & (S.size(formats) > 0), _missing(formats, held)).otherwise(
                 S.array().cast(f"array<{_FORMAT}>")
             )
             return let(S.struct(pre.alias("pre"), missing.alias("missing")), lambda x: finish(held, formats, out, x["pre"], x["missing"]))
@@ -453,6 +490,49 @@ def _step(acc: Sql, token: Sql, quirks: Sql) -> Sql:
         open_now = S.when(ends_head, _before(path, "head")).otherwise(path)
         return let(open_now, lambda p: let(_plan(p, word, text, quirks, acc["formats"]), act))
 
+    def whole() -> Sql:
+        """An element around nothing but text: formatting is opened again at the beginning of what is in it, and closed in it."""
+        name, formats = S.substr(word, 2), acc["formats"]
+        masked = name.isin(*MASKED.split("|"))
+        open_now = S.when(path.endswith("/head/") & ~masked, _before(path, "head")).otherwise(path)
+        kept = let(
+            open_now,
+            lambda p: S.when(masked, p)
+            .when(name == "li", _without_item(p, "li"))
+            .when(name.isin("dd", "dt"), _without_item(p, "dd|dt"))
+            .when(name.rlike("^h[1-6]$"), _without_heading(p))
+            .otherwise(_without_p(p)),
+        )
+
+        def opened_again(missing: Sql, start: Sql) -> Sql:
+            inside = S.length(text) - S.length(start) - S.length(name) - 3
+            ends = S.reverse(S.transform(missing, lambda f: _end_tag(f["tag"])))
+            return S.when((inside == 0) | (S.size(missing) == 0), text).otherwise(
+                S.concat(
+                    start,
+                    S.array_join(S.transform(missing, lambda f: f["tag"]), ""),
+                    S.substr(text, S.length(start) + 1, inside),
+                    S.array_join(ends, ""),
+                    S.right(text, S.length(name) + 3),
+                )
+            )
+
+        def placed(kept: Sql, held: Sql, ended: Sql) -> Sql:
+            shown = S.when(masked | (S.size(formats) == 0), text).otherwise(
+                let(
+                    S.struct(_missing(formats, held).alias("missing"), S.regexp_extract(text, start_tag, 0).alias("start")),
+                    lambda x: opened_again(x["missing"], x["start"]),
+                )
+            )
+            at = S.concat(S.coalesce(S.try_element_at(held, -1)["pre"], ""), _number(i * 2))
+            return state(kept, held, formats, S.concat(ended, S.array(_piece(at, shown))))
+
+        def closing(kept: Sql, depth: Sql) -> Sql:
+            return placed(kept, S.slice(stack, 1, depth), closers(S.slice(stack, depth + 1, S.size(stack)), depth))
+
+        none = S.array().cast("array<string>")
+        return let(kept, lambda k: S.when(k == path, placed(k, stack, none)).otherwise(let(_depth(k), lambda d: closing(k, d))))
+
     # most tokens: text where text belongs with nothing to open again, and the end of what was opened last
     top, formats = S.try_element_at(stack, -1), acc["formats"]
     newest = S.try_element_at(formats, -1)
@@ -465,6 +545,7 @@ def _step(acc: Sql, token: Sql, quirks: Sql) -> Sql:
     )
     return (
         S.when(plain_text, state(path, stack, formats, S.array(_piece(S.concat(S.coalesce(top["pre"], ""), _number(i * 2)), text))))
+        .when(word.startswith("="), whole())
         .when(ends_top & ~_is(word, f"/(?:html|body|{FORMATTING}|{MARKERS})"), closed(formats))
         .when(ends_top & _is(word, f"/(?:{FORMATTING})") & (newest["f"] == top["f"]), closed(S.slice(formats, 1, S.size(formats) - 1)))
         .otherwise(planned())
@@ -477,14 +558,36 @@ def _since_marker(formats: Sql) -> Sql:
     return S.when(S.size(formats) == 0, formats).otherwise(let(last, lambda n: S.slice(formats, n + 1, S.size(formats))))
 
 
-def build(doc: Sql, quirks: Sql, tag: str) -> Sql:
-    """The tree of a prepared page as markup; ``tag`` is the pattern of a tag.
+def _together(tag_end: str) -> str:
+    """Pattern of tokens that are put together: elements around a text, and texts that hold elements."""
+    end = rf"(?=[\s/>]){tag_end}"
+
+    def item(name: str) -> str:
+        """Elements in a text, one within another at most; ``name`` is for the groups of the pattern."""
+        void = rf"<(?i:{IN_TEXT_VOID}){end}"
+        inner = rf"<(?<{name}i>(?i:{IN_TEXT})){end}(?:[^<]++|{void}){{0,{PARTS}}}+</\k<{name}i>>"
+        return rf"{void}|<(?<{name}o>(?i:{IN_TEXT})){end}(?:[^<]++|{void}|{inner}){{0,{PARTS}}}+</\k<{name}o>>"
+
+    around = rf"<(?<around>(?i:{AROUND_TEXT})){end}(?:[^<]++|{item('a')}){{0,{PARTS}}}+</\k<around>>"
+    masked = rf"<(?<masked>(?i:{MASKED})){end}[^<]*+</\k<masked>>"
+    # a blank text before a head's end belongs in the head
+    text = rf"(?:\s*+[^\s<][^<]*+)?+(?:{item('f')})(?:[^<]++|{item('r')}){{0,{PARTS}}}+"
+    return rf"{around}|{masked}|{text}"
+
+
+def build(doc: Sql, quirks: Sql, tag: str, tag_end: str) -> Sql:
+    """The tree of a prepared page as markup; ``tag`` is the pattern of a tag, ``tag_end`` of a start tag behind its name.
 
     ``quirks``: whether the page has no document type, where a table does not end a paragraph.
     """
+    start_tag = rf"^<[a-zA-Z][^\s/>]*+{tag_end}"
 
     def token(t: Sql) -> Sql:
-        word = S.when(t.startswith("<"), S.lower(S.regexp_extract(t, r"^<(/?[a-zA-Z][^\s/>]*)", 1))).otherwise("")
+        """``=p``: a whole paragraph, and so on; a text with elements has no word, like other texts."""
+        name = S.lower(S.regexp_extract(t, r"^<(/?[a-zA-Z][^\s/>]*)", 1))
+        several = t.rlike("^<[a-zA-Z]") & (S.length(S.regexp_extract(t, start_tag, 0)) < S.length(t))
+        in_text = name.isin(*IN_TEXT.split("|"), *IN_TEXT_VOID.split("|"))
+        word = S.when(~t.startswith("<"), "").when(several, S.when(in_text, "").otherwise(S.concat("=", name))).otherwise(name)
         return let(
             word,
             lambda w: S.when(
@@ -515,8 +618,20 @@ def build(doc: Sql, quirks: Sql, tag: str) -> Sql:
             ),
         )
 
+    other_tag, other = rf"(?!</?[aA][\s/>]){tag}", r"<(?!/?[aA][\s/>])"
+    link_in_link = rf"(?i:<a)(?=[\s/>]){tag_end}(?:[^<]++|{other_tag}|{other})*+<[aA][\s/>]"
+
+    def plain(now: Sql, part: Sql) -> Sql:
+        """Whether tokens of a block mean the same put together."""
+        return ~(
+            now["path"].rlike(rf"/(?:{ELSEWHERE})/")
+            | S.exists(now["formats"], lambda f: (f["f"] == 0) | (f["name"] == "a"))
+            | part.rlike(rf"(?i)<(?:{ELSEWHERE})[\s/>]")
+            | part.rlike(link_in_link)
+        )
+
     def block(now: Sql, part: Sql) -> Sql:
-        return walked(tokens(part), now, lambda n, t: _step(n, t, quirks))
+        return walked(tokens(part, plain(now, part)), now, lambda n, t: _step(n, t, quirks, start_tag))
 
     def chapter(now: Sql, blocks: Sql) -> Sql:
         return walked(blocks, now, block)
@@ -525,13 +640,15 @@ def build(doc: Sql, quirks: Sql, tag: str) -> Sql:
         return S.array_join(S.transform(S.sort_array(pieces), lambda p: S.substr(p, S.instr(p, _END) + 1)), "")
 
     one = rf"{tag}|[^<]++|<"
+    together = rf"{_together(tag_end)}|{one}"
     last = S.array(S.struct(S.lit("").alias("t"), S.lit("/").alias("w")))
 
-    def tokens(part: Sql) -> Sql:
+    def tokens(part: Sql, is_plain: Sql) -> Sql:
         """The tokens of a block of markup; of the empty one at the end, the one that closes everything."""
-        return S.when(part == "", last).otherwise(S.flatten(S.transform(S.regexp_extract_all(part, one, 0), token)))
+        found = S.when(is_plain, S.regexp_extract_all(part, together, 0)).otherwise(S.regexp_extract_all(part, one, 0))
+        return S.when(part == "", last).otherwise(S.flatten(S.transform(found, token)))
 
-    blocks = S.concat(S.regexp_extract_all(doc, rf"(?:{one}){{1,{BLOCK}}}+", 0), S.array(""))
+    blocks = S.concat(S.regexp_extract_all(doc, rf"(?:{together}){{1,{BLOCK}}}+", 0), S.array(""))
     start = S.struct(
         S.lit("/").alias("path"),
         S.array().cast(f"array<{_ENTRY}>").alias("stack"),

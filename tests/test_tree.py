@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from pagetrail.functions import html
+from pagetrail.functions import html, tree
 
 QUIRKS = {
     # paragraphs and blocks
@@ -73,6 +73,23 @@ STANDARD = {
     "<!doctype html><p>q<table><tr><td>r</table>s": "<p>q</p><table><tbody><tr><td>r</td></tr></tbody></table>s",
     " <!-- x --> <!DOCTYPE html><p>q<table></table>": "  <p>q</p><table></table>",
 }
+# elements and texts that are one token, where other things are open
+TOGETHER = {
+    "<p><b>a<br><p>b <i>c</i></p><p></p><p> </p>d": "<p><b>a<br></b></p><p><b>b <i>c</i></b></p><p></p><p><b> </b></p><b>d</b>",
+    "<p>a<DIV>b</DIV><div>c</DIV><Div>d</Div>": "<p>a</p><DIV>b</DIV><div>c</div><Div>d</Div>",
+    "<ul><li>a<li>b</li><li><p>c<li><a href=/x>d</a></li></ul>": "<ul><li>a</li><li>b</li><li><p>c</p></li><li><a href=/x>d</a></li></ul>",
+    "<dl><dt>a<dd>b</dd><dd>c</dd></dl><p>x<h2>y</h2>": "<dl><dt>a</dt><dd>b</dd><dd>c</dd></dl><p>x</p><h2>y</h2>",
+    "<h1>a<h2>b</h2>c": "<h1>a</h1><h2>b</h2>c",
+    "<a href=1>x<p>y</p><p><a href=2>z</a></p>w": "<a href=1>x<p>y</p></a><p><a href=1></a><a href=2>z</a></p>w",
+    "<a title='</a>'>x <a>y</a>": "<a title='</a>'>x </a><a>y</a>",
+    "<table><p>a <b>b</b></p><tr><td><p>c</p></table><p>d</p>": "<p>a <b>b</b></p><table><tbody><tr><td><p>c</p></td></tr></tbody></table><p>d</p>",
+    "<select><option><b>a</b></select><b>c</b>": "<select><option>a</option></select><b>c</b>",
+    "<svg><p>x</p></svg>": "<svg></svg><p>x</p>",
+    "<html><head><title>t</title>\n<style>p</style> <b>x</b> y": "<html><head><title>t</title>\n<style>p</style> </head><b>x</b> y</html>",
+    "<html><head> <p>x</p><title>u</title>": "<html><head> </head><p>x</p><title>u</title></html>",
+    "<button>a<p>b</p></button><p>c<button><p>d</p>": "<button>a<p>b</p></button><p>c<button><p>d</p></button></p>",
+    "<p>" + "a<br>" * 100 + "</p><p>" + "<i>b</i>" * 100 + "</p>": "<p>" + "a<br>" * 100 + "</p><p>" + "<i>b</i>" * 100 + "</p>",
+}
 
 
 def evaluate(spark, pages, function):
@@ -85,6 +102,18 @@ def test_rules(spark):
     assert evaluate(spark, expected, html.parse) == expected
 
 
+def test_tokens_put_together(spark):
+    assert evaluate(spark, TOGETHER, html.parse) == TOGETHER
+
+
+def test_steps_of_the_walk(spark):
+    """A paragraph with links, or a list item, is one step, not one for each tag."""
+    pattern = tree._together(html._TAG_END)
+    for whole in ("<p class=x>a <a href='/q>'>b</a> <b>c <i>d</i></b><br></p>", "<li></li>", "a <span>b</span> c", "<title>a > b</title>"):
+        df = spark.createDataFrame([(whole,)], "t string").select(F.regexp_extract_all("t", F.lit(pattern), F.lit(0)))
+        assert df.first()[0] == [whole]
+
+
 def test_what_is_a_tree_stays(spark):
     """Markup that was read once reads the same again (where no paragraph holds a table)."""
     trees = {t for w, t in QUIRKS.items() if w not in ("a</br>b",) and "\ue000" not in t}

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagetrail.operators import fetching, frontier
-from workload import queries
+from workload import inputs, queries
 
 
 def test_arriving_parts_are_dealt_out(spark):
@@ -38,3 +38,17 @@ def test_growing_sides_are_not_broadcast(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert [f.count() for f in found] == [1, 0, 1]
+
+
+def test_parsed_pages_are_dealt_out(spark, tmp_path):
+    """One row group is read by one task; the pages in it are parsed by all."""
+    rows = [(None if i == 7 else i % 500, f"http://h/{i}", None if i == 9 else f"<nav><a href=/{i}>x</a></nav><article>t{i}</article>") for i in range(1000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    for df in (inputs.varied_pages(spark, str(tmp_path)), inputs.tangled_pages(spark, str(tmp_path))):
+        held = df.select(F.spark_partition_id().alias("part")).groupBy("part").count()
+        assert held.count() >= spark.sparkContext.defaultParallelism and held.agg(F.max("count")).first()[0] <= 250
+    assert queries.QUERIES["news_content"](spark, str(tmp_path)).count() == 1000
+    written = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    dealt = inputs.dealt_pages(spark, str(tmp_path))
+    assert dealt.exceptAll(written).isEmpty() and written.exceptAll(dealt).isEmpty()

@@ -28,6 +28,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_pages(spark, f"{sf_dir}/pages.parquet")
 
 
+def dealt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages for queries that parse them: in many parts, however few row groups the table has."""
+    return tables.dealt_out(pages(spark, sf_dir))
+
+
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, host, page_key and rank of each page within its host."""
     known = pages(spark, sf_dir).select(
@@ -195,7 +200,7 @@ def varied_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace("html", F.lit("</head>"), F.concat(head, F.lit("</head>")))
     text = F.replace(text, F.lit("</nav>"), F.lit(nav + "</nav>"))
     text = F.replace(F.replace(text, F.lit("<article>"), opening), F.lit("</article>"), closing)
-    return pages(spark, sf_dir).select("page_id", "url", text.alias("html"))
+    return dealt_pages(spark, sf_dir).select("page_id", "url", text.alias("html"))
 
 
 #: How an article begins and ends, one way for each page: its own, the attribute, the eight selectors, none.
@@ -232,7 +237,7 @@ TANGLES = (
 def tangled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages with wrongly nested markup behind their navigation."""
     tangle = F.element_at(F.array(*map(F.lit, TANGLES)), (F.col("page_id") % len(TANGLES) + 1).cast("int"))
-    return pages(spark, sf_dir).select(
+    return dealt_pages(spark, sf_dir).select(
         "page_id", "url", F.replace("html", F.lit("</nav>"), F.concat(F.lit("</nav>"), tangle)).alias("html")
     )
 

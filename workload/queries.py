@@ -266,7 +266,7 @@ def page_description(spark, sf):
 
 @query
 def page_content(spark, sf):
-    return inputs.pages(spark, sf).select("page_id", html.paragraphs("html").alias("content"))
+    return inputs.dealt_pages(spark, sf).select("page_id", html.paragraphs("html").alias("content"))
 
 
 @query
@@ -276,7 +276,7 @@ def news_content(spark, sf):
 
 @query
 def extract_links(spark, sf):
-    found = extraction.page_links(inputs.pages(spark, sf))
+    found = extraction.page_links(inputs.dealt_pages(spark, sf))
     return found.select(
         "page_id", F.size("links").cast("bigint").alias("n_links"), text_list("links").alias("links")
     )
@@ -284,19 +284,19 @@ def extract_links(spark, sf):
 
 @query
 def link_edges(spark, sf):
-    return extraction.link_edges(inputs.pages(spark, sf)).withColumn(
+    return extraction.link_edges(inputs.dealt_pages(spark, sf)).withColumn(
         "link_pos", F.col("link_pos").cast("bigint")
     )
 
 
 @query
 def strip_tags(spark, sf):
-    return inputs.pages(spark, sf).select("page_id", html.strip_tags("html").alias("text"))
+    return inputs.dealt_pages(spark, sf).select("page_id", html.strip_tags("html").alias("text"))
 
 
 @query
 def element_text(spark, sf):
-    return inputs.pages(spark, sf).select(
+    return inputs.dealt_pages(spark, sf).select(
         "page_id", html.element_text("html", ".ad").alias("ad"), html.element_text("html", "h1").alias("h1")
     )
 
@@ -316,7 +316,7 @@ def tangled_content(spark, sf):
 @query
 def parse_pages(spark, sf):
     given = inputs.fetch_log(spark, sf).select("page_id", "url", "html", "crawled_at")
-    return flat(extraction.parse_pages(given, extract_links=True), "page_id")
+    return flat(extraction.parse_pages(tables.dealt_out(given), extract_links=True), "page_id")
 
 
 # -- frontier and crawl ----------------------------------------------------
@@ -455,7 +455,7 @@ def visited_lookup(spark, sf):
 @query
 def uncrawled_links(spark, sf):
     pages = inputs.pages(spark, sf)
-    return frontier.uncrawled(extraction.link_edges(pages), fetching.page_index(pages))
+    return frontier.uncrawled(extraction.link_edges(tables.dealt_out(pages)), fetching.page_index(pages))
 
 
 QUERIES["crawl"] = QUERIES.pop("crawl_pages")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import merged, parts_of, read_ranks
-from .common import in_batches, text_or_empty
+from .common import in_batches, keep, text_or_empty
 
 #: Transitions and words a worker keeps; beyond it starts anew.
 TRANSITIONS, WORDS = 250_000, 300_000
@@ -302,14 +302,20 @@ class Decoder:
 
 
 def machines(path: str, pattern: str) -> tuple[Encoder, Decoder]:
-    """One pair per worker process."""
+    """One pair per worker process, until it does other work: the known pairs alone grow to over 100 MB."""
     if (path, pattern) not in _machines:
         ranks = read_ranks(path)
         _machines[path, pattern] = Encoder(ranks, pattern), Decoder(ranks)
-        gc.freeze()  # lives as long as the worker
+        gc.freeze()  # not searched for cycles in every task
+        keep(__name__, _drop_machines)
     return _machines[path, pattern]
 
 
+def _drop_machines() -> None:
+    _machines.clear()
+    gc.unfreeze()
+
+
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, ids (array of int).
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from pagetrail.lineage import cut_lineage
 
-__all__ = ["PIECES", "TOKENIZER", "TIKTOKEN", "cut_lineage", "fresh", "give_back", "in_batches", "remainder", "table", "text_or_empty"]
+__all__ = ["PIECES", "TOKENIZER", "TIKTOKEN", "cut_lineage", "fresh", "give_back", "in_batches", "keep", "make_room", "remainder", "table", "text_or_empty"]
 
 #: Names of vocabulary files; their place is always a parameter.
 TOKENIZER, TIKTOKEN, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -52,6 +52,24 @@ def give_back() -> None:
         pass  # another C library
 
 
+#: How to drop what a worker keeps between tasks, by the module whose tasks use it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(owner: str, drop: Callable[[], None]) -> None:
+    """Notes that a module keeps something in this worker; ``drop`` is called before a task of another module."""
+    _kept[owner] = drop
+
+
+def make_room(owner: str) -> None:
+    """Drops what other modules keep in this worker: their work is over, and a stage of another operator needs the memory."""
+    others = [name for name in _kept if name != owner]
+    for name in others:
+        _kept.pop(name)()
+    if others:
+        give_back()
+
+
 #: Rows and bytes of an Arrow batch: texts are long, and a batch is in memory several times on its way.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -81,7 +99,10 @@ def in_batches(
 ) -> DataFrame:
     """Arrow batches through ``fn``, partition by partition; nothing is held beyond what ``fn`` holds."""
 
+    owner = fn.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(owner)
         read = 0
 
         def counted() -> Iterator[pa.RecordBatch]:

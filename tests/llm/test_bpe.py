@@ -2,13 +2,14 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
 from helpers import awkward, docs, rows
 from tokenizers import Tokenizer
 
-from pagetrail.llm import codec, tokens
+from pagetrail.llm import codec, common, tokens
 from pagetrail.llm.bpe import merged, parts_of
 from pagetrail.llm.common import TIKTOKEN, TOKENIZER
 
@@ -95,3 +96,26 @@ def test_queries_on_awkward_rows(spark, machines, library):
     assert (1, 0, 0) in counts and (2, 0, 0) in counts and len(counts) == len({(i, t or "") for i, t in data})
     assert codec.digests(docs(spark, []), P.path(TIKTOKEN), P.PATTERN).count() == 0
     assert tokens.token_counts(docs(spark, []), P.path(TOKENIZER), P.PATTERN).count() == 0
+
+
+def test_other_work_drops_the_machines():
+    """A worker goes on with stages of other operators, which need its memory; the codec's own tasks find the machines again."""
+    first = codec.machines(P.path(TIKTOKEN), P.PATTERN)
+    common.make_room(codec.__name__)
+    assert codec.machines(P.path(TIKTOKEN), P.PATTERN) is first
+    common.make_room("pagetrail.llm.jaccard")
+    assert not codec._machines
+    assert codec.machines(P.path(TIKTOKEN), P.PATTERN)[0].encode("to be") == first[0].encode("to be")
+
+
+def test_tasks_of_other_operators_drop_the_machines(spark):
+    """In one worker, as pipelines use it: first the codec, then another operator."""
+
+    def left(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(codec._machines)] * len(batch))], ["n"])
+
+    left.__module__ = "another"
+    encoded = codec.encode(docs(spark, [(1, "to be")]).coalesce(1), P.path(TIKTOKEN), P.PATTERN)
+    assert encoded.count() == 1
+    assert {r.n for r in common.in_batches(spark.range(0, 40, 1, 40).select("id"), left, "n long").collect()} == {0}

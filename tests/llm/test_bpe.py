@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from pagetrail.llm import codec, common, tokens
 from pagetrail.llm.bpe import merged, parts_of
 from pagetrail.llm.common import TIKTOKEN, TOKENIZER
+from pagetrail.llm.reader import Reader
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +120,79 @@ def test_tasks_of_other_operators_drop_the_machines(spark):
     encoded = codec.encode(docs(spark, [(1, "to be")]).coalesce(1), P.path(TIKTOKEN), P.PATTERN)
     assert encoded.count() == 1
     assert {r.n for r in common.in_batches(spark.range(0, 40, 1, 40).select("id"), left, "n long").collect()} == {0}
+
+
+def around_blanks():
+    rnd = random.Random(11)
+    few = ["".join(rnd.choice("a \n.") for _ in range(rnd.randint(0, 9))) for _ in range(3000)]
+    many = ["".join(rnd.choice("ab \n\t  .,!é日😀0\u3000\x1c'sd \x85\u2028") for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
+    return ["", " ", "  ", " a", "  a", "a  ", "a \n b", "\n \n", *few, *many, *texts(), *(t or "" for _, t in awkward())]
+
+
+@pytest.mark.parametrize("pattern", [P.PATTERN, r"\S+\s*|\s+", r"\w{1,3}\W*|\W+"])
+def test_batches_equal_the_library(machines, pattern, monkeypatch):
+    monkeypatch.setattr(codec, "LONG", 50_000)
+    encoder, decoder = codec.Encoder(machines[0].ranks, pattern), machines[1]
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=machines[0].ranks, special_tokens={})
+    data = around_blanks()
+    for at in range(0, len(data), 500):
+        found = encoder.rows(pa.array(data[at : at + 500]))
+        for text, ids in zip(data[at:], found):
+            assert ids.tolist() == library.encode_ordinary(text), text[:50]
+        assert decoder.rows(found) == [t.encode() for t in data[at : at + 500]]
+
+
+def test_new_words_of_a_batch_are_read_side_by_side(machines, library, monkeypatch):
+    """None of them goes through the transducer alone, and none is looked for by search."""
+
+    def alone(self, *_):
+        raise AssertionError("a word was read alone")
+
+    encoder = codec.Encoder(machines[0].ranks, P.PATTERN)
+    monkeypatch.setattr(codec.Encoder, "transduce", alone)
+    monkeypatch.setattr(codec.Encoder, "_finish", alone)
+    text = " ".join(f"{a}{b}" for a in ("un", "日本", "x", "over", "=") for b in range(300))
+    assert [x.tolist() for x in encoder.rows(pa.array([text, "", text]))] == [library.encode_ordinary(t) for t in (text, "", text)]
+
+
+def test_caches_of_batches_forget_and_go_on(machines, library, monkeypatch):
+    for name, most in (("WORDS", 5), ("PIECES", 5)):
+        monkeypatch.setattr(codec, name, most)
+    encoder = codec.Encoder(machines[0].ranks, P.PATTERN)
+    data = around_blanks()[:1500]
+    for at in range(0, len(data), 100):
+        assert [x.tolist() for x in encoder.rows(pa.array(data[at : at + 100]))] == [library.encode_ordinary(t) for t in data[at : at + 100]]
+
+
+def test_neighbours_meet_as_the_merges_say(monkeypatch):
+    """Any ranks, also those no training gives; few places to remember pairs in."""
+    monkeypatch.setattr("pagetrail.llm.reader.REMEMBERED", 4)
+    rnd = random.Random(2)
+    for _ in range(20):
+        strings = {bytes((x,)) for x in range(256)} | {bytes(rnd.choice(b"abc") for _ in range(rnd.randint(2, 5))) for _ in range(60)}
+        order = rnd.sample(sorted(strings), len(strings))
+        ranks = {s: i for i, s in enumerate(order)}
+        rank_of = lambda a, b, get=ranks.get: get(a + b)
+        tokens = {s: i for s, i in ranks.items() if len(merged(s, rank_of)) == 1}
+        some = [s for s in tokens if set(s) <= set(b"abc")]
+        pairs = [(a, b) for a in some for b in some]
+        found = Reader(ranks, tokens).compatible(*(np.array([ranks[p[k]] for p in pairs], np.int64) for k in (0, 1)))
+        assert found.tolist() == [merged(a + b, rank_of) == [a, b] for a, b in pairs]
+
+
+def test_rows_of_ids_decode_as_the_machine_says(machines):
+    _, decoder = machines
+    rnd = random.Random(4)
+    ids = lambda: [rnd.choice([rnd.randrange(256), rnd.randrange(50_000)]) for _ in range(rnd.randint(0, 12))]
+    data = [ids() for _ in range(3000)]
+    raw = [b"".join(decoder.bytes_of[i] for i in x) for x in data]
+    assert decoder.rows([np.array(x, np.int32) for x in data]) == [x.decode("utf-8", "replace").encode() for x in raw]
+    for wrong in (-1, len(decoder.bytes_of) + 5):
+        with pytest.raises(KeyError):
+            decoder.rows([np.array([wrong], np.int32)])
+
+
+def test_null_ids_decode_as_none(spark, machines):
+    encode = machines[0].encode
+    table = spark.createDataFrame([(1, None), (2, encode("a 日")), (3, []), (4, encode("é"))], "doc_id long, ids array<int>")
+    assert rows(codec.decode(table, P.path(TIKTOKEN), P.PATTERN)) == [(1, ""), (2, "a 日"), (3, ""), (4, "é")]
